@@ -95,3 +95,110 @@ def q_health_checks(spark, sf_dir):
 def q_channel_health_history(spark, sf_dir):
     ad, site, dd = history_sources(spark, sf_dir)
     return finalize(channel.channel_health(ad, site, dd, td.HISTORY_AS_OF, HISTORY_LOOKBACK))
+
+
+# ---------------------------------------------------------------- charts (M8)
+
+def _chart_sql(metric: str, level: str, precision: int) -> str:
+    r = (lambda x: f"round_even({x}, {precision})")
+    v7 = f", {r(metric + '_7_avg')} AS value_7_avg" if level == "channel" else ""
+    bands = ", ".join(
+        f"mean + {r(f'sd * {k}')} AS plus_{n}_sd, mean - {r(f'sd * {k}')} AS minus_{n}_sd"
+        for k, n in ((1, "one"), (2, "two"), (3, "three")))
+    inner = (f"WITH {sqlgen.source_ctes('events')},{sqlgen.daily_ctes(td.EVENTS_AS_OF, 60)},\n"
+             f"base AS (SELECT client, Date, {r(metric)} AS value{v7} FROM daily),\n"
+             f"m AS (SELECT *, {r(sqlgen.nan_null('avg(value) OVER (PARTITION BY client)'))} AS mean,"
+             f" {sqlgen.nan_null('stddev_samp(value) OVER (PARTITION BY client)')} AS sd FROM base)\n"
+             f"SELECT client, Date, value{', value_7_avg' if v7 else ''}, mean, {bands} FROM m")
+    cols = [("client", "s"), ("Date", "d"), ("value", "f")]
+    if v7:
+        cols.append(("value_7_avg", "f"))
+    cols += [("mean", "f")] + [(f"{s}_{n}_sd", "f") for n in ("one", "two", "three")
+                               for s in ("plus", "minus")]
+    return sqlgen.final(inner, cols)
+
+
+@register("control_chart_channel", _chart_sql("revenue", "channel", 0))
+def q_control_chart_channel(spark, sf_dir):
+    ad, site, dd = events_sources(spark, sf_dir)
+    daily = channel.channel_daily(ad, site, dd, td.EVENTS_AS_OF, 60)
+    return finalize(channel.control_chart(daily, "revenue"))
+
+
+@register("control_chart_site", _chart_sql("pct_site_orders", "site", 2))
+def q_control_chart_site(spark, sf_dir):
+    ad, site, dd = events_sources(spark, sf_dir)
+    daily = channel.channel_daily(ad, site, dd, td.EVENTS_AS_OF, 60)
+    return finalize(channel.control_chart(daily, "pct_site_orders"))
+
+
+# ---------------------------------------------------------------- models
+
+from . import bids, models  # noqa: E402
+
+SEL_A = ("nation_9", "rf", "web")
+SEL_B = ("nation_6", "glm", "mobile")
+SEL_NONE = ("nowhere", "gbm", "web")
+
+
+@register("rank_models", sqlgen.rank_models_sql())
+def q_rank_models(spark, sf_dir):
+    return finalize(models.rank_models(td.model_eval(spark, sf_dir)))
+
+
+@register("importance", sqlgen.importance_sql())
+def q_importance(spark, sf_dir):
+    return finalize(models.importance(td.model_eval(spark, sf_dir)))
+
+
+@register("comparison_choices", sqlgen.choices_sql())
+def q_comparison_choices(spark, sf_dir):
+    return finalize(models.comparison_choices(td.model_eval(spark, sf_dir)))
+
+
+@register("compare_metrics", sqlgen.compare_metrics_sql(SEL_A, SEL_NONE))
+def q_compare_metrics(spark, sf_dir):
+    return finalize(models.compare_metrics(td.model_eval(spark, sf_dir), SEL_A, SEL_NONE))
+
+
+@register("compare_importance", sqlgen.compare_importance_sql(SEL_A, SEL_B, "left"))
+def q_compare_importance(spark, sf_dir):
+    return finalize(models.compare_importance(td.model_eval(spark, sf_dir), SEL_A, SEL_B, "left"))
+
+
+# ---------------------------------------------------------------- bids
+
+PERF_SINCE = "1995-01-01"  # the whole prediction history
+
+
+@register("bid_clients", sqlgen.bid_clients_sql())
+def q_bid_clients(spark, sf_dir):
+    return finalize(bids.list_clients(td.bid_changes(spark, sf_dir)))
+
+
+@register("bid_dates", sqlgen.bid_dates_sql())
+def q_bid_dates(spark, sf_dir):
+    return finalize(bids.list_dates(td.bid_changes(spark, sf_dir)))
+
+
+@register("daily_top_products", sqlgen.top_products_sql())
+def q_daily_top_products(spark, sf_dir):
+    return finalize(bids.daily_top_products(
+        td.bid_changes(spark, sf_dir), td.site_config(spark, sf_dir),
+        td.product_catalog(spark, sf_dir)))
+
+
+@register("threshold_what_if", sqlgen.threshold_sql(bids.THRESHOLD_GRID))
+def q_threshold_what_if(spark, sf_dir):
+    return finalize(bids.threshold_what_if(td.bid_changes(spark, sf_dir),
+                                           td.site_config(spark, sf_dir)))
+
+
+@register("tier_summary", sqlgen.tier_summary_sql(PERF_SINCE))
+def q_tier_summary(spark, sf_dir):
+    return finalize(bids.tier_summary(td.prediction_performance(spark, sf_dir), PERF_SINCE))
+
+
+@register("prediction_choices", sqlgen.prediction_choices_sql(PERF_SINCE))
+def q_prediction_choices(spark, sf_dir):
+    return finalize(bids.prediction_choices(td.prediction_performance(spark, sf_dir), PERF_SINCE))

@@ -270,3 +270,207 @@ def health_checks_sql(kind: str, as_of: str, lookback: int, metrics: list[str])
     inner = (f"WITH {source_ctes(kind)},{daily_ctes(as_of, lookback)},{health_ctes(metrics)}\n"
              f"SELECT * FROM ({rows}) AS u WHERE code IS NOT NULL")
     return final(inner, [("client", "s"), ("metric", "s"), ("check", "s"), ("code", "s")])
+
+
+# ----------------------------------------------------------- models
+
+def _pick(values, idx: str) -> str:
+    lits = ", ".join(f"'{v}'" for v in values)
+    return f"[{lits}][{idx}]"
+
+
+MODEL_EVAL = f"""
+  SELECT concat_ws('_', lower(n.n_name), {_pick(td.MODEL_TYPES, 's.s_suppkey % 3 + 1')},
+                   {_pick(td.PLATFORMS, 's.s_suppkey % 2 + 1')}) AS model,
+         CAST(s.s_suppkey AS VARCHAR) AS model_id, lower(n.n_name) AS short_name,
+         {_pick(td.MODEL_TYPES, 's.s_suppkey % 3 + 1')} AS type,
+         {_pick(td.PLATFORMS, 's.s_suppkey % 2 + 1')} AS ud,
+         abs(s.s_acctbal) / 1000 AS rmse,
+         '{{''price'': ' || CAST((s.s_suppkey * 37) % 100 AS VARCHAR)
+           || CASE WHEN s.s_suppkey % 5 = 0 THEN ', u''brand'': ' ELSE ', ''brand'': ' END
+           || CAST((s.s_suppkey * 53) % 100 AS VARCHAR)
+           || ', ''size'': ' || CASE WHEN s.s_suppkey % 7 = 0 THEN 'None'
+                                   ELSE CAST((s.s_suppkey * 71) % 100 AS VARCHAR) END
+           || ', ''season'': ' || CASE WHEN s.s_suppkey % 11 = 0 THEN '''x'''
+                                     ELSE CAST((s.s_suppkey * 89) % 100 AS VARCHAR) END
+           || '}}' AS vi,
+         CAST(s.s_suppkey * 100 AS VARCHAR) AS training,
+         CAST(s.s_suppkey * 25 AS VARCHAR) AS testing,
+         '2024-01-01' AS start, '2024-01-30' AS "end"
+  FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey"""
+
+
+def vi_pairs(src: str, keys: str) -> str:
+    """Rows (keys..., variables, importance) of a dict-literal column ``vi``."""
+    return f"""
+  SELECT {keys}, k AS variables,
+         TRY_CAST(json_extract_string(js, '$."' || k || '"') AS DOUBLE) AS importance
+  FROM (SELECT {keys}, js, unnest(json_keys(js)) AS k
+        FROM (SELECT {keys},
+                     replace(regexp_replace(regexp_replace(vi, '([{{,]\\s*)u([''"])', '\\1\\2', 'g'),
+                                            ':\\s*None\\b', ': null', 'g'), '''', '"') AS js
+              FROM {src}) AS a) AS b"""
+
+
+def rank_models_sql() -> str:
+    inner = f"WITH me AS ({MODEL_EVAL})\nSELECT model_id, short_name, type, rmse FROM me"
+    return final(inner, [("model_id", "s"), ("short_name", "s"), ("type", "s"), ("rmse", "f")])
+
+
+def importance_sql() -> str:
+    inner = (f"WITH me AS ({MODEL_EVAL}),\n"
+             f"best AS (SELECT model, first(vi ORDER BY rmse, model_id) AS vi FROM me GROUP BY model)\n"
+             f"{vi_pairs('best', 'model')}")
+    return final(inner, [("model", "s"), ("variables", "s"), ("importance", "f")])
+
+
+def choices_sql() -> str:
+    inner = (f"WITH me AS ({MODEL_EVAL})\n"
+             "SELECT DISTINCT 'client' AS field, short_name AS value FROM me UNION "
+             "SELECT DISTINCT 'type', type FROM me UNION SELECT DISTINCT 'platform', ud FROM me")
+    return final(inner, [("field", "s"), ("value", "s")])
+
+
+def _selected_ctes(sel_a, sel_b) -> str:
+    return f"""me AS ({MODEL_EVAL}),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY short_name, type, ud
+                                                   ORDER BY rmse, model_id) AS rn FROM me) AS x
+         WHERE rn = 1),
+sel AS (SELECT * FROM (VALUES ('a', '{sel_a[0]}', '{sel_a[1]}', '{sel_a[2]}'),
+                              ('b', '{sel_b[0]}', '{sel_b[1]}', '{sel_b[2]}'))
+        AS t(side, s_short, s_type, s_ud)),
+s AS (SELECT sel.side, best.* FROM sel LEFT JOIN best
+      ON sel.s_short = best.short_name AND sel.s_type = best.type AND sel.s_ud = best.ud)"""
+
+
+def compare_metrics_sql(sel_a, sel_b) -> str:
+    from .models import INVALID
+    parts = []
+    for f in ["training", "testing", "rmse", "start", "end"]:
+        val = "printf('%.5f', rmse)" if f == "rmse" else f'CAST("{f}" AS VARCHAR)'
+        parts.append(f"SELECT side, model, '{f}' AS field, {val} AS value FROM s WHERE model IS NOT NULL")
+    parts.append(f"SELECT side, model, CAST(NULL AS VARCHAR), '{INVALID}' FROM s WHERE model IS NULL")
+    inner = f"WITH {_selected_ctes(sel_a, sel_b)}\n" + "\nUNION ALL ".join(parts)
+    return final(inner, [("side", "s"), ("model", "s"), ("field", "s"), ("value", "s")])
+
+
+def compare_importance_sql(sel_a, sel_b, lead: str | None = "left") -> str:
+    from .models import INVALID
+    lead_side = {"left": "a", "right": "b"}.get(lead) if lead else None
+    own = ("row_number() OVER (PARTITION BY side ORDER BY importance DESC NULLS LAST, variables)")
+    kv = f"""kv0 AS ({vi_pairs('(SELECT * FROM s WHERE model IS NOT NULL)', 'side, model')}
+            UNION ALL SELECT side, model, NULL, NULL FROM s WHERE model IS NULL),
+kv AS (SELECT *, CASE WHEN model IS NOT NULL THEN {own} END AS own FROM kv0)"""
+    if lead_side is None:
+        body = "SELECT side, variables, importance, own AS position, model FROM kv"
+    else:
+        body = f"""SELECT kv.side, kv.variables, kv.importance,
+       CASE WHEN kv.side = '{lead_side}' THEN kv.own ELSE ref.own END AS position, kv.model
+FROM kv LEFT JOIN (SELECT variables, own FROM kv WHERE side = '{lead_side}') AS ref
+  ON kv.variables = ref.variables"""
+    inner = (f"WITH {_selected_ctes(sel_a, sel_b)},\n{kv}\n"
+             f"SELECT side, CASE WHEN model IS NULL THEN '{INVALID}' ELSE variables END AS variables,"
+             f" importance, position FROM ({body}) AS o")
+    return final(inner, [("side", "s"), ("variables", "s"), ("importance", "f"), ("position", "n")])
+
+
+# ----------------------------------------------------------- bids
+
+BIDS = f"""
+  SELECT {_pick(td.BID_CLIENTS, 'l_partkey % 5 + 1')} AS client,
+         CAST(l_shipdate AS DATE) AS date, CAST(l_partkey AS VARCHAR) AS product_id,
+         l_extendedprice * (1 - l_discount) - l_extendedprice * CAST(0.9 AS DOUBLE) AS prediction
+  FROM lineitem"""
+
+SITE_CONFIG = f"""
+  SELECT {_pick(td.BID_CLIENTS, 'g + 1')} AS short_name, CAST(g + {td.SITE_ID_BASE} AS BIGINT) AS site_id,
+         CAST([{', '.join(repr(x) for x in td.BASE_THRESHOLDS)}][g + 1] AS DOUBLE)
+           AS percent_prediction_threshold
+  FROM (SELECT DISTINCT CAST(p_partkey % 5 AS INTEGER) AS g FROM part) AS x"""
+
+CATALOG = f"""
+  SELECT CAST(p_partkey % 5 + {td.SITE_ID_BASE} AS BIGINT) AS site_id,
+         CAST(p_partkey AS VARCHAR) AS product_id, p_brand AS brand, p_type AS category,
+         to_base64(encode(CASE WHEN p_partkey % {td.BROKEN_JSON_EVERY} = 0 THEN '{{oops'
+              ELSE '{{"price": "' || printf('%.2f', p_retailprice) || '", "cost": "'
+                   || printf('%.2f', p_retailprice - p_size) || '", "title": "' || p_name
+                   || '", "image_url": "https://img.example.com/' || CAST(p_partkey AS VARCHAR)
+                   || '.jpg"}}' END)) AS catalog_json
+  FROM part"""
+
+
+def bid_clients_sql() -> str:
+    inner = f"WITH bids AS ({BIDS})\nSELECT DISTINCT client FROM bids WHERE length(client) >= 4"
+    return final(inner, [("client", "s")])
+
+
+def bid_dates_sql() -> str:
+    inner = f"WITH bids AS ({BIDS})\nSELECT DISTINCT client, date FROM bids"
+    return final(inner, [("client", "s"), ("date", "d")])
+
+
+def top_products_sql(k: int = 5) -> str:
+    fields = ", ".join(
+        f"CASE WHEN json_valid(js) THEN json_extract_string(js, '$.{f}') END AS {f}"
+        for f in ["price", "cost", "title", "image_url"])
+    inner = f"""WITH bids AS ({BIDS}), cfg AS ({SITE_CONFIG}), cat0 AS ({CATALOG}),
+cat AS (SELECT site_id, product_id, brand, category, {fields}
+        FROM (SELECT *, decode(from_base64(catalog_json)) AS js FROM cat0) AS c),
+ranked AS (SELECT client, date, product_id,
+                  row_number() OVER (PARTITION BY client, date
+                                     ORDER BY prediction DESC NULLS LAST, product_id) AS rank
+           FROM bids),
+top AS (SELECT client, date, product_id, min(rank) AS rank FROM ranked WHERE rank <= {k}
+        GROUP BY 1, 2, 3)
+SELECT t.client, t.date, t.rank, t.product_id, cat.brand, cat.category, cat.price, cat.cost,
+       cat.title, cat.image_url
+FROM top t JOIN cfg ON t.client = cfg.short_name
+JOIN cat ON cat.site_id = cfg.site_id AND cat.product_id = t.product_id"""
+    return final(inner, [("client", "s"), ("date", "d"), ("rank", "n"), ("product_id", "s"),
+                         ("brand", "s"), ("category", "s"), ("price", "s"), ("cost", "s"),
+                         ("title", "s"), ("image_url", "s")])
+
+
+def threshold_sql(grid) -> str:
+    c = "least(n_ranked, greatest(0, CAST(floor(threshold * n) AS BIGINT) + 1))"
+    for _ in range(2):
+        c = f"(CASE WHEN {c} > 0 AND CAST({c} AS DOUBLE) / n >= threshold THEN {c} - 1 ELSE {c} END)"
+    g = ", ".join(f"CAST({float(x)!r} AS DOUBLE)" for x in grid)
+    inner = f"""WITH bids AS ({BIDS}), cfg AS ({SITE_CONFIG}),
+counts AS (SELECT client, date, CAST(count(*) AS DOUBLE) AS n, count(prediction) AS n_ranked
+           FROM bids GROUP BY 1, 2),
+grid AS (SELECT c.client, c.date, c.n, c.n_ranked,
+                unnest([{g}]) * cfg.percent_prediction_threshold AS threshold
+         FROM counts c JOIN cfg ON c.client = cfg.short_name)
+SELECT client, date, threshold, {c} AS increases FROM grid"""
+    return final(inner, [("client", "s"), ("date", "d"), ("threshold", "f"), ("increases", "i")])
+
+
+PERF = f"""
+  SELECT CAST(l_partkey % 5 + {td.SITE_ID_BASE} AS BIGINT) AS site_id,
+         CAST(l_shipdate AS DATE) AS prediction_date,
+         'model_' || CAST(l_linenumber % 2 AS VARCHAR) AS model_id,
+         CAST(l_partkey % 1001 AS DOUBLE) / 10.0 AS percentile,
+         l_extendedprice * l_tax AS cost, l_extendedprice * (1 - l_discount) AS revenue,
+         l_tax * 10 AS cum_percent_cost, l_discount * 10 AS cum_percent_revenue
+  FROM lineitem"""
+
+
+def tier_summary_sql(since: str) -> str:
+    i = "CAST(ceil(percentile / 5) AS BIGINT)"
+    t = (f"CASE WHEN {i} BETWEEN 1 AND 20 AND percentile >= {i} * 5 - 4 "
+         f"THEN 'tier_' || CAST({i} AS VARCHAR) END")
+    inner = f"""WITH perf AS ({PERF})
+SELECT site_id, prediction_date, model_id, tier, sum(cost) AS cost, sum(revenue) AS revenue,
+       max(cum_percent_cost) AS cum_percent_cost, max(cum_percent_revenue) AS cum_percent_revenue
+FROM (SELECT *, {t} AS tier FROM perf WHERE prediction_date >= DATE '{since}') AS x
+WHERE tier IS NOT NULL GROUP BY 1, 2, 3, 4"""
+    return final(inner, [("site_id", "i"), ("prediction_date", "d"), ("model_id", "s"),
+                         ("tier", "s"), ("cost", "f"), ("revenue", "f"),
+                         ("cum_percent_cost", "f"), ("cum_percent_revenue", "f")])
+
+
+def prediction_choices_sql(since: str) -> str:
+    inner = (f"WITH perf AS ({PERF})\nSELECT DISTINCT site_id, prediction_date FROM perf "
+             f"WHERE prediction_date >= DATE '{since}'")
+    return final(inner, [("site_id", "i"), ("prediction_date", "d")])

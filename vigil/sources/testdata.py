@@ -4,7 +4,7 @@ The source application read ad facts from one database per client, model
 evaluations from dated CSV files, bid changes from object-store folders and
 a product catalog from Hive. None of that ships with it, so every logical
 table here is derived by Spark from the driver's parquet tables; its size
-grows with them. Each derivation has a twin in ``vigil.plans.oracle``
+grows with them. Each derivation has a twin in ``vigil.plans.sqlgen``
 (DuckDB SQL) that must give the same rows.
 """
 
@@ -112,3 +112,120 @@ def history_site_facts(lines: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("orders"),
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
     )
+
+
+# ------------------------------------------------------------ model evals
+
+MODEL_TYPES = ["gbm", "rf", "glm"]     # type = MODEL_TYPES[s_suppkey % 3]
+PLATFORMS = ["web", "mobile"]          # ud   = PLATFORMS[s_suppkey % 2]
+VI_VARIABLES = ["price", "brand", "size", "season"]
+
+
+def model_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """model_eval: one evaluated model run per supplier.
+
+    ``vi`` is a Python dict literal, as the source wrote it: every 5th row
+    has a ``u''`` key, every 7th a ``None`` value, every 11th a text value.
+    """
+    s = table(spark, sf_dir, "supplier")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    k = F.col("s_suppkey")
+    typ = F.element_at(F.array(*[F.lit(t) for t in MODEL_TYPES]), (k % 3 + 1).cast("int"))
+    ud = F.element_at(F.array(*[F.lit(t) for t in PLATFORMS]), (k % 2 + 1).cast("int"))
+    short = F.lower(F.col("n_name"))
+    num = lambda m: ((k * m) % 100).cast("string")
+    vi = F.concat(
+        F.lit("{'price': "), num(37),
+        F.when(k % 5 == 0, F.lit(", u'brand': ")).otherwise(F.lit(", 'brand': ")), num(53),
+        F.lit(", 'size': "), F.when(k % 7 == 0, F.lit("None")).otherwise(num(71)),
+        F.lit(", 'season': "), F.when(k % 11 == 0, F.lit("'x'")).otherwise(num(89)),
+        F.lit("}"))
+    # nation has 25 rows in every scale: a fixed, proven broadcast size
+    return s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).select(
+        F.concat_ws("_", short, typ, ud).alias("model"),
+        k.cast("string").alias("model_id"),
+        short.alias("short_name"),
+        typ.alias("type"),
+        ud.alias("ud"),
+        (F.abs(F.col("s_acctbal")) / 1000).alias("rmse"),
+        vi.alias("vi"),
+        (k * 100).cast("string").alias("training"),
+        (k * 25).cast("string").alias("testing"),
+        F.lit("2024-01-01").alias("start"),
+        F.lit("2024-01-30").alias("end"),
+    )
+
+
+# ------------------------------------------------------------ bid changes
+
+BID_CLIENTS = ["acme", "bolt", "zen", "delta", "echo"]  # client = BID_CLIENTS[l_partkey % 5]
+SITE_ID_BASE = 100                                      # site_id = 100 + l_partkey % 5
+BASE_THRESHOLDS = [0.2, 0.25, 0.3, 0.35, 0.4]           # per client, same order
+BROKEN_JSON_EVERY = 97                                  # catalog_json unreadable
+
+
+def bid_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bid_changes(client, date, product_id, prediction): one row per line."""
+    li = table(spark, sf_dir, "lineitem")
+    pk = F.col("l_partkey")
+    return li.select(
+        F.element_at(F.array(*[F.lit(c) for c in BID_CLIENTS]), (pk % 5 + 1).cast("int"))
+        .alias("client"),
+        F.to_date("l_shipdate").alias("date"),
+        pk.cast("string").alias("product_id"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))
+         - F.col("l_extendedprice") * 0.9).alias("prediction"),
+    )
+
+
+def site_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site_config(short_name, site_id, percent_prediction_threshold) per client."""
+    part = table(spark, sf_dir, "part")
+    g = (part.select((F.col("p_partkey") % 5).cast("int").alias("g")).distinct())
+    pick = lambda vals: F.element_at(F.array(*[F.lit(v) for v in vals]), F.col("g") + 1)
+    return g.select(pick(BID_CLIENTS).alias("short_name"),
+                    (F.col("g") + SITE_ID_BASE).cast("bigint").alias("site_id"),
+                    pick(BASE_THRESHOLDS).alias("percent_prediction_threshold"))
+
+
+def product_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """product_catalog(site_id, product_id, brand, category, catalog_json).
+
+    ``catalog_json`` is base64 of UTF-8 JSON holding price, cost, title and
+    image_url; every 97th product carries unreadable JSON.
+    """
+    p = table(spark, sf_dir, "part")
+    pk = F.col("p_partkey")
+    js = F.concat(
+        F.lit('{"price": "'), F.format_string("%.2f", F.col("p_retailprice")),
+        F.lit('", "cost": "'), F.format_string("%.2f", F.col("p_retailprice") - F.col("p_size")),
+        F.lit('", "title": "'), F.col("p_name"),
+        F.lit('", "image_url": "https://img.example.com/'), pk.cast("string"),
+        F.lit('.jpg"}'))
+    js = F.when(pk % BROKEN_JSON_EVERY == 0, F.lit("{oops")).otherwise(js)
+    return p.select(
+        (pk % 5 + SITE_ID_BASE).cast("bigint").alias("site_id"),
+        pk.cast("string").alias("product_id"),
+        F.col("p_brand").alias("brand"),
+        F.col("p_type").alias("category"),
+        F.base64(F.encode(js, "UTF-8")).alias("catalog_json"),
+    )
+
+
+def prediction_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """prediction_performance: ready-made percentile rows, one per line.
+
+    percentile = (l_partkey % 1001) / 10, so it covers 0..100 including the
+    fractional gaps between tiers.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        (F.col("l_partkey") % 5 + SITE_ID_BASE).cast("bigint").alias("site_id"),
+        F.to_date("l_shipdate").alias("prediction_date"),
+        F.concat(F.lit("model_"), (F.col("l_linenumber") % 2).cast("string")).alias("model_id"),
+        ((F.col("l_partkey") % 1001) / 10.0).alias("percentile"),
+        (F.col("l_extendedprice") * F.col("l_tax")).alias("cost"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
+        (F.col("l_tax") * 10).alias("cum_percent_cost"),
+        (F.col("l_discount") * 10).alias("cum_percent_revenue"),
+    )
