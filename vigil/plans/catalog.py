@@ -202,3 +202,58 @@ def q_tier_summary(spark, sf_dir):
 @register("prediction_choices", sqlgen.prediction_choices_sql(PERF_SINCE))
 def q_prediction_choices(spark, sf_dir):
     return finalize(bids.prediction_choices(td.prediction_performance(spark, sf_dir), PERF_SINCE))
+
+
+# ---------------------------------------------------------------- text
+
+from . import text  # noqa: E402
+
+
+def _docs(spark, sf_dir):
+    return td.table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _vocab_parts(spark, sf_dir):
+    toks = text.clean_tokens(_docs(spark, sf_dir))
+    vocab = text.build_vocabulary(toks)
+    return toks, vocab
+
+
+@register("clean_tokens", sqlgen.clean_tokens_sql())
+def q_clean_tokens(spark, sf_dir):
+    return finalize(text.clean_tokens(_docs(spark, sf_dir)))
+
+
+@register("vocabulary", sqlgen.vocabulary_sql())
+def q_vocabulary(spark, sf_dir):
+    return finalize(_vocab_parts(spark, sf_dir)[1])
+
+
+@register("vocab_stats", sqlgen.vocab_stats_sql())
+def q_vocab_stats(spark, sf_dir):
+    toks, vocab = _vocab_parts(spark, sf_dir)
+    return finalize(text.vocab_stats(toks, text.encode(toks, vocab)))
+
+
+@register("skipgram_pairs", sqlgen.skipgram_sql(1))
+def q_skipgram_pairs(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    toks, vocab = _vocab_parts(spark, sf_dir)
+    starts = text.stream_positions(text.doc_tokens(docs))
+    return finalize(text.skipgram_pairs(text.encode(toks, vocab), starts, 1, 2))
+
+
+def _search(spark, sf_dir, method):
+    postings, doc_len = text.build_index(_docs(spark, sf_dir))
+    q = td.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return finalize(text.search(postings, doc_len, text.query_terms(q), method))
+
+
+@register("search_bm25", sqlgen.search_sql("bm25"))
+def q_search_bm25(spark, sf_dir):
+    return _search(spark, sf_dir, "bm25")
+
+
+@register("search_cosine", sqlgen.search_sql("cosine"))
+def q_search_cosine(spark, sf_dir):
+    return _search(spark, sf_dir, "cosine")

@@ -474,3 +474,99 @@ def prediction_choices_sql(since: str) -> str:
     inner = (f"WITH perf AS ({PERF})\nSELECT DISTINCT site_id, prediction_date FROM perf "
              f"WHERE prediction_date >= DATE '{since}'")
     return final(inner, [("site_id", "i"), ("prediction_date", "d")])
+
+
+# ----------------------------------------------------------- text
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def token_lists(src: str, key: str, text: str = "text") -> str:
+    from ..functions.text import MASK_PATTERN, PUNCTUATION
+    cleaned = (f"translate(regexp_replace({text}, {_sql_str(MASK_PATTERN)}, '', 'g'), "
+               f"{_sql_str(PUNCTUATION)}, '')")
+    return f"""
+  SELECT {key} AS key, list_transform(list_filter(string_split(trim({cleaned}, chr(10)), ' '),
+                                                   lambda x: x <> ''), lambda x: lower(x)) AS w
+  FROM {src} WHERE {text} IS NOT NULL"""
+
+
+def tokens_cte(src: str = "documents", key: str = "doc_id") -> str:
+    return f"""tl AS ({token_lists(src, key)}),
+toks AS (SELECT key AS {key}, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM tl)"""
+
+
+def clean_tokens_sql() -> str:
+    inner = f"WITH {tokens_cte()}\nSELECT doc_id, pos, word FROM toks"
+    return final(inner, [("doc_id", "i"), ("pos", "n"), ("word", "s")])
+
+
+VOCAB_CTES = """cnt AS (SELECT word, count(*) AS n FROM toks GROUP BY word),
+ranked AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS id FROM cnt),
+lim AS (SELECT count(*) - 1 AS lim FROM cnt),
+vocab AS (SELECT word, id, n FROM ranked WHERE id <= (SELECT lim FROM lim)
+          UNION ALL
+          SELECT 'UNK', 0, coalesce(sum(n), 0) FROM ranked WHERE id > (SELECT lim FROM lim))"""
+
+
+def vocabulary_sql() -> str:
+    inner = f"WITH {tokens_cte()},\n{VOCAB_CTES}\nSELECT word, id, n FROM vocab"
+    return final(inner, [("word", "s"), ("id", "i"), ("n", "i")])
+
+
+def vocab_stats_sql() -> str:
+    inner = f"""WITH {tokens_cte()},\n{VOCAB_CTES},
+enc AS (SELECT t.word, coalesce(v.id, 0) AS id FROM toks t
+        LEFT JOIN (SELECT word, id FROM vocab WHERE id > 0) v ON t.word = v.word)
+SELECT (SELECT count(*) FROM toks) AS tokens, (SELECT count(DISTINCT word) FROM toks)
+       AS distinct_words, (SELECT count(*) FROM enc WHERE id = 0) AS unk_tokens"""
+    return final(inner, [("tokens", "i"), ("distinct_words", "i"), ("unk_tokens", "i")])
+
+
+def skipgram_sql(window: int = 1) -> str:
+    offs = ", ".join(str(o) for o in range(-window, window + 1) if o != 0)
+    inner = f"""WITH {tokens_cte()},\n{VOCAB_CTES},
+enc AS (SELECT t.doc_id, t.pos, coalesce(v.id, 0) AS id FROM toks t
+        LEFT JOIN (SELECT word, id FROM vocab WHERE id > 0) v ON t.word = v.word),
+g AS (SELECT id, row_number() OVER (ORDER BY doc_id, pos) - 1 AS g FROM enc),
+n AS (SELECT count(*) AS n FROM g),
+c AS (SELECT id AS center, (((g + o) % (SELECT n FROM n)) + (SELECT n FROM n)) % (SELECT n FROM n) AS t
+      FROM g, (SELECT unnest([{offs}]) AS o) AS offs)
+SELECT c.center, x.id AS context FROM c JOIN g x ON c.t = x.g"""
+    return final(inner, [("center", "n"), ("context", "n")])
+
+
+def search_sql(method: str, k: int = 10) -> str:
+    from .text import BM25_B, BM25_K1
+    if method == "bm25":
+        idf = "ln(1 + (N - df + 0.5) / (df + 0.5))"
+        score = f"""SELECT query_id, doc_id,
+       sum(qtf * idf * tf * {BM25_K1 + 1} / (tf + {BM25_K1} * (1 - {BM25_B} + {BM25_B} * dl / (SELECT avgdl FROM st))))
+         AS score
+FROM hits JOIN dl USING (doc_id) GROUP BY 1, 2"""
+    else:
+        idf = "ln(N / df)"
+        score = """SELECT h.query_id, h.doc_id, h.dot / (dn.dn * qn.qn) AS score
+FROM (SELECT query_id, doc_id, sum(qtf * tf * idf * idf) AS dot FROM hits GROUP BY 1, 2) h
+JOIN (SELECT doc_id, sqrt(sum((tf * idf) * (tf * idf))) AS dn FROM postings JOIN terms USING (term)
+      GROUP BY 1) dn ON h.doc_id = dn.doc_id
+JOIN (SELECT query_id, sqrt(sum((qtf * idf) * (qtf * idf))) AS qn FROM qt GROUP BY 1) qn
+  ON h.query_id = qn.query_id"""
+    inner = f"""WITH {tokens_cte()},
+ql AS ({token_lists('benchmark', 'item_id')}),
+qtok AS (SELECT key AS query_id, unnest(w) AS term FROM ql),
+qterms AS (SELECT query_id, term, count(*) AS qtf FROM qtok GROUP BY 1, 2),
+postings AS (SELECT word AS term, doc_id, count(*) AS tf FROM toks GROUP BY 1, 2),
+dl AS (SELECT key AS doc_id, len(w) AS dl FROM tl),
+st AS (SELECT CAST(count(*) AS DOUBLE) AS N, avg(dl) AS avgdl FROM dl),
+terms AS (SELECT term, {idf.replace('N', '(SELECT N FROM st)')} AS idf
+          FROM (SELECT term, count(*) AS df FROM postings GROUP BY 1) AS d),
+qt AS (SELECT q.query_id, q.term, q.qtf, t.idf FROM qterms q JOIN terms t ON q.term = t.term),
+hits AS (SELECT qt.query_id, qt.term, qt.qtf, qt.idf, p.doc_id, p.tf FROM qt JOIN postings p
+         ON qt.term = p.term),
+scores AS ({score})
+SELECT query_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank
+  FROM scores) AS r WHERE rank <= {k}"""
+    return final(inner, [("query_id", "i"), ("rank", "n"), ("doc_id", "i"), ("score", "f")])
