@@ -41,6 +41,8 @@ def finalize(df: DataFrame) -> DataFrame:
             c = F.round(c.cast("double"), ROUND) + F.lit(0.0)
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
+        elif isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):
+            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
@@ -257,3 +259,78 @@ def q_search_bm25(spark, sf_dir):
 @register("search_cosine", sqlgen.search_sql("cosine"))
 def q_search_cosine(spark, sf_dir):
     return _search(spark, sf_dir, "cosine")
+
+
+# ---------------------------------------------------------------- learn
+
+from . import learn, timesheet  # noqa: E402
+
+N_CLASSES = 10
+EMBED_DIM = 64
+HIDDEN = 8
+
+
+def _emb(spark, sf_dir):
+    return td.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("features"), "label")
+
+
+def _centroid_scores(spark, sf_dir):
+    emb = _emb(spark, sf_dir)
+    w, b = learn.centroid_model(emb, N_CLASSES)
+    return learn.score(emb, w, b)
+
+
+@register("classifier_scores", sqlgen.classifier_scores_sql())
+def q_classifier_scores(spark, sf_dir):
+    s = _centroid_scores(spark, sf_dir)
+    return finalize(s.select(F.col("id").alias("vec_id"), "label", "prediction", "log_prob"))
+
+
+@register("classifier_eval", sqlgen.classifier_eval_sql())
+def q_classifier_eval(spark, sf_dir):
+    return finalize(learn.evaluate(_centroid_scores(spark, sf_dir)))
+
+
+@register("batch_gradient", sqlgen.batch_gradient_sql(EMBED_DIM, HIDDEN, N_CLASSES))
+def q_batch_gradient(spark, sf_dir):
+    wts = learn.rule_weights(EMBED_DIM, HIDDEN, N_CLASSES)
+    return finalize(learn.batch_gradient(_emb(spark, sf_dir), wts, N_CLASSES))
+
+
+@register("mlp_holdout_eval")
+def q_mlp_holdout_eval(spark, sf_dir):
+    """Spark ML perceptron on the first 80% of vec ids, scored on the rest
+    (not SQL-expressible: iterative training)."""
+    emb = _emb(spark, sf_dir)
+    cut = emb.select(F.percentile_approx("id", 0.8)).scalar()
+    train, test = emb.where(F.col("id") <= cut), emb.where(F.col("id") > cut)
+    model = learn.fit_mlp(train, EMBED_DIM, HIDDEN, N_CLASSES, max_iter=50)
+    pred = learn.mlp_predict(model, test)
+    return finalize(pred.agg(F.count(F.lit(1)).alias("n"),
+                             F.avg((F.col("label") == F.col("prediction")).cast("double"))
+                             .alias("accuracy")))
+
+
+@register("word_vectors")
+def q_word_vectors(spark, sf_dir):
+    """Unit word vectors from Spark ML Word2Vec (not SQL-expressible)."""
+    toks = text.clean_tokens(_docs(spark, sf_dir))
+    vec = text.word_vectors(toks, dim=16)
+    return vec.select("word", F.size("vector").alias("dim"),
+                      F.round(F.sqrt(F.aggregate("vector", F.lit(0.0),
+                                                 lambda a, x: a + x * x)), 6).alias("norm"))
+
+
+# ---------------------------------------------------------------- timesheet
+
+@register("timesheet", sqlgen.timesheet_sql())
+def q_timesheet(spark, sf_dir):
+    ev = td.table(spark, sf_dir, "events")
+    starts = ev.where(F.col("event_type") == "click").select(
+        F.col("user_id"), "event_id",
+        F.concat(F.lit("project_"), F.get_json_object("props", "$.k")).alias("project"),
+        F.col("ts").alias("start"))
+    ends = ev.where(F.col("event_type") == "purchase").select(
+        "user_id", "event_id", F.col("ts").alias("end"))
+    return finalize(timesheet.timesheet(starts, ends, key="user_id", order=["event_id"]))

@@ -570,3 +570,81 @@ SELECT query_id, rank, doc_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank
   FROM scores) AS r WHERE rank <= {k}"""
     return final(inner, [("query_id", "i"), ("rank", "n"), ("doc_id", "i"), ("score", "f")])
+
+
+# ----------------------------------------------------------- learn
+
+EMB_X = """x AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS xv,
+                 unnest(range(0, len(embedding))) AS i FROM embeddings)"""
+
+
+def _centroid_ctes() -> str:
+    return f"""{EMB_X},
+c AS (SELECT label AS cls, i, avg(xv) AS mu FROM x GROUP BY 1, 2),
+b AS (SELECT cls, -0.5 * sum(mu * mu) AS b FROM c GROUP BY 1),
+lg AS (SELECT x.vec_id, c.cls, sum(x.xv * c.mu) + b.b AS logit
+       FROM x JOIN c ON x.i = c.i JOIN b ON c.cls = b.cls GROUP BY x.vec_id, c.cls, b.b),
+mx AS (SELECT vec_id, max(logit) AS m FROM lg GROUP BY 1),
+lse AS (SELECT lg.vec_id, mx.m + ln(sum(exp(lg.logit - mx.m))) AS lse
+        FROM lg JOIN mx ON lg.vec_id = mx.vec_id GROUP BY lg.vec_id, mx.m),
+pred AS (SELECT vec_id, first(cls ORDER BY logit DESC, cls) AS prediction FROM lg GROUP BY 1),
+scored AS (SELECT e.vec_id, e.label, p.prediction, lg.logit - lse.lse AS log_prob
+           FROM embeddings e JOIN pred p ON e.vec_id = p.vec_id
+           JOIN lse ON e.vec_id = lse.vec_id
+           JOIN lg ON lg.vec_id = e.vec_id AND lg.cls = e.label)"""
+
+
+def classifier_scores_sql() -> str:
+    inner = f"WITH {_centroid_ctes()}\nSELECT vec_id, label, prediction, log_prob FROM scored"
+    return final(inner, [("vec_id", "i"), ("label", "n"), ("prediction", "n"), ("log_prob", "f")])
+
+
+def classifier_eval_sql() -> str:
+    inner = f"""WITH {_centroid_ctes()}
+SELECT count(*) AS n, avg(CAST(label = prediction AS DOUBLE)) AS accuracy,
+       1 - avg(CAST(label = prediction AS DOUBLE)) AS error_rate,
+       sum(log_prob) AS log_likelihood, -avg(log_prob) AS cross_entropy FROM scored"""
+    return final(inner, [("n", "i"), ("accuracy", "f"), ("error_rate", "f"),
+                         ("log_likelihood", "f"), ("cross_entropy", "f")])
+
+
+def batch_gradient_sql(d: int, m: int, k: int) -> str:
+    inner = f"""WITH {EMB_X},
+w1 AS (SELECT t1.i, t2.j, CAST(((t1.i * 7 + t2.j * 3) % 11) - 5 AS DOUBLE) / 50.0 AS w
+       FROM range(0, {d}) t1(i), range(0, {m}) t2(j)),
+w2 AS (SELECT t1.j, t2.c, CAST(((t1.j * 5 + t2.c * 3) % 7) - 3 AS DOUBLE) / 20.0 AS w
+       FROM range(0, {m}) t1(j), range(0, {k}) t2(c)),
+z AS (SELECT x.vec_id, w1.j, tanh(sum(x.xv * w1.w)) AS z FROM x JOIN w1 ON x.i = w1.i GROUP BY 1, 2),
+a AS (SELECT z.vec_id, w2.c, sum(z.z * w2.w) AS a FROM z JOIN w2 ON z.j = w2.j GROUP BY 1, 2),
+mx AS (SELECT vec_id, max(a) AS m FROM a GROUP BY 1),
+e AS (SELECT a.vec_id, a.c, exp(a.a - mx.m) AS e FROM a JOIN mx ON a.vec_id = mx.vec_id),
+y AS (SELECT e.vec_id, e.c, e.e / s.s AS y FROM e JOIN (SELECT vec_id, sum(e) AS s FROM e GROUP BY 1) s
+      ON e.vec_id = s.vec_id),
+diff AS (SELECT y.vec_id, y.c, CASE WHEN em.label = y.c THEN 1.0 ELSE 0.0 END - y.y AS d
+         FROM y JOIN embeddings em ON y.vec_id = em.vec_id),
+dz AS (SELECT z.vec_id, z.j, sum(diff.d * w2.w) * (1 - z.z * z.z) AS dz
+       FROM z JOIN w2 ON z.j = w2.j JOIN diff ON diff.vec_id = z.vec_id AND diff.c = w2.c
+       GROUP BY z.vec_id, z.j, z.z)
+SELECT 'W2' AS param, z.j AS i, diff.c AS j, sum(z.z * diff.d) AS value
+  FROM z JOIN diff ON z.vec_id = diff.vec_id GROUP BY 2, 3
+UNION ALL SELECT 'b2', c, 0, sum(d) FROM diff GROUP BY 2
+UNION ALL SELECT 'W1', x.i, dz.j, sum(x.xv * dz.dz) FROM x JOIN dz ON x.vec_id = dz.vec_id GROUP BY 2, 3
+UNION ALL SELECT 'b1', j, 0, sum(dz) FROM dz GROUP BY 2"""
+    return final(inner, [("param", "s"), ("i", "n"), ("j", "n"), ("value", "f")])
+
+
+# ----------------------------------------------------------- timesheet
+
+def timesheet_sql() -> str:
+    ts = "'%Y-%m-%d %H:%M:%S.%f'"
+    inner = f"""WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k,
+                  'project_' || json_extract_string(props, '$.k') AS Project, ts AS Start
+           FROM events WHERE event_type = 'click'),
+e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, ts AS "End"
+      FROM events WHERE event_type = 'purchase')
+SELECT coalesce(s.user_id, e.user_id) AS user_id, coalesce(s.k, e.k) AS k, s.Project,
+       strftime(s.Start, {ts}) AS Start, strftime(e."End", {ts}) AS "End",
+       CAST(epoch_us(e."End") - epoch_us(s.Start) AS DOUBLE) / 1e6 AS "Time Spent"
+FROM s FULL OUTER JOIN e ON s.user_id = e.user_id AND s.k = e.k"""
+    return final(inner, [("user_id", "i"), ("k", "i"), ("Project", "s"), ("Start", "s"),
+                         ("End", "s"), ("Time Spent", "f")])
