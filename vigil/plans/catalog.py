@@ -212,7 +212,7 @@ from . import text  # noqa: E402
 
 
 def _docs(spark, sf_dir):
-    return td.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return td.spread(td.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _vocab_parts(spark, sf_dir):

@@ -229,3 +229,16 @@ def prediction_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_tax") * 10).alias("cum_percent_cost"),
         (F.col("l_discount") * 10).alias("cum_percent_revenue"),
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that arrived in fewer partitions than the session
+    has cores (a file written as one row group), before CPU-heavy per-row
+    work such as tokenizing whole documents. A scan that already has
+    enough splits (any large table on a cluster) is returned unchanged,
+    so no extra shuffle is paid at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
