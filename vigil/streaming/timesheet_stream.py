@@ -2,7 +2,9 @@
 
 Input rows (key, kind, ts, project): kind 'start' or 'end'. Per key, the
 k-th start pairs with the k-th end, as the batch ``timesheet`` does; a
-pair is emitted in the micro-batch that completes it. State holds only
+pair is emitted in the micro-batch that completes it. Events of a key are
+numbered in arrival order (a stopwatch emits them in time order); within
+a micro-batch they are ordered by (ts, seq). State holds only
 the unmatched side and two counters. A start still open when the
 watermark passes it by ``ttl`` is emitted with a NULL end and dropped, so
 state stays bounded by the open tasks within ``ttl``.
