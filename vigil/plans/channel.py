@@ -2,9 +2,9 @@
 
 Plan shape of the flagship (``channel_health``):
 
-  ad facts --partial agg by (client, day)--> join d_date (broadcast, one
-  row per calendar day) --+
-  site facts -------------+-- join on (client, Date) --> one exchange on
+  ad facts --partial agg by (client, day id)--+-- join on (client, day id),
+  site facts --agg by (client, day id)--------+   no new exchange --> join
+  d_date (broadcast, one row per calendar day) --> one exchange on
   client: rolling frames, mean/sd, run lengths, last-N cut all share the
   ordered partition --> aggregate per client (same partitioning, no new
   exchange) --> codes.
@@ -103,7 +103,6 @@ def channel_daily(ad: DataFrame, site: DataFrame, d_date: DataFrame,
             F.sum("adwords_impressions").alias("impressions"),
             F.sum("adwords_cost").alias("cost"),
         )
-        .join(dd, "d_date_id").drop("d_date_id")
     )
     # the site query selects non-aggregated columns under GROUP BY date;
     # the contract is one site row per client and day, so max() is exact
@@ -111,9 +110,10 @@ def channel_daily(ad: DataFrame, site: DataFrame, d_date: DataFrame,
         site.where((F.col("d_date_id") >= lo) & (F.col("d_date_id") <= hi))
         .groupBy("client", "d_date_id")
         .agg(F.max("orders").alias("site_orders"), F.max("revenue").alias("site_revenue"))
-        .join(dd, "d_date_id").drop("d_date_id")
     )
-    jd = acct.join(st, ["client", "Date"], "inner")
+    # both sides are already hash-partitioned by (client, d_date_id) by their
+    # aggregations, so this join adds no exchange; the day comes last
+    jd = acct.join(st, ["client", "d_date_id"], "inner").join(dd, "d_date_id").drop("d_date_id")
 
     # daily ratios are taken before the zero fill, so 0/0 becomes 0, inf stays
     jd = jd.select(
