@@ -215,8 +215,19 @@ def _docs(spark, sf_dir):
     return td.spread(td.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def _doc_tokens(spark, sf_dir):
+    """Token arrays of all documents, tokenized once and checkpointed: the
+    vocabulary, the encoding and the stream positions all read them."""
+    from ..operators.materialize import materialize
+    return materialize(text.doc_tokens(_docs(spark, sf_dir)))
+
+
+def _toks(doc_toks):
+    return doc_toks.select("doc_id", F.posexplode("words").alias("pos", "word"))
+
+
 def _vocab_parts(spark, sf_dir):
-    toks = text.clean_tokens(_docs(spark, sf_dir))
+    toks = _toks(_doc_tokens(spark, sf_dir))
     vocab = text.build_vocabulary(toks)
     return toks, vocab
 
@@ -239,14 +250,15 @@ def q_vocab_stats(spark, sf_dir):
 
 @register("skipgram_pairs", sqlgen.skipgram_sql(1))
 def q_skipgram_pairs(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    toks, vocab = _vocab_parts(spark, sf_dir)
-    starts = text.stream_positions(text.doc_tokens(docs))
+    dt = _doc_tokens(spark, sf_dir)
+    toks = _toks(dt)
+    vocab = text.build_vocabulary(toks)
+    starts = text.stream_positions(dt)
     return finalize(text.skipgram_pairs(text.encode(toks, vocab), starts, 1, 2))
 
 
 def _search(spark, sf_dir, method):
-    postings, doc_len = text.build_index(_docs(spark, sf_dir))
+    postings, doc_len = text.index_from_tokens(_doc_tokens(spark, sf_dir))
     q = td.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return finalize(text.search(postings, doc_len, text.query_terms(q), method))
 

@@ -156,10 +156,16 @@ def word_vectors(toks: DataFrame, dim: int = 64, seed: int = 1, window: int = 1,
 
 def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id"):
     """(postings(term, doc_id, tf), doc_len(doc_id, dl))."""
-    toks = clean_tokens(docs, text, key)
+    return index_from_tokens(doc_tokens(docs, text, key), key)
+
+
+def index_from_tokens(doc_toks: DataFrame, key: str = "doc_id"):
+    """The index from per-document token arrays (e.g. a checkpointed
+    ``doc_tokens`` frame, so documents are tokenized once)."""
+    toks = doc_toks.select(key, F.explode("words").alias("word"))
     postings = toks.groupBy(F.col("word").alias("term"), key).agg(
         F.count(F.lit(1)).alias("tf"))
-    doc_len = doc_tokens(docs, text, key).select(key, F.size("words").alias("dl"))
+    doc_len = doc_toks.select(key, F.size("words").alias("dl"))
     return postings, doc_len
 
 
