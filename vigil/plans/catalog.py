@@ -134,6 +134,23 @@ def q_control_chart_site(spark, sf_dir):
     return finalize(channel.control_chart(daily, "pct_site_orders"))
 
 
+@register("chart_top", sqlgen.final(
+    f"WITH {sqlgen.source_ctes('events')},{sqlgen.daily_ctes(td.EVENTS_AS_OF, 60)}\n"
+    "SELECT client, max(revenue) * 1.1 AS y_max FROM daily GROUP BY client",
+    [("client", "s"), ("y_max", "f")]))
+def q_chart_top(spark, sf_dir):
+    ad, site, dd = events_sources(spark, sf_dir)
+    daily = channel.channel_daily(ad, site, dd, td.EVENTS_AS_OF, 60)
+    return finalize(channel.chart_top(daily, "revenue"))
+
+
+@register("client_registry", sqlgen.final(
+    f"SELECT DISTINCT {sqlgen.client_expr()} AS short_name FROM events", [("short_name", "s")]))
+def q_client_registry(spark, sf_dir):
+    ev = td.table(spark, sf_dir, "events")
+    return finalize(channel.client_registry(ev.select(td.client_of(ev).alias("client"))))
+
+
 # ---------------------------------------------------------------- models
 
 from . import bids, models  # noqa: E402

@@ -326,3 +326,13 @@ def chart_columns(daily: DataFrame, variable: str) -> tuple[list[str], list[str]
 def chart_top(frame: DataFrame, value: str = "value") -> DataFrame:
     """Axis top of the older chart form: 1.1 x the maximum per client."""
     return frame.groupBy("client").agg((F.max(value) * 1.1).alias("y_max"))
+
+
+def chart_label(metric: str) -> str:
+    """Title of a chart axis: words of the metric name capitalized."""
+    return " ".join(w.capitalize() for w in metric.replace("_", " ").split(" "))
+
+
+def client_registry(clients: DataFrame, name: str = "client") -> DataFrame:
+    """The client list sorted by short name (credentials are not part of it)."""
+    return clients.select(F.col(name).alias("short_name")).distinct().orderBy("short_name")

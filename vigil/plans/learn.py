@@ -193,3 +193,12 @@ def mlp_predict(model, df: DataFrame, features: str = "features", label: str = "
     out = model.transform(data)
     return out.select(key, label, F.col("prediction").cast("int").alias("prediction"))
 
+
+
+def standardize(df: DataFrame, features: str = "features") -> DataFrame:
+    """Per-feature mean/variance scaling (Spark ML StandardScaler)."""
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    data = df.withColumn("_v", array_to_vector(_vec(features)))
+    model = StandardScaler(withMean=True, withStd=True, inputCol="_v", outputCol="_s").fit(data)
+    return model.transform(data).withColumn(features, vector_to_array("_s")).drop("_v", "_s")

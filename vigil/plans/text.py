@@ -215,3 +215,9 @@ def search(postings: DataFrame, doc_len: DataFrame, qterms: DataFrame,
     w = Window.partitionBy(qkey).orderBy(F.desc(F.round("score", 9)), key)
     return (scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select(qkey, "rank", key, "score"))
+
+
+def embedding_lookup(encoded: DataFrame, vectors: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(doc_id, pos, id, vector) for encoded tokens; UNK has no vector."""
+    v = vectors.join(vocab.where(F.col("id") > 0).select("word", "id"), "word")
+    return encoded.join(v.select("id", "vector"), "id", "left")

@@ -188,3 +188,21 @@ def read_index(spark: SparkSession, path: str, terms: list[str] | None = None,
         wanted = [F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in terms]
         df = df.where(F.col("bucket").isin(*wanted) & F.col("term").isin(terms))
     return df.drop("bucket")
+
+
+# ------------------------------------------------------------------ S1, S8, S9
+
+def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str,
+              lower: int, upper: int, num_partitions: int, properties: dict | None = None
+              ) -> DataFrame:
+    """A relational table read in ``num_partitions`` parallel range
+    queries on ``partition_column``; filters applied to the result are
+    pushed into the database queries."""
+    return spark.read.jdbc(url, table, column=partition_column, lowerBound=lower,
+                           upperBound=upper, numPartitions=num_partitions,
+                           properties=properties or {})
+
+
+def read_table(spark: SparkSession, name: str) -> DataFrame:
+    """A metastore table (product_catalog, prediction_performance)."""
+    return spark.table(name)

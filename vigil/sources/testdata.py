@@ -35,7 +35,7 @@ def date_id(d) -> F.Column:
     return (F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("int")
 
 
-def _client(events: DataFrame) -> F.Column:
+def client_of(events: DataFrame) -> F.Column:
     return F.concat(F.lit("client_"), (F.col("user_id") % N_CLIENTS).cast("string"))
 
 
@@ -47,7 +47,7 @@ def ad_facts(events: DataFrame) -> DataFrame:
     return (
         events.where(et.isin("view", "click", "purchase") & (k < CHANNEL_MAX_K))
         .select(
-            _client(events).alias("client"),
+            client_of(events).alias("client"),
             date_id("ts").alias("d_date_id"),
             F.when(et == "purchase", F.col("value")).otherwise(0.0).alias("adwords_revenue"),
             F.when(F.col("event_id") % ORDERS_NULL_EVERY == 0, F.lit(None).cast("bigint"))
@@ -65,7 +65,7 @@ def site_facts(events: DataFrame) -> DataFrame:
     """f_site_performance: all purchases of a client's site, one row per day."""
     return (
         events.where(F.col("event_type") == "purchase")
-        .groupBy(_client(events).alias("client"), date_id("ts").alias("d_date_id"))
+        .groupBy(client_of(events).alias("client"), date_id("ts").alias("d_date_id"))
         .agg(F.count(F.lit(1)).alias("orders"), F.sum("value").alias("revenue"))
     )
 
