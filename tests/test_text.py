@@ -123,8 +123,8 @@ def test_search_cosine_self_match_is_one(spark):
 
 
 def test_word_vectors_unit_norm(spark):
-    toks = text.clean_tokens(docs(spark, ["a b c a b c d e"] * 5))
-    vec = text.word_vectors(toks, dim=8).collect()
+    dt = text.doc_tokens(docs(spark, ["a b c a b c d e"] * 5))
+    vec = text.word_vectors(dt, dim=8).collect()
     assert len(vec) == 5
     for r in vec:
         assert len(r.vector) == 8

@@ -344,8 +344,7 @@ def q_mlp_holdout_eval(spark, sf_dir):
 @register("word_vectors")
 def q_word_vectors(spark, sf_dir):
     """Unit word vectors from Spark ML Word2Vec (not SQL-expressible)."""
-    toks = text.clean_tokens(_docs(spark, sf_dir))
-    vec = text.word_vectors(toks, dim=16)
+    vec = text.word_vectors(_doc_tokens(spark, sf_dir), dim=16)
     return vec.select("word", F.size("vector").alias("dim"),
                       F.round(F.sqrt(F.aggregate("vector", F.lit(0.0),
                                                  lambda a, x: a + x * x)), 6).alias("norm"))

@@ -136,18 +136,22 @@ def skipgram_pairs(encoded: DataFrame, starts: DataFrame, window: int = 1,
 
 # ------------------------------------------------------------------ M19
 
-def word_vectors(toks: DataFrame, dim: int = 64, seed: int = 1, window: int = 1,
-                 max_iter: int = 1, key: str = "doc_id") -> DataFrame:
+def word_vectors(doc_toks: DataFrame, dim: int = 64, seed: int = 1, window: int = 1,
+                 max_iter: int = 1, num_partitions: int | None = None) -> DataFrame:
     """(word, vector) unit vectors from Spark ML Word2Vec (skip-gram with
     hierarchical softmax; the source trained skip-gram with NCE, so values
-    differ, shapes and norms do not)."""
+    differ, shapes and norms do not).
+
+    ``doc_toks`` holds one token array per document (``doc_tokens``); the
+    trainer runs on ``num_partitions`` partitions (default: the session's
+    parallelism) instead of Spark ML's default of one.
+    """
     from pyspark.ml.feature import Word2Vec
-    sents = toks.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("s")).select(
-        F.transform("s", lambda x: x["word"]).alias("words"))
-    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=1, stepSize=0.01,
-                     seed=seed, maxIter=max_iter, inputCol="words").fit(sents)
     from pyspark.ml.functions import vector_to_array
+    parts = num_partitions or doc_toks.sparkSession.sparkContext.defaultParallelism
+    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=1, stepSize=0.01,
+                     seed=seed, maxIter=max_iter, numPartitions=parts,
+                     inputCol="words").fit(doc_toks.select("words"))
     return model.getVectors().select(
         "word", l2_normalize(vector_to_array("vector")).alias("vector"))
 

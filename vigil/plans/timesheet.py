@@ -2,8 +2,8 @@
 
 The source zipped two lists by position and kept the longer list's tail
 (unequal lengths give NULL ends or starts). Here ordinals come from block
-prefix sums (block = day), so a key with a third of all rows is still
-numbered by many tasks, and the pairing is a full outer equi-join on
+prefix sums (block = hour of the time stamp), so a key with a third of all
+rows is still numbered by many tasks, and the pairing is a full outer equi-join on
 (key, k).
 """
 
@@ -17,9 +17,9 @@ from ..operators.ordinal import running_offset
 
 def ordinals(df: DataFrame, key: str, ts: str, order: list[str], out: str = "k") -> DataFrame:
     """1-based ordinal of each row within ``key`` by (ts, *order)."""
-    blk = df.withColumn("_day", F.to_date(ts))
-    n = running_offset(blk, [key], "_day", [ts, *order], out="_off")
-    return n.withColumn(out, (F.col("_off") + 1).cast("bigint")).drop("_day", "_off")
+    blk = df.withColumn("_hour", F.date_trunc("hour", F.col(ts)))
+    n = running_offset(blk, [key], "_hour", [ts, *order], out="_off")
+    return n.withColumn(out, (F.col("_off") + 1).cast("bigint")).drop("_hour", "_off")
 
 
 def timesheet(starts: DataFrame, ends: DataFrame, key: str = "key",
