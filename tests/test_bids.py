@@ -88,3 +88,26 @@ def test_tier_summary(spark):
            for r in bids.tier_summary(perf, "2024-02-16").collect()}
     assert got == {"tier_1": (2.0, 0.06), "tier_2": (1.0, 0.14)}
     assert bids.tier_summary(perf, "2024-03-02").count() == 0
+
+
+def test_rank_percentile_equals_a_full_sort(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    rows = []
+    for c in ("acme", "zen"):
+        for i in range(700 if c == "acme" else 40):
+            v = None if rng.random() < .05 else float(rng.integers(0, 60))
+            rows.append((c, f"p{i:04d}", v))
+    df = bid_frame(spark, rows)
+    got = {(r.client, r.product_id): (r.predicted_cm_rank, r.predicted_cm_percentile)
+           for r in bids.rank_percentile(df, buckets=8).collect()}
+    pdf = pd.DataFrame(rows, columns=["client", "product_id", "prediction"])
+    for c, g in pdf.groupby("client"):
+        g = g.sort_values("product_id")
+        r = g["prediction"].rank(method="first", ascending=False)
+        # pandas breaks ties by position; rows are in product id order
+        for pid, rank in zip(g.product_id, r):
+            exp = None if np.isnan(rank) else int(rank)
+            assert got[(c, pid)][0] == exp
+            if exp is not None:
+                assert got[(c, pid)][1] == pytest.approx(exp / len(g))

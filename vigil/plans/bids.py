@@ -131,17 +131,39 @@ def threshold_what_if(bids: DataFrame, config: DataFrame, client: str | None = N
                                    F.col("threshold")).alias("increases"))
 
 
-def rank_percentile(bids: DataFrame) -> DataFrame:
-    """Per-row rank and percentile within (client, date) (ties by arrival:
-    file path then product id; NULL prediction -> NULL rank)."""
+RANK_BUCKETS = 64
+
+
+def rank_percentile(bids: DataFrame, buckets: int = RANK_BUCKETS) -> DataFrame:
+    """Per-row rank and percentile within (client, date): prediction
+    descending, ties by arrival (file path, then product id); a NULL
+    prediction gets a NULL rank but counts in the denominator.
+
+    Exact ranks without sorting a whole (client, date) in one task: each
+    group's approximate prediction quantiles cut it into ``buckets``
+    blocks (equal predictions always share a block, so the order is kept),
+    rows are numbered inside (group, block) and block sizes are
+    prefix-summed. The quantile row per group is small; a hot group's join
+    is split by AQE's skew handling.
+    """
+    from ..operators.ordinal import running_offset
     tie = [c for c in ("file_path",) if c in bids.columns] + ["product_id"]
-    part = Window.partitionBy("client", "date")
-    w = part.orderBy(F.desc_nulls_last("prediction"), *[F.col(c) for c in tie])
-    ranked = bids.withColumn("predicted_cm_rank",
-                             F.when(F.col("prediction").isNotNull(), F.row_number().over(w)))
-    return ranked.withColumn(
-        "predicted_cm_percentile",
-        F.col("predicted_cm_rank") / F.count(F.lit(1)).over(part))
+    keys = ["client", "date"]
+    fr = [i / buckets for i in range(1, buckets)]
+    qs = bids.groupBy(*keys).agg(
+        F.percentile_approx("prediction", fr, 10000).alias("_q"),
+        F.count(F.lit(1)).alias("_n"))
+    ranked_src = bids.where(F.col("prediction").isNotNull()).join(qs, keys)
+    blk = -F.size(F.filter("_q", lambda x: x < F.col("prediction")))
+    ranked = running_offset(ranked_src.withColumn("_blk", blk), keys, "_blk",
+                            [F.desc("prediction"), *[F.col(c) for c in tie]], out="_off")
+    ranked = ranked.select(*bids.columns, "_n",
+                           (F.col("_off") + 1).cast("int").alias("predicted_cm_rank"))
+    unranked = bids.where(F.col("prediction").isNull()).join(qs, keys).select(
+        *bids.columns, "_n", F.lit(None).cast("int").alias("predicted_cm_rank"))
+    out = ranked.unionByName(unranked)
+    return out.withColumn("predicted_cm_percentile",
+                          F.col("predicted_cm_rank") / F.col("_n")).drop("_n")
 
 
 # ------------------------------------------------------------------ M15

@@ -213,6 +213,11 @@ def q_threshold_what_if(spark, sf_dir):
                                            td.site_config(spark, sf_dir)))
 
 
+@register("bid_rank_percentile", sqlgen.rank_percentile_sql())
+def q_bid_rank_percentile(spark, sf_dir):
+    return finalize(bids.rank_percentile(td.bid_changes(spark, sf_dir)))
+
+
 @register("tier_summary", sqlgen.tier_summary_sql(PERF_SINCE))
 def q_tier_summary(spark, sf_dir):
     return finalize(bids.tier_summary(td.prediction_performance(spark, sf_dir), PERF_SINCE))

@@ -648,3 +648,17 @@ SELECT coalesce(s.user_id, e.user_id) AS user_id, coalesce(s.k, e.k) AS k, s.Pro
 FROM s FULL OUTER JOIN e ON s.user_id = e.user_id AND s.k = e.k"""
     return final(inner, [("user_id", "i"), ("k", "i"), ("Project", "s"), ("Start", "s"),
                          ("End", "s"), ("Time Spent", "f")])
+
+
+def rank_percentile_sql() -> str:
+    inner = f"""WITH bids AS ({BIDS})
+SELECT client, date, product_id, prediction,
+       CASE WHEN prediction IS NOT NULL THEN row_number() OVER (
+         PARTITION BY client, date ORDER BY prediction DESC NULLS LAST, product_id) END
+         AS predicted_cm_rank,
+       CASE WHEN prediction IS NOT NULL THEN row_number() OVER (
+         PARTITION BY client, date ORDER BY prediction DESC NULLS LAST, product_id) END
+         / count(*) OVER (PARTITION BY client, date) AS predicted_cm_percentile
+FROM bids"""
+    return final(inner, [("client", "s"), ("date", "d"), ("product_id", "s"), ("prediction", "f"),
+                         ("predicted_cm_rank", "n"), ("predicted_cm_percentile", "f")])
