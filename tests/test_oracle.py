@@ -7,7 +7,7 @@ from tools.compare import compare, duck
 
 from .conftest import SF_SMALL
 
-NO_SQL = {"mlp_holdout_eval", "word_vectors"}
+NO_SQL = {"mlp_holdout_eval", "word_vectors"}  # iterative trainers
 
 
 @pytest.fixture(scope="module")
