@@ -64,3 +64,22 @@ def test_stream_pairs_equal_batch(spark, tmp_dir):
     batch = timesheet.timesheet(s, e).where("Start is not null and `End` is not null")
     exp = sorted((r.key, r.k, r.Project, r["Time Spent"]) for r in batch.collect())
     assert got == exp
+
+
+def test_stream_closes_never_ended_starts(spark, tmp_dir):
+    rows = [("k", "start", T0, "p1", 0), ("j", "start", T0 + dt.timedelta(hours=10), "q", 1),
+            ("j", "end", T0 + dt.timedelta(hours=11), None, 2)]
+    schema = "key string, kind string, ts timestamp_ntz, project string, seq long"
+    src = f"{tmp_dir}/ev"
+    spark.createDataFrame(rows[:1], schema).coalesce(1).write.parquet(f"{src}/b1")
+    spark.createDataFrame(rows[1:], schema).coalesce(1).write.parquet(f"{src}/b2")
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    out = f"{tmp_dir}/pairs"
+    q = (pair_starts_ends(stream, ttl="8 hours", watermark="1 hour").writeStream
+         .format("parquet").option("checkpointLocation", f"{tmp_dir}/ckpt")
+         .trigger(availableNow=True).start(out))
+    q.awaitTermination(120)
+    got = {(r.key, r.k): r for r in spark.read.parquet(out).collect()}
+    assert got[("j", 1)]["Time Spent"] == 3600.0
+    assert got[("k", 1)].End is None and got[("k", 1)].Project == "p1"
