@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT_SCHEMA = ("key string, k long, Project string, Start timestamp_ntz, "
@@ -35,7 +36,15 @@ def _rows(key, pairs):
     return out[["key", "k", "Project", "Start", "End", "Time Spent"]]
 
 
-def _make_pairer(ttl_ms: int | None):
+def _make_pairer(ttl_ms: int | None, tz: str):
+    # ``ts`` arrives as wall-clock time; the watermark column is ``ts`` read in
+    # the session time zone, so epoch milliseconds convert through that zone.
+    def wall(ms: int) -> pd.Timestamp:
+        return pd.Timestamp(ms, unit="ms", tz="UTC").tz_convert(tz).tz_localize(None)
+
+    def epoch_ms(t: pd.Timestamp) -> int:
+        return int(pd.Timestamp(t).tz_localize(tz).tz_convert("UTC").timestamp() * 1000)
+
     def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
         k0 = key[0]
         if state.exists:
@@ -46,7 +55,7 @@ def _make_pairer(ttl_ms: int | None):
             n_s, n_e, starts, ends = 0, 0, [], []
         if state.hasTimedOut:
             # open starts older than the watermark - ttl: emit without an end
-            wm = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+            wm = wall(state.getCurrentWatermarkMs())
             expired = [s for s in starts if s[1] + pd.Timedelta(milliseconds=ttl_ms) <= wm]
             starts = [s for s in starts if s not in expired]
             if expired:
@@ -70,8 +79,7 @@ def _make_pairer(ttl_ms: int | None):
                 yield _rows(k0, done)
         state.update((n_s, n_e, [list(s) for s in starts], [list(e) for e in ends]))
         if ttl_ms is not None and starts:
-            state.setTimeoutTimestamp(
-                int(min(s[1] for s in starts).timestamp() * 1000) + ttl_ms)
+            state.setTimeoutTimestamp(epoch_ms(min(s[1] for s in starts)) + ttl_ms)
     return pair
 
 
@@ -87,8 +95,13 @@ def pair_starts_ends(events: DataFrame, ttl: str | None = None,
         n, unit = ttl.split()
         ttl_ms = int(float(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[
             unit.rstrip("s")] * 1000)
-    src = events.withWatermark("ts", watermark) if ttl_ms is not None else events
+    tz = events.sparkSession.conf.get("spark.sql.session.timeZone")
+    src = events.select("key", "kind", "ts", "project", "seq")
+    if ttl_ms is not None:
+        # watermarks need TIMESTAMP (not TIMESTAMP_NTZ) event time
+        src = (src.withColumn("event_time", F.col("ts").cast("timestamp"))
+               .withWatermark("event_time", watermark))
     timeout = GroupStateTimeout.EventTimeTimeout if ttl_ms is not None \
         else GroupStateTimeout.NoTimeout
     return src.groupBy("key").applyInPandasWithState(
-        _make_pairer(ttl_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "append", timeout)
+        _make_pairer(ttl_ms, tz), OUTPUT_SCHEMA, STATE_SCHEMA, "append", timeout)
