@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 
 from pyspark.sql import functions as F
 
@@ -105,3 +106,39 @@ def test_timesheet_sink_by_day(spark, tmp_dir):
 def test_parquet_sink(spark, tmp_dir):
     files.write_table(spark.range(3).withColumn("v", F.col("id") * 2), f"{tmp_dir}/t")
     assert spark.read.parquet(f"{tmp_dir}/t").count() == 3
+
+
+def test_load_index_scans_only_query_buckets(spark, tmp_dir):
+    from vigil.plans import text
+    d = spark.createDataFrame([(0, "a b c"), (1, "b c d"), (2, "e f g h")],
+                              "doc_id bigint, text string")
+    postings, doc_len = text.build_index(d)
+    files.save_index(postings, doc_len, f"{tmp_dir}/idx", buckets=16)
+    q = spark.createDataFrame([(7, "b zz")], "query_id bigint, text string")
+    qt = text.query_terms(q)
+    p, dl = files.load_index(spark, f"{tmp_dir}/idx", qt, buckets=16)
+    assert sorted((r.term, r.doc_id) for r in p.collect()) == [("b", 0), ("b", 1)]
+    assert dl.count() == 3
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    # only the buckets of 'b' and 'zz' are listed for the scan
+    assert re.search(r"PartitionFilters: \[bucket#\d+ IN \(\d+(,\d+)?\)", plan), plan
+    # BM25 over the pruned index equals BM25 over the whole one
+    whole = {(r.doc_id, round(r.score, 9)) for r in
+             text.search(postings, doc_len, qt, "bm25").collect()}
+    pruned = {(r.doc_id, round(r.score, 9)) for r in text.search(p, dl, qt, "bm25").collect()}
+    assert whole == pruned
+
+
+def test_bounded_broadcast_checks_rows(spark):
+    from pyspark.sql import functions as F
+    from vigil.operators.joins import bounded_broadcast
+    big = spark.range(0, 1000).withColumn("v", F.col("id") * 2)
+    small = spark.range(0, 10).withColumn("w", F.col("id"))
+
+    def hinted(df):
+        return "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+
+    assert hinted(bounded_broadcast(small, max_rows=10))
+    assert not hinted(bounded_broadcast(small, max_rows=9))
+    joined = big.join(bounded_broadcast(big, max_rows=100), "id")
+    assert not hinted(joined)

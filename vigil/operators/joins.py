@@ -1,0 +1,24 @@
+"""Broadcast joins only behind a checked size bound.
+
+``bounded_broadcast`` proves that a side has at most ``max_rows`` rows by
+counting at most ``max_rows + 1`` of them (a limit, so a large input is
+never scanned whole just to be measured) and only then marks it for a
+broadcast join. Beyond the bound the frame is returned unmarked: the
+planner then picks a shuffle join from measured sizes (AQE), so a side
+that grew with the data can never be shipped whole to every executor.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 100_000
+
+
+def row_bound_holds(df: DataFrame, max_rows: int) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if row_bound_holds(df, max_rows) else df

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import bounded_broadcast
+
 # Fixed values of the source application.
 TOP_K = 5
 MIN_CLIENT_NAME = 4                      # names of 3 characters or fewer are hidden
@@ -72,8 +74,10 @@ def daily_top_products(bids: DataFrame, config: DataFrame, catalog: DataFrame,
         src = src.where(F.col("client") == client)
     if date is not None:
         src = src.where(F.col("date") == F.lit(date).cast("date"))
+    # one configuration row per client: broadcast once its size is checked
     top = top_products(src, k).join(
-        F.broadcast(config.select(F.col("short_name").alias("client"), "site_id")), "client")
+        bounded_broadcast(config.select(F.col("short_name").alias("client"), "site_id")),
+        "client")
     if client is not None and date is not None:
         top = F.broadcast(top)
     cat = catalog_fields(catalog)
@@ -120,8 +124,8 @@ def threshold_what_if(bids: DataFrame, config: DataFrame, client: str | None = N
         src = src.where(F.col("date") == F.lit(date).cast("date"))
     counts = src.groupBy("client", "date").agg(
         F.count(F.lit(1)).alias("n"), F.count("prediction").alias("n_ranked"))
-    cfg = F.broadcast(config.select(F.col("short_name").alias("client"),
-                                    F.col("percent_prediction_threshold").alias("current")))
+    cfg = bounded_broadcast(config.select(F.col("short_name").alias("client"),
+                                          F.col("percent_prediction_threshold").alias("current")))
     g = F.array(*[F.lit(float(x)) for x in grid])
     out = counts.join(cfg, "client").select(
         "client", "date", "n", "n_ranked", F.explode(g).alias("factor"), "current")

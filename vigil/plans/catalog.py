@@ -228,6 +228,16 @@ def q_prediction_choices(spark, sf_dir):
     return finalize(bids.prediction_choices(td.prediction_performance(spark, sf_dir), PERF_SINCE))
 
 
+PICK_ORDINAL = 2  # the third product on the page (the form counts from 0)
+
+
+@register("product_pick", sqlgen.top_products_sql(pick=PICK_ORDINAL))
+def q_product_pick(spark, sf_dir):
+    top = bids.daily_top_products(td.bid_changes(spark, sf_dir), td.site_config(spark, sf_dir),
+                                  td.product_catalog(spark, sf_dir))
+    return finalize(bids.pick_product(top, PICK_ORDINAL))
+
+
 # ---------------------------------------------------------------- text
 
 from . import text  # noqa: E402
@@ -295,6 +305,22 @@ def q_search_cosine(spark, sf_dir):
     return _search(spark, sf_dir, "cosine")
 
 
+@register("search_bm25_indexed", sqlgen.search_sql("bm25"))
+def q_search_bm25_indexed(spark, sf_dir):
+    """K4: the index is saved under the session's shared checkpoint folder
+    and loaded back; only the hash buckets of the query terms are scanned
+    (BM25 needs no posting of other terms)."""
+    from ..operators.materialize import scratch_path
+    from ..sources import files
+    postings, doc_len = text.index_from_tokens(_doc_tokens(spark, sf_dir))
+    path = scratch_path(spark, "index")
+    files.save_index(postings, doc_len, path)
+    q = td.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    qt = text.query_terms(q)
+    p, dl = files.load_index(spark, path, qt)
+    return finalize(text.search(p, dl, qt, "bm25"))
+
+
 # ---------------------------------------------------------------- learn
 
 from . import learn, timesheet  # noqa: E402
@@ -332,6 +358,33 @@ def q_batch_gradient(spark, sf_dir):
     return finalize(learn.batch_gradient(_emb(spark, sf_dir), wts, N_CLASSES))
 
 
+# Fixed values of the source's training scripts.
+HOLDOUT = 1000  # the last 1,000 rows are held out
+BATCH = 32      # mini-batch size; the incomplete last batch is dropped
+
+
+@register("holdout_split", sqlgen.holdout_sql(HOLDOUT))
+def q_holdout_split(spark, sf_dir):
+    emb = _emb(spark, sf_dir)
+    test = learn.holdout_flag(emb, "id", HOLDOUT)
+    return finalize(emb.select(F.col("id").alias("vec_id"), "label",
+                               F.when(test, "test").otherwise("train").alias("split")))
+
+
+@register("mini_batches", sqlgen.mini_batches_sql(BATCH))
+def q_mini_batches(spark, sf_dir):
+    b = learn.mini_batches(_emb(spark, sf_dir), "id", BATCH)
+    return finalize(b.select(F.col("id").alias("vec_id"), "label",
+                             F.col("batch").cast("bigint").alias("batch")))
+
+
+@register("standardized_features", sqlgen.standardized_sql())
+def q_standardized_features(spark, sf_dir):
+    s = learn.standardize(_emb(spark, sf_dir))
+    return finalize(s.select(F.col("id").alias("vec_id"), "label",
+                             F.posexplode("features").alias("i", "z")))
+
+
 @register("mlp_holdout_eval")
 def q_mlp_holdout_eval(spark, sf_dir):
     """Spark ML perceptron on the first 80% of vec ids, scored on the rest

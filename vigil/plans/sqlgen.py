@@ -409,7 +409,7 @@ def bid_dates_sql() -> str:
     return final(inner, [("client", "s"), ("date", "d")])
 
 
-def top_products_sql(k: int = 5) -> str:
+def top_products_sql(k: int = 5, pick: int | None = None) -> str:
     fields = ", ".join(
         f"CASE WHEN json_valid(js) THEN json_extract_string(js, '$.{f}') END AS {f}"
         for f in ["price", "cost", "title", "image_url"])
@@ -426,6 +426,8 @@ SELECT t.client, t.date, t.rank, t.product_id, cat.brand, cat.category, cat.pric
        cat.title, cat.image_url
 FROM top t JOIN cfg ON t.client = cfg.short_name
 JOIN cat ON cat.site_id = cfg.site_id AND cat.product_id = t.product_id"""
+    if pick is not None:
+        inner += f"\nWHERE t.rank = {pick + 1}"
     return final(inner, [("client", "s"), ("date", "d"), ("rank", "n"), ("product_id", "s"),
                          ("brand", "s"), ("category", "s"), ("price", "s"), ("cost", "s"),
                          ("title", "s"), ("image_url", "s")])
@@ -608,6 +610,31 @@ SELECT count(*) AS n, avg(CAST(label = prediction AS DOUBLE)) AS accuracy,
                          ("log_likelihood", "f"), ("cross_entropy", "f")])
 
 
+def holdout_sql(last: int) -> str:
+    inner = f"""SELECT vec_id, label,
+       CASE WHEN row_number() OVER (ORDER BY vec_id DESC) <= {last} THEN 'test' ELSE 'train' END
+         AS split
+FROM embeddings"""
+    return final(inner, [("vec_id", "i"), ("label", "n"), ("split", "s")])
+
+
+def mini_batches_sql(batch: int) -> str:
+    inner = f"""SELECT vec_id, label, batch FROM (
+  SELECT vec_id, label, CAST(floor((row_number() OVER (ORDER BY vec_id) - 1) / {batch}) AS BIGINT)
+           AS batch
+  FROM embeddings) AS b
+WHERE batch < (SELECT count(*) // {batch} FROM embeddings)"""
+    return final(inner, [("vec_id", "i"), ("label", "n"), ("batch", "i")])
+
+
+def standardized_sql() -> str:
+    inner = f"""WITH {EMB_X},
+s AS (SELECT i, avg(xv) AS mu, stddev_samp(xv) AS sd FROM x GROUP BY i)
+SELECT x.vec_id, x.label, x.i, CASE WHEN s.sd = 0 THEN 0.0 ELSE (x.xv - s.mu) / s.sd END AS z
+FROM x JOIN s ON x.i = s.i"""
+    return final(inner, [("vec_id", "i"), ("label", "n"), ("i", "n"), ("z", "f")])
+
+
 def batch_gradient_sql(d: int, m: int, k: int) -> str:
     inner = f"""WITH {EMB_X},
 w1 AS (SELECT t1.i, t2.j, CAST(((t1.i * 7 + t2.j * 3) % 11) - 5 AS DOUBLE) / 50.0 AS w

@@ -174,7 +174,7 @@ def write_index(postings: DataFrame, path: str, buckets: int = INDEX_BUCKETS,
                 mode: str = "overwrite") -> None:
     """K4: postings partitioned by a hash bucket of the term, so a query
     reads only the buckets of its terms."""
-    (postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    (postings.withColumn("bucket", index_bucket("term", buckets))
      .write.mode(mode).partitionBy("bucket").parquet(path))
 
 
@@ -185,11 +185,41 @@ def read_index(spark: SparkSession, path: str, terms: list[str] | None = None,
     df = spark.read.parquet(path)
     if terms:
         # constant-folded per term, so the bucket test prunes partitions
-        wanted = [F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in terms]
+        wanted = [index_bucket(F.lit(t), buckets) for t in terms]
         df = df.where(F.col("bucket").isin(*wanted) & F.col("term").isin(terms))
     return df.drop("bucket")
 
 
+def index_bucket(term, buckets: int = INDEX_BUCKETS) -> F.Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def save_index(postings: DataFrame, doc_len: DataFrame, path: str,
+               buckets: int = INDEX_BUCKETS, mode: str = "overwrite") -> None:
+    """K4: the whole index, postings by term bucket and document lengths."""
+    write_index(postings, f"{path}/postings", buckets, mode)
+    doc_len.write.mode(mode).parquet(f"{path}/doc_len")
+
+
+def load_index(spark: SparkSession, path: str, qterms: DataFrame | None = None,
+               buckets: int = INDEX_BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """(postings, doc_len) of a saved index.
+
+    With ``qterms`` (a frame with a ``term`` column) only the postings of
+    those terms come back, and only their buckets are scanned: the distinct
+    buckets of the terms (at most ``buckets`` numbers, however many terms)
+    become a partition filter, then a semi join keeps the wanted terms.
+    """
+    postings = spark.read.parquet(f"{path}/postings")
+    doc_len = spark.read.parquet(f"{path}/doc_len")
+    if qterms is not None:
+        wanted = qterms.select("term").distinct().withColumn("bucket", index_bucket("term", buckets))
+        hit = [r[0] for r in wanted.select("bucket").distinct().collect()]
+        postings = (postings.where(F.col("bucket").isin(hit))
+                    .join(wanted, ["bucket", "term"], "left_semi"))
+    return postings.drop("bucket"), doc_len
+
+
 # ------------------------------------------------------------------ S1, S8, S9
 
 def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str,
