@@ -297,3 +297,22 @@ def test_lookback_validator():
     assert channel.check_lookback(14) == 14
     with pytest.raises(ValueError):
         channel.check_lookback(13)
+
+
+def test_selected_clients_equal_the_full_run_restricted(spark):
+    from vigil.plans import catalog
+    from vigil.sources import testdata as td
+    from .conftest import SF_SMALL
+    ad, site, dd = catalog.events_sources(spark, SF_SMALL)
+    full = {r.client: r for r in
+            channel.channel_health(ad, site, dd, td.EVENTS_AS_OF, 60).collect()}
+    picked = ["client_1", "client_3"]
+    by_list = channel.channel_health(ad, site, dd, td.EVENTS_AS_OF, 60, clients=picked)
+    registry = spark.createDataFrame([(c,) for c in picked], "short_name string")
+    by_frame = channel.channel_health(ad, site, dd, td.EVENTS_AS_OF, 60, clients=registry)
+    for got in (by_list, by_frame):
+        rows = {r.client: r for r in got.collect()}
+        assert sorted(rows) == picked
+        assert all(rows[c] == full[c] for c in picked)
+    p = by_frame._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in p and "BroadcastExchange" in p

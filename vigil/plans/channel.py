@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import half_even, nan_to_null, ratio, ratio_or_zero
+from ..operators.joins import bounded_broadcast
 from ..operators.windows import ordered, rolling_mean, rolling_sum, run_length, whole
 from ..sources.testdata import date_id
 
@@ -75,8 +76,25 @@ def _as_date(as_of) -> F.Column:
 
 # --------------------------------------------------------------- M1
 
+def select_clients(facts: DataFrame, clients) -> DataFrame:
+    """The facts of the selected clients only (all when ``None``).
+
+    A list of names becomes an ``IN`` filter below the aggregation (pushed
+    to the scan where ``client`` is a stored column); a registry frame
+    (``short_name`` or ``client`` column) is a semi join, broadcast once its
+    size is checked. Either way one job covers every selected client.
+    """
+    if clients is None:
+        return facts
+    if isinstance(clients, DataFrame):
+        name = "short_name" if "short_name" in clients.columns else "client"
+        reg = clients.select(F.col(name).alias("client")).distinct()
+        return facts.join(bounded_broadcast(reg), "client", "left_semi")
+    return facts.where(F.col("client").isin(list(clients)))
+
+
 def channel_daily(ad: DataFrame, site: DataFrame, d_date: DataFrame,
-                  as_of, lookback: int = LOOKBACK_DAYS) -> DataFrame:
+                  as_of, lookback: int = LOOKBACK_DAYS, clients=None) -> DataFrame:
     """Daily channel frame per client: sums, ratios, 7-row trailing metrics.
 
     ``ad``: f_product_adgroup_performance (client, d_date_id, adwords_*),
@@ -93,6 +111,7 @@ def channel_daily(ad: DataFrame, site: DataFrame, d_date: DataFrame,
         d_date.where((F.col("full_date") >= start) & (F.col("full_date") <= end))
         .select(F.col("id").alias("d_date_id"), F.col("full_date").alias("Date")))
 
+    ad, site = select_clients(ad, clients), select_clients(site, clients)
     acct = (
         ad.where((F.col("d_date_id") >= lo) & (F.col("d_date_id") <= hi))
         .groupBy("client", "d_date_id")
@@ -267,9 +286,10 @@ def alert_matrix(top: DataFrame, metrics: list[str] = HEALTH_METRICS) -> DataFra
 
 def channel_health(ad: DataFrame, site: DataFrame, d_date: DataFrame, as_of,
                    lookback: int = LOOKBACK_DAYS, metrics: list[str] = HEALTH_METRICS,
-                   **params) -> DataFrame:
-    """Flagship: one alert code per client and health metric."""
-    daily = channel_daily(ad, site, d_date, as_of, lookback)
+                   clients=None, **params) -> DataFrame:
+    """Flagship: one alert code per client and health metric (of the
+    selected ``clients``; all by default)."""
+    daily = channel_daily(ad, site, d_date, as_of, lookback, clients)
     return alert_matrix_from_wide(health_wide(daily, metrics, **params), metrics)
 
 
