@@ -69,8 +69,7 @@ def _pairs(spark, texts, window=1, skips=2, **kw):
     d = docs(spark, texts)
     toks = text.clean_tokens(d)
     vocab = text.build_vocabulary(toks, 100)
-    starts = text.stream_positions(text.doc_tokens(d))
-    return text.skipgram_pairs(text.encode(toks, vocab), starts, window, skips, **kw), vocab
+    return text.skipgram_pairs(text.doc_tokens(d), vocab, window, skips, **kw), vocab
 
 
 def test_skipgram_six_tokens_circular(spark):

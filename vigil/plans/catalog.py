@@ -283,10 +283,8 @@ def q_vocab_stats(spark, sf_dir):
 @register("skipgram_pairs", sqlgen.skipgram_sql(1))
 def q_skipgram_pairs(spark, sf_dir):
     dt = _doc_tokens(spark, sf_dir)
-    toks = _toks(dt)
-    vocab = text.build_vocabulary(toks)
-    starts = text.stream_positions(dt)
-    return finalize(text.skipgram_pairs(text.encode(toks, vocab), starts, 1, 2))
+    vocab = text.build_vocabulary(_toks(dt))
+    return finalize(text.skipgram_pairs(dt, vocab, 1, 2))
 
 
 def _search(spark, sf_dir, method):

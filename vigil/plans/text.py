@@ -56,17 +56,20 @@ def build_vocabulary(toks: DataFrame, n_words: int | None = None) -> DataFrame:
 
     The frequency rank is exact and distributed: words are blocked by
     (count, first two characters), numbered inside a block, and block
-    totals are prefix-summed.
+    totals are prefix-summed. The ranked words (one row per distinct word)
+    are checkpointed once, so the token counts are aggregated once for the
+    limit, the vocabulary rows and the UNK row.
     """
+    from ..operators.materialize import materialize
     counts = word_counts(toks)
     blocked = counts.select("word", "n", F.struct(
         (-F.col("n")).alias("negn"), F.substring("word", 1, 2).alias("pre")).alias("blk"))
-    ranked = running_offset(blocked, [], "blk", ["word"], out="off")
+    ranked = materialize(running_offset(blocked, [], "blk", ["word"], out="off")
+                         .select("word", (F.col("off") + 1).alias("id"), "n"))
     if n_words is None:
-        limit = counts.select(F.count(F.lit(1))).scalar() - 1
+        limit = ranked.select(F.count(F.lit(1))).scalar() - 1
     else:
         limit = F.lit(n_words - 1)
-    ranked = ranked.select("word", (F.col("off") + 1).alias("id"), "n")
     vocab = ranked.where(F.col("id") <= limit)
     unk_n = (ranked.where(F.col("id") > limit)
              .select(F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
@@ -91,16 +94,25 @@ def vocab_stats(toks: DataFrame, encoded: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ M18
 
-def stream_positions(docs_tok: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, start, len): where each document starts in the one token stream
-    formed by all documents in ``key`` order."""
-    lens = docs_tok.select(key, F.size("words").alias("len"),
+def place_documents(doc_toks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, words, len, start): each document's place in the one token
+    stream formed by all documents in ``key`` order.
+
+    The block prefix sums run on the document rows themselves (carrying
+    their token arrays), so no document-level rejoin is needed.
+    """
+    docs = doc_toks.select(key, "words", F.size("words").alias("len"),
                            F.floor(F.col(key) / DOC_BLOCK).alias("blk"))
-    return running_offset(lens, [], "blk", [key], size="len", out="start").select(
-        key, "start", "len")
+    return running_offset(docs, [], "blk", [key], size="len", out="start").drop("blk")
+
 
+def positioned_tokens(doc_toks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, start, len, pos, word): every token with its document's place."""
+    return place_documents(doc_toks, key).select(
+        key, "start", "len", F.posexplode("words").alias("pos", "word"))
 
-def skipgram_pairs(encoded: DataFrame, starts: DataFrame, window: int = 1,
+
+def skipgram_pairs(doc_toks: DataFrame, vocab: DataFrame, window: int = 1,
                    num_skips: int = 2, seed: int = 0, within_document: bool = False,
                    key: str = "doc_id") -> DataFrame:
     """(center, context) word-id pairs of the circular token stream.
@@ -111,27 +123,49 @@ def skipgram_pairs(encoded: DataFrame, starts: DataFrame, window: int = 1,
     ``num_skips == 2 * window`` all contexts are taken (the trainer's case);
     with fewer, ``num_skips`` offsets are picked per center by a seeded
     hash. ``within_document`` drops pairs that cross documents.
+
+    ``doc_toks`` holds (key, words), ``vocab`` (word, id) with UNK = 0.
+    Contexts inside the document come from ``lag``/``lead`` over the
+    document's tokens (a document is one input row, so this group is
+    bounded by the input). A context outside it lies within ``window`` of a
+    document edge, so only edge tokens (at most ``2 * window`` per
+    document) are encoded a second time and joined on their stream
+    position: no self-join of all tokens, no pair enumeration in a group.
     """
     if num_skips > 2 * window:
         raise ValueError("num_skips must not exceed 2 * window")
-    pos = encoded.join(starts, key).select(
-        key, (F.col("start") + F.col("pos")).alias("g"), "id")
-    n = starts.select(F.sum("len")).scalar()
+    n = doc_toks.select(F.sum(F.size("words"))).scalar()  # a scalar subquery
+    toks = positioned_tokens(doc_toks, key)
     offs = [o for o in range(-window, window + 1) if o != 0]
+    g = F.col("start") + F.col("pos")
     arr = F.array(*[F.lit(o) for o in offs])
     if num_skips < len(offs):
         keyed = F.transform(arr, lambda o: F.struct(
-            F.xxhash64(F.lit(seed), F.col("g"), o).alias("h"), o.alias("o")))
+            F.xxhash64(F.lit(seed), g, o).alias("h"), o.alias("o")))
         arr = F.transform(F.slice(F.array_sort(keyed), 1, num_skips), lambda s: s["o"])
-    centers = (pos.select(F.col(key).alias("c_doc"), F.col("id").alias("center"), "g",
-                          F.explode(arr).alias("o"))
-               .select("c_doc", "center", F.pmod(F.col("g") + F.col("o"), n).alias("t")))
-    ctx = pos.select(F.col(key).alias("x_doc"), F.col("g").alias("t"),
-                     F.col("id").alias("context"))
-    pairs = centers.join(ctx, "t")
+
+    w = Window.partitionBy(key).orderBy("pos")
+    near = F.array(*[F.struct(F.lit(o).alias("o"),
+                              (F.lag("id", -o) if o < 0 else F.lead("id", o)).over(w)
+                              .alias("ctx")) for o in offs])
+    inside_doc = (F.col("pos") + F.col("x.o") >= 0) & (F.col("pos") + F.col("x.o") < F.col("len"))
+    inside = (encode(toks, vocab)
+              .select("pos", "len", F.col("id").alias("center"), arr.alias("offs"),
+                      near.alias("near"))
+              .select("center", "pos", "len", "offs", F.explode("near").alias("x"))
+              .where(inside_doc & F.array_contains("offs", F.col("x.o")))
+              .select("center", F.col("x.ctx").alias("context")))
     if within_document:
-        pairs = pairs.where(F.col("c_doc") == F.col("x_doc"))
-    return pairs.select("center", "context")
+        return inside
+
+    edge_toks = toks.where((F.col("pos") < window) | (F.col("pos") >= F.col("len") - window))
+    edges = encode(edge_toks, vocab).select(
+        "pos", "len", g.alias("g"), F.col("id").alias("center"), arr.alias("offs"))
+    outward = (edges.select("center", "pos", "len", "g", F.explode("offs").alias("o"))
+               .where((F.col("pos") + F.col("o") < 0) | (F.col("pos") + F.col("o") >= F.col("len")))
+               .select("center", F.pmod(F.col("g") + F.col("o"), F.lit(n)).alias("t")))
+    targets = edges.select(F.col("g").alias("t"), F.col("center").alias("context"))
+    return inside.unionByName(outward.join(targets, "t").select("center", "context"))
 
 
 # ------------------------------------------------------------------ M19
