@@ -100,7 +100,7 @@ def test_rank_percentile_equals_a_full_sort(spark):
             rows.append((c, f"p{i:04d}", v))
     df = bid_frame(spark, rows)
     got = {(r.client, r.product_id): (r.predicted_cm_rank, r.predicted_cm_percentile)
-           for r in bids.rank_percentile(df, buckets=8).collect()}
+           for r in bids.rank_percentile(df, buckets=8, split_rows=100).collect()}
     pdf = pd.DataFrame(rows, columns=["client", "product_id", "prediction"])
     for c, g in pdf.groupby("client"):
         g = g.sort_values("product_id")
@@ -111,3 +111,15 @@ def test_rank_percentile_equals_a_full_sort(spark):
             assert got[(c, pid)][0] == exp
             if exp is not None:
                 assert got[(c, pid)][1] == pytest.approx(exp / len(g))
+
+
+def test_rank_percentile_splits_only_hot_groups(spark):
+    rows = [("acme", f"p{i:03d}", float(i % 17)) for i in range(300)]
+    rows += [("zen", f"p{i:03d}", float(i % 5)) for i in range(20)]
+    df = bid_frame(spark, rows)
+    whole = {(r.client, r.product_id): r.predicted_cm_rank
+             for r in bids.rank_percentile(df, split_rows=10**6).collect()}
+    split = {(r.client, r.product_id): r.predicted_cm_rank
+             for r in bids.rank_percentile(df, buckets=8, split_rows=50).collect()}
+    assert whole == split
+    assert sorted(v for (c, _), v in whole.items() if c == "zen") == list(range(1, 21))

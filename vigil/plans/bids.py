@@ -136,34 +136,39 @@ def threshold_what_if(bids: DataFrame, config: DataFrame, client: str | None = N
 
 
 RANK_BUCKETS = 64
+SPLIT_ROWS = 1_000_000   # a (client, date) above this is ranked in blocks
 
 
-def rank_percentile(bids: DataFrame, buckets: int = RANK_BUCKETS) -> DataFrame:
+def rank_percentile(bids: DataFrame, buckets: int = RANK_BUCKETS,
+                    split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Per-row rank and percentile within (client, date): prediction
     descending, ties by arrival (file path, then product id); a NULL
     prediction gets a NULL rank but counts in the denominator.
 
-    Exact ranks without sorting a whole (client, date) in one task: each
-    group's approximate prediction quantiles cut it into ``buckets``
-    blocks (equal predictions always share a block, so the order is kept),
-    rows are numbered inside (group, block) and block sizes are
-    prefix-summed. The quantile row per group is small; a hot group's join
-    is split by AQE's skew handling.
+    Exact ranks without sorting a hot (client, date) in one task: a group
+    of more than ``split_rows`` rows is cut into ``buckets`` blocks at its
+    approximate prediction quantiles (equal predictions always share a
+    block, so the order is kept); every other group is one block. Rows are
+    numbered inside (group, block) and block sizes are prefix-summed, so
+    the largest sort is one block. Quantiles are computed for hot groups
+    only; a hot group's join is split by AQE's skew handling.
     """
     from ..operators.ordinal import running_offset
     tie = [c for c in ("file_path",) if c in bids.columns] + ["product_id"]
     keys = ["client", "date"]
+    counts = bids.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > split_rows).select(*keys)
     fr = [i / buckets for i in range(1, buckets)]
-    qs = bids.groupBy(*keys).agg(
-        F.percentile_approx("prediction", fr, 10000).alias("_q"),
-        F.count(F.lit(1)).alias("_n"))
-    ranked_src = bids.where(F.col("prediction").isNotNull()).join(qs, keys)
-    blk = -F.size(F.filter("_q", lambda x: x < F.col("prediction")))
+    qs = (bids.join(hot, keys, "left_semi").groupBy(*keys)
+          .agg(F.percentile_approx("prediction", fr, 10000).alias("_q")))
+    groups = counts.join(qs, keys, "left")
+    ranked_src = bids.where(F.col("prediction").isNotNull()).join(groups, keys)
+    blk = F.coalesce(-F.size(F.filter("_q", lambda x: x < F.col("prediction"))), F.lit(0))
     ranked = running_offset(ranked_src.withColumn("_blk", blk), keys, "_blk",
                             [F.desc("prediction"), *[F.col(c) for c in tie]], out="_off")
     ranked = ranked.select(*bids.columns, "_n",
                            (F.col("_off") + 1).cast("int").alias("predicted_cm_rank"))
-    unranked = bids.where(F.col("prediction").isNull()).join(qs, keys).select(
+    unranked = bids.where(F.col("prediction").isNull()).join(counts, keys).select(
         *bids.columns, "_n", F.lit(None).cast("int").alias("predicted_cm_rank"))
     out = ranked.unionByName(unranked)
     return out.withColumn("predicted_cm_percentile",
