@@ -234,14 +234,18 @@ def search(postings: DataFrame, doc_len: DataFrame, qterms: DataFrame,
         raise ValueError(f"unknown method {method}")
     terms = df.select("term", idf.alias("idf"))
     qt = qterms.join(terms, "term")
-    hits = qt.join(postings, "term")
     if method == "bm25":
+        # the length normalization is per posting: computed once on the
+        # postings (one row per term and document), so the far larger
+        # query x posting hits need no join with the document lengths
         avgdl = doc_len.select(F.avg("dl")).scalar()
-        h = hits.join(doc_len, key)
-        contrib = (F.col("qtf") * F.col("idf") * F.col("tf") * (BM25_K1 + 1)
-                   / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / avgdl)))
-        scores = h.groupBy(qkey, key).agg(F.sum(contrib).alias("score"))
+        norm = postings.join(doc_len, key).select(
+            "term", key, "tf",
+            (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / avgdl)).alias("den"))
+        contrib = F.col("qtf") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / F.col("den")
+        scores = qt.join(norm, "term").groupBy(qkey, key).agg(F.sum(contrib).alias("score"))
     else:
+        hits = qt.join(postings, "term")
         dnorm = (postings.join(terms, "term")
                  .groupBy(key).agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("dn")))
         qnorm = qt.groupBy(qkey).agg(
