@@ -128,3 +128,25 @@ def test_word_vectors_unit_norm(spark):
     for r in vec:
         assert len(r.vector) == 8
         assert sum(x * x for x in r.vector) == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_skipgram_matches_brute_force_on_short_documents(spark, seed):
+    import random
+    rng = random.Random(seed)
+    window = rng.choice([1, 2, 3])
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.choice([0, 1, 1, 2, 3, 5])))
+             for _ in range(rng.randint(3, 8))]
+    texts = [t if t else "   " for t in texts]          # some documents have no token
+    pairs, vocab = _pairs(spark, texts, window=window, skips=2 * window)
+    ids = {r.word: r.id for r in vocab.collect()}
+    stream = [ids.get(w, 0) for t in texts for w in t.split(" ") if w]
+    doc_of = [i for i, t in enumerate(texts) for w in t.split(" ") if w]
+    n = len(stream)
+    offs = [o for o in range(-window, window + 1) if o != 0]
+    exp = sorted((stream[i], stream[(i + o) % n]) for i in range(n) for o in offs)
+    assert sorted((r.center, r.context) for r in pairs.collect()) == exp
+    inside, _ = _pairs(spark, texts, window=window, skips=2 * window, within_document=True)
+    exp_in = sorted((stream[i], stream[i + o]) for i in range(n) for o in offs
+                    if 0 <= i + o < n and doc_of[i + o] == doc_of[i])
+    assert sorted((r.center, r.context) for r in inside.collect()) == exp_in
