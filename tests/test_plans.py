@@ -54,3 +54,18 @@ def test_gradient_shuffles_only_partials(spark):
     p = plan(catalog.QUERIES["batch_gradient"](spark, SF_SMALL))
     assert "MapInPandas" in p or "PythonMapInArrow" in p
     assert "HashAggregate" in p
+
+
+def test_skipgram_joins_only_edge_tokens(spark):
+    p = plan(catalog.QUERIES["skipgram_pairs"](spark, SF_SMALL))
+    # in-document contexts come from lag/lead over one document's tokens
+    assert "lag(id" in p and "lead(id" in p
+    # the only position join is fed by the document-edge filter
+    assert re.search(r"\(pos#\d+ < 1\) OR \(pos#\d+ >= \(len#\d+ - 1\)\)", p), p
+
+
+def test_rank_percentile_quantiles_only_for_hot_groups(spark):
+    p = plan(catalog.QUERIES["bid_rank_percentile"](spark, SF_SMALL))
+    assert "percentile_approx" in p
+    # quantiles are computed after a semi join with the hot client-days
+    assert "LeftSemi" in p and "> 1000000" in p
