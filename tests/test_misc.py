@@ -42,3 +42,17 @@ def test_running_offset_matches_global_numbering(spark):
     pdf = got.toPandas().sort_values(["k", "v"])
     for _, g in pdf.groupby("k"):
         assert list(g.offset) == list(range(len(g)))
+
+
+def test_running_offset_two_levels_equal_one(spark):
+    df = spark.range(0, 5000).select(
+        F.col("id"), (F.col("id") * 7919 % 5000).alias("v"), (F.col("id") % 3 + 1).alias("w"))
+    df = df.withColumn("blk", F.floor(F.col("v") / 10))
+    one = running_offset(df, [], "blk", ["v"], size="w").select("id", "offset")
+    two = running_offset(df, [], "blk", ["v"], size="w",
+                         super_block=lambda b: F.floor(b / 16)).select("id", "offset")
+    assert sorted(one.collect()) == sorted(two.collect())
+    pdf = two.join(df, "id").toPandas().sort_values("v")
+    assert list(pdf.offset) == list(pdf.w.cumsum() - pdf.w)
+    plan = two._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SinglePartition") >= 1

@@ -9,23 +9,35 @@ one row per block, are summed in block order and joined back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def running_offset(df: DataFrame, key: list[str], block: str, order: list,
-                   size: str | None = None, out: str = "offset") -> DataFrame:
+                   size: str | None = None, out: str = "offset",
+                   super_block: Callable[[Column], Column] | None = None) -> DataFrame:
     """Add ``out`` = sum of ``size`` (1 per row by default) over the rows
     that come before this one in (block, *order) order within ``key``.
 
     ``block`` must be a column of ``df`` whose order agrees with ``order``
-    (rows of a smaller block come first).
+    (rows of a smaller block come first). ``super_block`` maps a block to a
+    coarser value in the same order (e.g. ``blk / 1024``); the block totals
+    are then prefix-summed the same way, one level up, so the only window
+    without a partition key runs over super-blocks, not blocks.
     """
     unit = F.col(size) if size else F.lit(1)
     blocks = df.groupBy(*key, block).agg(F.sum(unit).alias("_bsz"))
-    wb = (Window.partitionBy(*key) if key else Window).orderBy(block).rowsBetween(
-        Window.unboundedPreceding, -1)
-    blocks = blocks.select(*key, block, F.coalesce(F.sum("_bsz").over(wb), F.lit(0)).alias("_boff"))
+    if super_block is None:
+        wb = (Window.partitionBy(*key) if key else Window).orderBy(block).rowsBetween(
+            Window.unboundedPreceding, -1)
+        blocks = blocks.select(*key, block,
+                               F.coalesce(F.sum("_bsz").over(wb), F.lit(0)).alias("_boff"))
+    else:
+        blocks = running_offset(blocks.withColumn("_sblk", super_block(F.col(block))), key,
+                                "_sblk", [block], size="_bsz", out="_sboff")
+        blocks = blocks.select(*key, block, F.col("_sboff").alias("_boff"))
     wl = Window.partitionBy(*key, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = df.withColumn("_loff", F.coalesce(F.sum(unit).over(wl), F.lit(0)))
     joined = local.join(blocks, [*key, block])

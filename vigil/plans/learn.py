@@ -106,7 +106,8 @@ def mini_batches(df: DataFrame, key: str, batch: int) -> DataFrame:
     batch is dropped."""
     from ..operators.ordinal import running_offset
     blk = F.floor(F.col(key) / (batch * 64))
-    numbered = running_offset(df.withColumn("_blk", blk), [], "_blk", [key], out="_row")
+    numbered = running_offset(df.withColumn("_blk", blk), [], "_blk", [key], out="_row",
+                              super_block=lambda b: F.floor(b / 1024))
     n = df.select(F.count(F.lit(1))).scalar()
     full = F.floor(n / batch)
     return (numbered.withColumn("batch", F.floor(F.col("_row") / batch))

@@ -64,7 +64,8 @@ def build_vocabulary(toks: DataFrame, n_words: int | None = None) -> DataFrame:
     counts = word_counts(toks)
     blocked = counts.select("word", "n", F.struct(
         (-F.col("n")).alias("negn"), F.substring("word", 1, 2).alias("pre")).alias("blk"))
-    ranked = materialize(running_offset(blocked, [], "blk", ["word"], out="off")
+    ranked = materialize(running_offset(blocked, [], "blk", ["word"], out="off",
+                                        super_block=lambda b: b.getField("negn"))
                          .select("word", (F.col("off") + 1).alias("id"), "n"))
     if n_words is None:
         limit = ranked.select(F.count(F.lit(1))).scalar() - 1
@@ -103,7 +104,8 @@ def place_documents(doc_toks: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     docs = doc_toks.select(key, "words", F.size("words").alias("len"),
                            F.floor(F.col(key) / DOC_BLOCK).alias("blk"))
-    return running_offset(docs, [], "blk", [key], size="len", out="start").drop("blk")
+    return running_offset(docs, [], "blk", [key], size="len", out="start",
+                          super_block=lambda b: F.floor(b / DOC_BLOCK)).drop("blk")
 
 
 def positioned_tokens(doc_toks: DataFrame, key: str = "doc_id") -> DataFrame:
