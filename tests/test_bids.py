@@ -5,6 +5,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from vigil.plans import bids
 
@@ -123,3 +124,11 @@ def test_rank_percentile_splits_only_hot_groups(spark):
              for r in bids.rank_percentile(df, buckets=8, split_rows=50).collect()}
     assert whole == split
     assert sorted(v for (c, _), v in whole.items() if c == "zen") == list(range(1, 21))
+
+
+def test_tiers_partition_integer_percentiles(spark):
+    df = spark.range(1, 101).select(F.col("id").cast("double").alias("p"))
+    got = {int(r.p): r.t for r in df.select("p", bids.tier("p").alias("t")).collect()}
+    assert all(got[p] == f"tier_{(p + 4) // 5}" for p in range(1, 101))
+    assert sorted({t for t in got.values()}, key=lambda t: int(t[5:])) == \
+        [f"tier_{i}" for i in range(1, 21)]

@@ -78,3 +78,13 @@ def test_mlp_beats_chance(spark):
     pred = learn.mlp_predict(model, df)
     acc = pred.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).collect()[0][0]
     assert acc > 0.2
+
+
+def test_softmax_sums_to_one_and_argmax_is_the_max(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in rng.normal(0, 30, rng.integers(1, 12))]) for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, a array<double>")
+    got = df.select("i", "a", softmax("a").alias("s"), argmax("a").alias("m")).collect()
+    for r in got:
+        assert sum(r.s) == pytest.approx(1.0)
+        assert r.m == int(np.argmax(r.a))
