@@ -56,3 +56,15 @@ def test_running_offset_two_levels_equal_one(spark):
     assert list(pdf.offset) == list(pdf.w.cumsum() - pdf.w)
     plan = two._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SinglePartition") >= 1
+
+
+def test_island_id_counts_flag_changes(spark):
+    from vigil.operators.windows import island_id, ordered, run_length
+    flags = [1, 1, 0, 1, 1, 1, 0, 0, 1]
+    df = spark.createDataFrame([("c", i + 1, f) for i, f in enumerate(flags)],
+                               "k string, rn int, f int")
+    w = ordered(["k"], ["rn"])
+    got = df.select("rn", island_id("f", w).alias("isl"), run_length("f", "rn", w).alias("run")) \
+        .orderBy("rn").collect()
+    assert [r.isl for r in got] == [1, 1, 2, 3, 3, 3, 4, 4, 5]
+    assert [r.run for r in got] == [1, 2, 0, 1, 2, 3, 0, 0, 1]

@@ -111,7 +111,7 @@ def read_bid_changes(spark: SparkSession, root: str, client: str = "*",
               .csv(paths)
               .select(F.col("product_id"), F.col("prediction"),
                       F.col("_metadata.file_path").alias("file_path")))
-        out = df if out is None else out.unionByName(df)
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
         return spark.createDataFrame(
             [], "client string, date date, product_id string, prediction double, "
@@ -157,7 +157,8 @@ def read_documents(spark: SparkSession, pattern: str) -> DataFrame:
 
 def write_timesheet(sheet: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K1: CSV with header, one folder per ISO day of the start (or end)."""
-    day = F.date_format(F.coalesce(F.col("Start"), F.col("End")), "yyyy-MM-dd")
+    from ..plans.timesheet import day_label
+    day = day_label(F.coalesce(F.col("Start"), F.col("End")))
     sheet.withColumn("day", day).write.mode(mode).option("header", True) \
         .partitionBy("day").csv(path)
 
