@@ -38,7 +38,9 @@ def finalize(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), ROUND) + F.lit(0.0)
+            # the oracle's rounding: half away from zero of x * 10^ROUND
+            scale = F.lit(10.0 ** ROUND)
+            c = F.round(c.cast("double") * scale, 0) / scale + F.lit(0.0)
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):

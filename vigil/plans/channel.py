@@ -116,11 +116,11 @@ def channel_daily(ad: DataFrame, site: DataFrame, d_date: DataFrame,
         ad.where((F.col("d_date_id") >= lo) & (F.col("d_date_id") <= hi))
         .groupBy("client", "d_date_id")
         .agg(
-            F.sum("adwords_revenue").alias("revenue"),
+            F.sum("adwords_revenue").cast("double").alias("revenue"),
             F.sum(F.coalesce("adwords_orders", "adwords_conversions", F.lit(0))).alias("orders"),
             F.sum("adwords_clicks").alias("clicks"),
             F.sum("adwords_impressions").alias("impressions"),
-            F.sum("adwords_cost").alias("cost"),
+            F.sum("adwords_cost").cast("double").alias("cost"),
         )
     )
     # the site query selects non-aggregated columns under GROUP BY date;
@@ -128,7 +128,8 @@ def channel_daily(ad: DataFrame, site: DataFrame, d_date: DataFrame,
     st = (
         site.where((F.col("d_date_id") >= lo) & (F.col("d_date_id") <= hi))
         .groupBy("client", "d_date_id")
-        .agg(F.max("orders").alias("site_orders"), F.max("revenue").alias("site_revenue"))
+        .agg(F.max("orders").alias("site_orders"),
+             F.max("revenue").cast("double").alias("site_revenue"))
     )
     # both sides are already hash-partitioned by (client, d_date_id) by their
     # aggregations, so this join adds no exchange; the day comes last

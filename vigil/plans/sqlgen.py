@@ -63,21 +63,23 @@ def client_expr() -> str:
 
 AD_FACTS = f"""
   SELECT {client_expr()} AS client, {date_id('ts')} AS d_date_id,
-         CASE WHEN event_type = 'purchase' THEN value ELSE 0.0 END AS adwords_revenue,
+         CASE WHEN event_type = 'purchase' THEN CAST(value AS {td.MONEY})
+              ELSE CAST(0 AS {td.MONEY}) END AS adwords_revenue,
          CASE WHEN event_id % {td.ORDERS_NULL_EVERY} = 0 THEN NULL
               ELSE CAST(event_type = 'purchase' AS BIGINT) END AS adwords_orders,
          CASE WHEN event_id % {td.CONVERSIONS_NULL_EVERY} = 0 THEN NULL
               ELSE CAST(event_type = 'purchase' AS BIGINT) END AS adwords_conversions,
          CAST(event_type = 'click' AS BIGINT) AS adwords_clicks,
          CAST(event_type = 'view' AS BIGINT) AS adwords_impressions,
-         CASE WHEN event_type = 'click' THEN value ELSE 0.0 END AS adwords_cost
+         CASE WHEN event_type = 'click' THEN CAST(value AS {td.MONEY})
+              ELSE CAST(0 AS {td.MONEY}) END AS adwords_cost
   FROM events
   WHERE event_type IN ('view', 'click', 'purchase')
     AND CAST(json_extract_string(props, '$.k') AS INTEGER) < {td.CHANNEL_MAX_K}"""
 
 SITE_FACTS = f"""
   SELECT {client_expr()} AS client, {date_id('ts')} AS d_date_id,
-         count(*) AS orders, sum(value) AS revenue
+         count(*) AS orders, sum(CAST(value AS {td.MONEY})) AS revenue
   FROM events WHERE event_type = 'purchase' GROUP BY 1, 2"""
 
 EVENTS_D_DATE = f"""
@@ -91,16 +93,18 @@ HISTORY_LINES = """
 
 HISTORY_AD_FACTS = f"""
   SELECT client, {date_id('l_shipdate')} AS d_date_id,
-         l_extendedprice * (1 - l_discount) AS adwords_revenue,
+         CAST(l_extendedprice AS {td.MONEY}) * (1 - CAST(l_discount AS {td.MONEY}))
+           AS adwords_revenue,
          CAST(1 AS BIGINT) AS adwords_orders, CAST(NULL AS BIGINT) AS adwords_conversions,
          CAST(l_quantity AS BIGINT) AS adwords_clicks,
          CAST(l_quantity * 10 AS BIGINT) AS adwords_impressions,
-         l_extendedprice * l_tax AS adwords_cost
+         CAST(l_extendedprice AS {td.MONEY}) * CAST(l_tax AS {td.MONEY}) AS adwords_cost
   FROM hl WHERE l_discount >= {td.PROMOTED_DISCOUNT}"""
 
 HISTORY_SITE_FACTS = f"""
   SELECT client, {date_id('l_shipdate')} AS d_date_id, count(*) AS orders,
-         sum(l_extendedprice * (1 - l_discount)) AS revenue
+         sum(CAST(l_extendedprice AS {td.MONEY}) * (1 - CAST(l_discount AS {td.MONEY})))
+           AS revenue
   FROM hl GROUP BY 1, 2"""
 
 HISTORY_D_DATE = f"""
@@ -132,15 +136,16 @@ def daily_ctes(as_of: str, lookback: int) -> str:
     return f"""
 acct AS (
   SELECT a.client, d.full_date AS Date,
-         sum(adwords_revenue) AS revenue,
+         CAST(sum(adwords_revenue) AS DOUBLE) AS revenue,
          sum(coalesce(adwords_orders, adwords_conversions, 0)) AS orders,
          sum(adwords_clicks) AS clicks, sum(adwords_impressions) AS impressions,
-         sum(adwords_cost) AS cost
+         CAST(sum(adwords_cost) AS DOUBLE) AS cost
   FROM ad a JOIN d_date d ON a.d_date_id = d.id
   WHERE d.full_date >= {lo} AND d.full_date <= {hi}
   GROUP BY 1, 2),
 st AS (
-  SELECT s.client, d.full_date AS Date, max(orders) AS site_orders, max(revenue) AS site_revenue
+  SELECT s.client, d.full_date AS Date, max(orders) AS site_orders,
+         CAST(max(revenue) AS DOUBLE) AS site_revenue
   FROM site s JOIN d_date d ON s.d_date_id = d.id
   WHERE d.full_date >= {lo} AND d.full_date <= {hi}
   GROUP BY 1, 2),

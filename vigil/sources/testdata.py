@@ -23,6 +23,7 @@ ORDERS_NULL_EVERY = 7       # adwords_orders is NULL when event_id % 7 = 0
 CONVERSIONS_NULL_EVERY = 14  # adwords_conversions is NULL when event_id % 14 = 0
 EVENTS_AS_OF = "2024-01-30"  # last day of the events table
 PROMOTED_DISCOUNT = 0.05    # lineitem lines with l_discount >= .05 are ad-channel
+MONEY = "decimal(18,2)"     # money columns of the relational fact tables
 HISTORY_AS_OF = "2001-11-04"  # last ship day in lineitem
 
 
@@ -39,24 +40,31 @@ def client_of(events: DataFrame) -> F.Column:
     return F.concat(F.lit("client_"), (F.col("user_id") % N_CLIENTS).cast("string"))
 
 
+def money(c) -> F.Column:
+    """Money as a relational source holds it: an exact decimal, so sums do
+    not depend on the order rows arrive in (nor on the partitioning)."""
+    return (F.col(c) if isinstance(c, str) else c).cast(MONEY)
+
+
 def ad_facts(events: DataFrame) -> DataFrame:
     """f_product_adgroup_performance: one row per ad-channel event."""
     k = F.get_json_object("props", "$.k").cast("int")
     et = F.col("event_type")
     is_p = (et == "purchase").cast("bigint")
+    zero = F.lit(0).cast(MONEY)
     return (
         events.where(et.isin("view", "click", "purchase") & (k < CHANNEL_MAX_K))
         .select(
             client_of(events).alias("client"),
             date_id("ts").alias("d_date_id"),
-            F.when(et == "purchase", F.col("value")).otherwise(0.0).alias("adwords_revenue"),
+            F.when(et == "purchase", money("value")).otherwise(zero).alias("adwords_revenue"),
             F.when(F.col("event_id") % ORDERS_NULL_EVERY == 0, F.lit(None).cast("bigint"))
             .otherwise(is_p).alias("adwords_orders"),
             F.when(F.col("event_id") % CONVERSIONS_NULL_EVERY == 0, F.lit(None).cast("bigint"))
             .otherwise(is_p).alias("adwords_conversions"),
             (et == "click").cast("bigint").alias("adwords_clicks"),
             (et == "view").cast("bigint").alias("adwords_impressions"),
-            F.when(et == "click", F.col("value")).otherwise(0.0).alias("adwords_cost"),
+            F.when(et == "click", money("value")).otherwise(zero).alias("adwords_cost"),
         )
     )
 
@@ -66,7 +74,7 @@ def site_facts(events: DataFrame) -> DataFrame:
     return (
         events.where(F.col("event_type") == "purchase")
         .groupBy(client_of(events).alias("client"), date_id("ts").alias("d_date_id"))
-        .agg(F.count(F.lit(1)).alias("orders"), F.sum("value").alias("revenue"))
+        .agg(F.count(F.lit(1)).alias("orders"), F.sum(money("value")).alias("revenue"))
     )
 
 
@@ -97,12 +105,12 @@ def history_ad_facts(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("l_discount") >= PROMOTED_DISCOUNT).select(
         "client",
         date_id("l_shipdate").alias("d_date_id"),
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("adwords_revenue"),
+        (money("l_extendedprice") * (1 - money("l_discount"))).alias("adwords_revenue"),
         F.lit(1).cast("bigint").alias("adwords_orders"),
         F.lit(None).cast("bigint").alias("adwords_conversions"),
         F.col("l_quantity").cast("bigint").alias("adwords_clicks"),
         (F.col("l_quantity") * 10).cast("bigint").alias("adwords_impressions"),
-        (F.col("l_extendedprice") * F.col("l_tax")).alias("adwords_cost"),
+        (money("l_extendedprice") * money("l_tax")).alias("adwords_cost"),
     )
 
 
@@ -110,7 +118,7 @@ def history_site_facts(lines: DataFrame) -> DataFrame:
     """Site facts over the lineitem history: all lines of a segment per day."""
     return lines.groupBy("client", date_id("l_shipdate").alias("d_date_id")).agg(
         F.count(F.lit(1)).alias("orders"),
-        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
+        F.sum(money("l_extendedprice") * (1 - money("l_discount"))).alias("revenue"),
     )
 
 
