@@ -132,3 +132,24 @@ def test_tiers_partition_integer_percentiles(spark):
     assert all(got[p] == f"tier_{(p + 4) // 5}" for p in range(1, 101))
     assert sorted({t for t in got.values()}, key=lambda t: int(t[5:])) == \
         [f"tier_{i}" for i in range(1, 21)]
+
+
+def test_count_below_is_a_binary_search(spark):
+    import bisect
+    rng = random.Random(5)
+    rows = []
+    for _ in range(300):
+        q = sorted(rng.choice([0.0, 1.0, 1.0, 2.5, 3.0, 7.0, 9.0]) for _ in range(rng.randint(0, 20)))
+        rows.append((q, rng.choice([-1.0, 0.0, 1.0, 1.5, 2.5, 3.0, 8.0, 10.0])))
+    df = spark.createDataFrame(rows, "q array<double>, v double")
+    got = df.select("q", "v", bids._count_below(F.col("q"), F.col("v"), 6).alias("n")).collect()
+    assert all(r.n == bisect.bisect_left(r.q, r.v) for r in got)
+
+
+def test_rank_blocks_grow_with_the_hot_group(spark):
+    rows = [("acme", f"p{i:04d}", float(i % 97)) for i in range(700)]
+    df = bid_frame(spark, rows)
+    got = {r.product_id: r.predicted_cm_rank
+           for r in bids.rank_percentile(df, buckets=2, split_rows=20).collect()}
+    exp = sorted(rows, key=lambda r: (-r[2], r[1]))
+    assert got == {r[1]: i + 1 for i, r in enumerate(exp)}

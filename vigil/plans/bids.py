@@ -7,6 +7,8 @@ details, threshold what-if, and prediction-tier summaries.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,8 +137,21 @@ def threshold_what_if(bids: DataFrame, config: DataFrame, client: str | None = N
                                    F.col("threshold")).alias("increases"))
 
 
-RANK_BUCKETS = 64
-SPLIT_ROWS = 1_000_000   # a (client, date) above this is ranked in blocks
+RANK_BUCKETS = 64        # fewest blocks a hot client-day is cut into
+SPLIT_ROWS = 1_000_000   # a (client, date) above this is ranked in blocks of about this size
+
+
+def _count_below(q: F.Column, v: F.Column, steps: int) -> F.Column:
+    """Number of elements of the ascending array ``q`` below ``v``: a binary
+    search in ``steps`` halvings (O(log n) per row, not a scan of ``q``)."""
+    def step(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        right = F.try_element_at(q, mid + 1) < v
+        nxt = F.when(right, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"))) \
+            .otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
+        return F.when(acc["lo"] < acc["hi"], nxt).otherwise(acc)
+    init = F.struct(F.lit(0).alias("lo"), F.size(q).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
 
 
 def rank_percentile(bids: DataFrame, buckets: int = RANK_BUCKETS,
@@ -146,25 +161,33 @@ def rank_percentile(bids: DataFrame, buckets: int = RANK_BUCKETS,
     prediction gets a NULL rank but counts in the denominator.
 
     Exact ranks without sorting a hot (client, date) in one task: a group
-    of more than ``split_rows`` rows is cut into ``buckets`` blocks at its
-    approximate prediction quantiles (equal predictions always share a
-    block, so the order is kept); every other group is one block. Rows are
-    numbered inside (group, block) and block sizes are prefix-summed, so
-    the largest sort is one block. Quantiles are computed for hot groups
-    only; a hot group's join is split by AQE's skew handling.
+    of more than ``split_rows`` rows is cut into blocks at its approximate
+    prediction quantiles (equal predictions always share a block, so the
+    order is kept); every other group is one block. The block count grows
+    with the largest hot group (one number read on the driver) so blocks
+    hold about ``split_rows`` rows, at least ``buckets`` of them. Rows are
+    numbered inside (group, block) and block sizes are prefix-summed. With
+    no hot group no quantiles are computed at all.
     """
     from ..operators.ordinal import running_offset
     tie = [c for c in ("file_path",) if c in bids.columns] + ["product_id"]
     keys = ["client", "date"]
     counts = bids.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > split_rows).select(*keys)
-    fr = [i / buckets for i in range(1, buckets)]
-    qs = (bids.join(hot, keys, "left_semi").groupBy(*keys)
-          .agg(F.percentile_approx("prediction", fr, 10000).alias("_q")))
-    groups = counts.join(qs, keys, "left")
-    ranked_src = bids.where(F.col("prediction").isNotNull()).join(groups, keys)
-    blk = F.coalesce(-F.size(F.filter("_q", lambda x: x < F.col("prediction"))), F.lit(0))
-    ranked = running_offset(ranked_src.withColumn("_blk", blk), keys, "_blk",
+    hot = counts.where(F.col("_n") > split_rows).select(*keys, "_n")
+    largest = hot.agg(F.max("_n")).first()[0]
+    ranked_src = bids.where(F.col("prediction").isNotNull())
+    if largest is None:
+        ranked_src = ranked_src.join(counts, keys).withColumn("_blk", F.lit(0))
+    else:
+        n_blocks = max(buckets, 1 << math.ceil(math.log2(math.ceil(largest / split_rows))))
+        fr = [i / n_blocks for i in range(1, n_blocks)]
+        qs = (bids.join(hot.select(*keys), keys, "left_semi").groupBy(*keys)
+              .agg(F.percentile_approx("prediction", fr, max(10000, 4 * n_blocks)).alias("_q")))
+        steps = math.ceil(math.log2(n_blocks)) + 1
+        blk = F.coalesce(-_count_below(F.col("_q"), F.col("prediction"), steps), F.lit(0))
+        ranked_src = (ranked_src.join(counts.join(qs, keys, "left"), keys)
+                      .withColumn("_blk", blk))
+    ranked = running_offset(ranked_src, keys, "_blk",
                             [F.desc("prediction"), *[F.col(c) for c in tie]], out="_off")
     ranked = ranked.select(*bids.columns, "_n",
                            (F.col("_off") + 1).cast("int").alias("predicted_cm_rank"))
