@@ -68,3 +68,18 @@ def test_island_id_counts_flag_changes(spark):
         .orderBy("rn").collect()
     assert [r.isl for r in got] == [1, 1, 2, 3, 3, 3, 4, 4, 5]
     assert [r.run for r in got] == [1, 2, 0, 1, 2, 3, 0, 0, 1]
+
+
+def test_run_length_never_exceeds_rows_seen(spark):
+    import random
+    from vigil.operators.windows import ordered, run_length
+    rng = random.Random(9)
+    rows = [(k, i + 1, rng.choice([0, 1, 1])) for k in ("a", "b", "c") for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, rn int, f int")
+    got = df.select("k", "rn", "f", run_length("f", "rn", ordered(["k"], ["rn"])).alias("run"))
+    for k in ("a", "b", "c"):
+        seq = sorted((r.rn, r.f, r.run) for r in got.where(F.col("k") == k).collect())
+        expect = 0
+        for rn, f, run in seq:
+            expect = expect + 1 if f else 0
+            assert run == expect and 0 <= run <= rn
