@@ -2,8 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from tools.compare import compare, duck
+from vigil.plans.catalog import ORACLE, QUERIES
 
 from .conftest import SF_SMALL
 
@@ -16,12 +17,12 @@ def con():
 
 
 def test_every_query_but_iterative_ones_has_sql():
-    assert set(queries()) - set(oracle_sql()) == NO_SQL
+    assert set(QUERIES) - set(ORACLE) == NO_SQL
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - NO_SQL))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - NO_SQL))
 def test_query_matches_oracle(spark, con, name):
-    r = compare(spark, con, SF_SMALL, name, queries()[name], oracle_sql()[name])
+    r = compare(spark, con, SF_SMALL, name, QUERIES[name], ORACLE[name])
     assert r["schema"], r
     assert r["rows"] == r["oracle_rows"], r
     assert r["values"], r
