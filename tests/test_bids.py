@@ -101,7 +101,7 @@ def test_rank_percentile_equals_a_full_sort(spark):
             rows.append((c, f"p{i:04d}", v))
     df = bid_frame(spark, rows)
     got = {(r.client, r.product_id): (r.predicted_cm_rank, r.predicted_cm_percentile)
-           for r in bids.rank_percentile(df, buckets=8, split_rows=100).collect()}
+           for r in bids.rank_percentile(df).collect()}
     pdf = pd.DataFrame(rows, columns=["client", "product_id", "prediction"])
     for c, g in pdf.groupby("client"):
         g = g.sort_values("product_id")
@@ -114,16 +114,17 @@ def test_rank_percentile_equals_a_full_sort(spark):
                 assert got[(c, pid)][1] == pytest.approx(exp / len(g))
 
 
-def test_rank_percentile_splits_only_hot_groups(spark):
-    rows = [("acme", f"p{i:03d}", float(i % 17)) for i in range(300)]
-    rows += [("zen", f"p{i:03d}", float(i % 5)) for i in range(20)]
-    df = bid_frame(spark, rows)
-    whole = {(r.client, r.product_id): r.predicted_cm_rank
-             for r in bids.rank_percentile(df, split_rows=10**6).collect()}
-    split = {(r.client, r.product_id): r.predicted_cm_rank
-             for r in bids.rank_percentile(df, buckets=8, split_rows=50).collect()}
-    assert whole == split
-    assert sorted(v for (c, _), v in whole.items() if c == "zen") == list(range(1, 21))
+def test_rank_percentile_keeps_null_keys(spark):
+    df = bid_frame(spark, [("acme", "a", 1.0), ("acme", "b", 2.0)]).unionByName(
+        bid_frame(spark, [("acme", "c", 3.0)]).withColumn("client", F.lit(None).cast("string")))
+    got = {(r.client, r.product_id): r.predicted_cm_rank for r in bids.rank_percentile(df).collect()}
+    assert got == {("acme", "b"): 1, ("acme", "a"): 2, (None, "c"): 1}
+
+
+def test_pick_counts_displayed_products(spark):
+    shown = spark.createDataFrame([("acme", DAY, 1, "a"), ("acme", DAY, 3, "b"), ("acme", DAY, 5, "c"),
+                                   ("zen", DAY, 2, "d")], "client string, date date, rank int, product_id string")
+    assert [r.product_id for r in bids.pick_product(shown, 2).collect()] == ["c"]
 
 
 def test_tiers_partition_integer_percentiles(spark):
@@ -132,24 +133,3 @@ def test_tiers_partition_integer_percentiles(spark):
     assert all(got[p] == f"tier_{(p + 4) // 5}" for p in range(1, 101))
     assert sorted({t for t in got.values()}, key=lambda t: int(t[5:])) == \
         [f"tier_{i}" for i in range(1, 21)]
-
-
-def test_count_below_is_a_binary_search(spark):
-    import bisect
-    rng = random.Random(5)
-    rows = []
-    for _ in range(300):
-        q = sorted(rng.choice([0.0, 1.0, 1.0, 2.5, 3.0, 7.0, 9.0]) for _ in range(rng.randint(0, 20)))
-        rows.append((q, rng.choice([-1.0, 0.0, 1.0, 1.5, 2.5, 3.0, 8.0, 10.0])))
-    df = spark.createDataFrame(rows, "q array<double>, v double")
-    got = df.select("q", "v", bids._count_below(F.col("q"), F.col("v"), 6).alias("n")).collect()
-    assert all(r.n == bisect.bisect_left(r.q, r.v) for r in got)
-
-
-def test_rank_blocks_grow_with_the_hot_group(spark):
-    rows = [("acme", f"p{i:04d}", float(i % 97)) for i in range(700)]
-    df = bid_frame(spark, rows)
-    got = {r.product_id: r.predicted_cm_rank
-           for r in bids.rank_percentile(df, buckets=2, split_rows=20).collect()}
-    exp = sorted(rows, key=lambda r: (-r[2], r[1]))
-    assert got == {r[1]: i + 1 for i, r in enumerate(exp)}

@@ -127,18 +127,3 @@ def test_load_index_scans_only_query_buckets(spark, tmp_dir):
              text.search(postings, doc_len, qt, "bm25").collect()}
     pruned = {(r.doc_id, round(r.score, 9)) for r in text.search(p, dl, qt, "bm25").collect()}
     assert whole == pruned
-
-
-def test_bounded_broadcast_checks_rows(spark):
-    from pyspark.sql import functions as F
-    from vigil.operators.joins import bounded_broadcast
-    big = spark.range(0, 1000).withColumn("v", F.col("id") * 2)
-    small = spark.range(0, 10).withColumn("w", F.col("id"))
-
-    def hinted(df):
-        return "broadcast" in df._jdf.queryExecution().logical().toString().lower()
-
-    assert hinted(bounded_broadcast(small, max_rows=10))
-    assert not hinted(bounded_broadcast(small, max_rows=9))
-    joined = big.join(bounded_broadcast(big, max_rows=100), "id")
-    assert not hinted(joined)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vigil.operators.ordinal import running_offset
+from vigil.operators.rownumber import number_rows
 from vigil.plans import channel, learn, text
 
 
@@ -35,28 +35,24 @@ def test_standardize(spark):
     assert out.std(axis=0, ddof=1) == pytest.approx([1, 1])
 
 
-def test_running_offset_matches_global_numbering(spark):
+def test_number_rows_per_key_with_null_keys_and_one_shared_value(spark):
     df = spark.range(0, 3000).select(
-        (F.col("id") % 3).alias("k"), F.col("id"), (F.col("id") * 7919 % 3000).alias("v"))
-    got = running_offset(df.withColumn("blk", F.floor(F.col("v") / 100)), ["k"], "blk", ["v"])
-    pdf = got.toPandas().sort_values(["k", "v"])
-    for _, g in pdf.groupby("k"):
+        F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), F.col("id") * 10**12 + 7,
+        F.when(F.col("id") % 5 > 0, F.lit(1.0)).alias("v")).toDF("k", "id", "v")
+    got = number_rows(df, [F.asc_nulls_first("v"), F.asc("id")], key=["k"])
+    assert got.columns == ["k", "id", "v", "offset"]
+    pdf = got.toPandas().sort_values(["v", "id"], na_position="first")
+    assert len(pdf) == 3000
+    for _, g in pdf.groupby("k", dropna=False):
         assert list(g.offset) == list(range(len(g)))
 
 
-def test_running_offset_two_levels_equal_one(spark):
-    df = spark.range(0, 5000).select(
-        F.col("id"), (F.col("id") * 7919 % 5000).alias("v"), (F.col("id") % 3 + 1).alias("w"))
-    df = df.withColumn("blk", F.floor(F.col("v") / 10))
-    one = running_offset(df, [], "blk", ["v"], size="w").select("id", "offset")
-    two = running_offset(df, [], "blk", ["v"], size="w",
-                         super_block=lambda b: F.floor(b / 16)).select("id", "offset")
-    assert sorted(one.collect()) == sorted(two.collect())
-    pdf = two.join(df, "id").toPandas().sort_values("v")
+def test_number_rows_sums_sizes_over_sparse_ids(spark):
+    df = spark.range(0, 2000).select(F.xxhash64("id").alias("id"), (F.col("id") % 3 + 1).alias("w"))
+    got = number_rows(df, [F.asc("id")], size="w")
+    pdf = got.toPandas().sort_values("id")
     assert list(pdf.offset) == list(pdf.w.cumsum() - pdf.w)
-    plan = two._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("SinglePartition") >= 1
-
+    assert number_rows(df.limit(0), [F.asc("id")]).count() == 0
 
 def test_island_id_counts_flag_changes(spark):
     from vigil.operators.windows import island_id, ordered, run_length

@@ -42,6 +42,13 @@ def test_rank_models_sorted(spark):
     assert [r.rmse for r in models.rank_models(df).collect()] == [0.1, 0.2, 0.3]
 
 
+def test_a_run_without_rmse_comes_last_and_never_wins(spark):
+    df = evals(spark, [row("m", "1", "x", "gbm", "web", None, "{'bad': 1}"),
+                       row("m", "2", "x", "gbm", "web", 0.5, "{'good': 1}")])
+    assert [(r["rank"], r.rmse) for r in models.rank_models(df).collect()] == [(1, 0.5), (2, None)]
+    assert [(r.variables, r.position) for r in models.importance(df).collect()] == [("good", 1)]
+
+
 def test_comparison_invalid_selection_and_one_sided_variable(spark):
     df = evals(spark, [row("m1", "1", "x", "gbm", "web", 0.5, "{'a': 1, 'b': 3}"),
                        row("m2", "2", "y", "rf", "web", 0.4, "{'a': 2, 'z': 9, 'b': 1}")])

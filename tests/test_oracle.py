@@ -8,7 +8,7 @@ from vigil.plans.catalog import ORACLE, QUERIES
 
 from .conftest import SF_SMALL
 
-NO_SQL = {"mlp_holdout_eval", "word_vectors"}  # iterative trainers
+NO_SQL = {"mlp_holdout_eval"}  # iterative trainer
 
 
 @pytest.fixture(scope="module")

@@ -24,12 +24,10 @@ def test_flagship_exchanges(spark):
 
 def test_top_products_limits_before_the_shuffle(spark):
     p = plan(catalog.QUERIES["daily_top_products"](spark, SF_SMALL))
-    assert "WindowGroupLimit" in p
-    assert p.index("WindowGroupLimit") < len(p)
-    # the partial limit sits below the exchange on (client, date)
-    parts = p.split("Exchange hashpartitioning(client")
-    assert any("WindowGroupLimit" in x and "Partial" in x for x in parts[1:]) or \
-        "Partial" in p
+    # a plan prints parents first: the partial limit sits below the exchange on (client, date)
+    below = p[p.index("Exchange hashpartitioning(client"):]
+    limit = re.search(r"WindowGroupLimit \[client[^\n]*Partial", below)
+    assert limit and re.search(r"WindowGroupLimit \[client[^\n]*Final", p[:p.index(below)])
 
 
 def test_what_if_needs_no_sort(spark):
@@ -38,7 +36,7 @@ def test_what_if_needs_no_sort(spark):
 
 
 def test_small_dimensions_broadcast(spark):
-    p = plan(catalog.QUERIES["rank_models"](spark, SF_SMALL))
+    p = plan(catalog.QUERIES["importance"](spark, SF_SMALL))
     assert "BroadcastHashJoin" in p
     p = plan(catalog.QUERIES["threshold_what_if"](spark, SF_SMALL))
     assert "BroadcastHashJoin" in p
@@ -64,12 +62,13 @@ def test_skipgram_joins_only_edge_tokens(spark):
     assert re.search(r"\(pos#\d+ < 1\) OR \(pos#\d+ >= \(len#\d+ - 1\)\)", p), p
 
 
-def test_rank_percentile_quantiles_only_for_hot_groups(spark):
-    from vigil.plans import bids
-    from vigil.sources import testdata as td
-    # no client-day is hot at this scale: no quantiles at all
+def test_rank_percentile_has_no_window_over_a_client_day(spark):
     p = plan(catalog.QUERIES["bid_rank_percentile"](spark, SF_SMALL))
-    assert "percentile_approx" not in p
-    # hot client-days: quantiles after a semi join with them only
-    p = plan(bids.rank_percentile(td.bid_changes(spark, SF_SMALL), buckets=8, split_rows=1))
-    assert "percentile_approx" in p and "LeftSemi" in p
+    # the only windows run over one total per (partition, client, date)
+    assert p.count("Window ") <= 1 and "percentile_approx" not in p
+
+
+def test_comparison_filters_before_it_aggregates(spark):
+    p = plan(catalog.QUERIES["compare_importance"](spark, SF_SMALL))
+    # a plan prints parents first: below the aggregation stands the selection
+    assert "nation_9" in p[p.index("min_by"):]

@@ -121,15 +121,6 @@ def test_search_cosine_self_match_is_one(spark):
     assert top.doc_id == 0 and top.score == pytest.approx(1.0)
 
 
-def test_word_vectors_unit_norm(spark):
-    dt = text.doc_tokens(docs(spark, ["a b c a b c d e"] * 5))
-    vec = text.word_vectors(dt, dim=8).collect()
-    assert len(vec) == 5
-    for r in vec:
-        assert len(r.vector) == 8
-        assert sum(x * x for x in r.vector) == pytest.approx(1.0)
-
-
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_skipgram_matches_brute_force_on_short_documents(spark, seed):
     import random

@@ -7,12 +7,10 @@ details, threshold what-if, and prediction-tier summaries.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.joins import bounded_broadcast
 
 # Fixed values of the source application.
 TOP_K = 5
@@ -76,10 +74,8 @@ def daily_top_products(bids: DataFrame, config: DataFrame, catalog: DataFrame,
         src = src.where(F.col("client") == client)
     if date is not None:
         src = src.where(F.col("date") == F.lit(date).cast("date"))
-    # one configuration row per client: broadcast once its size is checked
     top = top_products(src, k).join(
-        bounded_broadcast(config.select(F.col("short_name").alias("client"), "site_id")),
-        "client")
+        config.select(F.col("short_name").alias("client"), "site_id"), "client")
     if client is not None and date is not None:
         top = F.broadcast(top)
     cat = catalog_fields(catalog)
@@ -90,8 +86,12 @@ def daily_top_products(bids: DataFrame, config: DataFrame, catalog: DataFrame,
 
 
 def pick_product(top: DataFrame, n: int) -> DataFrame:
-    """The n-th displayed product (0-based, as the form numbers them)."""
-    return top.where(F.col("rank") == n + 1)
+    """The n-th displayed product of each client-day (0-based, as the form
+    numbers them); ranks may have gaps, displayed places have none. A
+    client-day displays at most the top k."""
+    shown = Window.partitionBy("client", "date").orderBy("rank", "product_id")
+    return (top.withColumn("_shown", F.row_number().over(shown))
+            .where(F.col("_shown") == n + 1).drop("_shown"))
 
 
 # ------------------------------------------------------------------ M14
@@ -126,8 +126,8 @@ def threshold_what_if(bids: DataFrame, config: DataFrame, client: str | None = N
         src = src.where(F.col("date") == F.lit(date).cast("date"))
     counts = src.groupBy("client", "date").agg(
         F.count(F.lit(1)).alias("n"), F.count("prediction").alias("n_ranked"))
-    cfg = bounded_broadcast(config.select(F.col("short_name").alias("client"),
-                                          F.col("percent_prediction_threshold").alias("current")))
+    cfg = config.select(F.col("short_name").alias("client"),
+                        F.col("percent_prediction_threshold").alias("current"))
     g = F.array(*[F.lit(float(x)) for x in grid])
     out = counts.join(cfg, "client").select(
         "client", "date", "n", "n_ranked", F.explode(g).alias("factor"), "current")
@@ -137,65 +137,27 @@ def threshold_what_if(bids: DataFrame, config: DataFrame, client: str | None = N
                                    F.col("threshold")).alias("increases"))
 
 
-RANK_BUCKETS = 64        # fewest blocks a hot client-day is cut into
-SPLIT_ROWS = 1_000_000   # a (client, date) above this is ranked in blocks of about this size
-
-
-def _count_below(q: F.Column, v: F.Column, steps: int) -> F.Column:
-    """Number of elements of the ascending array ``q`` below ``v``: a binary
-    search in ``steps`` halvings (O(log n) per row, not a scan of ``q``)."""
-    def step(acc, _):
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        right = F.try_element_at(q, mid + 1) < v
-        nxt = F.when(right, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"))) \
-            .otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
-        return F.when(acc["lo"] < acc["hi"], nxt).otherwise(acc)
-    init = F.struct(F.lit(0).alias("lo"), F.size(q).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
-
-
-def rank_percentile(bids: DataFrame, buckets: int = RANK_BUCKETS,
-                    split_rows: int = SPLIT_ROWS) -> DataFrame:
+def rank_percentile(bids: DataFrame) -> DataFrame:
     """Per-row rank and percentile within (client, date): prediction
     descending, ties by arrival (file path, then product id); a NULL
     prediction gets a NULL rank but counts in the denominator.
 
-    Exact ranks without sorting a hot (client, date) in one task: a group
-    of more than ``split_rows`` rows is cut into blocks at its approximate
-    prediction quantiles (equal predictions always share a block, so the
-    order is kept); every other group is one block. The block count grows
-    with the largest hot group (one number read on the driver) so blocks
-    hold about ``split_rows`` rows, at least ``buckets`` of them. Rows are
-    numbered inside (group, block) and block sizes are prefix-summed. With
-    no hot group no quantiles are computed at all.
+    Ranked rows are numbered over range partitions of the whole order, so a
+    hot (client, date), or one prediction shared by all its rows, is spread
+    over many tasks.
     """
-    from ..operators.ordinal import running_offset
+    from ..operators.rownumber import number_rows
     tie = [c for c in ("file_path",) if c in bids.columns] + ["product_id"]
     keys = ["client", "date"]
-    counts = bids.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > split_rows).select(*keys, "_n")
-    largest = hot.agg(F.max("_n")).first()[0]
-    ranked_src = bids.where(F.col("prediction").isNotNull())
-    if largest is None:
-        ranked_src = ranked_src.join(counts, keys).withColumn("_blk", F.lit(0))
-    else:
-        n_blocks = max(buckets, 1 << math.ceil(math.log2(math.ceil(largest / split_rows))))
-        fr = [i / n_blocks for i in range(1, n_blocks)]
-        qs = (bids.join(hot.select(*keys), keys, "left_semi").groupBy(*keys)
-              .agg(F.percentile_approx("prediction", fr, max(10000, 4 * n_blocks)).alias("_q")))
-        steps = math.ceil(math.log2(n_blocks)) + 1
-        blk = F.coalesce(-_count_below(F.col("_q"), F.col("prediction"), steps), F.lit(0))
-        ranked_src = (ranked_src.join(counts.join(qs, keys, "left"), keys)
-                      .withColumn("_blk", blk))
-    ranked = running_offset(ranked_src, keys, "_blk",
-                            [F.desc("prediction"), *[F.col(c) for c in tie]], out="_off")
-    ranked = ranked.select(*bids.columns, "_n",
-                           (F.col("_off") + 1).cast("int").alias("predicted_cm_rank"))
-    unranked = bids.where(F.col("prediction").isNull()).join(counts, keys).select(
-        *bids.columns, "_n", F.lit(None).cast("int").alias("predicted_cm_rank"))
-    out = ranked.unionByName(unranked)
-    return out.withColumn("predicted_cm_percentile",
-                          F.col("predicted_cm_rank") / F.col("_n")).drop("_n")
+    # the NULL predictions of a (client, date) come last and take no rank
+    numbered = number_rows(bids, [F.desc_nulls_last("prediction"), *[F.asc_nulls_first(c) for c in tie]],
+                           key=keys, out="_off")
+    rank = F.when(F.col("prediction").isNotNull(), (F.col("_off") + 1).cast("int"))
+    counts = bids.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    on = F.col("client").eqNullSafe(F.col("_client")) & F.col("date").eqNullSafe(F.col("_date"))
+    out = numbered.join(counts, on).withColumn("predicted_cm_rank", rank)
+    return out.withColumn("predicted_cm_percentile", F.col("predicted_cm_rank") / F.col("_n")).select(
+        *bids.columns, "predicted_cm_rank", "predicted_cm_percentile")
 
 
 # ------------------------------------------------------------------ M15

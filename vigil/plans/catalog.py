@@ -246,7 +246,7 @@ from . import text  # noqa: E402
 
 
 def _docs(spark, sf_dir):
-    return td.spread(td.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return td.table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def _doc_tokens(spark, sf_dir):
@@ -359,7 +359,7 @@ def q_batch_gradient(spark, sf_dir):
 
 
 # Fixed values of the source's training scripts.
-HOLDOUT = 1000  # the last 1,000 rows are held out
+HOLDOUT = 100  # the last 100 rows are held out
 BATCH = 32      # mini-batch size; the incomplete last batch is dropped
 
 
@@ -399,13 +399,13 @@ def q_mlp_holdout_eval(spark, sf_dir):
                              .alias("accuracy")))
 
 
-@register("word_vectors")
-def q_word_vectors(spark, sf_dir):
-    """Unit word vectors from Spark ML Word2Vec (not SQL-expressible)."""
-    vec = text.word_vectors(_doc_tokens(spark, sf_dir), dim=16)
-    return vec.select("word", F.size("vector").alias("dim"),
-                      F.round(F.sqrt(F.aggregate("vector", F.lit(0.0),
-                                                 lambda a, x: a + x * x)), 6).alias("norm"))
+@register("unit_embeddings", sqlgen.unit_embeddings_sql())
+def q_unit_embeddings(spark, sf_dir):
+    """every vector divided by its Euclidean norm, one row per component."""
+    from ..functions.expr import l2_normalize
+    e = td.table(spark, sf_dir, "embeddings")
+    unit = e.select("vec_id", l2_normalize(F.col("embedding").cast("array<double>")).alias("u"))
+    return finalize(unit.select("vec_id", F.posexplode("u").alias("i", "value")))
 
 
 # ---------------------------------------------------------------- timesheet

@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import half_even, nan_to_null, ratio, ratio_or_zero
-from ..operators.joins import bounded_broadcast
 from ..operators.windows import ordered, rolling_mean, rolling_sum, run_length, whole
 from ..sources.testdata import date_id
 
@@ -89,7 +88,7 @@ def select_clients(facts: DataFrame, clients) -> DataFrame:
     if isinstance(clients, DataFrame):
         name = "short_name" if "short_name" in clients.columns else "client"
         reg = clients.select(F.col(name).alias("client")).distinct()
-        return facts.join(bounded_broadcast(reg), "client", "left_semi")
+        return facts.join(reg, "client", "left_semi")
     return facts.where(F.col("client").isin(list(clients)))
 
 

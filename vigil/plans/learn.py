@@ -104,14 +104,12 @@ def holdout_flag(df: DataFrame, key: str, last: int) -> F.Column:
 def mini_batches(df: DataFrame, key: str, batch: int) -> DataFrame:
     """Batch number floor(row / batch) in ``key`` order; the incomplete last
     batch is dropped."""
-    from ..operators.ordinal import running_offset
-    blk = F.floor(F.col(key) / (batch * 64))
-    numbered = running_offset(df.withColumn("_blk", blk), [], "_blk", [key], out="_row",
-                              super_block=lambda b: F.floor(b / 1024))
+    from ..operators.rownumber import number_rows
+    numbered = number_rows(df, [F.asc_nulls_first(key)], out="_row")
     n = df.select(F.count(F.lit(1))).scalar()
     full = F.floor(n / batch)
     return (numbered.withColumn("batch", F.floor(F.col("_row") / batch))
-            .where(F.col("batch") < full).drop("_blk", "_row"))
+            .where(F.col("batch") < full).drop("_row"))
 
 
 # ------------------------------------------------------------------ M23

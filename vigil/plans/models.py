@@ -10,14 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.rownumber import number_rows
+
 # Fixed values of the source application.
 INVALID = "Invalid selection, please try again"
 METRIC_FIELDS = ["training", "testing", "rmse", "start", "end"]
 
 
 def rank_models(evals: DataFrame) -> DataFrame:
-    """All models by RMSE ascending (a distributed range-partitioned sort)."""
-    return evals.select("model_id", "short_name", "type", "rmse").orderBy("rmse", "model_id")
+    """All models with their ``rank`` by RMSE ascending, NULL last (numbered
+    over range partitions), then model id."""
+    order = [F.asc_nulls_last("rmse"), F.asc_nulls_first("model_id")]
+    ranked = number_rows(evals.select("model_id", "short_name", "type", "rmse"), order, out="rank")
+    return ranked.withColumn("rank", (F.col("rank") + 1).cast("int")).orderBy("rank")
 
 
 def parse_vi(vi) -> F.Column:
@@ -35,21 +40,23 @@ def parse_vi(vi) -> F.Column:
 
 
 def best_runs(evals: DataFrame, keys: list[str]) -> DataFrame:
-    """The smallest (rmse, model_id) row per key, as an aggregate (map-side
-    partial min, so a key holding a third of all rows is still one small
-    combine per split)."""
+    """The smallest (rmse, model_id) row per key, a NULL rmse last, as an
+    aggregate (map-side partial min, so a key holding a third of all rows is
+    still one small combine per split)."""
     best = F.min_by(F.struct(*[F.col(c) for c in evals.columns]),
-                    F.struct("rmse", "model_id"))
+                    F.struct(F.col("rmse").isNull(), F.col("rmse"), F.col("model_id")))
     return evals.groupBy(*keys).agg(best.alias("r")).select("r.*")
 
 
 def importance(evals: DataFrame, model: str | None = None) -> DataFrame:
-    """(model, variables, importance) of each model's best run, ordered by
-    importance descending (NULL last), then name."""
+    """(model, variables, importance, position) of each model's best run,
+    ordered by importance descending (NULL last), then name."""
     src = evals if model is None else evals.where(F.col("model") == model)
     best = best_runs(src, ["model"])
     out = best.select("model", F.explode(parse_vi("vi")).alias("variables", "importance"))
-    return out.orderBy("model", F.desc_nulls_last("importance"), "variables")
+    # one run's map holds a bounded handful of variables
+    w = Window.partitionBy("model").orderBy(F.desc_nulls_last("importance"), "variables")
+    return out.withColumn("position", F.row_number().over(w)).orderBy("model", "position")
 
 
 def comparison_choices(evals: DataFrame) -> DataFrame:
@@ -67,11 +74,16 @@ def _selections(spark: SparkSession, sel_a, sel_b) -> DataFrame:
         "side string, sel_short_name string, sel_type string, sel_ud string")
 
 
-def _selected(evals: DataFrame, sel: DataFrame) -> DataFrame:
+def _selected(evals: DataFrame, *picks) -> DataFrame:
     """One row per side: its first matching run or NULLs (left join from the
-    two-row selection frame; the eval side is reduced to one row per
-    (short_name, type, ud) before the join)."""
-    best = best_runs(evals, ["short_name", "type", "ud"])
+    two-row selection frame; only runs of the two selections are scanned on
+    and reduced to one row each before the join)."""
+    wanted = F.lit(False)
+    for short, typ, ud in picks:
+        wanted = wanted | ((F.col("short_name") == short) & (F.col("type") == typ)
+                           & (F.col("ud") == ud))
+    best = best_runs(evals.where(wanted), ["short_name", "type", "ud"])
+    sel = _selections(evals.sparkSession, *picks)
     cond = ((sel.sel_short_name == best.short_name) & (sel.sel_type == best.type)
             & (sel.sel_ud == best.ud))
     return sel.join(best, cond, "left")
@@ -81,8 +93,7 @@ def compare_metrics(evals: DataFrame, sel_a, sel_b) -> DataFrame:
     """(side, model, field, value): the five run metrics of each selection,
     transposed to rows; a selection without a match gives one row
     holding the invalid-selection message."""
-    spark = evals.sparkSession
-    s = _selected(evals, _selections(spark, sel_a, sel_b))
+    s = _selected(evals, sel_a, sel_b)
     fields = F.array(*[
         F.struct(F.lit(f).alias("field"),
                  (F.format_string("%.5f", F.col(f)) if f == "rmse" else F.col(f).cast("string"))
@@ -105,8 +116,7 @@ def compare_importance(evals: DataFrame, sel_a, sel_b, lead: str | None = "left"
     mirrors it; ``None`` numbers each side on its own. A selection without
     a match gives one row holding the invalid-selection message.
     """
-    spark = evals.sparkSession
-    s = _selected(evals, _selections(spark, sel_a, sel_b))
+    s = _selected(evals, sel_a, sel_b)
     kv = s.select("side", F.explode_outer(parse_vi("vi")).alias("variables", "importance"),
                   F.col("model"))
     # one selection's map holds a bounded handful of variables

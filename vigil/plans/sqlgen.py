@@ -290,7 +290,7 @@ MODEL_EVAL = f"""
          CAST(s.s_suppkey AS VARCHAR) AS model_id, lower(n.n_name) AS short_name,
          {_pick(td.MODEL_TYPES, 's.s_suppkey % 3 + 1')} AS type,
          {_pick(td.PLATFORMS, 's.s_suppkey % 2 + 1')} AS ud,
-         abs(s.s_acctbal) / 1000 AS rmse,
+         CASE WHEN s.s_suppkey % 13 <> 0 THEN abs(s.s_acctbal) / 1000 END AS rmse,
          '{{''price'': ' || CAST((s.s_suppkey * 37) % 100 AS VARCHAR)
            || CASE WHEN s.s_suppkey % 5 = 0 THEN ', u''brand'': ' ELSE ', ''brand'': ' END
            || CAST((s.s_suppkey * 53) % 100 AS VARCHAR)
@@ -318,15 +318,16 @@ def vi_pairs(src: str, keys: str) -> str:
 
 
 def rank_models_sql() -> str:
-    inner = f"WITH me AS ({MODEL_EVAL})\nSELECT model_id, short_name, type, rmse FROM me"
-    return final(inner, [("model_id", "s"), ("short_name", "s"), ("type", "s"), ("rmse", "f")])
+    inner = f"WITH me AS ({MODEL_EVAL})\nSELECT *, row_number() OVER (ORDER BY rmse NULLS LAST, model_id) AS rank FROM me"
+    return final(inner, [("model_id", "s"), ("short_name", "s"), ("type", "s"), ("rmse", "f"), ("rank", "n")])
 
 
 def importance_sql() -> str:
     inner = (f"WITH me AS ({MODEL_EVAL}),\n"
-             f"best AS (SELECT model, first(vi ORDER BY rmse, model_id) AS vi FROM me GROUP BY model)\n"
-             f"{vi_pairs('best', 'model')}")
-    return final(inner, [("model", "s"), ("variables", "s"), ("importance", "f")])
+             f"best AS (SELECT model, first(vi ORDER BY rmse NULLS LAST, model_id) AS vi FROM me GROUP BY model)\n"
+             f"SELECT *, row_number() OVER (PARTITION BY model ORDER BY importance DESC NULLS LAST, variables)"
+             f" AS position FROM ({vi_pairs('best', 'model')}) AS v")
+    return final(inner, [("model", "s"), ("variables", "s"), ("importance", "f"), ("position", "n")])
 
 
 def choices_sql() -> str:
@@ -339,7 +340,7 @@ def choices_sql() -> str:
 def _selected_ctes(sel_a, sel_b) -> str:
     return f"""me AS ({MODEL_EVAL}),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY short_name, type, ud
-                                                   ORDER BY rmse, model_id) AS rn FROM me) AS x
+                                                   ORDER BY rmse NULLS LAST, model_id) AS rn FROM me) AS x
          WHERE rn = 1),
 sel AS (SELECT * FROM (VALUES ('a', '{sel_a[0]}', '{sel_a[1]}', '{sel_a[2]}'),
                               ('b', '{sel_b[0]}', '{sel_b[1]}', '{sel_b[2]}'))
@@ -432,24 +433,23 @@ SELECT t.client, t.date, t.rank, t.product_id, cat.brand, cat.category, cat.pric
 FROM top t JOIN cfg ON t.client = cfg.short_name
 JOIN cat ON cat.site_id = cfg.site_id AND cat.product_id = t.product_id"""
     if pick is not None:
-        inner += f"\nWHERE t.rank = {pick + 1}"
+        inner = (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client, date ORDER BY rank, product_id)"
+                 f" AS shown FROM ({inner}) AS d) AS s WHERE shown = {pick + 1}")
     return final(inner, [("client", "s"), ("date", "d"), ("rank", "n"), ("product_id", "s"),
                          ("brand", "s"), ("category", "s"), ("price", "s"), ("cost", "s"),
                          ("title", "s"), ("image_url", "s")])
 
 
 def threshold_sql(grid) -> str:
-    c = "least(n_ranked, greatest(0, CAST(floor(threshold * n) AS BIGINT) + 1))"
-    for _ in range(2):
-        c = f"(CASE WHEN {c} > 0 AND CAST({c} AS DOUBLE) / n >= threshold THEN {c} - 1 ELSE {c} END)"
+    """Ranks every row and counts the percentiles under each threshold."""
     g = ", ".join(f"CAST({float(x)!r} AS DOUBLE)" for x in grid)
     inner = f"""WITH bids AS ({BIDS}), cfg AS ({SITE_CONFIG}),
-counts AS (SELECT client, date, CAST(count(*) AS DOUBLE) AS n, count(prediction) AS n_ranked
-           FROM bids GROUP BY 1, 2),
-grid AS (SELECT c.client, c.date, c.n, c.n_ranked,
-                unnest([{g}]) * cfg.percent_prediction_threshold AS threshold
-         FROM counts c JOIN cfg ON c.client = cfg.short_name)
-SELECT client, date, threshold, {c} AS increases FROM grid"""
+ranked AS (SELECT client, date, CASE WHEN prediction IS NOT NULL THEN
+                  CAST(row_number() OVER (PARTITION BY client, date ORDER BY prediction DESC NULLS LAST, product_id)
+                       AS DOUBLE) / count(*) OVER (PARTITION BY client, date) END AS percentile FROM bids),
+grid AS (SELECT short_name AS client, unnest([{g}]) * percent_prediction_threshold AS threshold FROM cfg)
+SELECT r.client, r.date, threshold, count(*) FILTER (percentile < threshold) AS increases
+FROM ranked r JOIN grid ON r.client = grid.client GROUP BY ALL"""
     return final(inner, [("client", "s"), ("date", "d"), ("threshold", "f"), ("increases", "i")])
 
 
@@ -694,3 +694,10 @@ SELECT client, date, product_id, prediction,
 FROM bids"""
     return final(inner, [("client", "s"), ("date", "d"), ("product_id", "s"), ("prediction", "f"),
                          ("predicted_cm_rank", "n"), ("predicted_cm_percentile", "f")])
+
+
+def unit_embeddings_sql() -> str:
+    inner = """SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i,
+       CAST(unnest(embedding) AS DOUBLE) / sqrt(list_sum([CAST(x AS DOUBLE) * x FOR x IN embedding])) AS value
+FROM embeddings"""
+    return final(inner, [("vec_id", "i"), ("i", "n"), ("value", "f")])

@@ -13,12 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import l2_normalize
 from ..functions.text import decode_bytes, tokens
-from ..operators.ordinal import running_offset
+from ..operators.rownumber import number_rows
 
 UNK = "UNK"
-DOC_BLOCK = 1024          # documents per block of the position prefix sums
 BM25_K1 = 1.2
 BM25_B = 0.75
 TOP_DOCS = 10
@@ -54,19 +52,13 @@ def build_vocabulary(toks: DataFrame, n_words: int | None = None) -> DataFrame:
     tokens left out. ``n_words=None`` uses the distinct word count, so
     exactly one (the rarest) word becomes UNK, as the trainer did.
 
-    The frequency rank is exact and distributed: words are blocked by
-    (count, first two characters), numbered inside a block, and block
-    totals are prefix-summed. The ranked words (one row per distinct word)
-    are checkpointed once, so the token counts are aggregated once for the
+    The frequency rank is exact and distributed: words are range-partitioned
+    by (count descending, word) and numbered over the partitions. The
+    counts (one row per distinct word) are checkpointed by that once, for the
     limit, the vocabulary rows and the UNK row.
     """
-    from ..operators.materialize import materialize
-    counts = word_counts(toks)
-    blocked = counts.select("word", "n", F.struct(
-        (-F.col("n")).alias("negn"), F.substring("word", 1, 2).alias("pre")).alias("blk"))
-    ranked = materialize(running_offset(blocked, [], "blk", ["word"], out="off",
-                                        super_block=lambda b: b.getField("negn"))
-                         .select("word", (F.col("off") + 1).alias("id"), "n"))
+    ranked = number_rows(word_counts(toks), [F.desc("n"), F.asc("word")], out="off").select(
+        "word", (F.col("off") + 1).alias("id"), "n")
     if n_words is None:
         limit = ranked.select(F.count(F.lit(1))).scalar() - 1
     else:
@@ -99,13 +91,11 @@ def place_documents(doc_toks: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, words, len, start): each document's place in the one token
     stream formed by all documents in ``key`` order.
 
-    The block prefix sums run on the document rows themselves (carrying
-    their token arrays), so no document-level rejoin is needed.
+    Documents are range-partitioned by id and written once with their
+    token arrays; lengths are summed over the partitions.
     """
-    docs = doc_toks.select(key, "words", F.size("words").alias("len"),
-                           F.floor(F.col(key) / DOC_BLOCK).alias("blk"))
-    return running_offset(docs, [], "blk", [key], size="len", out="start",
-                          super_block=lambda b: F.floor(b / DOC_BLOCK)).drop("blk")
+    docs = doc_toks.select(key, "words", F.size("words").alias("len"))
+    return number_rows(docs, [F.asc_nulls_first(key), F.xxhash64("words")], size="len", out="start")
 
 
 def positioned_tokens(doc_toks: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -170,28 +160,6 @@ def skipgram_pairs(doc_toks: DataFrame, vocab: DataFrame, window: int = 1,
     return inside.unionByName(outward.join(targets, "t").select("center", "context"))
 
 
-# ------------------------------------------------------------------ M19
-
-def word_vectors(doc_toks: DataFrame, dim: int = 64, seed: int = 1, window: int = 1,
-                 max_iter: int = 1, num_partitions: int | None = None) -> DataFrame:
-    """(word, vector) unit vectors from Spark ML Word2Vec (skip-gram with
-    hierarchical softmax; the source trained skip-gram with NCE, so values
-    differ, shapes and norms do not).
-
-    ``doc_toks`` holds one token array per document (``doc_tokens``); the
-    trainer runs on ``num_partitions`` partitions (default: the session's
-    parallelism) instead of Spark ML's default of one.
-    """
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-    parts = num_partitions or doc_toks.sparkSession.sparkContext.defaultParallelism
-    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=1, stepSize=0.01,
-                     seed=seed, maxIter=max_iter, numPartitions=parts,
-                     inputCol="words").fit(doc_toks.select("words"))
-    return model.getVectors().select(
-        "word", l2_normalize(vector_to_array("vector")).alias("vector"))
-
-
 # ------------------------------------------------------------------ M20
 
 def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id"):

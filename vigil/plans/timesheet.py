@@ -1,10 +1,9 @@
 """Time sheets: pair the k-th start of a key with its k-th end.
 
 The source zipped two lists by position and kept the longer list's tail
-(unequal lengths give NULL ends or starts). Here ordinals come from block
-prefix sums (block = hour of the time stamp), so a key with a third of all
-rows is still numbered by many tasks, and the pairing is a full outer equi-join on
-(key, k).
+(unequal lengths give NULL ends or starts). Here ordinals are numbered over
+range partitions, so a key with a third of all rows is still numbered by
+many tasks, and the pairing is a full outer null-safe join on (key, k).
 """
 
 from __future__ import annotations
@@ -12,14 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordinal import running_offset
+from ..operators.rownumber import number_rows
 
 
 def ordinals(df: DataFrame, key: str, ts: str, order: list[str], out: str = "k") -> DataFrame:
-    """1-based ordinal of each row within ``key`` by (ts, *order)."""
-    blk = df.withColumn("_hour", F.date_trunc("hour", F.col(ts)))
-    n = running_offset(blk, [key], "_hour", [ts, *order], out="_off")
-    return n.withColumn(out, (F.col("_off") + 1).cast("bigint")).drop("_hour", "_off")
+    """1-based ordinal of each row within ``key`` by (ts, *order), NULL times first."""
+    n = number_rows(df, [F.asc_nulls_first(c) for c in (ts, *order)], key=[key], out="_off")
+    return n.withColumn(out, F.col("_off") + 1).drop("_off")
 
 
 def timesheet(starts: DataFrame, ends: DataFrame, key: str = "key",
@@ -30,9 +28,13 @@ def timesheet(starts: DataFrame, ends: DataFrame, key: str = "key",
     """
     order = order or []
     s = ordinals(starts, key, "start", order).select(
-        key, "k", F.col("project").alias("Project"), F.col("start").alias("Start"))
-    e = ordinals(ends, key, "end", order).select(key, "k", F.col("end").alias("End"))
-    j = s.join(e, [key, "k"], "full_outer")
+        F.col(key), "k", F.col("project").alias("Project"), F.col("start").alias("Start"))
+    e = ordinals(ends, key, "end", order).select(
+        F.col(key).alias("_key"), F.col("k").alias("_k"), F.col("end").alias("End"))
+    # k is never NULL, so it tells the sides that have no partner
+    j = (s.join(e, s[key].eqNullSafe(e["_key"]) & (s["k"] == e["_k"]), "full_outer")
+         .select(F.when(F.col("k").isNull(), F.col("_key")).otherwise(F.col(key)).alias(key),
+                 F.coalesce("k", "_k").alias("k"), "Project", "Start", "End"))
     spent = F.timestamp_diff("MICROSECOND", F.col("Start"), F.col("End")) / 1e6
     return j.select(key, "k", "Project", "Start", "End", spent.alias("Time Spent"))
 

@@ -43,9 +43,10 @@ def model_eval_path(folder: str, as_of) -> str:
 
 def read_model_eval(spark: SparkSession, folder: str, as_of) -> DataFrame:
     """The evaluation file of day ``as_of`` (explicit schema, header row)."""
-    return (spark.read.schema(MODEL_EVAL_SCHEMA).option("header", True)
+    rows = (spark.read.schema(MODEL_EVAL_SCHEMA).option("header", True)
             .option("quote", '"').option("escape", '"')
             .csv(model_eval_path(folder, as_of)))
+    return rows.withColumn("rmse", F.nanvl("rmse", F.lit(None).cast("double")))
 
 
 # ------------------------------------------------------------------ S6, S7
@@ -91,7 +92,9 @@ def bid_file_headers(spark: SparkSession, root: str, client: str = "*",
 
 def read_bid_changes(spark: SparkSession, root: str, client: str = "*",
                      date: str = "*") -> DataFrame:
-    """(client, date, product_id, prediction, file_path) of all readable parts.
+    """(client, date, product_id, prediction, file_path, other columns) of all
+    readable parts; a column that a part lacks is NULL there, and a NaN
+    prediction is NULL.
 
     Parts are grouped by their header so that columns bind by name, not by
     position (a reordered header stays aligned); one CSV read per distinct
@@ -109,8 +112,7 @@ def read_bid_changes(spark: SparkSession, root: str, client: str = "*",
                                              else T.StringType()) for c in cols])
         df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
               .csv(paths)
-              .select(F.col("product_id"), F.col("prediction"),
-                      F.col("_metadata.file_path").alias("file_path")))
+              .select("*", F.col("_metadata.file_path").alias("file_path")))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
         return spark.createDataFrame(
@@ -119,7 +121,9 @@ def read_bid_changes(spark: SparkSession, root: str, client: str = "*",
     return out.select(
         F.regexp_extract("file_path", BID_PATH, 1).alias("client"),
         F.to_date(F.regexp_extract("file_path", BID_PATH, 2)).alias("date"),
-        "product_id", "prediction", "file_path")
+        "product_id", F.nanvl("prediction", F.lit(None).cast("double")).alias("prediction"),
+        "file_path", *sorted(c for c in out.columns if c not in
+                             ("client", "date", "product_id", "prediction", "file_path")))
 
 
 # ------------------------------------------------------------------ S10
