@@ -51,15 +51,25 @@ def finalize(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- sources
 
+EVENTS_LOOKBACK = 60      # the longest look-back of a query over events
+HISTORY_LOOKBACK = 2600  # the whole 2,499-day lineitem history
+
+
 def events_sources(spark: SparkSession, sf_dir: str):
+    """Facts of the look-back only: the bound is on the stored time stamp, so
+    it reaches the scan, before the day key is derived from it."""
     ev = td.table(spark, sf_dir, "events")
-    return td.ad_facts(ev), td.site_facts(ev), td.d_date(ev, "ts")
+    ev = ev.where(td.day_bounds("ts", td.EVENTS_AS_OF, EVENTS_LOOKBACK))
+    return td.ad_facts(ev), td.site_facts(ev), td.calendar(spark, td.EVENTS_AS_OF, EVENTS_LOOKBACK)
 
 
 def history_sources(spark: SparkSession, sf_dir: str):
-    lines = td.history_lines(spark, sf_dir)
-    li = td.table(spark, sf_dir, "lineitem")
-    return td.history_ad_facts(lines), td.history_site_facts(lines), td.d_date(li, "l_shipdate")
+    """One join and one aggregation of the history serve both fact tables:
+    its client-days are checkpointed (days x market segments)."""
+    from ..operators.materialize import materialize
+    days = materialize(td.history_days(td.history_lines(spark, sf_dir)))
+    return (td.history_ad_facts(days), td.history_site_facts(days),
+            td.calendar(spark, td.HISTORY_AS_OF, HISTORY_LOOKBACK))
 
 
 # ---------------------------------------------------------------- channel
@@ -69,9 +79,6 @@ DAILY_KINDS = ([("client", "s"), ("Date", "d"), ("revenue", "f"), ("orders", "i"
                 ("site_revenue", "f")]
                + [(c, "f") for c in channel.DAILY_COLUMNS[9:]])
 
-HISTORY_LOOKBACK = 2600  # the whole 2,499-day lineitem history
-
-
 @register("channel_daily", sqlgen.daily_sql("events", td.EVENTS_AS_OF, 60, DAILY_KINDS))
 def q_channel_daily(spark, sf_dir):
     ad, site, dd = events_sources(spark, sf_dir)

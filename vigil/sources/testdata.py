@@ -10,6 +10,8 @@ grows with them. Each derivation has a twin in ``vigil.plans.sqlgen``
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,21 @@ def d_date(df: DataFrame, ts: str) -> DataFrame:
             .select(date_id("full_date").alias("id"), "full_date"))
 
 
+def day_bounds(ts: str, as_of: str, lookback: int) -> F.Column:
+    """Whether a time stamp lies on one of the days [as_of - lookback, as_of]."""
+    last = date.fromisoformat(as_of)
+    first, after = last - timedelta(days=lookback), last + timedelta(days=1)
+    stamp = lambda d: F.lit(d.isoformat()).cast("timestamp")
+    return (F.col(ts) >= stamp(first)) & (F.col(ts) < stamp(after))
+
+
+def calendar(spark: SparkSession, as_of: str, lookback: int) -> DataFrame:
+    """Date dimension (id yyyyMMdd, full_date) of the days [as_of - lookback, as_of]."""
+    last = F.lit(as_of).cast("date")
+    days = spark.range(1).select(F.explode(F.sequence(F.date_sub(last, lookback), last)).alias("full_date"))
+    return days.select(date_id("full_date").alias("id"), "full_date")
+
+
 def history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with its customer's market segment as ``client``.
 
@@ -100,26 +117,32 @@ def history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(oc, li.l_orderkey == oc.o_orderkey).drop("o_orderkey")
 
 
-def history_ad_facts(lines: DataFrame) -> DataFrame:
-    """Ad facts over the long lineitem history: promoted lines only."""
-    return lines.where(F.col("l_discount") >= PROMOTED_DISCOUNT).select(
-        "client",
-        date_id("l_shipdate").alias("d_date_id"),
-        (money("l_extendedprice") * (1 - money("l_discount"))).alias("adwords_revenue"),
-        F.lit(1).cast("bigint").alias("adwords_orders"),
+def history_days(lines: DataFrame) -> DataFrame:
+    """Client-days of the lineitem history: sums over promoted lines (ad
+    channel) and over all lines (site)."""
+    ad = F.col("l_discount") >= PROMOTED_DISCOUNT
+    gain = money("l_extendedprice") * (1 - money("l_discount"))
+    return lines.groupBy("client", date_id("l_shipdate").alias("d_date_id")).agg(
+        F.count_if(ad).alias("promoted"),
+        F.sum(F.when(ad, gain)).alias("adwords_revenue"),
+        F.sum(F.when(ad, F.col("l_quantity").cast("bigint"))).alias("adwords_clicks"),
+        F.sum(F.when(ad, (F.col("l_quantity") * 10).cast("bigint"))).alias("adwords_impressions"),
+        F.sum(F.when(ad, money("l_extendedprice") * money("l_tax"))).alias("adwords_cost"),
+        F.count(F.lit(1)).alias("orders"),
+        F.sum(gain).alias("revenue"))
+
+
+def history_ad_facts(days: DataFrame) -> DataFrame:
+    """Ad facts by client-day: days with a promoted line."""
+    return days.where(F.col("promoted") > 0).select(
+        "client", "d_date_id", "adwords_revenue", F.col("promoted").alias("adwords_orders"),
         F.lit(None).cast("bigint").alias("adwords_conversions"),
-        F.col("l_quantity").cast("bigint").alias("adwords_clicks"),
-        (F.col("l_quantity") * 10).cast("bigint").alias("adwords_impressions"),
-        (money("l_extendedprice") * money("l_tax")).alias("adwords_cost"),
-    )
+        "adwords_clicks", "adwords_impressions", "adwords_cost")
 
 
-def history_site_facts(lines: DataFrame) -> DataFrame:
-    """Site facts over the lineitem history: all lines of a segment per day."""
-    return lines.groupBy("client", date_id("l_shipdate").alias("d_date_id")).agg(
-        F.count(F.lit(1)).alias("orders"),
-        F.sum(money("l_extendedprice") * (1 - money("l_discount"))).alias("revenue"),
-    )
+def history_site_facts(days: DataFrame) -> DataFrame:
+    """Site facts by client-day."""
+    return days.select("client", "d_date_id", "orders", "revenue")
 
 
 # ------------------------------------------------------------ model evals
