@@ -12,11 +12,13 @@ def plan(df) -> str:
 
 
 def test_flagship_exchanges(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")   # else the filters' text is cut
     p = plan(catalog.QUERIES["channel_health"](spark, SF_SMALL))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     hashed = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", p)
     # facts agg, site agg, one by client for all windows; days come from a sequence
     assert len(hashed) == 3, hashed
-    scans = re.findall(r"FileScan parquet[^\n]*PushedFilters: \[([^\n]*?)\], ReadSchema", p)
+    scans = re.findall(r"FileScan parquet[^\n]*", p)
     assert len(scans) == 2 and all("GreaterThanOrEqual(ts" in s and "LessThan(ts" in s for s in scans)
     assert sum(h.startswith("client") and "d_date_id" not in h and "," in h for h in hashed) == 1
     assert "BroadcastExchange" in p

@@ -92,6 +92,17 @@ def q_channel_health(spark, sf_dir):
     return finalize(channel.channel_health(ad, site, dd, td.EVENTS_AS_OF, 60))
 
 
+PICKED_CLIENTS = ["client_1", "client_3"]
+
+
+@register("channel_health_selected", "SELECT * FROM (" + sqlgen.health_matrix_sql(
+    "events", td.EVENTS_AS_OF, 60, channel.HEALTH_METRICS) + ") AS h WHERE client IN ('client_1', 'client_3')")
+def q_channel_health_selected(spark, sf_dir):
+    """The alert matrix of selected clients, filtered below the aggregation."""
+    ad, site, dd = events_sources(spark, sf_dir)
+    return finalize(channel.channel_health(ad, site, dd, td.EVENTS_AS_OF, 60, clients=PICKED_CLIENTS))
+
+
 @register("health_checks",
           sqlgen.health_checks_sql("events", td.EVENTS_AS_OF, 60, channel.HEALTH_METRICS))
 def q_health_checks(spark, sf_dir):
@@ -179,6 +190,27 @@ def q_importance(spark, sf_dir):
     return finalize(models.importance(td.model_eval(spark, sf_dir)))
 
 
+ONE_MODEL = "nation_9_rf_web"
+
+
+@register("importance_model", "SELECT * FROM (" + sqlgen.importance_sql() + f") AS i WHERE model = '{ONE_MODEL}'")
+def q_importance_model(spark, sf_dir):
+    """One model's importances."""
+    return finalize(models.importance(td.model_eval(spark, sf_dir), ONE_MODEL))
+
+
+@register("model_eval_file", sqlgen.rank_models_sql())
+def q_model_eval_file(spark, sf_dir):
+    """The evaluations written as a dated CSV and read back by day, then ranked."""
+    from ..operators.materialize import scratch_path
+    from ..sources import files
+    day, folder = "2024-01-30", scratch_path(spark, "model-eval")
+    (td.model_eval(spark, sf_dir).select(*files.MODEL_EVAL_SCHEMA.fieldNames())
+     .write.option("header", True).option("quote", '"').option("escape", '"')
+     .csv(files.model_eval_path(folder, day)))
+    return finalize(models.rank_models(files.read_model_eval(spark, folder, day)))
+
+
 @register("comparison_choices", sqlgen.choices_sql())
 def q_comparison_choices(spark, sf_dir):
     return finalize(models.comparison_choices(td.model_eval(spark, sf_dir)))
@@ -216,6 +248,18 @@ def q_daily_top_products(spark, sf_dir):
         td.product_catalog(spark, sf_dir)))
 
 
+ONE_CLIENT, ONE_DAY = "acme", "1996-01-02"
+
+
+@register("daily_top_products_one", "SELECT * FROM (" + sqlgen.top_products_sql()
+          + f") AS t WHERE client = '{ONE_CLIENT}' AND date = '{ONE_DAY}'")
+def q_daily_top_products_one(spark, sf_dir):
+    """One client's day, filtered below the ranking."""
+    return finalize(bids.daily_top_products(
+        td.bid_changes(spark, sf_dir), td.site_config(spark, sf_dir),
+        td.product_catalog(spark, sf_dir), ONE_CLIENT, ONE_DAY))
+
+
 @register("threshold_what_if", sqlgen.threshold_sql(bids.THRESHOLD_GRID))
 def q_threshold_what_if(spark, sf_dir):
     return finalize(bids.threshold_what_if(td.bid_changes(spark, sf_dir),
@@ -283,6 +327,16 @@ def q_vocabulary(spark, sf_dir):
     return finalize(_vocab_parts(spark, sf_dir)[1])
 
 
+@register("lexicon_file", sqlgen.vocabulary_sql())
+def q_lexicon_file(spark, sf_dir):
+    """K2: the lexicon saved and read back."""
+    from ..operators.materialize import scratch_path
+    from ..sources import files
+    path = scratch_path(spark, "lexicon")
+    files.write_table(_vocab_parts(spark, sf_dir)[1], path)
+    return finalize(spark.read.parquet(path))
+
+
 @register("vocab_stats", sqlgen.vocab_stats_sql())
 def q_vocab_stats(spark, sf_dir):
     toks, vocab = _vocab_parts(spark, sf_dir)
