@@ -56,7 +56,7 @@ def test_stream_pairs_equal_batch(spark, tmp_dir):
     stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").parquet(src))
     out = f"{tmp_dir}/pairs"
-    q = (pair_starts_ends(stream).writeStream.format("parquet")
+    q = (pair_starts_ends(stream, ttl="7 days").writeStream.format("parquet")
          .option("checkpointLocation", f"{tmp_dir}/ckpt").trigger(availableNow=True)
          .start(out))
     q.awaitTermination(120)
@@ -83,3 +83,19 @@ def test_stream_closes_never_ended_starts(spark, tmp_dir):
     got = {(r.key, r.k): r for r in spark.read.parquet(out).collect()}
     assert got[("j", 1)]["Time Spent"] == 3600.0
     assert got[("k", 1)].End is None and got[("k", 1)].Project == "p1"
+
+
+def test_stream_drops_ends_without_a_start(spark, tmp_dir):
+    schema = "key string, kind string, ts timestamp_ntz, project string, seq long"
+    src = f"{tmp_dir}/ev"
+    for i, (key, kind, hours) in enumerate([("k", "end", 0), ("j", "start", 10), ("j", "end", 30)]):
+        spark.createDataFrame([(key, kind, T0 + dt.timedelta(hours=hours), "p", i)], schema).coalesce(1) \
+            .write.parquet(f"{src}/b{i}")
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    out = f"{tmp_dir}/pairs"
+    q = (pair_starts_ends(stream, ttl="8 hours").writeStream.format("parquet")
+         .option("checkpointLocation", f"{tmp_dir}/ckpt").trigger(availableNow=True).start(out))
+    q.awaitTermination(120)
+    got = {(r.key, r.k): r for r in spark.read.parquet(out).collect()}
+    assert got[("k", 1)].Start is None and got[("k", 1)].End == T0

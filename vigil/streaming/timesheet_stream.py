@@ -5,9 +5,9 @@ k-th start pairs with the k-th end, as the batch ``timesheet`` does; a
 pair is emitted in the micro-batch that completes it. Events of a key are
 numbered in arrival order (a stopwatch emits them in time order); within
 a micro-batch they are ordered by (ts, seq). State holds only
-the unmatched side and two counters. A start still open when the
-watermark passes it by ``ttl`` is emitted with a NULL end and dropped, so
-state stays bounded by the open tasks within ``ttl``.
+the unmatched side and two counters. A start or an end still open when
+the watermark passes it by ``ttl`` is emitted with the other side NULL and
+dropped, so state stays bounded by what is open within ``ttl``.
 """
 
 from __future__ import annotations
@@ -26,19 +26,30 @@ STATE_SCHEMA = ("n_start long, n_end long, "
                 "ends array<struct<k:long, ts:timestamp_ntz>>")
 
 
-def _rows(key, pairs):
-    out = pd.DataFrame(pairs, columns=["k", "Project", "Start", "End"])
-    out.insert(0, "key", key)
-    spent = (out["End"] - out["Start"]).dt.total_seconds()
-    out["Time Spent"] = spent
-    out["Start"] = pd.to_datetime(out["Start"])
-    out["End"] = pd.to_datetime(out["End"])
-    return out[["key", "k", "Project", "Start", "End", "Time Spent"]]
+def _rows(key, pairs: pd.DataFrame) -> pd.DataFrame:
+    """Output rows of (k, Project, Start, End) pairs; either side may be missing."""
+    start, end = pd.to_datetime(pairs["Start"]), pd.to_datetime(pairs["End"])
+    return pd.DataFrame({"key": key, "k": pairs["k"].astype("int64"), "Project": pairs["Project"].astype(object),
+                         "Start": start, "End": end, "Time Spent": (end - start).dt.total_seconds()})
 
 
-def _make_pairer(ttl_ms: int | None, tz: str):
+def _open(rows, columns: list[str]) -> pd.DataFrame:
+    frame = pd.DataFrame([tuple(r) for r in rows or []], columns=columns)
+    frame["ts"] = pd.to_datetime(frame["ts"])
+    return frame
+
+
+def _numbered(old: pd.DataFrame, new: pd.DataFrame, seen: int, columns: list[str]) -> pd.DataFrame:
+    """The open rows and the new ones, numbered on from ``seen``."""
+    new = new.assign(k=range(seen + 1, seen + 1 + len(new)))[columns]
+    return new if old.empty else old if new.empty else pd.concat([old, new], ignore_index=True)
+
+
+def _make_pairer(ttl_ms: int, tz: str):
     # ``ts`` arrives as wall-clock time; the watermark column is ``ts`` read in
     # the session time zone, so epoch milliseconds convert through that zone.
+    ttl = pd.Timedelta(milliseconds=ttl_ms)
+
     def wall(ms: int) -> pd.Timestamp:
         return pd.Timestamp(ms, unit="ms", tz="UTC").tz_convert(tz).tz_localize(None)
 
@@ -46,62 +57,50 @@ def _make_pairer(ttl_ms: int | None, tz: str):
         return int(pd.Timestamp(t).tz_localize(tz).tz_convert("UTC").timestamp() * 1000)
 
     def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        k0 = key[0]
-        if state.exists:
-            n_s, n_e, starts, ends = state.get
-            starts = [tuple(s) for s in (starts or [])]
-            ends = [tuple(e) for e in (ends or [])]
-        else:
-            n_s, n_e, starts, ends = 0, 0, [], []
+        n_s, n_e, starts, ends = state.get if state.exists else (0, 0, [], [])
+        starts, ends = _open(starts, ["k", "ts", "project"]), _open(ends, ["k", "ts"])
         if state.hasTimedOut:
-            # open starts older than the watermark - ttl: emit without an end
-            wm = wall(state.getCurrentWatermarkMs())
-            expired = [s for s in starts if s[1] + pd.Timedelta(milliseconds=ttl_ms) <= wm]
-            starts = [s for s in starts if s not in expired]
-            if expired:
-                yield _rows(k0, [(s[0], s[2], s[1], pd.NaT) for s in expired])
+            # open sides older than the watermark by the ttl leave without a partner
+            cut = wall(state.getCurrentWatermarkMs()) - ttl
+            late_s, late_e = starts["ts"] <= cut, ends["ts"] <= cut
+            gone = [starts[late_s].rename(columns={"project": "Project", "ts": "Start"}).assign(End=pd.NaT),
+                    ends[late_e].rename(columns={"ts": "End"}).assign(Project=None, Start=pd.NaT)]
+            for g in gone:
+                if len(g):
+                    yield _rows(key[0], g)
+            starts, ends = starts[~late_s], ends[~late_e]
         else:
-            pdf = pd.concat(list(batches), ignore_index=True)
-            pdf = pdf.sort_values(["ts", "seq"], kind="stable")
-            for r in pdf.itertuples(index=False):
-                if r.kind == "start":
-                    n_s += 1
-                    starts.append((n_s, r.ts, r.project))
-                else:
-                    n_e += 1
-                    ends.append((n_e, r.ts))
-            by_k = {e[0]: e for e in ends}
-            done = [(s[0], s[2], s[1], by_k[s[0]][1]) for s in starts if s[0] in by_k]
-            got = {d[0] for d in done}
-            starts = [s for s in starts if s[0] not in got]
-            ends = [e for e in ends if e[0] not in got]
-            if done:
-                yield _rows(k0, done)
-        state.update((n_s, n_e, [list(s) for s in starts], [list(e) for e in ends]))
-        if ttl_ms is not None and starts:
-            state.setTimeoutTimestamp(epoch_ms(min(s[1] for s in starts)) + ttl_ms)
+            new = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
+            is_start = new["kind"] == "start"
+            starts = _numbered(starts, new[is_start], n_s, ["k", "ts", "project"])
+            ends = _numbered(ends, new[~is_start], n_e, ["k", "ts"])
+            n_s, n_e = n_s + int(is_start.sum()), n_e + int((~is_start).sum())
+            done = starts.merge(ends, on="k", suffixes=("", "_end"))
+            if len(done):
+                yield _rows(key[0], done.rename(columns={"project": "Project", "ts": "Start", "ts_end": "End"}))
+            starts, ends = starts[~starts["k"].isin(done["k"])], ends[~ends["k"].isin(done["k"])]
+        as_rows = lambda f: [[x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in r]
+                             for r in f.astype(object).values.tolist()]
+        state.update((n_s, n_e, as_rows(starts), as_rows(ends)))
+        oldest = min([*starts["ts"], *ends["ts"]], default=None)
+        if oldest is not None:
+            # a timeout may not lie before the watermark
+            state.setTimeoutTimestamp(max(epoch_ms(oldest) + ttl_ms, state.getCurrentWatermarkMs() + 1))
     return pair
 
 
-def pair_starts_ends(events: DataFrame, ttl: str | None = None,
-                     watermark: str = "1 hour") -> DataFrame:
-    """Streaming (or batch) frame of (key, kind, ts, project, seq) -> pairs.
+def pair_starts_ends(events: DataFrame, ttl: str, watermark: str = "1 hour") -> DataFrame:
+    """Streaming frame of (key, kind, ts, project, seq) -> pairs.
 
-    ``seq`` orders events with equal ``ts``. With ``ttl`` (e.g. '8 hours')
-    an event-time timeout closes starts that never ended.
+    ``seq`` orders events with equal ``ts``. A start or an end without a
+    partner is emitted with the other side NULL, and dropped from the state,
+    once the watermark passes it by ``ttl`` (e.g. '8 hours').
     """
-    ttl_ms = None
-    if ttl is not None:
-        n, unit = ttl.split()
-        ttl_ms = int(float(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[
-            unit.rstrip("s")] * 1000)
+    n, unit = ttl.split()
+    ttl_ms = int(float(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1000)
     tz = events.sparkSession.conf.get("spark.sql.session.timeZone")
-    src = events.select("key", "kind", "ts", "project", "seq")
-    if ttl_ms is not None:
-        # watermarks need TIMESTAMP (not TIMESTAMP_NTZ) event time
-        src = (src.withColumn("event_time", F.col("ts").cast("timestamp"))
-               .withWatermark("event_time", watermark))
-    timeout = GroupStateTimeout.EventTimeTimeout if ttl_ms is not None \
-        else GroupStateTimeout.NoTimeout
+    # watermarks need TIMESTAMP (not TIMESTAMP_NTZ) event time
+    src = (events.select("key", "kind", "ts", "project", "seq")
+           .withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", watermark))
     return src.groupBy("key").applyInPandasWithState(
-        _make_pairer(ttl_ms, tz), OUTPUT_SCHEMA, STATE_SCHEMA, "append", timeout)
+        _make_pairer(ttl_ms, tz), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
