@@ -423,3 +423,11 @@ def test_empty_tables(spark, empty, labels):
 def test_queries_are_registered():
     names = list(queries.QUERIES)
     assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+
+
+def test_rules_equal_their_sql(spark):
+    from tools.compare import compare, duck
+    for sf in (SF_SMALL, SF_SMALL.replace("0.001", "0.01")):
+        r = compare(spark, duck(sf), sf, "op1", queries.QUERIES["op1_quality_rules"],
+                    queries.ORACLE["op1_quality_rules"])
+        assert r["schema"] and r["values"] and r["rows"] == r["oracle_rows"]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotrain, license_index, packing, pfair, pii, quality_rules, sharding, simhash_vp, token_orc, vp_search
+from . import (cotrain, license_index, oracle, packing, pfair, pii, quality_rules, sharding, simhash_vp, token_orc,
+               vp_search)
 from .common import table
 
 END_ID = 2
@@ -70,4 +71,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_nearest, op3_simhash, op4_licenses, op5_packing, op6_sharding, op7_pii, op8_mixing,
     op9_quality_classifier, op10_token_orc, pipeline)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.ORACLE
