@@ -164,17 +164,12 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, relax: float = 1.0
     cells = {r["cell"]: r for r in placed.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q"), F.max("d").alias("radius")).collect()}
     parts = {c: -(-r["n"] // shard_rows) for c, r in cells.items()}
-    blocks = max(1, -(-sum(r["q"] for r in cells.values()) // QUERY_ROWS))
 
     def by_cell(values: dict[int, int]) -> Column:
-        return F.element_at(F.array(*[F.lit(values.get(c, 1)) for c in range(len(pivots))]),
+        return F.element_at(F.array(*[F.lit(values.get(c, 0)) for c in range(len(pivots))]),
                             (F.col("cell") + 1).cast("int"))
 
-    # every shard meets every block of queries that comes to it
-    data = placed.withColumn("shard", F.pmod(F.xxhash64("id"), by_cell(parts))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = placed.where("asks").select("id", "v", "cell", "d").withColumn(
-        "block", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)).cast("int"))
+    data = placed.select("id", "v", "cell", F.pmod(F.xxhash64("id"), by_cell(parts)).alias("shard"))
 
     def search(key: tuple, shard: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
@@ -187,13 +182,17 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, relax: float = 1.0
         row, col = np.nonzero(np.isfinite(found.score))
         return pd.DataFrame({"query_id": query_ids[row], "id": found.id[row, col], "score": found.score[row, col]})
 
-    def run(asks: DataFrame) -> DataFrame:
-        to = asks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), (by_cell(parts) - 1).cast("long"))))
+    def run(asks: DataFrame, visits: dict[int, int]) -> DataFrame:
+        """Every shard of a cell meets every block of the queries that come to the cell; a cell without any is left out."""
+        blocks = by_cell({c: -(-q // QUERY_ROWS) for c, q in visits.items()})
         keys = ["cell", "shard", "block"]
-        return data.select("id", "v", *keys).groupBy(*keys).cogroup(
-            to.select("id", "v", "reach", *keys).groupBy(*keys)).applyInPandas(search, out)
+        shards = data.where(blocks > 0).withColumn("block", F.explode(F.sequence(F.lit(1), blocks)))
+        to = asks.withColumn("block", (F.pmod(F.xxhash64(F.lit(1), "id"), blocks) + 1).cast("int")).withColumn(
+            "shard", F.explode(F.sequence(F.lit(0).cast("long"), (by_cell(parts) - 1).cast("long"))))
+        return shards.groupBy(*keys).cogroup(to.select("id", "v", "reach", *keys).groupBy(*keys)).applyInPandas(search, out)
 
-    home = materialize(run(asked.withColumn("reach", F.lit(float("inf")))))
+    asked = placed.where("asks").select("id", "v", "cell")
+    home = materialize(run(asked.withColumn("reach", F.lit(float("inf"))), {c: r["q"] for c, r in cells.items()}))
     reach = _top(home, k).groupBy("query_id").agg(F.max("score").alias("far"), F.count(F.lit(1)).alias("got"))
     known = asked.join(reach, asked["id"] == reach["query_id"], "left").withColumn(
         "reach", F.when(F.col("got") >= k, F.col("far")).otherwise(float("inf")))
@@ -203,18 +202,20 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, relax: float = 1.0
         for b in batches:
             v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
             d = np.stack([euclidean(v, p) for p in pivots], axis=1)
-            reach = b.column(4).to_numpy(zero_copy_only=False)[:, None]
+            reach = b.column(3).to_numpy(zero_copy_only=False)[:, None]
             go = (np.maximum(d - radius, 0) * relax <= reach * (1 + SLACK) + SLACK) & np.isfinite(radius)
             go[np.arange(len(d)), b.column(2).to_numpy(zero_copy_only=False)] = False
             row, cell = np.nonzero(go)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(take), b.column(1).take(take), pa.array(cell.astype("int64")),
-                 b.column(3).take(take), b.column(4).take(take)], ["id", "v", "cell", "block", "reach"])
+                 b.column(3).take(take)], ["id", "v", "cell", "reach"])
 
-    others = known.select("id", "v", "cell", "block", "reach").mapInArrow(
-        spread, "id long, v array<double>, cell long, block int, reach double")
-    return _top(home.union(run(others)), k).select("query_id", "rank", "id", "score")
+    others = materialize(known.select("id", "v", "cell", "reach").mapInArrow(
+        spread, "id long, v array<double>, cell long, reach double"))
+    # one row per pivot
+    visits = {r["cell"]: r["count"] for r in others.groupBy("cell").count().collect()}
+    return _top(home.union(run(others, visits)), k).select("query_id", "rank", "id", "score")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
