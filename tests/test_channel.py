@@ -331,3 +331,37 @@ def test_daily_frame_does_not_depend_on_partitioning(spark):
     one = daily(ev.repartition(1))
     many = daily(ev.repartition(7, F.rand(3)))
     assert one == many      # exact: money is summed as decimals
+
+
+# ---------------------------------------------------------------- rule-made series
+
+def test_every_alert_code_fires_in_a_registered_query(spark):
+    from vigil.plans import catalog
+    from .conftest import SF_SMALL
+    rows = {r["client"]: r for r in catalog.QUERIES["alert_rules"](spark, SF_SMALL).collect()}
+    expected = {0: ("tracking_alert", "pixel"), 1: ("deviation", "high"), 2: ("deviation", "medium"),
+                3: ("deviation", "low"), 4: ("below_mean_trend", "below"), 5: ("above_mean_trend", "above"),
+                6: ("negative_slope_trend", "negative"), 7: ("positive_slope_trend", "positive")}
+    for g, (check, code) in expected.items():
+        assert rows[f"rule_{g}"][check] == channel.CODES[code], rows[f"rule_{g}"]
+    quiet = rows["rule_9"]
+    assert {quiet[c] for c in channel.CHECKS} == {None, channel.CODES["none"]}
+    assert [g for g in range(10) if rows[f"rule_{g}"]["slope_volatile"]] == [8]
+
+
+def test_form_lookback_checks_and_adds_a_week():
+    assert channel.form_lookback(14) == 21
+    with pytest.raises(ValueError):
+        channel.form_lookback(13)
+
+
+def test_all_charts_equal_single_charts(spark):
+    n = 9
+    cols = {m: [float(i * i % 7 + 1) for i in range(n)] for m in channel.DAILY_COLUMNS[2:]}
+    pdf = pd.DataFrame({"client": ["a"] * n, "Date": [D0 + dt.timedelta(days=i) for i in range(n)], **cols})
+    daily = spark.createDataFrame(pdf)
+    got = channel.control_charts(daily)
+    for m in ("revenue", "pct_site_orders"):
+        one = channel.control_chart(daily, m)
+        assert sorted(map(tuple, got.where(F.col("metric") == m).select(*one.columns).collect())) == sorted(
+            map(tuple, one.collect()))

@@ -74,6 +74,13 @@ def test_complaints_csv_multiline(spark, tmp_dir):
     assert texts == ['I paid XXXX, then\nagain "twice"']
 
 
+def test_complaints_keep_their_own_id(spark, tmp_dir):
+    p = f"{tmp_dir}/complaints.csv"
+    write(p, 'Complaint ID,Consumer complaint narrative\n7,"a\nb"\n3,\n5,""\n')
+    got = sorted((r.doc_id, r.text) for r in files.read_complaints(spark, p).collect())
+    assert got == [(7, "a\nb")]   # an empty narrative is none
+
+
 def test_documents_glob_whole_files(spark, tmp_dir):
     write(f"{tmp_dir}/docs/a.txt", "first line\nsecond line\n")
     write(f"{tmp_dir}/docs/b.txt", "other")
@@ -103,6 +110,13 @@ def test_timesheet_sink_by_day(spark, tmp_dir):
     assert back.select("Project").collect()[0][0] == "p"
 
 
+def test_timesheet_reads_back_with_microseconds(spark, tmp_dir):
+    df = spark.sql("select 'k' as key, 1L as k, 'p' as Project, timestamp_ntz'2024-01-02 10:00:00.000123' as Start, "
+                   "cast(null as timestamp_ntz) as `End`, cast(null as double) as `Time Spent`")
+    files.write_timesheet(df, f"{tmp_dir}/sheet")
+    assert files.read_timesheet(spark, f"{tmp_dir}/sheet", df.schema).collect() == df.collect()
+
+
 def test_parquet_sink(spark, tmp_dir):
     files.write_table(spark.range(3).withColumn("v", F.col("id") * 2), f"{tmp_dir}/t")
     assert spark.read.parquet(f"{tmp_dir}/t").count() == 3

@@ -119,15 +119,23 @@ def q_channel_health_history(spark, sf_dir):
     return finalize(channel.channel_health(ad, site, dd, td.HISTORY_AS_OF, HISTORY_LOOKBACK))
 
 
+@register("alert_rules", sqlgen.alert_rules_sql())
+def q_alert_rules(spark, sf_dir):
+    """M2-M5 on series made by rule, so that every alert code fires."""
+    wide = channel.health_wide(td.rule_days(spark, sf_dir), ["revenue"])
+    return finalize(wide.select("client", *[F.col(f"revenue__{c}").alias(c)
+                                            for c in [*channel.CHECKS, "slope_volatile"]]))
+
+
 # ---------------------------------------------------------------- charts (M8)
 
-def _chart_sql(metric: str, level: str, precision: int) -> str:
-    r = (lambda x: f"round_even({x}, {precision})")
+def _chart_sql(metric: str, level: str, precision: int | None, lookback: int = 60, cols_only: bool = False):
+    r = (lambda x: f"round_even({x}, {precision})") if precision is not None else (lambda x: x)
     v7 = f", {r(metric + '_7_avg')} AS value_7_avg" if level == "channel" else ""
     bands = ", ".join(
         f"mean + {r(f'sd * {k}')} AS plus_{n}_sd, mean - {r(f'sd * {k}')} AS minus_{n}_sd"
         for k, n in ((1, "one"), (2, "two"), (3, "three")))
-    inner = (f"WITH {sqlgen.source_ctes('events')},{sqlgen.daily_ctes(td.EVENTS_AS_OF, 60)},\n"
+    inner = (f"WITH {sqlgen.source_ctes('events')},{sqlgen.daily_ctes(td.EVENTS_AS_OF, lookback)},\n"
              f"base AS (SELECT client, Date, {r(metric)} AS value{v7} FROM daily),\n"
              f"m AS (SELECT *, {r(sqlgen.nan_null('avg(value) OVER (PARTITION BY client)'))} AS mean,"
              f" {sqlgen.nan_null('stddev_samp(value) OVER (PARTITION BY client)')} AS sd FROM base)\n"
@@ -137,7 +145,39 @@ def _chart_sql(metric: str, level: str, precision: int) -> str:
         cols.append(("value_7_avg", "f"))
     cols += [("mean", "f")] + [(f"{s}_{n}_sd", "f") for n in ("one", "two", "three")
                                for s in ("plus", "minus")]
-    return sqlgen.final(inner, cols)
+    return (inner, [c for c, _ in cols]) if cols_only else sqlgen.final(inner, cols)
+
+
+def _charts_sql(lookback: int) -> str:
+    parts, kinds = [], [("client", "s"), ("Date", "d"), ("metric", "s"), ("value", "f"), ("value_7_avg", "f"),
+                        ("mean", "f")]
+    bands = [(f"{s}_{n}_sd", "f") for n in ("one", "two", "three") for s in ("plus", "minus")]
+    for m in channel.CHART_METRICS:
+        level = channel.chart_level(m)
+        inner, cols = _chart_sql(m, level, 2 if level == "site" else 0, lookback, cols_only=True)
+        v7 = "value_7_avg" if "value_7_avg" in cols else "CAST(NULL AS DOUBLE) AS value_7_avg"
+        parts.append(f"SELECT client, Date, '{m}' AS metric, value, {v7}, mean, "
+                     f"{', '.join(b for b, _ in bands)} FROM ({inner}) AS c")
+    return sqlgen.final("\nUNION ALL ".join(parts), kinds + bands)
+
+
+FORM_LOOKBACK = 30   # days asked for in the form, which reads 7 more
+
+
+@register("control_charts", _charts_sql(FORM_LOOKBACK + 7))
+def q_control_charts(spark, sf_dir):
+    """M8 for all twelve metrics of the form, with its look-back check and its seven days more."""
+    ad, site, dd = events_sources(spark, sf_dir)
+    daily = channel.channel_daily(ad, site, dd, td.EVENTS_AS_OF, channel.form_lookback(FORM_LOOKBACK))
+    return finalize(channel.control_charts(daily))
+
+
+@register("control_chart_plain", _chart_sql("aov", "channel", None))
+def q_control_chart_plain(spark, sf_dir):
+    """M8 in the older, unrounded form."""
+    ad, site, dd = events_sources(spark, sf_dir)
+    daily = channel.channel_daily(ad, site, dd, td.EVENTS_AS_OF, 60)
+    return finalize(channel.control_chart(daily, "aov", precision=None))
 
 
 @register("control_chart_channel", _chart_sql("revenue", "channel", 0))
@@ -248,6 +288,17 @@ def q_daily_top_products(spark, sf_dir):
         td.product_catalog(spark, sf_dir)))
 
 
+@register("site_config_file", sqlgen.site_config_sql())
+def q_site_config_file(spark, sf_dir):
+    """The client records written as one JSON array (a row per client) and read back."""
+    from ..operators.materialize import scratch_path
+    from ..sources import files
+    path = scratch_path(spark, "site-config")
+    cfg = td.site_config(spark, sf_dir)
+    cfg.agg(F.to_json(F.collect_list(F.struct(*cfg.columns))).alias("value")).write.text(path)
+    return finalize(files.read_site_config(spark, path))
+
+
 ONE_CLIENT, ONE_DAY = "acme", "1996-01-02"
 
 
@@ -322,6 +373,18 @@ def q_clean_tokens(spark, sf_dir):
     return finalize(text.clean_tokens(_docs(spark, sf_dir)))
 
 
+@register("complaint_tokens", sqlgen.clean_tokens_sql())
+def q_complaint_tokens(spark, sf_dir):
+    """Documents written as a quoted, multi-line complaints CSV, read back and cleaned."""
+    from ..operators.materialize import scratch_path
+    from ..sources import files
+    path = scratch_path(spark, "complaints")
+    (_docs(spark, sf_dir).toDF("Complaint ID", "Consumer complaint narrative").write.option("header", True)
+     .option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return finalize(text.clean_tokens(files.read_complaints(spark, path)))
+
+
 @register("vocabulary", sqlgen.vocabulary_sql())
 def q_vocabulary(spark, sf_dir):
     return finalize(_vocab_parts(spark, sf_dir)[1])
@@ -350,6 +413,14 @@ def q_skipgram_pairs(spark, sf_dir):
     return finalize(text.skipgram_pairs(dt, vocab, 1, 2))
 
 
+@register("skipgram_within", sqlgen.skipgram_within_sql(2))
+def q_skipgram_within(spark, sf_dir):
+    """W12 with a window of two, inside documents only."""
+    dt = _doc_tokens(spark, sf_dir)
+    vocab = text.build_vocabulary(_toks(dt))
+    return finalize(text.skipgram_pairs(dt, vocab, 2, 4, within_document=True))
+
+
 def _search(spark, sf_dir, method):
     postings, doc_len = text.index_from_tokens(_doc_tokens(spark, sf_dir))
     q = td.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -471,8 +542,7 @@ def q_unit_embeddings(spark, sf_dir):
 
 # ---------------------------------------------------------------- timesheet
 
-@register("timesheet", sqlgen.timesheet_sql())
-def q_timesheet(spark, sf_dir):
+def _timesheet(spark, sf_dir):
     ev = td.table(spark, sf_dir, "events")
     starts = ev.where(F.col("event_type") == "click").select(
         F.col("user_id"), "event_id",
@@ -480,4 +550,19 @@ def q_timesheet(spark, sf_dir):
         F.col("ts").alias("start"))
     ends = ev.where(F.col("event_type") == "purchase").select(
         "user_id", "event_id", F.col("ts").alias("end"))
-    return finalize(timesheet.timesheet(starts, ends, key="user_id", order=["event_id"]))
+    return timesheet.timesheet(starts, ends, key="user_id", order=["event_id"])
+
+
+@register("timesheet", sqlgen.timesheet_sql())
+def q_timesheet(spark, sf_dir):
+    return finalize(_timesheet(spark, sf_dir))
+
+
+@register("timesheet_file", sqlgen.timesheet_sql())
+def q_timesheet_file(spark, sf_dir):
+    """K1: the sheet written as CSV, a folder per day, and read back."""
+    from ..operators.materialize import scratch_path
+    from ..sources import files
+    path, sheet = scratch_path(spark, "timesheet"), _timesheet(spark, sf_dir)
+    files.write_timesheet(sheet, path)
+    return finalize(files.read_timesheet(spark, path, sheet.schema))

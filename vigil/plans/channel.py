@@ -30,6 +30,8 @@ from ..sources.testdata import date_id
 # Fixed values of the source application.
 HEALTH_METRICS = ["revenue", "cost", "orders", "clicks", "impressions", "roas"]
 CHART_METRICS_SITE = ["pct_site_orders", "pct_site_revenue"]
+CHART_METRICS = ["revenue", "cost", "clicks", "orders", "impressions", "aov", "cr", "ctr", "cos_m",
+                 "cpc", "pct_site_revenue", "pct_site_orders"]
 LOOKBACK_DAYS = 60
 LAST_N = 10
 ONE_DEV_SHARE = 0.6
@@ -37,6 +39,7 @@ TWO_DEV_SHARE = 0.4
 PIXEL_DAYS = 7
 PIXEL_SHARE = 0.5
 MIN_CHART_LOOKBACK = 14
+FORM_EXTRA_DAYS = 7
 
 BASE = ["orders", "revenue", "clicks", "impressions", "cost"]
 DAILY_COLUMNS = (
@@ -302,6 +305,11 @@ def check_lookback(lookback: int) -> int:
     return int(lookback)
 
 
+def form_lookback(lookback: int) -> int:
+    """Days the form reads for a look-back: it adds the warm-up rows that the 7-row frames lose."""
+    return check_lookback(lookback) + FORM_EXTRA_DAYS
+
+
 def chart_level(metric: str) -> str:
     return "site" if metric in CHART_METRICS_SITE else "channel"
 
@@ -335,6 +343,31 @@ def control_chart(daily: DataFrame, metric: str, level: str | None = None,
     return out.select(*[c for c in out.columns if c != "_sd"], *bands)
 
 
+def control_charts(daily: DataFrame, metrics: list[str] = CHART_METRICS) -> DataFrame:
+    """The rounded control charts of all ``metrics``, in long form with a ``metric`` column.
+
+    The daily frame is read once and unpivoted, so all charts share one exchange on (client,
+    metric); ``value_7_avg`` is NULL for site metrics.
+    """
+    rows = []
+    for m in metrics:
+        site = chart_level(m) == "site"
+        p = 2 if site else 0
+        avg7 = F.lit(None).cast("double") if site else half_even(F.col(f"{m}_7_avg"), p)
+        rows.append(F.struct(F.lit(m).alias("metric"), half_even(F.col(m).cast("double"), p).alias("value"),
+                             avg7.alias("value_7_avg")))
+    long = daily.select("client", "Date", F.explode(F.array(*rows)).alias("x")).select("client", "Date", "x.*")
+    rnd = lambda c: F.when(F.col("metric").isin(CHART_METRICS_SITE), half_even(c, 2)).otherwise(half_even(c, 0))
+    wall = whole(["client", "metric"])
+    out = long.select("*", rnd(nan_to_null(F.avg("value").over(wall))).alias("mean"),
+                      nan_to_null(F.stddev_samp("value").over(wall)).alias("_sd"))
+    bands = []
+    for k, name in ((1, "one"), (2, "two"), (3, "three")):
+        step = rnd(F.col("_sd") * k)
+        bands += [(F.col("mean") + step).alias(f"plus_{name}_sd"), (F.col("mean") - step).alias(f"minus_{name}_sd")]
+    return out.select(*long.columns, "mean", *bands)
+
+
 def chart_columns(daily: DataFrame, variable: str) -> tuple[list[str], list[str]]:
     """Columns whose name contains ``variable``: (site side, channel side), sorted."""
     names = [c for c in daily.columns if variable in c]

@@ -96,8 +96,7 @@ def compare_metrics(evals: DataFrame, sel_a, sel_b) -> DataFrame:
     s = _selected(evals, sel_a, sel_b)
     fields = F.array(*[
         F.struct(F.lit(f).alias("field"),
-                 (F.format_string("%.5f", F.col(f)) if f == "rmse" else F.col(f).cast("string"))
-                 .alias("value"))
+                 F.col(f).cast("string").alias("value"))
         for f in METRIC_FIELDS])
     miss = F.array(F.struct(F.lit(None).cast("string").alias("field"),
                             F.lit(INVALID).alias("value")))

@@ -201,7 +201,6 @@ def health_ctes(metrics: list[str], n: int = 10, one_dev: float = .6, two_dev: f
     t1, t2, tz = py_round(one_dev * n), py_round(two_dev * n), py_round(pixel_share * n)
     part = "(PARTITION BY client)"
     ordw = "(PARTITION BY client ORDER BY Date)"
-    runw = "(PARTITION BY client ORDER BY Date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     h1 = []
     for m in metrics:
         h1.append(f"{nan_null(f'avg({m}) OVER {part}')} AS {m}__mean")
@@ -213,10 +212,13 @@ def health_ctes(metrics: list[str], n: int = 10, one_dev: float = .6, two_dev: f
                f"CASE WHEN {m} < {m}__mean THEN 1 ELSE 0 END AS {m}__fb",
                f"CASE WHEN {m} < {m}__prev THEN 1 ELSE 0 END AS {m}__fn",
                f"CASE WHEN {m} > {m}__prev THEN 1 ELSE 0 END AS {m}__fp"]
-    h3 = []
+    # islands of equal flags: rows of one island keep their distance to the flag's own row number
+    g3, h3 = [], []
     for m in metrics:
         for s in "abnp":
-            h3.append(f"rn - coalesce(max(CASE WHEN {m}__f{s} = 0 THEN rn END) OVER {runw}, 0) AS {m}__r{s}")
+            f = f"{m}__f{s}"
+            g3.append(f"rn - row_number() OVER (PARTITION BY client, {f} ORDER BY Date) AS {m}__g{s}")
+            h3.append(f"{f} * row_number() OVER (PARTITION BY client, {f}, {m}__g{s} ORDER BY Date) AS {m}__r{s}")
     last_n = f"(cnt - rn) < {n}"
     pix = f"(cnt - rn) < {min(pixel_days, n)}"
     ag = []
@@ -251,7 +253,8 @@ h0 AS (SELECT client, Date, {', '.join(metrics)},
               row_number() OVER {ordw} AS rn, count(*) OVER {part} AS cnt FROM daily),
 h1 AS (SELECT *, {', '.join(h1)} FROM h0),
 h2 AS (SELECT *, {', '.join(h2)} FROM h1),
-h3 AS (SELECT *, {', '.join(h3)} FROM h2),
+g3 AS (SELECT *, {', '.join(g3)} FROM h2),
+h3 AS (SELECT *, {', '.join(h3)} FROM g3),
 stats AS (SELECT client, {', '.join(ag)} FROM h3 GROUP BY client),
 wide AS (SELECT client, {', '.join(codes)} FROM stats)"""
 
@@ -277,6 +280,20 @@ def health_checks_sql(kind: str, as_of: str, lookback: int, metrics: list[str])
     return final(inner, [("client", "s"), ("metric", "s"), ("check", "s"), ("code", "s")])
 
 
+RULE_DAYS = f"""rule0 AS (SELECT DISTINCT CAST(o_custkey % {td.N_RULES} AS INTEGER) AS g, CAST(o_orderdate AS DATE) AS Date
+          FROM orders),
+rule1 AS (SELECT g, Date, row_number() OVER (PARTITION BY g ORDER BY Date DESC) - 1 AS age,
+                 date_diff('day', DATE '1992-01-01', Date) % 3 + 100 AS base FROM rule0),
+daily AS (SELECT 'rule_' || CAST(g AS VARCHAR) AS client, Date, CAST({td.RULE_VALUE} AS DOUBLE) AS revenue FROM rule1)"""
+
+
+def alert_rules_sql() -> str:
+    cols = CHECKS + ["slope_volatile"]
+    inner = (f"WITH {RULE_DAYS},{health_ctes(['revenue'])}\nSELECT client, "
+             + ", ".join(f"revenue__{c} AS {c}" for c in cols) + " FROM wide")
+    return final(inner, [("client", "s")] + [(c, "s") for c in CHECKS] + [("slope_volatile", "b")])
+
+
 # ----------------------------------------------------------- models
 
 def _pick(values, idx: str) -> str:
@@ -353,7 +370,7 @@ def compare_metrics_sql(sel_a, sel_b) -> str:
     from .models import INVALID
     parts = []
     for f in ["training", "testing", "rmse", "start", "end"]:
-        val = "printf('%.5f', rmse)" if f == "rmse" else f'CAST("{f}" AS VARCHAR)'
+        val = f'CAST("{f}" AS VARCHAR)'
         parts.append(f"SELECT side, model, '{f}' AS field, {val} AS value FROM s WHERE model IS NOT NULL")
     parts.append(f"SELECT side, model, CAST(NULL AS VARCHAR), '{INVALID}' FROM s WHERE model IS NULL")
     inner = f"WITH {_selected_ctes(sel_a, sel_b)}\n" + "\nUNION ALL ".join(parts)
@@ -544,6 +561,21 @@ SELECT c.center, x.id AS context FROM c JOIN g x ON c.t = x.g"""
     return final(inner, [("center", "n"), ("context", "n")])
 
 
+def skipgram_within_sql(window: int) -> str:
+    inner = f"""WITH {tokens_cte()},\n{VOCAB_CTES},
+enc AS (SELECT t.doc_id, t.pos, coalesce(v.id, 0) AS id FROM toks t
+        LEFT JOIN (SELECT word, id FROM vocab WHERE id > 0) v ON t.word = v.word),
+near AS (SELECT doc_id, id, pos, unnest(range(pos - {window}, pos + {window + 1})) AS at FROM enc)
+SELECT c.id AS center, x.id AS context FROM near c JOIN enc x ON c.doc_id = x.doc_id AND c.at = x.pos
+WHERE c.at <> c.pos"""
+    return final(inner, [("center", "n"), ("context", "n")])
+
+
+def site_config_sql() -> str:
+    return final(f"WITH cfg AS ({SITE_CONFIG})\nSELECT * FROM cfg",
+                 [("short_name", "s"), ("site_id", "i"), ("percent_prediction_threshold", "f")])
+
+
 def search_sql(method: str, k: int = 10) -> str:
     from .text import BM25_B, BM25_K1
     if method == "bm25":

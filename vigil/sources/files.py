@@ -140,13 +140,16 @@ def normalize_columns(df: DataFrame) -> DataFrame:
 
 
 def read_complaints(spark: SparkSession, path: str) -> DataFrame:
-    """Narratives of a complaints CSV (quoted, multi-line), non-null only."""
+    """(doc_id, text): narratives of a complaints CSV (quoted, multi-line); an empty one is none.
+
+    ``doc_id`` is the file's complaint id; a file without one gets row ids that hold for one read only.
+    """
     raw = (spark.read.option("header", True).option("multiLine", True)
            .option("quote", '"').option("escape", '"').csv(path))
     df = normalize_columns(raw)
+    own = F.col("complaint_id").cast("long") if "complaint_id" in df.columns else F.monotonically_increasing_id()
     return df.where(F.col("consumer_complaint_narrative").isNotNull()).select(
-        F.monotonically_increasing_id().alias("doc_id"),
-        F.col("consumer_complaint_narrative").alias("text"))
+        own.alias("doc_id"), F.col("consumer_complaint_narrative").alias("text"))
 
 
 # ------------------------------------------------------------------ S13
@@ -159,12 +162,21 @@ def read_documents(spark: SparkSession, pattern: str) -> DataFrame:
 
 # ------------------------------------------------------------------ sinks
 
+SHEET_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def write_timesheet(sheet: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K1: CSV with header, one folder per ISO day of the start (or end)."""
+    """K1: CSV with header, one folder per ISO day of the start (or end), times to the microsecond."""
     from ..plans.timesheet import day_label
     day = day_label(F.coalesce(F.col("Start"), F.col("End")))
-    sheet.withColumn("day", day).write.mode(mode).option("header", True) \
-        .partitionBy("day").csv(path)
+    (sheet.withColumn("day", day).write.mode(mode).option("header", True)
+     .option("timestampFormat", SHEET_TIME).option("timestampNTZFormat", SHEET_TIME).partitionBy("day").csv(path))
+
+
+def read_timesheet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The sheets of all days back, without the day column; ``schema`` is the written frame's."""
+    return (spark.read.schema(schema).option("header", True).option("timestampFormat", SHEET_TIME)
+            .option("timestampNTZFormat", SHEET_TIME).csv(path).select(*[f"`{c}`" for c in schema.fieldNames()]))
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -145,6 +145,39 @@ def history_site_facts(days: DataFrame) -> DataFrame:
     return days.select("client", "d_date_id", "orders", "revenue")
 
 
+# ------------------------------------------------------------ rule-made daily series
+
+N_RULES = 10  # client = 'rule_' || o_custkey % 10
+#: Value of a day (SQL of both engines): ``g`` the rule, ``age`` the days of the client that follow, ``base`` 100-102.
+#: Rules 0-9: zeros, a jump, four days past 2 sd, seven past 1 sd, below the mean, above it, falling, rising,
+#: rising then falling, nothing.
+RULE_VALUE = """CASE
+  WHEN g = 0 AND age < 7 THEN 0
+  WHEN g = 1 AND age = 0 THEN 100000
+  WHEN g = 2 AND age < 4 THEN 103.2
+  WHEN g = 3 AND age < 7 THEN 102.3
+  WHEN g = 3 AND age < 10 THEN 100
+  WHEN g = 4 AND age < 9 THEN 100.6
+  WHEN g = 5 AND age < 9 THEN 101.4
+  WHEN g = 6 AND age < 10 THEN 100.55 + age * 0.1
+  WHEN g = 7 AND age < 10 THEN 101.45 - age * 0.1
+  WHEN g = 8 AND age < 10 THEN 100.55 + age * 0.1
+  WHEN g = 8 AND age < 19 THEN 102.35 - age * 0.1
+  ELSE base END"""
+
+
+def rule_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(client, Date, revenue): the days on which a client's customers ordered, valued by the client's rule."""
+    days = table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % N_RULES).cast("int").alias("g"), F.to_date("o_orderdate").alias("Date")).distinct()
+    # a client has at most one row per calendar day
+    age = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("Date"))) - 1
+    days = days.select("g", "Date", age.alias("age"),
+                       (F.datediff("Date", F.lit("1992-01-01").cast("date")) % 3 + 100).alias("base"))
+    return days.select(F.concat(F.lit("rule_"), F.col("g").cast("string")).alias("client"), "Date",
+                       F.expr(RULE_VALUE).cast("double").alias("revenue"))
+
+
 # ------------------------------------------------------------ model evals
 
 MODEL_TYPES = ["gbm", "rf", "glm"]     # type = MODEL_TYPES[s_suppkey % 3]
