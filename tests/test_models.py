@@ -56,7 +56,7 @@ def test_comparison_invalid_selection_and_one_sided_variable(spark):
     b = [r for r in met if r.side == "b"]
     assert len(b) == 1 and b[0].value == models.INVALID
     a = {r.field: r.value for r in met if r.side == "a"}
-    assert a == {"training": "100", "testing": "25", "rmse": "0.50000",
+    assert a == {"training": "100", "testing": "25", "rmse": "0.5",
                  "start": "2024-01-01", "end": "2024-01-30"}
     imp = models.compare_importance(df, ("x", "gbm", "web"), ("y", "rf", "web"), "left").collect()
     side_b = [(r.variables, r.position) for r in imp if r.side == "b"]
