@@ -422,7 +422,10 @@ def q_skipgram_within(spark, sf_dir):
 
 
 def _search(spark, sf_dir, method):
+    from ..operators.materialize import materialize
     postings, doc_len = text.index_from_tokens(_doc_tokens(spark, sf_dir))
+    # document frequencies, hits and norms read the postings: they are built once
+    postings = materialize(postings)
     q = td.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return finalize(text.search(postings, doc_len, text.query_terms(q), method))
 
