@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays."""
-    return simhash_vp.keep_one(docs)
+    """One document of each group of linked fingerprints stays, whatever its doc_id."""
+    return simhash_vp.keep_one(docs, unnamed_stay=False)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

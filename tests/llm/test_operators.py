@@ -200,6 +200,22 @@ def test_keep_one(awkward, docs):
     assert {r["doc_id"] for r in simhash_vp.keep_one(docs).collect()} == groups
 
 
+def test_keep_one_goes_by_rows_not_ids(spark):
+    texts = [" ".join(f"{w}{i}x{j}" for j in range(40)) for i, w in enumerate("abcdef")]
+    rows = [(7, texts[0], 1), (7, texts[1], 1), (7, texts[2], 1), (3, texts[1], 1), (9, texts[2], 1), (7, texts[2], 1),
+            (None, texts[3], 1), (None, texts[3], 1), (None, texts[3], 2), (None, texts[0], 1), (None, None, 1),
+            (None, "", None), (1, texts[4], 1), (1, texts[4], 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(4)
+    got = simhash_vp.keep_one(df, unnamed_stay=False).collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == [1, 3, 7, 7]
+    assert {(r["doc_id"], r["text"]) for r in got if r["text"]} == {
+        (7, texts[0]), (3, texts[1]), (7, texts[2]), (None, texts[3]), (1, texts[4])}
+    assert len(got) == 6   # and one of the two empty texts
+    named = simhash_vp.keep_one(df).where("doc_id is not null").collect()
+    assert {(r["doc_id"], r["text"]) for r in named} == {(7, texts[0]), (3, texts[1]), (7, texts[2]), (1, texts[4])}
+    assert len(named) == 4
+
+
 # ------------------------------------------------------------------ 4 licences
 
 @pytest.mark.parametrize("source", ["docs", "awkward"])

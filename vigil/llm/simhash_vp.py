@@ -18,11 +18,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.materialize import materialize
-from .common import fresh, texts_of
+from .common import texts_of
 from .components import components
 
 SHINGLE_WORDS = 3
@@ -213,6 +213,13 @@ def link_points(points: DataFrame, radius: int = MAX_BITS, shard_points: int = S
     return dealt.groupBy("shard").applyInPandas(search, "a long, b long")
 
 
+def _components(points: DataFrame, max_bits: int) -> DataFrame:
+    """(point, ..., component) of every row of ``points``, which holds each fingerprint once."""
+    linked = components(link_points(points.select("point"), max_bits))
+    return points.join(linked.withColumnRenamed("node", "point"), "point", "left").withColumn(
+        "component", F.coalesce("component", "point"))
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, point, fingerprint, component_id) of every row of ``docs`` (doc_id, text).
 
@@ -222,21 +229,44 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     """
     prints = materialize(fingerprints(docs, shingle_words))
     distinct = materialize(prints.groupBy("point").agg(F.min("doc_id").alias("least")))
-    linked = components(link_points(distinct.select("point"), max_bits))
-    labels = distinct.join(linked.withColumnRenamed("node", "point"), "point", "left").withColumn(
-        "component", F.coalesce("component", "point"))
+    labels = _components(distinct, max_bits)
     least = labels.groupBy("component").agg(F.min("least").alias("component_id"))
     named = labels.join(least, "component").select("point", "component_id")
     return prints.join(named, "point").select(
         "doc_id", "point", F.lower(F.lpad(F.hex("point"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs``, one of each group: the smallest doc_id's. Rows without a doc_id cannot
-    be told apart and stay; a repeated row of the kept doc_id goes. All columns stay as they are."""
-    groups = near_duplicates(docs, shingle_words, max_bits)
-    keep = fresh(docs.columns, f"keep_{uuid.uuid4().hex[:8]}")
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(keep)).distinct()
-    named = docs.where(docs["doc_id"].isNotNull())
-    ones = named.join(kept, named["doc_id"].cast("long") == kept[keep], "left_semi").dropDuplicates(["doc_id"])
-    return ones.unionByName(docs.where(docs["doc_id"].isNull()))
+def _row_key(docs: DataFrame) -> list[Column]:
+    """A row's doc_id, its text's digest and a hash of its other columns: rows equal in the first two have one fingerprint."""
+    others = [x for c in docs.columns if c not in ("doc_id", "text") for x in (docs[c].isNull(), docs[c])]
+    return [docs["doc_id"].cast("long"), F.sha2(docs["text"].cast("binary"), 256), F.xxhash64(F.lit(SEED), *others)]
+
+
+def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
+             unnamed_stay: bool = True) -> DataFrame:
+    """The rows of ``docs``, one of each group: the first by doc_id (nulls last), text digest and hash of the other
+    columns; of rows equal in all of these one stays. A doc_id on several texts decides nothing: each row goes by its
+    own text's group. With ``unnamed_stay``, rows without a doc_id all stay, and do not stand for
+    a group; without it they are rows like others. All columns stay as they are."""
+    key = [f"keep_{k}_{uuid.uuid4().hex[:8]}" for k in ("id", "text", "rest")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = np.array([fingerprint(t, shingle_words) for t in texts_of(batch.column(3))], "<u8")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(points.view("<i8"))], [*key, "point"])
+
+    prints = docs.select(*[c.alias(k) for c, k in zip(_row_key(docs), key)], docs["text"]).mapInArrow(
+        run, f"{key[0]} long, {key[1]} string, {key[2]} long, point long")
+    # aggregated by point, then by component: copies of one text meet no join
+    first = F.struct(F.col(key[0]).isNull().alias("unnamed"), *key)
+    distinct = materialize(prints.groupBy("point").agg(F.min(first).alias("first")))
+    kept = _components(distinct, max_bits).groupBy("component").agg(F.min("first").alias("first"))
+    if unnamed_stay:
+        kept = kept.where("not first.unnamed")
+    kept = kept.select(*[F.col("first")[k].alias(k) for k in key])
+    mine = [f"{k}_row" for k in key]
+    rows = docs.where(docs["doc_id"].isNotNull()) if unnamed_stay else docs
+    rows = rows.select("*", *[c.alias(k) for c, k in zip(_row_key(docs), mine)])
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(mine, key)]
+    ones = rows.join(kept, same[0] & same[1] & same[2], "left_semi").dropDuplicates(mine).select(*docs.columns)
+    return ones.unionByName(docs.where(docs["doc_id"].isNull())) if unnamed_stay else ones
