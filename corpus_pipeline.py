@@ -30,13 +30,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture: packing reads and packs them in it."""
+    """All documents, in the order of the mixture: written files, and their rows, follow it."""
     return pfair.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of up to 4096 tokens; one row per piece."""
-    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), END_ID)
+    """Sequences of up to 4096 tokens; one row per piece. Documents are packed in the order that mixing wrote."""
+    return packing.pack_documents(packing.in_written_order(docs), tokenizer("word_bpe_49k.json"), END_ID)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data),

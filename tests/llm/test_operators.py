@@ -370,6 +370,32 @@ def test_mixture(awkward, docs):
     assert order == [r["doc_id"] for r in want]
 
 
+def test_pipeline_packs_in_the_mixed_order(spark, monkeypatch, tmp_path):
+    import pyarrow.parquet as pq
+
+    import corpus_pipeline
+    rows = [(i, f"w{i} " * (1 + 60 * (i % 400 // 50)), "en", f"s{i % 3}") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    sort_by_id = ("mixing", lambda spark, docs, sf_dir: docs.orderBy("doc_id"))   # files of unequal size
+    stages = corpus_pipeline.STAGES
+    for mixing in (sort_by_id, stages[3]):
+        path = str(tmp_path / f"mixed{mixing is sort_by_id}")
+        monkeypatch.setattr(corpus_pipeline, "scratch_path", lambda spark, name: path)
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [mixing, stages[-1]])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        files = sorted((tmp_path / path).glob("part-*.parquet"))
+        assert len(files) > 3
+        order = [d for f in files for d in pq.ParquetFile(f).read(["doc_id"])["doc_id"].to_pylist()]
+        part = {r["doc_id"]: r["sequence_id"] >> 40 for r in got}
+        parts = [part[d] for d in order]
+        assert len(set(parts)) > 3 and parts == sorted(parts)
+
+
 # ------------------------------------------------------------------ 9 classifier
 
 def test_classifier_on_labels_it_has_not_seen(spark):

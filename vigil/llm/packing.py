@@ -18,7 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .common import fresh
 from .tokens import ids_with_end
 
 CAPACITY = 4096
@@ -135,7 +137,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: i
 
     Rows are tokenized and packed where they are read: nothing is shuffled and
     a task holds one window. Sequence ids are unique: partition number, then
-    a running number. A null or empty text is the end id alone; null or repeated doc_ids
+    a running number; they rise, window by window, in the order of the frame's partitions and rows. A null or empty text is the end id alone; null or repeated doc_ids
     are packed row by row like any other; an empty table gives no rows; other columns
     are not read. Documents longer than ``capacity`` are cut at its multiples first.
     """
@@ -159,3 +161,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: i
         yield frame(packer.flush(last=True))
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(pack, SCHEMA)
+
+
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, just read from Parquet files that Spark wrote, range-partitioned and sorted by where they
+    stand: the number of the task that wrote the file, the file, the row in it. A plain scan deals files out by size."""
+    part, file, row = (fresh(docs.columns, f"written_{x}") for x in ("part", "file", "row"))
+    at = docs.metadataColumn("_metadata")
+    placed = docs.select(
+        "*", F.regexp_extract(at["file_name"], r"^part-([0-9]+)", 1).try_cast("long").alias(part),
+        at["file_name"].alias(file), at["row_index"].alias(row))
+    return placed.repartitionByRange(part, file, row).sortWithinPartitions(part, file, row).select(*docs.columns)
