@@ -370,6 +370,18 @@ def test_mixture(awkward, docs):
     assert order == [r["doc_id"] for r in want]
 
 
+def test_rows_without_an_id_are_mixed_row_by_row(spark):
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"t{i}", f"s{i // 3 % 3}") for i in range(1800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    mixed = pfair.mixed_documents(df).collect()
+    same(mixed, rows)
+    # three sources of one size, each less than a block from its target, null and repeated ids included
+    seen = dict.fromkeys(("s0", "s1", "s2"), 0)
+    for r in mixed:
+        seen[r["source"]] += 1
+        assert max(seen.values()) - min(seen.values()) <= 2 * pfair.BLOCK_ROWS
+
+
 def test_pipeline_packs_in_the_mixed_order(spark, monkeypatch, tmp_path):
     import pyarrow.parquet as pq
 

@@ -15,6 +15,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.materialize import scratch_path
 from ..operators.rownumber import number_rows
 from .common import fresh
 
@@ -74,20 +75,21 @@ def target_parts(docs: DataFrame, temperature: float = TEMPERATURE, stratum: str
 
 
 def mix(docs: DataFrame, parts: dict[str, int], block_rows: int = BLOCK_ROWS, seed: int = SEED,
-        stratum: str = "source", id_col: str = "doc_id") -> DataFrame:
+        stratum: str = "source", id_col: str = "doc_id", place: str | None = None) -> DataFrame:
     """(doc_id, source, block, slot, release, deadline, in_block, position, place) of every row of ``docs``.
 
     ``position`` is the row's place in the mixed order, gapless from 0. Every row is kept: when a source has run
     out its slots are passed over, and the others go on in their proportions. Sources without a part, and null,
     share ``(rest)``, after all others if that has no part either. Null ids, repeated rows and ties are ordered by
-    a seeded hash and their place in the input (``place``, which names a row of this frame); an empty
-    table gives no rows. Only ids and sources are shuffled.
+    a seeded hash and their place in the input (``place``: the column of that name, which must differ from row to
+    row, else a number that names a row of this frame); an empty table gives no rows. Only ids and sources are shuffled.
     """
     period = max(1, sum(parts.values()))
     spark = docs.sparkSession
     named = F.when(docs[stratum].cast("string").isin(*parts), docs[stratum].cast("string")).otherwise(F.lit(REST))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), named.alias("source")).withColumn(
-        "place", F.monotonically_increasing_id()).withColumn("draw", F.xxhash64(F.lit(seed), "doc_id"))
+    at = docs[place] if place else F.monotonically_increasing_id()
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), named.alias("source"), at.alias("place")).withColumn(
+        "draw", F.xxhash64(F.lit(seed), "doc_id"))
     ranked = number_rows(rows, [F.col("draw"), F.asc_nulls_first("doc_id"), F.col("place")],
                          key=["source"], out="rank")
     share = F.coalesce(*[F.when(F.col("source") == s, F.lit(a)) for s, a in parts.items()], F.lit(1))
@@ -108,12 +110,13 @@ def mixed_documents(docs: DataFrame, temperature: float = TEMPERATURE, block_row
                     seed: int = SEED) -> DataFrame:
     """All rows and columns of ``docs``, sorted in the mixed order: written files, and their rows, follow it.
 
-    Rows of one doc_id, or of none, take the first place of theirs. The texts are shuffled to their
-    places and then sorted in ranges; ties are told apart by the text's hash.
+    Every row takes its own position, rows of one doc_id, or of none, like others: the rows are written once with the
+    number that stands for them. The texts are shuffled to their positions and then sorted in ranges.
     """
-    placed = mix(docs, target_parts(docs, temperature), block_rows, seed).groupBy("doc_id").agg(
-        F.min("position").alias("position"))
-    key, at = fresh(docs.columns, "mix_doc"), fresh(docs.columns, "mix_position")
-    placed = placed.select(F.col("doc_id").alias(key), F.col("position").alias(at))
-    joined = docs.join(placed, docs["doc_id"].cast("long").eqNullSafe(F.col(key)), "left")
-    return joined.orderBy(F.asc(at), F.xxhash64(docs["text"])).select(*[docs[c] for c in docs.columns])
+    number, key, at = (fresh(docs.columns, f"mix_{x}") for x in ("number", "place", "position"))
+    path = scratch_path(docs.sparkSession, "mixing-rows")
+    docs.withColumn(number, F.monotonically_increasing_id()).write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
+    placed = mix(rows, target_parts(rows, temperature), block_rows, seed, place=number)
+    placed = placed.select(F.col("place").alias(key), F.col("position").alias(at))
+    return rows.join(placed, rows[number] == placed[key]).orderBy(at).select(*docs.columns)
