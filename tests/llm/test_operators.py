@@ -370,6 +370,34 @@ def test_mixture(awkward, docs):
     assert order == [r["doc_id"] for r in want]
 
 
+def test_every_source_has_its_own_schedule(spark):
+    """More than a hundred sources, a null one and one called (rest): each keeps its windows and its share."""
+    sizes = {None: 60, "(rest)": 60} | {f"s{i:03}": 60 for i in range(130)}
+    df = spark.createDataFrame([(k * 100 + j, s) for k, (s, n) in enumerate(sizes.items()) for j in range(n)],
+                               "doc_id long, source string").repartition(3)
+    parts = pfair.target_parts(df)
+    assert set(parts) == set(sizes) and len(set(parts.values())) == 1
+    rows = sorted(pfair.mix(df, parts, 4).collect(), key=lambda r: r["position"])
+    assert {r["source"] for r in rows} == set(sizes)
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+    seen = dict.fromkeys(sizes, 0)
+    for r in rows:
+        seen[r["source"]] += 1
+        assert max(seen.values()) - min(seen.values()) <= 2 * 4
+
+
+def test_small_weights_are_not_raised(spark):
+    weights = {"big": 1e6, "mid": 2e5, "tiny": 10.0, None: 30.0}
+    parts = pfair.source_parts(weights)
+    for s, w in weights.items():
+        assert float(parts[s] / parts["big"]) == pytest.approx(w / weights["big"], rel=0.02)
+    parts["tiny"] = pfair.Fraction(1, 3)
+    df = spark.createDataFrame([(i, "tiny" if i < 9 else "big") for i in range(5000)], "doc_id long, source string")
+    rows = [r for r in pfair.mix(df, parts, 1).collect() if r["source"] == "tiny"]
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+    assert sorted(r["release"] // 3000 for r in rows) == list(range(9))
+
+
 def test_rows_without_an_id_are_mixed_row_by_row(spark):
     rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"t{i}", f"s{i // 3 % 3}") for i in range(1800)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)

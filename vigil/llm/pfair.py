@@ -3,15 +3,18 @@
 A source's rows, in a seeded order, are cut into blocks. With target weight w, its block i (from 1) is
 released at floor((i - 1) / w) and due at ceil(i / w), in block slots. Earliest deadline first among
 released blocks meets every deadline on one resource, so at any slot a source is less than one
-block from its target. Weights are whole parts of a period, and the
-schedule repeats with the period: it is made once for a period, and every block
-finds its slot by arithmetic.
+block from its target. Weights are whole parts of a period, which grows with the number of
+sources, and the schedule repeats with the period: it is made once for a period, and every block
+finds its slot by arithmetic. A source whose weight is below one part has a slot in every m-th period
+only, in windows of m periods; in the others its slot is passed over.
 """
 
 from __future__ import annotations
 
 import heapq
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,90 +22,124 @@ from ..operators.materialize import scratch_path
 from ..operators.rownumber import number_rows
 from .common import fresh
 
-PERIOD = 1000        # slots of a period: weights are whole thousandths
-MAX_SOURCES = 100    # sources with a weight of their own; smaller ones share one
+PERIOD = 1000        # slots of a period, at least: weights are whole parts of it
+SOURCE_SLOTS = 16    # slots of a period for each source, at least
 BLOCK_ROWS = 16
 TEMPERATURE = 0.7    # a source's weight follows its rows to this power
 SEED = 8
-REST = "(rest)"
 
 
-def weight_parts(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
+#: Whole parts of a period, or 1/m: a slot in every m-th period. The key None is the null source.
+Parts = dict[str | None, int | Fraction]
+
+
+def _by_name(source: str | None) -> tuple[bool, str]:
+    return source is not None, source or ""
+
+
+def weight_parts(weights: dict[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
     """Whole parts of ``period`` by largest remainders, at least one each (ties by name)."""
     total = sum(weights.values())
     parts = {s: max(1, int(w * period / total)) for s, w in weights.items()}
-    order = sorted(weights, key=lambda s: (parts[s] - weights[s] * period / total, s))
-    while sum(parts.values()) != period:
-        step = 1 if sum(parts.values()) < period else -1
+    order = sorted(weights, key=lambda s: (parts[s] - weights[s] * period / total, _by_name(s)))
+    missing = period - sum(parts.values())
+    while missing:
+        step = 1 if missing > 0 else -1
         for s in order if step > 0 else reversed(order):
-            if parts[s] + step >= 1 and sum(parts.values()) != period:
+            if missing and parts[s] + step >= 1:
                 parts[s] += step
+                missing -= step
     return parts
 
 
-def edf_period(parts: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+def slots_of(part: int | Fraction) -> int:
+    return max(1, int(part))
+
+
+def edf_period(parts: Parts) -> list[tuple[str | None, int, int, int, int]]:
     """(source, block, slot, release, deadline) of one period, one block a slot."""
-    period = sum(parts.values())
+    names = sorted(parts, key=_by_name)
+    share = [slots_of(parts[s]) for s in names]
+    period = sum(share)
 
-    def window(source: str, i: int) -> tuple[int, int]:
-        return i * period // parts[source], -(-(i + 1) * period // parts[source])
+    def window(source: int, i: int) -> tuple[int, int]:
+        return i * period // share[source], -(-(i + 1) * period // share[source])
 
-    waiting = [(*window(s, 0), s, 0) for s in parts]
+    waiting = [(*window(s, 0), s, 0) for s in range(len(names))]
     heapq.heapify(waiting)
-    ready: list[tuple[int, str, int, int]] = []
+    ready: list[tuple[int, int, int, int]] = []
     out = []
     for slot in range(period):
         while waiting and waiting[0][0] <= slot:
             release, deadline, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline, s, i, release))
         deadline, s, i, release = heapq.heappop(ready)
-        out.append((s, i, slot, release, deadline))
-        if i + 1 < parts[s]:
+        out.append((names[s], i, slot, release, deadline))
+        if i + 1 < share[s]:
             heapq.heappush(waiting, (*window(s, i + 1), s, i + 1))
     return out
 
 
-def target_parts(docs: DataFrame, temperature: float = TEMPERATURE, stratum: str = "source") -> dict[str, int]:
-    """Weights from the whole table's row counts. Sources beyond the ``MAX_SOURCES`` largest, and a null
-    source, are mixed as one source ``(rest)``; at most that many counts reach the driver."""
-    counts = docs.groupBy(F.col(stratum).cast("string").alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    top = counts.where("s is not null").orderBy(F.desc("n"), "s").limit(MAX_SOURCES).collect()
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    sizes = {r["s"]: r["n"] for r in top}
-    if total > sum(sizes.values()):
-        sizes[REST] = sizes.get(REST, 0) + total - sum(sizes.values())
-    return weight_parts({s: n ** temperature for s, n in sizes.items()}) if sizes else {}
+def source_parts(weights: dict[str | None, float]) -> Parts:
+    """Parts of a period of ``PERIOD`` slots, or ``SOURCE_SLOTS`` a source if those are more. Of weights below one
+    part each gets a slot in every m-th period, m such that its share of what is used is right."""
+    period = max(PERIOD, SOURCE_SLOTS * len(weights))
+    total = sum(weights.values())
+    large = {s: w for s, w in weights.items() if w * period >= total}
+    left = period - (len(weights) - len(large))   # a slot each for the others
+    parts: Parts = dict(weight_parts(large, left))
+    for s, w in weights.items():
+        if s not in large:
+            parts[s] = Fraction(1, max(1, round(sum(large.values()) / (w * left))))
+    return parts
+
+
+def target_parts(docs: DataFrame, temperature: float = TEMPERATURE, stratum: str = "source") -> Parts:
+    """Weights from the whole table's row counts, one for each source, null being one. The counts reach the driver:
+    a name and a number for each source."""
+    counts = docs.groupBy(F.col(stratum).cast("string").alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return source_parts({r["s"]: r["n"] ** temperature for r in counts}) if counts else {}
 
 
-def mix(docs: DataFrame, parts: dict[str, int], block_rows: int = BLOCK_ROWS, seed: int = SEED,
+def mix(docs: DataFrame, parts: Parts, block_rows: int = BLOCK_ROWS, seed: int = SEED,
         stratum: str = "source", id_col: str = "doc_id", place: str | None = None) -> DataFrame:
     """(doc_id, source, block, slot, release, deadline, in_block, position, place) of every row of ``docs``.
 
     ``position`` is the row's place in the mixed order, gapless from 0. Every row is kept: when a source has run
-    out its slots are passed over, and the others go on in their proportions. Sources without a part, and null,
-    share ``(rest)``, after all others if that has no part either. Null ids, repeated rows and ties are ordered by
+    out its slots are passed over, and the others go on in their proportions. Sources without a part come
+    after all others, a block of each in turn. Null ids, repeated rows and ties are ordered by
     a seeded hash and their place in the input (``place``: the column of that name, which must differ from row to
     row, else a number that names a row of this frame); an empty table gives no rows. Only ids and sources are shuffled.
     """
-    period = max(1, sum(parts.values()))
+    period = max(1, sum(map(slots_of, parts.values())))
     spark = docs.sparkSession
-    named = F.when(docs[stratum].cast("string").isin(*parts), docs[stratum].cast("string")).otherwise(F.lit(REST))
     at = docs[place] if place else F.monotonically_increasing_id()
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), named.alias("source"), at.alias("place")).withColumn(
-        "draw", F.xxhash64(F.lit(seed), "doc_id"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[stratum].cast("string").alias("source"),
+                       at.alias("place")).withColumn("draw", F.xxhash64(F.lit(seed), "doc_id"))
     ranked = number_rows(rows, [F.col("draw"), F.asc_nulls_first("doc_id"), F.col("place")],
                          key=["source"], out="rank")
-    share = F.coalesce(*[F.when(F.col("source") == s, F.lit(a)) for s, a in parts.items()], F.lit(1))
-    blocks = ranked.withColumns({"block": F.expr(f"rank div {block_rows}"),
-                                 "in_block": F.expr(f"rank % {block_rows}"), "share": share})
-    blocks = blocks.withColumns({"turn": F.expr("block div share"), "step": F.expr("block % share")})
-    # a period's slots: at most PERIOD rows
-    slots = spark.createDataFrame(edf_period(parts) if parts else [], "source string, step long, at long, r long, d long")
-    due = blocks.join(F.broadcast(slots), ["source", "step"], "left").withColumns({
-        "slot": F.col("turn") * period + F.col("at"), "release": F.col("turn") * period + F.col("r"),
-        "deadline": F.col("turn") * period + F.col("d")})
+    names = list(parts)
+    # a row for each source, and a period's slots: the driver made both
+    shares = spark.createDataFrame(pa.table({
+        "of": pa.array(names, pa.string()), "share": pa.array([slots_of(parts[s]) for s in names], pa.int64()),
+        "every": pa.array([1 if parts[s] >= 1 else parts[s].denominator for s in names], pa.int64())}))
+    columns = list(zip(*edf_period(parts))) if parts else [()] * 5
+    slots = spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, [pa.string()] + [pa.int64()] * 4)],
+                                           ["for", "step", "at", "r", "d"]))
+    blocks = ranked.join(F.broadcast(shares), F.col("source").eqNullSafe(F.col("of")), "left").withColumns({
+        "block": F.expr(f"rank div {block_rows}"), "in_block": F.expr(f"rank % {block_rows}"),
+        "share": F.coalesce("share", F.lit(1)), "every": F.coalesce("every", F.lit(1))})
+    # sources that skip periods begin in different ones
+    blocks = blocks.withColumns({
+        "turn": F.expr("block div share") * F.col("every") + F.pmod(F.xxhash64(F.lit(seed), "source"), "every"),
+        "first": F.expr("block div share") * F.col("every"), "of_step": F.expr("block % share")})
+    due = blocks.join(F.broadcast(slots), F.col("source").eqNullSafe(F.col("for")) & (F.col("of_step") == F.col("step")),
+                      "left").withColumns({
+        "slot": F.col("turn") * period + F.col("at"), "release": F.col("first") * period + F.col("r"),
+        "deadline": (F.col("first") + F.col("every") - 1) * period + F.col("d")})
     out = number_rows(due.select("doc_id", "source", "block", "slot", "release", "deadline", "in_block", "place"),
-                      [F.asc_nulls_last("slot"), F.col("block"), F.col("in_block"), F.col("place")], out="position")
+                      [F.asc_nulls_last("slot"), F.col("block"), F.asc_nulls_first("source"), F.col("in_block"),
+                       F.col("place")], out="position")
     return out
 
 
