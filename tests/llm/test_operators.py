@@ -448,6 +448,35 @@ def test_classifier_on_labels_it_has_not_seen(spark):
     assert right[0] > 0.93 and right[1] > 0.98
 
 
+def test_every_unlabelled_document_takes_part(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 7 == 0 else i, " ".join(rng.choice(["plain", "words", "here", "there"], 12)) if i % 2 else
+             " ".join(rng.choice(["$$1", "##2", "A%%", "9&&"], 12)), "en" if i % 2 else None, f"s{i % 2}")
+            for i in range(9000)] + [(8999, "again", "en", "s1")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    free = cotrain.unlabelled_rows(df, marks)
+    known = {i for i in range(400) if i % 7}
+    assert free.count() == len([r for r in rows if r[0] not in known]) > 8000
+    s = cotrain.training_sample(df, marks, 6000, 9)
+    x = cotrain.unpacked(*[cotrain.pa.array(s[c], cotrain.pa.binary()) for c in ("content", "meta")])
+    y, held = s["y"].to_numpy(float), np.arange(len(s)) % 4 == 0
+    args = [tuple(v[~held] for v in x), y[~held], tuple(v[held] for v in x), y[held]]
+    views, past = cotrain.co_train(*args, free)
+    got = free.toPandas()
+    z = cotrain.unpacked(*[cotrain.pa.array(got[c], cotrain.pa.binary()) for c in ("content", "meta")])
+    labels = cotrain.given(z, past)
+    for u in (0, 1):   # the regression over all of these rows at once has no slope left
+        some = labels[u] >= 0
+        assert some.sum() > 4000
+        m = views[u].model
+        both = cotrain._columns(np.vstack([args[0][u], z[u][some]]), m.mean, m.scale)
+        slope = both.T @ (np.concatenate([args[1], labels[u][some]]) - cotrain.sigmoid(both @ m.weights))
+        assert np.abs(slope - cotrain.RIDGE * m.weights)[:-1].max() < 1e-3
+    monkeypatch.setattr(cotrain, "FEW_PARTS", 0)
+    assert cotrain.total(free, lambda b: np.array([float(len(b[0]))]))[0] == len(got)
+
+
 def test_classifier_without_enough_labels_keeps_all(awkward, labels):
     rows = cotrain.classify(awkward, labels).collect()
     assert len(rows) == len(TEXTS) + 5 and all(r["kept"] and r["score"] is None for r in rows)
