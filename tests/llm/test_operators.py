@@ -341,6 +341,14 @@ def test_redaction(awkward, docs):
             assert not brute.pii_spans(r["text"])
 
 
+def test_a_long_secret_is_covered_whole(spark):
+    secret = "token=" + "a1B2" * 300
+    df = spark.createDataFrame([(1, f"user {secret} end")], "doc_id long, text string")
+    found = pii.with_matches(df, "text", {k: f"m_{k}" for k in pii.PATTERNS}).first()["m_secret"]
+    assert [(m["start"], m["value"]) for m in found] == [(5, secret)]
+    assert pii.redact(df).first()["text"] == "user [SECRET] end"
+
+
 # ------------------------------------------------------------------ 8 mixing
 
 def test_edf_meets_every_window_and_lags_less_than_a_block():

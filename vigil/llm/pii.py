@@ -33,7 +33,7 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "local_phone": r"(?<![0-9+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?i:password|passwd|pwd|token|secret|api[_-]?key)"
-              r"(?-i: ?[=:] ?\"?)[A-Za-z0-9_/+=-]{8,200}\"?)",
+              r"(?-i: ?[=:] ?\"?)[A-Za-z0-9_/+=-]{8,}+\"?)",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A text without this cannot hold a match.
