@@ -144,6 +144,13 @@ def test_nearest_awkward(spark):
     assert vp_search.nearest(vectors(spark, []), F.lit(True)).count() == 0
 
 
+def test_an_id_on_several_vectors_fills_one_place():
+    found = vp_search.Found(1, 3)
+    found.offer(np.array([0]), np.array([[1.0, 2.0, 3.0, 4.0, 5.0]]), np.array([[7, 8, 7, 7, 9]]))
+    found.offer(np.array([0]), np.array([[0.5, 6.0]]), np.array([[8, 7]]))
+    assert found.id.tolist() == [[8, 7, 9]] and found.score.tolist() == [[0.5, 1.0, 5.0]]
+
+
 # ------------------------------------------------------------------ 3 SimHash
 
 @pytest.mark.parametrize("source", ["docs", "awkward"])

@@ -71,15 +71,14 @@ class Found:
         s = np.concatenate([self.score[q], score], axis=1)
         i = np.concatenate([self.id[q], np.broadcast_to(ids, score.shape)], axis=1)
         i = np.where(np.isinf(s), np.iinfo(np.int64).max, i)
-        order = np.lexsort((i, s), axis=1)
+        # one id may be offered more than once if its rows repeat, with one vector or several: its smallest score stays
+        order = np.lexsort((s, i), axis=1)
         s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        # one id may be offered twice if rows repeat: its first, smaller, score stays
         again = np.zeros(s.shape, bool)
         again[:, 1:] = (i[:, 1:] == i[:, :-1]) & np.isfinite(s[:, 1:])
-        if again.any():
-            s = np.where(again, np.inf, s)
-            order = np.lexsort((i, s), axis=1)
-            s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        s, i = np.where(again, np.inf, s), np.where(again, np.iinfo(np.int64).max, i)
+        order = np.lexsort((i, s), axis=1)
+        s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
         self.score[q], self.id[q] = s[:, :self.k], i[:, :self.k]
 
 
@@ -134,7 +133,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, relax: float = 1.0
     """(query_id, rank, id, score): the k nearest rows of every row where ``queries`` holds.
 
     Rows with a null id, and null, zero or non-finite vectors, take no part, nor do vectors of another length than the
-    most frequent one (ties: the longer). A query's own id is no candidate; ids repeated with one vector count once. Equal
+    most frequent one (ties: the longer). A query's own id is no candidate; a repeated id counts once, by its nearest
+    vector. Equal
     distances go to the smaller id; with fewer than k candidates all are returned; an empty table gives no rows.
     """
     spark = vectors.sparkSession
