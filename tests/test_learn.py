@@ -60,6 +60,14 @@ def test_gradient_matches_numpy(spark):
     assert len(got) == 64 * 5 + 5 + 5 * 10 + 10
 
 
+def test_holdout_is_the_sources_1000_last_rows(spark):
+    from vigil.plans.catalog import HOLDOUT
+    for rows in (1500, 500):   # a table of fewer rows is held out whole
+        df = spark.range(rows)
+        held = [r["id"] for r in df.where(learn.holdout_flag(df, "id", HOLDOUT)).collect()]
+        assert sorted(held) == list(range(max(0, rows - 1000), rows))
+
+
 def test_holdout_and_batches(spark):
     df = emb(spark)
     n = df.count()
