@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (cotrain, license_index, oracle, packing, pfair, pii, quality_rules, sharding, simhash_vp, token_orc,
+from . import (conversation_dawg, cotrain, hard_negatives, license_index, oracle, packing, pfair, pii, quality_rules, sharding, simhash_vp, token_orc,
                vp_search)
 from .common import table
 
@@ -63,6 +63,16 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_files(spark, table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), END_ID)
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_dawg.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    label = F.when(e["vec_id"] % 7 == 0, (e["label"].cast("long") + 1) % 10).otherwise(e["label"])
+    return hard_negatives.mine(e, label, e["vec_id"] % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -70,5 +80,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_nearest, op3_simhash, op4_licenses, op5_packing, op6_sharding, op7_pii, op8_mixing,
-    op9_quality_classifier, op10_token_orc, pipeline)}
+    op9_quality_classifier, op10_token_orc, op12_conversations,
+    op13_hard_negatives, pipeline)}
 ORACLE: dict[str, str] = oracle.ORACLE
