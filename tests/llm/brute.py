@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import heapq
+import math
 import re
+import zlib
 
 import numpy as np
 import xxhash
@@ -89,3 +92,98 @@ def pii_spans(text: str | None) -> list[str]:
 
 def sha(spans: list[str]) -> str:
     return hashlib.sha256(",".join(spans).encode()).hexdigest()
+
+
+SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
+
+
+def damage(rows):
+    """rows: (conv, turn, role, text)."""
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        k = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if k == 0:
+            continue
+        if k == 1:
+            text = ""
+        if k == 2:
+            text = re.sub("[.!?]", "", text)
+        if k == 4:
+            role = "user"
+        out += [(conv, turn, role, text)] * (2 if k == 3 else 1)
+    return sorted(out, key=lambda r: ((r[0] is not None, r[0] or 0), (r[1] is not None, r[1] or 0), r[2].encode(), r[3].encode()))
+
+
+def repair(rows):
+    """Shortest edits of one damaged conversation by best-first search over whole audits."""
+    faults, seen = [], set()
+    for _, _, role, text in rows:
+        core = text.strip(SPACE)
+        faults.append("blank" if not core else "duplicate" if (role, text) in seen else
+                      "" if core[-1] in ".!?" else "truncated")
+        seen.add((role, text))
+    turns = [t for _, t, _, _ in rows if t is not None]
+    initials = [r[:1] for _, _, r, _ in rows]
+    queue, done = [(0, "", 0, "", ())], set()
+    while True:
+        cost, audit, i, made, kept = heapq.heappop(queue)
+        state = made[-1:] if made else ""
+        if i == len(rows) and re.fullmatch("(s?(ua)+)?", made):
+            break
+        if (i, state, ) in done:
+            continue
+        done.add((i, state))
+        due = "a" if state == "u" else "u"
+        name = {"u": "user", "a": "assistant"}[due]
+        heapq.heappush(queue, (cost + 2, audit + "I", i, made + due, kept + (f"{name}:",)))
+        if i < len(rows):
+            role, text, f = rows[i][2], rows[i][3], faults[i]
+            heapq.heappush(queue, (cost + 3, audit + "D", i + 1, made, kept))
+            if f not in ("blank", "duplicate"):
+                extra = f == "truncated"
+                heapq.heappush(queue, (cost + 2 + extra, audit + "R", i + 1, made + due, kept + (f"{name}:{text}",)))
+                if role[:1] == due or (role[:1] == "s" and not made):
+                    heapq.heappush(queue, (cost + extra, audit + "K", i + 1, made + role[:1], kept + (f"{role}:{text}",)))
+    return (max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, *(faults.count(f) for f in ("blank", "duplicate", "truncated")),
+            sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:])), cost, audit,
+            hashlib.sha256("\n".join(kept).encode()).hexdigest())
+
+
+def repaired_all(rows):
+    bad = damage(rows)
+    return [(c, *repair([r for r in bad if r[0] == c])) for c in {r[0] for r in rows}]
+
+
+def hard_negatives(rows, n_positives=5, k=3):
+    """rows: (vec_id, vector, label)."""
+    ok = []
+    for i, v, label in rows:
+        if i is None or label is None or v is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        ok.append((i, [math.floor(256 * x) for x in v], (label + 1) % 10 if i % 7 == 0 else label))
+    out = []
+    for a, (i, v, label) in enumerate(ok):
+        if i % 50:
+            continue
+        ranked = sorted((-sum(x * y for x, y in zip(v, w)), j, b, m) for b, (j, w, m) in enumerate(ok)
+                        if b != a and len(w) == len(v))
+        for s, j, _, _ in [r for r in ranked if r[3] == label][:n_positives]:
+            fits = [(-t, n) for t, n, _, m in ranked if m != label and 50 * -s <= 100 * -t <= 95 * -s]
+            out += [(i, j, r + 1, n, -s, t) for r, (t, n) in enumerate(fits[:k])]
+    return out
+
+
+def remove_repeated(rows, length):
+    """rows: (doc_id, text). By counting every string."""
+    bodies = [(d, (t or "").encode()) for d, t in rows]
+    seen = collections.Counter(b[i:i + length] for _, b in bodies for i in range(len(b) - length + 1))
+    out = []
+    for d, b in bodies:
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if seen[b[i:i + length]] > 1:
+                gone[i:i + length] = b"\1" * length
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out.append((d, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return out

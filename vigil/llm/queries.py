@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (conversation_dawg, cotrain, hard_negatives, license_index, oracle, packing, pfair, pii, quality_rules, sharding, simhash_vp, token_orc,
-               vp_search)
+from . import (conversation_dawg, cotrain, hard_negatives, license_index, oracle, packing, pfair, pii, quality_rules, sharding, simhash_vp, suffix_dedup,
+               token_orc, vp_search)
 from .common import table
 
 END_ID = 2
@@ -63,6 +63,10 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_files(spark, table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), END_ID)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated(table(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_dawg.repair(table(spark, sf_dir, "conversations"))
 
@@ -80,6 +84,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_nearest, op3_simhash, op4_licenses, op5_packing, op6_sharding, op7_pii, op8_mixing,
-    op9_quality_classifier, op10_token_orc, op12_conversations,
-    op13_hard_negatives, pipeline)}
+    op9_quality_classifier, op10_token_orc,
+    op11_suffix_dedup, op12_conversations, op13_hard_negatives, pipeline)}
 ORACLE: dict[str, str] = oracle.ORACLE
