@@ -20,7 +20,6 @@ ALPHABET = [*"abXYZ.,!'s03 \n\t\r\x0b\x1c\x1f\0-", *map(chr, CODES), "  ", "\n\n
 @functools.cache
 def whole(name):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return lambda s: np.array(t.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
 

@@ -34,13 +34,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
     """Write (doc_id, part, row, n_tokens, ids) of every row of ``docs`` to ``path``.
 
     ``part`` grows with doc_id and ``row`` within a part, so (part, row) is the order of
-    the ids in the whole corpus: null ids first, then ascending, ties by the
-    text's hash and then by place in the input, which also spreads a frequent
-    id over ranges. A null text counts as empty. The text is shuffled once.
+    the ids in the whole corpus: null ids first, then ascending, ties by place in the input, which also
+    spreads a frequent id over ranges. A null text counts as empty; a very long one is a row like others. The text is
+    shuffled once.
     """
-    order = [F.asc_nulls_first("doc_id"), F.asc("tie"), F.asc("place")]
+    order = [F.asc_nulls_first("doc_id"), F.asc("place")]
     ranged = (docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-              .withColumn("tie", F.xxhash64("text"))
               .withColumn("place", F.monotonically_increasing_id())
               .repartitionByRange(*order).sortWithinPartitions(*order)
               .withColumn("at", F.monotonically_increasing_id())
@@ -53,7 +52,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
                 part = batch.slice(at, 256)
                 ids = ids_with_end(tokenizer, part.column(1).to_pylist(), end_id)
                 n = np.array([len(i) // 4 for i in ids], "int64")
-                flat = np.frombuffer(b"".join(ids), "<u4").astype("int32")
+                flat = np.frombuffer(b"".join(ids), "<i4")
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(n)]).astype("int32")), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
@@ -77,9 +76,9 @@ def stream_offsets(rows: DataFrame) -> DataFrame:
         for batch in batches:
             lists = batch.column(3)
             # the checksum and the length come from the ids read back
-            values = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
+            values = memoryview(lists.values.to_numpy().astype("<i4", copy=False))
             ends = lists.offsets.to_numpy()
-            crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+            crc = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(np.diff(ends).astype("int64")), pa.array(crc, pa.int64())],
                 ["doc_id", "part", "row", "n_tokens", "ids_crc32"])

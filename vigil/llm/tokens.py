@@ -1,8 +1,9 @@
 """Exact token ids from the ``tokenizers`` library, with a cache of pieces.
 
 A byte-level or word BPE never merges over the start of a run of white
-space, so a text's ids are its pieces' ids one after the other, and each
-distinct piece is encoded once per worker. ``tests/llm/test_tokens.py``
+space, so a text's ids are its pieces' ids one after the other, and a
+frequent piece is encoded once per worker. Texts that may hold a special token's
+string are given to the library whole. ``tests/llm/test_tokens.py``
 holds this against whole-text encoding. Ids are kept as little-endian
 unsigned 32-bit bytes, the form that files and checksums use.
 """
@@ -14,7 +15,8 @@ import re
 
 import numpy as np
 
-CACHE_PIECES = 1_000_000   # pieces kept by a worker; later new ones are encoded each time
+CACHE_PIECES = 500_000     # pieces of a generation; a worker keeps two
+CACHE_CHARS = 64           # longer pieces are not kept
 BATCH_CHARS = 4_000_000    # characters of texts looked up together
 # white space of the tokenizers' patterns, without space and line feed
 _ODD_ASCII = "\t\x0b\x0c\r"
@@ -51,13 +53,15 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # a task has one core
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True   # their strings in a text are text
+        # what a special token's string begins with, in the text as it is or in lower case
+        self.marks = sorted({t.content[:2] for t in self.tok.get_added_tokens_decoder().values()})
         self.keeps_space = bool(self._encode([" "])[0])
         self.newline = self._encode(["\n"])[0]
         ends = [i for w, i in self.tok.get_vocab().items() if w.endswith("</w>")]
         self.closes = np.zeros(1 << 17, bool)   # by id: the last of a word, or a line feed
         self.closes[ends if not self.keeps_space else np.frombuffer(self.newline, "<u4")] = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}   # what was met since the last change of generations
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
@@ -84,7 +88,7 @@ class Encoder:
     def _split(self, text: str) -> tuple[list[str], int]:
         """The text's pieces and how many leading bytes of ids to drop. A
         piece is kept without its leading space, or starts with a line feed."""
-        if any(c in text for c in _SEPARATORS):
+        if any(c in text for c in _SEPARATORS) or any(m in text for m in self.marks):
             return [f"\0{text}"], 0
         if not self.keeps_space:
             return (text.lower() if one_to_one_case(text) else text).split(), 0
@@ -102,7 +106,7 @@ class Encoder:
                  if len(w) > 1 and w[-1] in ".," and w[-2] < "\xff" and w[-2].isalpha()
                  and w[0] != "\0"}
         plain = list({*(w for w in new if w not in stems),
-                      *(s for s in stems.values() if s not in self.known)})
+                      *(s for s in stems.values() if s not in self.known and s not in self.old)})
         words = [w for w in plain if w.isalpha()]
         rest = [w for w in plain if not w.isalpha()]
         space = " " if self.keeps_space else ""
@@ -112,9 +116,16 @@ class Encoder:
         if stems:
             marks = dict(zip(".,", self._encode([".", ","])))
             for w, s in stems.items():
-                got[w] = (got[s] if s in got else self.known[s]) + marks[w[-1]]
-        if len(self.known) + len(got) <= CACHE_PIECES:
-            self.known.update(got)
+                got[w] = (got[s] if s in got else self.known[s] if s in self.known else self.old[s]) + marks[w[-1]]
+        return got
+
+    def _recall(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that the present generation lacks: from the one before, or encoded now."""
+        got = {p: self.old[p] for p in missing if p in self.old}
+        got.update(self._learn([p for p in missing if p not in got]))
+        if len(self.known) + len(got) > CACHE_PIECES:
+            self.old, self.known = self.known, {}
+        self.known.update((p, i) for p, i in got.items() if len(p) <= CACHE_CHARS)
         return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -134,7 +145,7 @@ class Encoder:
         found = [list(map(self.known.get, pieces)) for pieces, _ in split]
         missing = {p for (pieces, _), ids in zip(split, found) if None in ids
                    for p, i in zip(pieces, ids) if i is None}
-        got = self._learn(list(missing)) if missing else {}
+        got = self._recall(missing) if missing else {}
         return [b"".join(ids if None not in ids else
                          [got[p] if i is None else i for p, i in zip(pieces, ids)])[drop:]
                 for (pieces, drop), ids in zip(split, found)]
