@@ -22,6 +22,7 @@ EM_ROUNDS = 25
 FIT_STEPS = 200
 CUT = 0.5
 CONTEXT_CHARS = 40
+BLOCK = 4096   # characters of a block: a text's characters are reached through its blocks, not counted from its start
 
 #: Base patterns. Possessive repeats and the run's start or the last match's end before a run
 #: find the same matches as plain ones without trying every start of a long run.
@@ -63,6 +64,28 @@ def _guard(text: Column, kind: str) -> Column:
     return F.instr(text, g) > 0 if g in ("@", "+") else text.rlike(g)
 
 
+def running(values: Column, join) -> Column:
+    """The array's running totals under an associative ``join``. Each step joins with the total twice as far back and makes
+    one new array: n log n in all, where a fold that appends copies the array every time."""
+    steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.size(values))).cast("int") - 1, F.lit(0)))
+    return F.aggregate(F.transform(steps, lambda s: F.pow(F.lit(2), s).cast("int")), values, lambda a, back: F.transform(
+        a, lambda x, i: F.when(i >= back, join(F.get(a, i - back), x)).otherwise(x)))
+
+
+def blocks_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def between(blocks: Column, a: Column, b: Column) -> Column:
+    """The characters from a to b - 1 of a text given in blocks."""
+    first, last = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+    at = lambda i: F.coalesce(F.get(blocks, i), F.lit(""))
+    return F.when(b <= a, "").when(first == last, F.substring(at(first), a % BLOCK + 1, b - a)).otherwise(F.concat(
+        F.substring(at(first), a % BLOCK + 1, F.lit(BLOCK)),
+        F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+        F.substring(at(last), F.lit(1), b % BLOCK)))
+
+
 def with_matches(df: DataFrame, text: str, names: dict[str, str]) -> DataFrame:
     """Add, per kind, all matches with their starts in code points, under ``names``."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -74,16 +97,9 @@ def with_matches(df: DataFrame, text: str, names: dict[str, str]) -> DataFrame:
         # the pieces between matches and the matches, laid end to end
         m = F.col(names[kind])
         gaps = F.slice(F.split(t, PATTERNS[kind], -1), 1, F.greatest(F.size(m), F.lit(1)))
-        start = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out"))
-
-        def step(a: Column, x: Column) -> Column:
-            at = a["pos"] + F.char_length(x["gap"])
-            return F.struct((at + F.char_length(x["value"])).alias("pos"),
-                            F.concat(a["out"], F.array(F.struct(at.alias("start"), x["value"].alias("value"))))
-                            .alias("out"))
-        walked = F.aggregate(F.zip_with(gaps, m, lambda g, v: F.struct(g.alias("gap"), v.alias("value"))),
-                             start, step, lambda a: a["out"])
-        return F.when(F.size(m) > 0, walked).otherwise(F.array().cast(_SPAN))
+        ends = running(F.zip_with(gaps, m, lambda g, v: F.char_length(g) + F.char_length(v)), lambda x, y: x + y)
+        spans = F.zip_with(ends, m, lambda e, v: F.struct((e - F.char_length(v)).alias("start"), v.alias("value")))
+        return F.when(F.size(m) > 0, spans).otherwise(F.array().cast(_SPAN))
 
     return found.withColumns({names[k]: placed(k) for k in PATTERNS})
 
@@ -110,13 +126,12 @@ def holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _votes(kind: str, text: Column, s: Column) -> Column:
+def _votes(kind: str, blocks: Column, s: Column) -> Column:
     """The five labelers' votes on a span: 1 for, -1 against, 0 abstains."""
     value, start = s["value"], s["start"]
     end = start + F.char_length(value)
-    before = F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1,
-                         F.least(start, F.lit(CONTEXT_CHARS)))
-    around = F.concat(F.substring(before, -1, 1), F.substring(text, end + 1, F.lit(1)))
+    before = between(blocks, F.greatest(start - CONTEXT_CHARS, F.lit(0)), start)
+    around = F.concat(F.substring(before, -1, 1), between(blocks, end, end + 1))
     yes_no = lambda c: F.when(c, 1).otherwise(-1)
     strict = F.lit(1) if kind in BASE_KINDS else yes_no(value.rlike(STRICT[kind]))
     return F.array(strict, yes_no(value.rlike(GAZETTEER[kind])),
@@ -125,14 +140,14 @@ def _votes(kind: str, text: Column, s: Column) -> Column:
                    yes_no(F.size(F.array_distinct(F.split(value, ""))) >= 5))
 
 
-def candidates(text: Column, names: dict[str, str]) -> Column:
+def candidates(blocks: Column, names: dict[str, str]) -> Column:
     """All checked spans: (start, rank of kind, end, kind, votes), sorted."""
     def of(kind: str) -> Column:
         ok = F.filter(F.col(names[kind]), lambda s: holds(kind, s["value"]))
         return F.transform(ok, lambda s: F.struct(
             s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"),
             (s["start"] + F.char_length(s["value"])).alias("end"), F.lit(kind).alias("kind"),
-            _votes(kind, text, s).alias("votes")))
+            _votes(kind, blocks, s).alias("votes")))
     return F.array_sort(F.concat(*[of(k) for k in PATTERNS]))
 
 
@@ -143,9 +158,10 @@ def with_candidates(docs: DataFrame, text: str, out: str) -> DataFrame:
     some = F.lit(False)
     for k in PATTERNS:
         some = some | (F.size(F.col(names[k])) > 0)
-    spans = candidates(t, names)
+    cut = fresh([*docs.columns, out, *names.values()], "blocks")
+    found = found.withColumn(cut, F.when(some, blocks_of(t)))
     kind = "array<struct<start:int,rank:int,end:int,kind:string,votes:array<int>>>"
-    return found.withColumn(out, F.when(some, spans).otherwise(F.array()).cast(kind)).select(*docs.columns, out)
+    return found.withColumn(out, F.when(some, candidates(F.col(cut), names)).otherwise(F.array()).cast(kind)).select(*docs.columns, out)
 
 
 # ------------------------------------------------------------------ label model and classifier
@@ -237,13 +253,18 @@ def weights_of(spans: DataFrame) -> Column:
 
 def chosen(found: Column, weights: Column, cut: float = CUT) -> Column:
     """The base spans, and of the others those the classifier accepts that touch no base span."""
-    base = F.filter(found, lambda s: s["rank"] < len(BASE_KINDS))
+    base = lambda s: s["rank"] < len(BASE_KINDS)
+    # spans stand by their starts: a base span before one touches it if it ends later, one behind it if it starts earlier
+    ends = running(F.transform(found, lambda s: F.when(base(s), s["end"]).otherwise(0)), lambda x, y: F.greatest(x, y))
+    starts = F.reverse(running(F.reverse(F.transform(found, lambda s: F.when(base(s), s["start"]).otherwise(1 << 30))),
+                               lambda x, y: F.least(x, y)))
 
-    def keep(s: Column) -> Column:
-        clear = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return (s["rank"] < len(BASE_KINDS)) | (clear & (
-            _sigmoid(_dot(weights, _features(s["votes"], s["rank"]))) >= cut))
-    return F.when(F.size(found) > 0, F.filter(found, keep)).otherwise(found)
+    def keep(z: Column, s: Column, i: Column) -> Column:
+        clear = (F.get(z["ends"], i) <= s["start"]) & (F.get(z["starts"], i) >= s["end"])
+        return base(s) | (clear & (_sigmoid(_dot(weights, _features(s["votes"], s["rank"]))) >= cut))
+    picked = _let(F.struct(ends.alias("ends"), starts.alias("starts")),
+                  lambda z: F.filter(found, lambda s, i: keep(z, s, i)))
+    return F.when(F.size(found) > 0, picked).otherwise(found)
 
 
 def _listed(spans: Column) -> Column:
@@ -274,18 +295,22 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     the new text. Overlapping spans are replaced as one. Rows without spans, and null texts, stay as they are.
     """
     out = fresh(docs.columns, "found")
+    cut, reach = (fresh([*docs.columns, out], x) for x in ("blocks", "reach"))
     rows = with_candidates(docs, text, out)
-    weights = weights_of(with_candidates(docs.select(F.col(text).alias("text")), "text", "found").select("found"))
+    # spans alone are written: over the plan itself, a filter that explode brings would repeat the whole search
+    weights = weights_of(materialize(with_candidates(docs.select(F.col(text).alias("text")), "text", "found").select("found")))
     picked = rows.withColumn(out, chosen(F.col(out), weights))
 
-    def step(a: Column, s: Column) -> Column:
-        cut = F.struct(s["end"].alias("pos"), F.concat(
-            a["out"], F.substring(F.col(text), a["pos"] + 1, s["start"] - a["pos"]),
-            F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))
-        return F.when(s["start"] >= a["pos"], cut).otherwise(
-            F.struct(F.greatest(a["pos"], s["end"]).alias("pos"), a["out"].alias("out")))
-    new = F.aggregate(F.col(out), F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda a: F.concat(
-        a["out"], F.substring(F.col(text), a["pos"] + 1, F.char_length(F.col(text)))))
+    spans, blocks = F.col(out), F.col(cut)
+    picked = picked.withColumns({cut: F.when(F.size(out) > 0, blocks_of(F.col(text))),
+                                 reach: running(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y))})
+
+    def piece(s: Column, i: Column) -> Column:
+        done = F.when(i == 0, 0).otherwise(F.get(F.col(reach), i - 1))
+        return F.when(s["start"] >= done, F.concat(between(blocks, done, s["start"]), F.lit("["), F.upper(s["kind"]),
+                                                   F.lit("]"))).otherwise("")
+    tail = between(blocks, F.element_at(reach, -1), F.char_length(F.col(text)))
+    new = F.concat(F.array_join(F.transform(spans, piece), ""), tail)
     done = picked.withColumn(text, F.when(F.size(out) > 0, new).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.size(out) > 0, F.char_length(text).cast("long"))
