@@ -25,29 +25,38 @@ SHARD_ROWS = 4096      # vectors of a shard, about
 MAX_PIVOTS = 512       # pivots that reach the driver, at most; larger cells have more shards
 QUERY_ROWS = 4096      # queries that a shard answers at a time
 LEAF = 64
+SMALLER_SIDE = 8       # a split leaves at least an eighth of the rows on either side, or the rows stay a leaf
+TILE_QUERIES, TILE_ROWS = 256, 1024   # distances held at a time
 SLACK = 1e-9           # of a distance: rounding never prunes an equal neighbour
 
 
 class Tree:
-    """A vantage-point tree over rows of a matrix, as nested tuples."""
+    """A vantage-point tree over rows of a matrix. A node is [vantage, greatest distance of the near side, least and greatest of
+    the far side, near side, far side], a leaf its rows. It is built with a stack and splits are balanced, so its depth is a
+    logarithm of the rows; rows that no distance tells apart, such as copies or equidistant ones, are one leaf."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
-        self.vectors, self.ids, self.leaf = vectors, ids, leaf
-        self.root = self._build(np.arange(len(ids)))
-
-    def _build(self, rows: np.ndarray):
-        if len(rows) <= self.leaf:
-            return rows
-        vantage = rows[len(rows) // 2]
-        d = euclidean(self.vectors[rows], self.vectors[vantage])
-        bound = np.partition(d, len(d) // 2)[len(d) // 2]
-        inside = d < bound
-        if not inside.any():   # half of the rows or more lie at the smallest distance
-            inside = d <= bound
-            if inside.all():
-                return rows
-        near, far = rows[inside], rows[~inside]
-        return (vantage, d[inside].max(), d[~inside].min(), d[~inside].max(), self._build(near), self._build(far))
+        self.vectors, self.ids = vectors, ids
+        self.squares = (vectors ** 2).sum(axis=1)
+        self.single_ids = len(np.unique(ids)) == len(ids)
+        holder: list = [None]
+        stack = [(np.arange(len(ids)), holder, 0)]
+        while stack:
+            rows, parent, at = stack.pop()
+            parent[at] = rows
+            if len(rows) <= leaf:
+                continue
+            vantage = rows[len(rows) // 2]
+            d = euclidean(vectors[rows], vectors[vantage])
+            bound = np.partition(d, len(d) // 2)[len(d) // 2]
+            for inside in (d < bound, d <= bound):   # the rows at the bound go to the side that balances
+                n = np.count_nonzero(inside)
+                if min(n, len(rows) - n) * SMALLER_SIDE >= len(rows):
+                    node = [vantage, d[inside].max(), d[~inside].min(), d[~inside].max(), None, None]
+                    parent[at] = node
+                    stack += [(rows[inside], node, 4), (rows[~inside], node, 5)]
+                    break
+        self.root = holder[0]
 
 
 def euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -60,6 +69,7 @@ class Found:
 
     def __init__(self, n: int, k: int, reach: np.ndarray | None = None):
         self.k = k
+        self.compared = 0   # pairs of a query and a row that a leaf or a vantage point compared
         self.score, self.id = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
         self.reach = np.full(n, np.inf) if reach is None else reach   # what is already known to be enough
 
@@ -94,15 +104,12 @@ def search_tree(tree: Tree, queries: np.ndarray, query_ids: np.ndarray, k: int,
         q, least = q[alive], least[alive]
         if not len(q):
             continue
-        if not isinstance(node, tuple):
-            for at in range(0, len(q), 256):   # keeps the differences small in memory
-                some = q[at:at + 256]
-                for a in range(0, len(node), 256):
-                    rows = node[a:a + 256]
-                    d = euclidean(queries[some][:, None, :], tree.vectors[rows][None, :, :])
-                    d[query_ids[some][:, None] == tree.ids[rows][None, :]] = np.inf
-                    found.offer(some, d, tree.ids[rows][None, :])
+        if not isinstance(node, list):
+            for at in range(0, len(q), TILE_QUERIES):
+                for a in range(0, len(node), TILE_ROWS):
+                    _search_leaf(tree, node[a:a + TILE_ROWS], queries, query_ids, q[at:at + TILE_QUERIES], found)
             continue
+        found.compared += len(q)
         vantage, near_max, far_min, far_max, near, far = node
         d = euclidean(queries[q], tree.vectors[vantage])
         in_near = np.maximum(least, d - near_max)
@@ -116,6 +123,32 @@ def search_tree(tree: Tree, queries: np.ndarray, query_ids: np.ndarray, k: int,
     return found
 
 
+def _search_leaf(tree: Tree, rows: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, q: np.ndarray, found: Found) -> None:
+    """Offer a leaf's rows. Squared distances from inner products, with their rounding errors' bound, leave out rows that cannot
+    come in; the others' distances are taken exactly."""
+    found.compared += len(q) * len(rows)
+    asked, other = queries[q], query_ids[q][:, None] == tree.ids[rows][None, :]
+    with np.errstate(over="ignore", invalid="ignore"):
+        size = (asked ** 2).sum(axis=1)[:, None] + tree.squares[rows][None, :]
+        rough = size - 2 * (asked @ tree.vectors[rows].T)
+        slack = size * SLACK
+    if np.isfinite(slack).all():
+        limit = found.bound(q) ** 2
+        rough[other] = np.inf
+        if tree.single_ids and len(rows) > found.k:   # with several rows of one id the k-th row need not be the k-th id
+            limit = np.minimum(limit, np.partition(rough, found.k - 1, axis=1)[:, found.k - 1])
+        near = ~other & (rough <= limit[:, None] * (1 + SLACK) + 4 * slack)
+        most = int(near.sum(axis=1).max(initial=0))
+        if not most:
+            return
+        pick = np.argpartition(np.where(near, rough, np.inf), most - 1, axis=1)[:, :most]
+        near = np.take_along_axis(near, pick, 1)
+    else:   # numbers whose squares a double does not hold
+        pick, near = np.broadcast_to(np.arange(len(rows)), other.shape), ~other
+    d = euclidean(asked[:, None, :], tree.vectors[rows[pick]])
+    found.offer(q, np.where(near, d, np.inf), tree.ids[rows[pick]])
+
+
 def takes_part(vector: Column) -> Column:
     """Whether a vector is not null, has components, all finite, and is not zero."""
     x = vector.cast("array<double>")
@@ -169,7 +202,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, relax: float = 1.0
         return F.element_at(F.array(*[F.lit(values.get(c, 0)) for c in range(len(pivots))]),
                             (F.col("cell") + 1).cast("int"))
 
-    data = placed.select("id", "v", "cell", F.pmod(F.xxhash64("id"), by_cell(parts)).alias("shard"))
+    # by place, not id: the rows of one id are dealt like others
+    data = placed.select("id", "v", "cell", F.pmod(F.xxhash64(F.monotonically_increasing_id()), by_cell(parts)).alias("shard"))
 
     def search(key: tuple, shard: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
