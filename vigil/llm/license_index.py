@@ -1,8 +1,9 @@
 """Licence scan with a positional index of rare template words.
 
 The index holds every word of the licence templates with its positions. A
-word's weight is its inverse document frequency in the whole corpus. In a
-file, the rarest words of each template are looked up; postings that agree
+word's weight is its inverse document frequency in the whole corpus. A file
+is first asked for the rarest words of each template; for a template of which it holds enough of them, the
+file's own highest-weight words of that template are looked up. Postings that agree
 on the place where the template would start (file position less template
 position) vote for it, and a candidate counts once its mandatory key phrases
 stand at that place.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import texts_of
 
-RARE_WORDS = 6    # words of a template, highest IDF first, that are looked up
+RARE_WORDS = 6    # a file's words of a template, highest IDF first, that are looked up
 MIN_AGREE = 2     # of them that must agree on a start
 
 #: The base phrases and their labels (fixed values).
@@ -45,6 +46,66 @@ TEMPLATES = (
      "associated documentation files", ("permission is hereby granted", "obtaining a copy of this software")),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0",
      ("mozilla public license v 2 0",)),
+    ("agpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero "
+     "general public license as published by the free software foundation either version 3 of the license or at your option "
+     "any later version", ("gnu affero general public license", "either version 3 of the license")),
+    ("artistic-2.0", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is "
+     "not allowed preamble this license establishes the terms under which a given free software package may be copied modified "
+     "distributed and or redistributed", ("this license establishes the terms under which a given free software package",)),
+    ("bsd-2-clause", "redistributions of source code must retain the above copyright notice this list of conditions and the "
+     "following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions "
+     "and the following disclaimer in the documentation and or other materials provided with the distribution",
+     ("redistributions of source code must retain the above copyright notice",
+      "redistributions in binary form must reproduce the above copyright notice")),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+     "promote products derived from this software without specific prior written permission",
+     ("names of its contributors may be used to endorse or promote products", "without specific prior written permission")),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and "
+     "accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit "
+     "the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished "
+     "to do so", ("any person or organization obtaining a copy of the software", "accompanying documentation covered by this license")),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license",
+     ("creative commons attribution 4 0 international",)),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+     ("creative commons attribution noncommercial 4 0",)),
+    ("cc-by-nc-nd", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license",
+     ("attribution noncommercial noderivatives 4 0",)),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
+     ("attribution noncommercial sharealike 4 0",)),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license",
+     ("creative commons attribution noderivatives 4 0",)),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+     ("creative commons attribution sharealike 4 0",)),
+    ("cc0-1.0", "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related "
+     "or neighboring rights to this work", ("has waived all copyright and related or neighboring rights",)),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 "
+     "which is available at https www eclipse org legal epl 2 0", ("eclipse public license 2 0",)),
+    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
+     "license as published by the free software foundation either version 2 of the license or at your option any later version",
+     ("terms of the gnu general public license", "either version 2 of the license")),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
+     "license as published by the free software foundation either version 3 of the license or at your option any later version",
+     ("terms of the gnu general public license", "either version 3 of the license")),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+     "provided that the above copyright notice and this permission notice appear in all copies",
+     ("permission to use copy modify", "for any purpose with or without fee is hereby granted")),
+    ("lgpl-2.1", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general "
+     "public license as published by the free software foundation either version 2 1 of the license or at your option any later "
+     "version", ("gnu lesser general public license", "either version 2 1 of the license")),
+    ("lgpl-3.0", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general "
+     "public license as published by the free software foundation either version 3 of the license or at your option any later "
+     "version", ("gnu lesser general public license", "either version 3 of the license")),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not "
+     "distributed with this file you can obtain one at https mozilla org mpl 2 0", ("mozilla public license v 2 0", "copy of the mpl")),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use "
+     "compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or "
+     "non commercial and by any means", ("free and unencumbered software released into the public domain",)),
+    ("wtfpl", "do what the fuck you want to public license terms and conditions for copying distribution and modification",
+     ("what the fuck you want to public license",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for "
+     "any damages arising from the use of this software permission is granted to anyone to use this software for any purpose "
+     "including commercial applications and to alter it and redistribute it freely",
+     ("provided as is without any express or implied warranty", "including commercial applications and to alter it")),
 )
 
 # bytes that are no part of a word become spaces; A-Z become a-z
@@ -61,35 +122,55 @@ def _encode(phrase: str) -> list[bytes]:
 
 
 class TemplateIndex:
-    """Postings of all template words, and the words to look up for given document frequencies."""
+    """Postings of all template words, and their weights for given document frequencies."""
 
     def __init__(self, frequency: dict[str, int], n_docs: int, rare_words: int = RARE_WORDS):
+        self.rare_words = rare_words
         self.templates = [(label, _encode(text), [(_find(_encode(text), _encode(k)), _encode(k)) for k in keys])
                           for label, text, keys in TEMPLATES]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.need = []
+        vocabulary = {w for _, words, _ in self.templates for w in words}
+        idf = {w: math.log((1 + n_docs) / (1 + frequency.get(w.decode(), 0))) for w in vocabulary}
+        self.ahead = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (-idf[w], w)))}   # highest weight first
+        self.places: list[dict[bytes, list[int]]] = []
+        self.asked: dict[bytes, list[int]] = defaultdict(list)   # of which templates a word is one of the rarest
+        self.least = []
         for t, (_, words, _) in enumerate(self.templates):
-            idf = {w: math.log((1 + n_docs) / (1 + frequency.get(w.decode(), 0))) for w in words}
-            rare = sorted(idf, key=lambda w: (-idf[w], w))[:rare_words]
-            self.need.append(min(MIN_AGREE, len(rare)))
+            at: dict[bytes, list[int]] = defaultdict(list)
             for p, w in enumerate(words):
-                if w in rare:
-                    self.postings[w].append((t, p))
+                at[w].append(p)
+            self.places.append(at)
+            rare = sorted(at, key=self.ahead.__getitem__)[:rare_words]
+            self.least.append(min(MIN_AGREE, len(rare)))
+            for w in rare:
+                self.asked[w].append(t)
+        self.rare = frozenset(self.asked)
 
     def scan(self, words: list[bytes]) -> tuple[set[str], float, int]:
         """Labels of verified templates, best share of a template's words in place, verified places."""
-        if self.postings.keys().isdisjoint(words):
+        rare = self.rare.intersection(words)
+        if not rare:
             return set(), 0.0, 0
+        count = Counter(t for w in rare for t in self.asked[w])
+        likely = [t for t, n in count.items() if n >= self.least[t]]
+        if not likely:
+            return set(), 0.0, 0
+        present = set(words)
+        wanted = {t: sorted(present.intersection(self.places[t]), key=self.ahead.__getitem__)[:self.rare_words] for t in likely}
+        of: dict[bytes, list[int]] = defaultdict(list)
+        for t, found in wanted.items():
+            for w in found:
+                of[w].append(t)
         votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
         for place, w in enumerate(words):
-            if w in self.postings:
-                for t, p in self.postings[w]:
-                    votes[t, place - p].add(w)
+            if w in of:
+                for t in of[w]:
+                    for p in self.places[t][w]:
+                        votes[t, place - p].add(w)
         labels, best, places = set(), 0.0, 0
         for (t, start), agree in votes.items():
-            label, template, keys = self.templates[t]
-            if len(agree) < self.need[t]:
+            if len(agree) < min(MIN_AGREE, len(wanted[t])):
                 continue
+            label, template, keys = self.templates[t]
             hits = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(template))
             best = max(best, hits / len(template))
             if all(start + at >= 0 and words[start + at:start + at + len(k)] == k for at, k in keys):
@@ -141,8 +222,8 @@ def scan_licenses(docs: DataFrame, rare_words: int = RARE_WORDS) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_places) of every row.
 
     ``score`` is the best share of a template's words found in place, 0 without a candidate;
-    a null or empty text has no words, no labels and score 0; repeated rows are scanned each; an
-    empty table gives no rows. Only doc_id and text are read.
+    a null or empty text has no words, no labels and score 0; repeated rows are scanned each; very long texts
+    are scanned whole; an empty table gives no rows. Only doc_id and text are read.
     """
     frequency, n_docs = document_frequencies(docs)
     kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.int64()]
