@@ -132,6 +132,63 @@ def test_nearest_relaxed_prunes_but_finds_most(spark):
     assert found >= 0.9
 
 
+def test_trees_of_vectors_that_no_distance_tells_apart():
+    """Equidistant vectors, copies, and both with others: shallow trees, exact answers."""
+    rng = np.random.default_rng(4)
+    for m in (np.eye(2000), np.ones((1000, 3)), np.concatenate([np.eye(300), np.zeros((300, 300)) + 0.5, rng.normal(size=(400, 300))])):
+        ids = np.arange(len(m))
+        tree = vp_search.Tree(m, ids)
+        depth, level = 0, [tree.root]
+        while level:
+            level = [x for n in level if isinstance(n, list) for x in n[4:]]
+            depth += 1
+        assert depth <= 60
+        ask = ids[:: len(ids) // 9]
+        found = vp_search.search_tree(tree, m[ask], ids[ask], 4, 1.0)
+        for q, i, s in zip(ask, found.id, found.score):
+            assert list(zip(i.tolist(), s.tolist())) == brute.nearest(ids, m, int(q), 4)
+
+
+def test_a_thousand_rows_of_one_id(spark):
+    rng = np.random.default_rng(6)
+    rows = [(7, v.tolist(), 0, 0) for v in rng.normal(size=(1000, 4))] + [(i, v.tolist(), 0, 0) for i, v in enumerate(
+        rng.normal(size=(60, 4)) + 1) if i != 7]
+    df = vectors(spark, rows)
+    got = vp_search.nearest(df, df["vec_id"] % 20 == 0, k=3, shard_rows=50).collect()
+    ids, m = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float32).astype(float)
+    for q in (0, 20, 40):
+        best = {}
+        for i, d in zip(ids.tolist(), np.sqrt(((m - m[ids.tolist().index(q)]) ** 2).sum(1)).tolist()):
+            if i != q:
+                best[i] = min(d, best.get(i, d))
+        want = sorted((d, i) for i, d in best.items())[:3]
+        assert sorted((r["rank"], r["id"], r["score"]) for r in got if r["query_id"] == q) == [
+            (n + 1, i, d) for n, (d, i) in enumerate(want)]
+
+
+def test_work_and_recall_by_factor():
+    """Distances compared and neighbours found, on spread and on clustered vectors: factor one is exact, and on clusters a tree
+    leaves most of the work out."""
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(40, 16)) * 8
+    sets = {"spread": rng.normal(size=(4000, 16)), "clustered": centers[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16))}
+    work = {}
+    for name, m in sets.items():
+        ids = np.arange(len(m))
+        tree, ask = vp_search.Tree(m, ids), ids[::40]
+        exact = None
+        for factor in (1.0, 1.2, 1.5, 2.0, 3.0):
+            found = vp_search.search_tree(tree, m[ask], ids[ask], 10, factor)
+            exact = found.id if exact is None else exact
+            recall = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found.id.tolist(), exact.tolist())])
+            work[name, factor] = (found.compared / (len(ask) * len(m)), recall)
+        for q, i, s in zip(ask, exact, vp_search.search_tree(tree, m[ask], ids[ask], 10, 1.0).score):
+            assert list(zip(i.tolist(), s.tolist())) == brute.nearest(ids, m, int(q), 10)
+    print({k: (round(a, 3), round(b, 3)) for k, (a, b) in work.items()})
+    assert work["clustered", 1.0][0] < 0.4 and work["clustered", 2.0][0] < work["clustered", 1.0][0]
+    assert work["clustered", 1.2][1] >= 0.9 and work["spread", 1.2][1] >= 0.9
+
+
 def test_nearest_awkward(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 0, 0), (1, None, 0, 0), (2, [0.0, 0.0], 0, 0), (3, [nan, 1.0], 0, 0), (4, [inf, 1.0], 0, 0),
@@ -207,6 +264,27 @@ def test_keep_one(awkward, docs):
     assert {r["doc_id"] for r in simhash_vp.keep_one(docs).collect()} == groups
 
 
+def test_keep_one_with_columns_that_have_no_hash(spark):
+    df = spark.sql("""SELECT * FROM VALUES (1L, 'same words here now', map('a', 1), named_struct('m', map(1, 2))),
+        (1L, 'same words here now', map('a', 2), named_struct('m', map(1, 2))), (2L, NULL, NULL, NULL) AS t(doc_id, text, tags, s)""")
+    got = simhash_vp.keep_one(df, unnamed_stay=False)
+    assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 2]
+
+
+def test_points_are_sent_to_few_shards():
+    """Rows that the router deals for each point, at the shards of 2^20, 2^24 and 2^28 points; trees of a sample's size."""
+    rng = np.random.default_rng(12)
+    sample = rng.integers(0, 2 ** 64, simhash_vp.SAMPLE_POINTS, dtype=np.uint64)
+    points = rng.integers(0, 2 ** 64, 20_000, dtype=np.uint64)
+    per = {}
+    for bits in (20, 24, 28):
+        tree = simhash_vp.fit_tree(sample, simhash_vp.shard_count(1 << bits))
+        per[bits] = len(simhash_vp.route(points, tree, 3)[0]) / len(points)
+    print(per)
+    assert per[20] <= 5 and per[24] <= 5 and per[28] <= 9
+    assert simhash_vp.shard_count(1 << 40) <= simhash_vp.SAMPLE_POINTS // 8 and simhash_vp.shard_count(0) == 1
+
+
 def test_keep_one_goes_by_rows_not_ids(spark):
     texts = [" ".join(f"{w}{i}x{j}" for j in range(40)) for i, w in enumerate("abcdef")]
     rows = [(7, texts[0], 1), (7, texts[1], 1), (7, texts[2], 1), (3, texts[1], 1), (9, texts[2], 1), (7, texts[2], 1),
@@ -248,6 +326,40 @@ def test_templates_are_found_where_their_key_phrases_stand(spark):
     assert got[52]["labels"] == got[53]["labels"] == ""
 
 
+def plain_scan(words, templates, ahead, rare_words, least):
+    """Every template at every start, without an index."""
+    labels, best, places = set(), 0.0, 0
+    for label, template, keys in templates:
+        rarest = sorted(set(template), key=ahead.__getitem__)[:rare_words]
+        if sum(w in words for w in rarest) < min(least, len(rarest)):
+            continue
+        own = sorted(set(template) & set(words), key=ahead.__getitem__)[:rare_words]
+        for start in range(-len(template) + 1, len(words)):
+            def here(i):
+                return 0 <= start + i < len(words) and words[start + i] == template[i]
+            if len({w for i, w in enumerate(template) if w in own and here(i)}) < min(least, len(own)):
+                continue
+            best = max(best, sum(map(here, range(len(template)))) / len(template))
+            if all(start + at >= 0 and words[start + at:start + at + len(k)] == k for at, k in keys):
+                labels.add(label)
+                places += 1
+    return labels, best, places
+
+
+def test_labels_and_scores_by_a_plain_scan(docs):
+    rng = np.random.default_rng(8)
+    texts = [t for _, t in by_text(docs)][:60]
+    for label, template, _ in license_index.TEMPLATES:
+        w = template.split()
+        cut = [x for x in w if rng.random() > 0.1]
+        texts += [f"head {template} tail", " ".join(cut), " ".join(w[:8] + ["odd"] + w[8:]), template + " " + template]
+    frequency = {"license": 50, "the": 90, "software": 30, "public": 20, "of": 95}
+    index = license_index.TemplateIndex(frequency, 100)
+    for t in texts:
+        words = license_index.words_of((t or "").encode())
+        assert index.scan(words) == plain_scan(words, index.templates, index.ahead, license_index.RARE_WORDS, license_index.MIN_AGREE)
+
+
 # ------------------------------------------------------------------ 5 packing
 
 def encoded(name):
@@ -450,6 +562,27 @@ def test_pipeline_packs_in_the_mixed_order(spark, monkeypatch, tmp_path):
         assert len(set(parts)) > 3 and parts == sorted(parts)
 
 
+@pytest.mark.parametrize("kind", ["awkward", "empty"])
+def test_the_pipeline_on_awkward_and_empty_tables(request, spark, tmp_path, kind, labels):
+    """All five stages of run: what each keeps, and no stage's table left but the last one's input."""
+    import corpus_pipeline
+    df = request.getfixturevalue(kind)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    docs = df
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == df.columns
+        path = str(tmp_path / f"stage{i}")
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+    ids = encoded("word_bpe_49k.json")
+    assert sum(r["length"] for r in rows) == sum(len(ids(t)) for _, t in by_text(docs))
+    if kind == "empty":
+        assert rows == []
+
+
 # ------------------------------------------------------------------ 9 classifier
 
 def test_classifier_on_labels_it_has_not_seen(spark):

@@ -27,7 +27,9 @@ from .components import components
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
-SHARD_POINTS = 8192     # points of a shard, about
+SHARD_POINTS = 1 << 22  # points of a shard, about: fewer shards, fewer points near their bounds that query others
+LEAST_POINTS = 8192     # points of a shard, at least
+SPREAD = 16             # shards below SHARD_POINTS * SPREAD points, so that tasks share the work
 SAMPLE_POINTS = 20_000  # points that the shards' tree is fitted on, at most
 LEAF_PAIRS = 1 << 18    # a shard's tree compares all of two sets below this many pairs
 SEED = 42
@@ -183,6 +185,12 @@ def _compare(points: np.ndarray, own: np.ndarray, visiting: np.ndarray, radius:
         forest.link(some[x], own[y])
 
 
+def shard_count(n: int, shard_points: int = SHARD_POINTS) -> int:
+    """Shards for ``n`` points; no more than the sample can tell apart."""
+    some = min(SPREAD, -(-n // min(LEAST_POINTS, shard_points)))
+    return max(1, min(max(some, -(-n // shard_points)), SAMPLE_POINTS // 8))
+
+
 def link_points(points: DataFrame, radius: int = MAX_BITS, shard_points: int = SHARD_POINTS) -> DataFrame:
     """Edges (a, b) that connect exactly what links of at most ``radius`` bits connect.
 
@@ -191,7 +199,7 @@ def link_points(points: DataFrame, radius: int = MAX_BITS, shard_points: int = S
     """
     n = points.count()
     sample = [r["point"] for r in points.orderBy(F.xxhash64("point"), "point").limit(SAMPLE_POINTS).collect()]
-    tree = fit_tree(np.array(sample, "<i8").view("<u8"), max(1, -(-n // shard_points)))
+    tree = fit_tree(np.array(sample, "<i8").view("<u8"), shard_count(n, shard_points))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +233,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
 
     Texts without a word share fingerprint zero and link like others. ``component_id`` is the
     smallest doc_id reachable (null if all are null); repeated rows are points of one
-    group; an empty table gives no rows; other columns are not read.
+    group; very long texts are hashed whole, a part of their shingles at a time; an empty table gives no rows; other
+    columns are not read.
     """
     prints = materialize(fingerprints(docs, shingle_words))
     distinct = materialize(prints.groupBy("point").agg(F.min("doc_id").alias("least")))
@@ -238,7 +247,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
 
 def _row_key(docs: DataFrame) -> list[Column]:
     """A row's doc_id, its text's digest and a hash of its other columns: rows equal in the first two have one fingerprint."""
-    others = [x for c in docs.columns if c not in ("doc_id", "text") for x in (docs[c].isNull(), docs[c])]
+    def plain(c: str) -> Column:   # a map has no hash
+        return F.to_json(F.struct(docs[c])) if any(k in dict(docs.dtypes)[c] for k in ("map<", "variant")) else docs[c]
+    others = [x for c in docs.columns if c not in ("doc_id", "text") for x in (docs[c].isNull(), plain(c))]
     return [docs["doc_id"].cast("long"), F.sha2(docs["text"].cast("binary"), 256), F.xxhash64(F.lit(SEED), *others)]
 
 
