@@ -9,6 +9,8 @@ across partitions. NULL keys form a key of their own.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,37 +19,48 @@ from .materialize import materialize
 IN_PARTITION_BITS = 33   # monotonically_increasing_id: partition << 33 | row
 
 
+def fresh(taken: Iterable[str], name: str) -> str:
+    """``name``, with underscores added until no column is called so."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def number_rows(df: DataFrame, order: list, key: list[str] | None = None,
                 size: str | None = None, out: str = "offset") -> DataFrame:
     """Add ``out``: the number of rows (or the sum of ``size``) that come
     before this row in ``order`` among the rows of the same ``key``.
 
-    ``order`` must be a total order up to identical rows: rows equal in
-    ``key`` and ``order`` cannot be split over partitions. The frame is
-    evaluated here, once (a documented write to the checkpoint folder).
+    Rows equal in ``key`` and ``order`` are numbered by their place in the input, which also lets them be
+    spread over partitions. Helper columns take names that no column has; a column called ``out`` is replaced. The
+    frame is evaluated here, once (a documented write to the checkpoint folder).
     """
     key = key or []
-    by = [F.asc_nulls_first(k) for k in key] + list(order)
-    rows = materialize(df.repartitionByRange(*by).sortWithinPartitions(*by)
-                       .withColumn("_row", F.monotonically_increasing_id())
-                       .withColumn("_part", F.shiftright("_row", IN_PARTITION_BITS)))
+    columns = [c for c in df.columns if c != out]
+    row, part, place, total, first, p, before_part = (
+        fresh([*df.columns, out], c) for c in ("_row", "_part", "_place", "_sum", "_first", "_p", "_before"))
+    keys = [fresh([*df.columns, out], f"_k{i}") for i in range(len(key))]
+    by = [F.asc_nulls_first(k) for k in key] + list(order) + [F.asc(place)]
+    rows = materialize(df.withColumn(place, F.monotonically_increasing_id())
+                       .repartitionByRange(*by).sortWithinPartitions(*by).drop(place)
+                       .withColumn(row, F.monotonically_increasing_id())
+                       .withColumn(part, F.shiftright(row, IN_PARTITION_BITS)))
     unit = F.col(size) if size else F.lit(1)
-    totals = rows.groupBy("_part", *key).agg(F.sum(unit).alias("_sum"),
-                                             F.min("_row").alias("_first"))
-    before = (Window.partitionBy(*key) if key else Window).orderBy("_part").rowsBetween(
+    totals = rows.groupBy(part, *key).agg(F.sum(unit).alias(total), F.min(row).alias(first))
+    before = (Window.partitionBy(*key) if key else Window).orderBy(part).rowsBetween(
         Window.unboundedPreceding, -1)
-    totals = totals.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}")
-                                                         for i, k in enumerate(key)], "_first",
-                           F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    on = F.col("_part") == F.col("_p")
-    for i, k in enumerate(key):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    totals = totals.select(F.col(part).alias(p), *[F.col(k).alias(n) for k, n in zip(key, keys)], first,
+                           F.coalesce(F.sum(total).over(before), F.lit(0)).alias(before_part))
+    on = F.col(part) == F.col(p)
+    for k, n in zip(key, keys):
+        on = on & F.col(k).eqNullSafe(F.col(n))
     # without a key there is one total per shuffle partition: a bounded side
     joined = rows.join(totals if key else F.broadcast(totals), on)
     if size:
-        local = Window.partitionBy("_part", *key).orderBy("_row").rowsBetween(
+        local = Window.partitionBy(part, *key).orderBy(row).rowsBetween(
             Window.unboundedPreceding, -1)
         inside = F.coalesce(F.sum(unit).over(local), F.lit(0))
     else:
-        inside = F.col("_row") - F.col("_first")
-    return joined.withColumn(out, (F.col("_before") + inside).cast("bigint")).select(*df.columns, out)
+        inside = F.col(row) - F.col(first)
+    return joined.select(*columns, (F.col(before_part) + inside).cast("bigint").alias(out))
