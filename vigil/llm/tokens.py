@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
-CACHE_PIECES = 500_000     # pieces of a generation; a worker keeps two
+CACHE_PIECES = 1_000_000   # pieces that a worker keeps
 CACHE_CHARS = 64           # longer pieces are not kept
+RENEW_MISSES = 8 * CACHE_PIECES   # pieces encoded beside a full cache before it is started anew
 BATCH_CHARS = 4_000_000    # characters of texts looked up together
 # white space of the tokenizers' patterns, without space and line feed
 _ODD_ASCII = "\t\x0b\x0c\r"
@@ -53,6 +55,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # a task has one core
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         # what a special token's string begins with, in the text as it is or in lower case
         self.marks = sorted({t.content[:2] for t in self.tok.get_added_tokens_decoder().values()})
         self.keeps_space = bool(self._encode([" "])[0])
@@ -60,8 +63,8 @@ class Encoder:
         ends = [i for w, i in self.tok.get_vocab().items() if w.endswith("</w>")]
         self.closes = np.zeros(1 << 17, bool)   # by id: the last of a word, or a line feed
         self.closes[ends if not self.keeps_space else np.frombuffer(self.newline, "<u4")] = True
-        self.known: dict[str, bytes] = {}   # what was met since the last change of generations
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.missed = 0   # pieces encoded since the cache was full
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
@@ -106,26 +109,22 @@ class Encoder:
                  if len(w) > 1 and w[-1] in ".," and w[-2] < "\xff" and w[-2].isalpha()
                  and w[0] != "\0"}
         plain = list({*(w for w in new if w not in stems),
-                      *(s for s in stems.values() if s not in self.known and s not in self.old)})
-        words = [w for w in plain if w.isalpha()]
+                      *(s for s in stems.values() if s not in self.known)})
         rest = [w for w in plain if not w.isalpha()]
+        plain = [w for w in plain if w.isalpha()]
+        words = [w for w in plain if not w.isascii()]
         space = " " if self.keeps_space else ""
         got = dict(zip(words, self._encode_words(words)))
+        # letters of ASCII stand for themselves in the model's alphabet, and a word of them is one piece of its pattern
+        ids_of = self.model.tokenize
+        got.update((w, array("I", [t.id for t in ids_of("\u0120" + w if self.keeps_space else w.lower())]).tobytes())
+                   for w in plain if w.isascii())
         got.update(zip(rest, self._encode(
             [w[1:] if w[:1] == "\0" else w if w[:1] == "\n" else space + w for w in rest])))
         if stems:
             marks = dict(zip(".,", self._encode([".", ","])))
             for w, s in stems.items():
-                got[w] = (got[s] if s in got else self.known[s] if s in self.known else self.old[s]) + marks[w[-1]]
-        return got
-
-    def _recall(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that the present generation lacks: from the one before, or encoded now."""
-        got = {p: self.old[p] for p in missing if p in self.old}
-        got.update(self._learn([p for p in missing if p not in got]))
-        if len(self.known) + len(got) > CACHE_PIECES:
-            self.old, self.known = self.known, {}
-        self.known.update((p, i) for p, i in got.items() if len(p) <= CACHE_CHARS)
+                got[w] = (got[s] if s in got else self.known[s]) + marks[w[-1]]
         return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -142,13 +141,21 @@ class Encoder:
 
     def _encode_group(self, texts: list[str]) -> list[bytes]:
         split = [self._split(t) for t in texts]
-        found = [list(map(self.known.get, pieces)) for pieces, _ in split]
-        missing = {p for (pieces, _), ids in zip(split, found) if None in ids
-                   for p, i in zip(pieces, ids) if i is None}
-        got = self._recall(missing) if missing else {}
-        return [b"".join(ids if None not in ids else
-                         [got[p] if i is None else i for p, i in zip(pieces, ids)])[drop:]
-                for (pieces, drop), ids in zip(split, found)]
+        known = self.known
+        missing = set().union(*[pieces for pieces, _ in split]).difference(known)
+        got = self._learn(list(missing)) if missing else {}
+        known.update(got)
+        of = known.__getitem__
+        out = [b"".join(map(of, pieces))[drop:] for pieces, drop in split]
+        full = len(known) > CACHE_PIECES
+        for p in got:
+            if full or len(p) > CACHE_CHARS:
+                del known[p]
+        if full:   # what was met first need not be what is frequent by now
+            self.missed += len(got)
+            if self.missed > RENEW_MISSES:
+                self.known, self.missed = {}, 0
+        return out
 
 
 def ids_with_end(path: str, texts: list[str | None], end_id: int) -> list[bytes]:
