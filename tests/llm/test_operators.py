@@ -469,30 +469,71 @@ def test_a_long_secret_is_covered_whole(spark):
 
 # ------------------------------------------------------------------ 8 mixing
 
-def test_edf_meets_every_window_and_lags_less_than_a_block():
-    for parts in ({"a": 1}, {"a": 500, "b": 300, "c": 199, "d": 1}, {f"s{i}": 10 for i in range(100)},
-                  pfair.weight_parts({"x": 0.333, "y": 0.333, "z": 0.334, "w": 1e-9}, 97)):
-        period, done = sum(parts.values()), dict.fromkeys(parts, 0)
-        slots = pfair.edf_period(parts)
-        assert [x[2] for x in slots] == list(range(period))
-        for s, i, slot, release, deadline in slots:
-            assert release <= slot < deadline and i == done[s]
+def plain_edf(sources):
+    """Slot by slot, the released block of the earliest exact deadline."""
+    from fractions import Fraction
+    total, done, slot, out = sum(w for _, w, _ in sources), {s: 0 for s, _, _ in sources}, 0, []
+    names = sorted(done, key=lambda s: (s is not None, s or ""))
+    share, left = {s: Fraction(w, total) for s, w, _ in sources}, {s: n for s, _, n in sources}
+    while any(done[s] < left[s] for s in names):
+        ready = [(math.ceil((done[s] + 1) / share[s]), k, s) for k, s in enumerate(names)
+                 if done[s] < left[s] and math.floor(done[s] / share[s]) <= slot]
+        if ready:
+            deadline, _, s = min(ready)
+            out.append((s, done[s], slot, math.floor(done[s] / share[s]), deadline))
             done[s] += 1
-            assert all(abs(done[k] - (slot + 1) * parts[k] / period) < 1 for k in parts)
+        slot += 1
+    return out
+
+
+def test_schedule_is_earliest_deadline_first():
+    rng = np.random.default_rng(2)
+    for n in (1, 3, 12):
+        for _ in range(4):
+            sources = [(f"s{i}" if i else None, int(rng.integers(1, 1000)), int(rng.integers(1, 30))) for i in range(n)]
+            assert list(pfair.earliest_deadlines(sources)) == plain_edf(sources)
+    assert list(pfair.earliest_deadlines([])) == [] == list(pfair.earliest_deadlines([("a", 0, 5), ("b", 3, 0)]))
+
+
+@pytest.mark.parametrize("n", [5, 5000])
+def test_a_source_is_less_than_a_block_from_its_exact_weight(n):
+    """At every one of 100,000 blocks; weights of rows to a power, a null source among them."""
+    rng = np.random.default_rng(n)
+    weights = [max(1, math.floor(float(r) ** pfair.TEMPERATURE * pfair.UNIT)) for r in rng.pareto(0.8, n) * 1000 + 1]
+    total = sum(weights)
+    names = [None, *(f"s{i:05}" for i in range(1, n))]
+    of = dict(zip(names, weights))
+    done = dict.fromkeys(names, 0)
+    for at, (s, block, slot, release, deadline) in zip(range(100_000), pfair.earliest_deadlines(
+            [(s, w, 1 << 40) for s, w in of.items()])):
+        assert slot == at and block == done[s] and release <= slot < deadline
+        # just before a source's block it is furthest behind, just after it furthest ahead
+        assert done[s] * total > of[s] * at - total
+        done[s] += 1
+        assert done[s] * total < of[s] * (at + 1) + total
+    assert all(abs(done[s] * total - of[s] * 100_000) < total for s in names)
 
 
 def test_mixture(awkward, docs):
-    parts = pfair.target_parts(docs)
-    assert sum(parts.values()) == pfair.PERIOD
     for df, block in ((docs, 2), (awkward, 1)):
-        rows = sorted(pfair.mix(df, parts, block).collect(), key=lambda r: r["position"])
+        rows = sorted(pfair.mix(df, block_rows=block).collect(), key=lambda r: r["position"])
         assert [r["position"] for r in rows] == list(range(df.count()))
         same([(r["doc_id"],) for r in rows], [(d,) for d, _ in by_text(df)])
+        # the positions are those of the plain schedule over the weights
+        sizes = {}
+        for r in rows:
+            sizes[r["source"]] = sizes.get(r["source"], 0) + 1
+        plain = plain_edf([(s, max(1, math.floor(float(n) ** pfair.TEMPERATURE * pfair.UNIT)), -(-n // block))
+                           for s, n in sizes.items()])
+        order = [(s, b) for s, b, *_ in plain]
+        seen = list(dict.fromkeys((r["source"], r["block"]) for r in rows))
+        assert seen == order
+        assert all((r["slot"], r["release"], r["deadline"]) == plain[order.index((r["source"], r["block"]))][2:] for r in rows)
     mixed = pfair.mixed_documents(awkward)
     assert mixed.columns == awkward.columns
     same(mixed.collect(), awkward.collect())
     order = [r["doc_id"] for r in pfair.mixed_documents(docs).collect()]
-    want = pfair.mix(docs, parts).orderBy("position").collect()
+    want = pfair.mix(docs).orderBy("position").collect()
     assert order == [r["doc_id"] for r in want]
 
 
@@ -501,9 +542,7 @@ def test_every_source_has_its_own_schedule(spark):
     sizes = {None: 60, "(rest)": 60} | {f"s{i:03}": 60 for i in range(130)}
     df = spark.createDataFrame([(k * 100 + j, s) for k, (s, n) in enumerate(sizes.items()) for j in range(n)],
                                "doc_id long, source string").repartition(3)
-    parts = pfair.target_parts(df)
-    assert set(parts) == set(sizes) and len(set(parts.values())) == 1
-    rows = sorted(pfair.mix(df, parts, 4).collect(), key=lambda r: r["position"])
+    rows = sorted(pfair.mix(df, block_rows=4).collect(), key=lambda r: r["position"])
     assert {r["source"] for r in rows} == set(sizes)
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
     seen = dict.fromkeys(sizes, 0)
@@ -512,16 +551,14 @@ def test_every_source_has_its_own_schedule(spark):
         assert max(seen.values()) - min(seen.values()) <= 2 * 4
 
 
-def test_small_weights_are_not_raised(spark):
-    weights = {"big": 1e6, "mid": 2e5, "tiny": 10.0, None: 30.0}
-    parts = pfair.source_parts(weights)
-    for s, w in weights.items():
-        assert float(parts[s] / parts["big"]) == pytest.approx(w / weights["big"], rel=0.02)
-    parts["tiny"] = pfair.Fraction(1, 3)
-    df = spark.createDataFrame([(i, "tiny" if i < 9 else "big") for i in range(5000)], "doc_id long, source string")
-    rows = [r for r in pfair.mix(df, parts, 1).collect() if r["source"] == "tiny"]
-    assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
-    assert sorted(r["release"] // 3000 for r in rows) == list(range(9))
+def test_weights_of_any_size_and_sources_without_one(spark):
+    df = spark.createDataFrame([(i, "tiny" if i < 9 else "none" if i < 15 else "big") for i in range(5000)], "doc_id long, source string")
+    weights = spark.createDataFrame([("tiny", 1), ("big", 2999), ("none", 0), ("absent", 7000)], "source string, weight int")
+    rows = sorted(pfair.mix(df, weights, 1).collect(), key=lambda r: r["position"])
+    tiny = [r for r in rows if r["source"] == "tiny"]
+    # of the weights of sources that have rows, tiny has one in three thousand
+    assert [r["release"] // 3000 for r in tiny] == list(range(9)) and all(r["release"] <= r["slot"] < r["deadline"] for r in tiny)
+    assert [r["source"] for r in rows[-6:]] == ["none"] * 6 and all(r["slot"] is None for r in rows[-6:])
 
 
 def test_rows_without_an_id_are_mixed_row_by_row(spark):

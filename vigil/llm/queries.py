@@ -51,8 +51,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return pfair.mix(docs, pfair.target_parts(docs)).drop("place")
+    return pfair.mix(table(spark, sf_dir, "documents")).drop("place")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
