@@ -367,8 +367,9 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """(doc_id, content_score, metadata_score, score, kept) of every row of ``docs`` (doc_id, text, lang, source).
 
     ``score`` combines both calibrated views by the mean of their log-odds; ``kept`` if it is ``cut`` or more.
-    Null texts are empty, null languages and sources are none; repeated rows get equal scores; without
-    enough labels scores are null and all rows are kept; an empty table gives no rows.
+    Null texts are empty, null languages and sources are none; very long texts are read whole; repeated rows get equal scores;
+    without enough labels scores are null and all rows are kept; other columns are not read, whatever their names; an empty
+    table gives no rows.
     """
     s = docs.select("doc_id", score_column(docs, fit_views(docs, labels)).alias("s"))
     return s.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("s.content").alias("content_score"),

@@ -196,8 +196,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame, max_false_rejection: float =
     per document, which is good if none of its labels says otherwise; null ids and null
     qualities are left out. Documents failing the base rules are not part of the
     holdout. Without enough labels a stratum has no threshold and keeps what passes the
-    base rules. Null texts have no words and fail the base; repeated rows are judged each;
-    an empty table gives no rows. Counts are made once and checkpointed; only
+    base rules. Null texts have no words and fail the base; very long texts are counted whole; repeated rows are judged each;
+    other columns are not read, whatever their names; an empty table gives no rows. Counts are made once and checkpointed; only
     (stratum, level) counts, at most 45 rows, reach the driver.
     """
     from ..operators.materialize import materialize

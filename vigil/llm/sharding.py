@@ -22,7 +22,8 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, stratum:
 
     Counts of shards differ by at most one (law ``rows``); of each source, a shard's count is within
     two rows of its proportion. A null text counts as empty, a null source is a source of its own;
-    repeated rows and null ids are placed like others; an empty table gives no rows. A source may hold any
+    repeated rows and null ids are placed like others; very long texts are rows like others; other columns are not read,
+    whatever their names; an empty table gives no rows. A source may hold any
     share of the rows: both orders are range-partitioned, and only digests, not texts, are shuffled.
     """
     text = F.coalesce(docs["text"], F.lit("")).cast("binary")
