@@ -24,6 +24,11 @@ def bid_tree(root):
     write(f"{d}/raw_4.csv", "product_id,prediction,extra\np6\n")           # short: padded
     write(f"{d}/raw_5.csv", 'product_id,prediction\n"p,7",6.0\n')          # quoted comma
     write(f"{d}/raw/part-0.csv", "product_id,prediction\np8,0.5\n")       # raw* folder
+    write(f"{d}/raw_6.csv", "product_id,prediction\np10,\nproduct_id prediction,7.0\n")   # a data line like a header
+    write(f"{d}/raw_7.csv", "product_id,note\np11,only a note\n")      # no prediction: a null one
+    os.makedirs(f"{d}/raw_8.csv.d", exist_ok=True)
+    with open(f"{d}/raw_9.csv", "wb") as f:
+        f.write(b"product_id,prediction\n\xff\xfe,1.0\n")                # not text: skipped
     write(f"{d}/other.csv", "product_id,prediction\np9,9.0\n")            # not raw*
     write(f"{root}/zen/2024-03-02/raw_0.csv", "product_id,prediction\nq1,1.0\n")
     write(f"{root}/acme/2024-03-02/raw_0.csv", "product_id,prediction\nq2,1.0\n")
@@ -33,9 +38,13 @@ def test_bid_reader_file_rules(spark, tmp_dir):
     bid_tree(tmp_dir)
     df = files.read_bid_changes(spark, tmp_dir, "acme", "2024-03-01")
     got = sorted((r.product_id, r.prediction) for r in df.collect())
-    assert got == [("p,7", 6.0), ("p1", 5.0), ("p2", 3.0), ("p3", 4.0), ("p6", None),
-                   ("p8", 0.5)]
+    assert got == [("p,7", 6.0), ("p1", 5.0), ("p10", None), ("p11", None), ("p2", 3.0), ("p3", 4.0), ("p6", None),
+                   ("p8", 0.5), ("product_id prediction", 7.0)]
     assert {r.client for r in df.collect()} == {"acme"}
+    more = files.read_bid_changes(spark, tmp_dir, "acme", "2024-03-01", extra=("extra", "note")).collect()
+    assert {(r.product_id, r.extra, r.note) for r in more if r.extra or r.note} == {
+        ("p1", "x", None), ("p2", "y", None), ("p11", None, "only a note")}
+    assert files.read_bid_changes(spark, f"{tmp_dir}/nowhere").count() == 0
 
 
 def test_bid_partitions_listing(spark, tmp_dir):
@@ -84,20 +93,14 @@ def test_complaints_keep_their_own_id(spark, tmp_dir):
 def test_documents_glob_whole_files(spark, tmp_dir):
     write(f"{tmp_dir}/docs/a.txt", "first line\nsecond line\n")
     write(f"{tmp_dir}/docs/b.txt", "other")
-    got = sorted((os.path.basename(r.path), r.text) for r in
+    with open(f"{tmp_dir}/docs/c.txt", "wb") as f:
+        f.write("caf\xe9 x".encode("latin-1"))
+    got = sorted((r.doc_id, os.path.basename(r.path), r.text) for r in
                  files.read_documents(spark, f"{tmp_dir}/docs/*.txt").collect())
-    assert got == [("a.txt", "first line\nsecond line\n"), ("b.txt", "other")]
-
-
-def test_index_round_trip_prunes_buckets(spark, tmp_dir):
-    from vigil.plans import text
-    d = spark.createDataFrame([(0, "a b c"), (1, "b c d")], "doc_id bigint, text string")
-    postings, _ = text.build_index(d)
-    files.write_index(postings, f"{tmp_dir}/idx", buckets=8)
-    back = files.read_index(spark, f"{tmp_dir}/idx", ["b"], buckets=8)
-    assert sorted((r.term, r.doc_id, r.tf) for r in back.collect()) == [("b", 0, 1), ("b", 1, 1)]
-    plan = back._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan
+    assert got == [(0, "a.txt", "first line\nsecond line\n"), (1, "b.txt", "other"), (2, "c.txt", "caf\xe9 x")]
+    from vigil.plans import text   # the ids are what the text jobs take
+    toks = text.clean_tokens(files.read_documents(spark, f"{tmp_dir}/docs/*.txt"))
+    assert {r.word for r in toks.where("doc_id = 2").collect()} == {"caf\xe9", "x"}
 
 
 def test_timesheet_sink_by_day(spark, tmp_dir):
@@ -105,7 +108,7 @@ def test_timesheet_sink_by_day(spark, tmp_dir):
                    "timestamp_ntz'2024-01-02 10:00:00' as Start, "
                    "timestamp_ntz'2024-01-02 11:00:00' as `End`, 3600.0 as `Time Spent`")
     files.write_timesheet(df, f"{tmp_dir}/sheet")
-    assert os.path.isdir(f"{tmp_dir}/sheet/day=2024-01-02")
+    assert os.path.isfile(f"{tmp_dir}/sheet/timesheet_2024-01-02.csv")
     back = spark.read.option("header", True).csv(f"{tmp_dir}/sheet")
     assert back.select("Project").collect()[0][0] == "p"
 
@@ -122,22 +125,41 @@ def test_parquet_sink(spark, tmp_dir):
     assert spark.read.parquet(f"{tmp_dir}/t").count() == 3
 
 
-def test_load_index_scans_only_query_buckets(spark, tmp_dir):
+def test_named_files_are_written_whole_or_not_at_all(spark, tmp_dir):
+    import pytest
+
+    from vigil.sources.named_files import write_files
+    pieces = spark.createDataFrame([("a/x.txt", b"1"), ("a/x.txt", b"2"), ("y.txt", b"")], "name string, piece binary").coalesce(1)
+    write_files(pieces, f"{tmp_dir}/f")
+    assert open(f"{tmp_dir}/f/a/x.txt").read() == "12" and os.path.getsize(f"{tmp_dir}/f/y.txt") == 0
+    for bad in ([("z.txt", b"3"), (None, b"")], [("z.txt", b"3"), ("../q", b"")], [("z.txt", b"3"), ("y.txt", b"4")],
+                [("z.txt", b"3"), ("w.txt", b""), ("z.txt", b"5")]):
+        failing = spark.createDataFrame(bad, "name string, piece binary").coalesce(1)
+        before = sorted(os.listdir(f"{tmp_dir}/f"))
+        if bad[-1][0] == "y.txt":   # stands there already: found when the job commits
+            before = None
+        with pytest.raises(Exception):
+            write_files(failing, f"{tmp_dir}/f")
+        if before:
+            assert sorted(os.listdir(f"{tmp_dir}/f")) == before
+        assert not [n for n in os.listdir(f"{tmp_dir}/f") if n.startswith("_temporary")]
+    assert os.path.getsize(f"{tmp_dir}/f/y.txt") == 0
+    write_files(pieces, f"{tmp_dir}/f", "overwrite")
+    assert sorted(os.listdir(f"{tmp_dir}/f")) == ["_SUCCESS", "a", "y.txt"]
+
+
+def test_vector_lookups_shuffle_ids_only(spark, tmp_dir):
     from vigil.plans import text
-    d = spark.createDataFrame([(0, "a b c"), (1, "b c d"), (2, "e f g h")],
-                              "doc_id bigint, text string")
-    postings, doc_len = text.build_index(d)
-    files.save_index(postings, doc_len, f"{tmp_dir}/idx", buckets=16)
-    q = spark.createDataFrame([(7, "b zz")], "query_id bigint, text string")
-    qt = text.query_terms(q)
-    p, dl = files.load_index(spark, f"{tmp_dir}/idx", qt, buckets=16)
-    assert sorted((r.term, r.doc_id) for r in p.collect()) == [("b", 0), ("b", 1)]
-    assert dl.count() == 3
-    plan = p._jdf.queryExecution().executedPlan().toString()
-    # only the buckets of 'b' and 'zz' are listed for the scan
-    assert re.search(r"PartitionFilters: \[bucket#\d+ IN \(\d+(,\d+)?\)", plan), plan
-    # BM25 over the pruned index equals BM25 over the whole one
-    whole = {(r.doc_id, round(r.score, 9)) for r in
-             text.search(postings, doc_len, qt, "bm25").collect()}
-    pruned = {(r.doc_id, round(r.score, 9)) for r in text.search(p, dl, qt, "bm25").collect()}
-    assert whole == pruned
+    vectors = spark.range(200).select("id", F.array(F.col("id") * 1.0).alias("v"))
+    store = spark.table(files.write_vectors(vectors, f"{tmp_dir}/v", buckets=4))
+    ids = spark.range(300).select((F.col("id") % 150 * 2).alias("id"), F.col("id").alias("at"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = text.lookup_vectors(ids, store)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    assert sorted((r.at, r.v) for r in rows) == sorted((i, [i % 150 * 2.0]) for i in range(300) if i % 150 * 2 < 200)

@@ -27,24 +27,27 @@ def test_array_functions(spark):
 
 def test_scores_match_numpy(spark):
     df = emb(spark)
-    w, b = learn.centroid_model(df, 10)
+    model = learn.centroid_model(df)
+    rows = sorted(model.collect(), key=lambda r: r["c"])
+    w, b = np.array([r["w"] for r in rows]).T, np.array([r["b"] for r in rows])
     pdf = df.toPandas()
     x = np.stack(pdf.features.to_numpy()).astype(float)
     lg = x @ w + b
     pred = lg.argmax(axis=1)
-    got = learn.score(df, w, b).toPandas().set_index("id").loc[pdf.id]
+    got = learn.score(df, model).toPandas().set_index("id").loc[pdf.id]
     assert (got.prediction.to_numpy() == pred).all()
     lse = lg.max(axis=1) + np.log(np.exp(lg - lg.max(axis=1, keepdims=True)).sum(axis=1))
     assert got.log_prob.to_numpy() == pytest.approx(lg[np.arange(len(x)), pdf.label] - lse)
-    ev = learn.evaluate(learn.score(df, w, b)).collect()[0]
+    ev = learn.evaluate(learn.score(df, model)).collect()[0]
     assert ev.accuracy == pytest.approx((pred == pdf.label.to_numpy()).mean())
     assert ev.accuracy + ev.error_rate == pytest.approx(1.0)
 
 
 def test_gradient_matches_numpy(spark):
     df = emb(spark)
-    wts = learn.rule_weights(64, 5, 10)
-    got = {(r.param, r.i, r.j): r.value for r in learn.batch_gradient(df, wts, 10).collect()}
+    table = learn.rule_weights(spark, 64, 5, 10)
+    got = {(r.param, r.i, r.j): r.value for r in learn.batch_gradient(df, table).collect()}
+    wts = learn._matrices(table.toPandas())
     pdf = df.toPandas()
     x = np.stack(pdf.features.to_numpy()).astype(float)
     t = np.eye(10)[pdf.label.to_numpy()]
@@ -96,3 +99,77 @@ def test_softmax_sums_to_one_and_argmax_is_the_max(spark):
     for r in got:
         assert sum(r.s) == pytest.approx(1.0)
         assert r.m == int(np.argmax(r.a))
+
+
+def test_gradient_groups_do_not_change_the_sums(spark):
+    df, table = emb(spark), learn.rule_weights(spark, 64, 5, 10)
+    one = {(r.param, r.i, r.j): r.value for r in learn.gradient_and_cost(df, table).collect()}
+    many = {(r.param, r.i, r.j): r.value for r in learn.gradient_and_cost(df, table, group_rows=37).collect()}
+    assert one.keys() == many.keys() and all(many[k] == pytest.approx(v) for k, v in one.items())
+
+
+def test_training_lowers_the_cost_and_stops(spark):
+    df, start = emb(spark), learn.rule_weights(spark, 64, 5, 10)
+    weights, costs = learn.train_network(df, start, 4, 0.01, l2=0.001)
+    assert len(costs) == 4 and costs == sorted(costs, reverse=True)
+    assert {(r.param, r.i, r.j) for r in weights.collect()} == {(r.param, r.i, r.j) for r in start.collect()}
+    _, short = learn.train_network(df, start, 4, 0.01, tolerance=1.0)
+    assert len(short) == 2
+    nothing, free = learn.train_network(df.limit(0), start, 1, 0.01)
+    assert free == [0.0] and {tuple(r) for r in nothing.collect()} == {tuple(r) for r in start.collect()}
+
+
+def test_rows_without_a_usable_label_take_no_part(spark):
+    start = learn.rule_weights(spark, 2, 2, 2)
+    rows = [(1, [1.0, 0.5], 0), (2, [0.1, 2.0], 1)]
+    odd = [(3, None, 1), (4, [1.0, 1.0], None), (5, [1.0, 1.0], 7), (6, [1.0, 1.0], -1)]
+    schema = "id long, features array<double>, label int"
+    a, b = ({(r.param, r.i, r.j): r.value for r in learn.gradient_and_cost(spark.createDataFrame(x, schema), start).collect()}
+            for x in (rows, rows + odd))
+    assert a.keys() == b.keys() and all(b[k] == pytest.approx(v) for k, v in a.items())
+
+
+def test_mini_batches_leave_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, 5 + i % 2, i) for i in range(10)], "id long, _row long, _part long")
+    got = learn.mini_batches(df, "id", 5).collect()
+    assert {(r["id"], r["_row"], r["_part"], r["batch"]) for r in got} == {(i, 5 + i % 2, i, i // 5) for i in range(10)}
+
+
+# ------------------------------------------------------------------ word vectors
+
+def test_word_vectors_follow_a_plain_version(spark):
+    import math
+
+    from vigil.plans import vectors
+    pairs = [(0, 1), (1, 0), (1, 2), (2, 1), (1, 2), (3, 3), (0, 3), (3, 0)]
+    vocab = spark.createDataFrame([(i,) for i in range(5)], "id long")
+    dim, rate, negatives, n_ids = 3, 5.0, 2, 5
+    got = {r.id: r.vector for r in vectors.word_vectors(
+        spark.createDataFrame(pairs, "center int, context int"), vocab, dim, 2, negatives, rate).collect()}
+    v = {i: [((i * 7919 + (k + 1) * 104729) % 10007) / 10007 * 2 - 1 for k in range(dim)] for i in range(5)}
+    u = {i: [(((i * 104729 + (k + 1) * 7919) % 10007) / 10007 * 2 - 1) / math.sqrt(dim) for k in range(dim)] for i in range(5)}
+    b = dict.fromkeys(range(5), 0.0)
+
+    def drawn(c, t, j, step):
+        h = (c * 40503 + t * 30011 + j * 20021 + step * 10007 + 1) % vectors.PRIME
+        for _ in range(3):
+            h = h * vectors.FACTOR % vectors.PRIME
+        return max(0, min(n_ids - 1, math.floor(math.exp(h / vectors.PRIME * math.log(n_ids + 1))) - 1))
+    for step in range(2):
+        rows = [(c, t, 1.0) for c, t in pairs] + [(c, drawn(c, t, j, step), 0.0) for c, t in pairs for j in range(negatives)]
+        dv, du, db = ({i: [0.0] * dim for i in range(5)} for _ in range(2)), None, dict.fromkeys(range(5), 0.0)
+        dv, du = list(dv)
+        for c, t, y in rows:
+            s = sum(x * z for x, z in zip(v[c], u[t])) + b[t] - math.log(
+                negatives * math.log((t + 2) / (t + 1)) / math.log(n_ids + 1))
+            g = (y - 1 / (1 + math.exp(-s))) / len(pairs)
+            dv[c] = [a + g * x for a, x in zip(dv[c], u[t])]
+            du[t] = [a + g * x for a, x in zip(du[t], v[c])]
+            db[t] += g
+        for i in range(5):
+            v[i] = [a + rate * x for a, x in zip(v[i], dv[i])]
+            u[i] = [a + rate * x for a, x in zip(u[i], du[i])]
+            b[i] += rate * db[i]
+    for i in range(5):
+        norm = math.sqrt(sum(x * x for x in v[i]))
+        assert got[i] == pytest.approx([x / norm for x in v[i]])

@@ -141,3 +141,108 @@ def test_skipgram_matches_brute_force_on_short_documents(spark, seed):
     exp_in = sorted((stream[i], stream[i + o]) for i in range(n) for o in offs
                     if 0 <= i + o < n and doc_of[i + o] == doc_of[i])
     assert sorted((r.center, r.context) for r in inside.collect()) == exp_in
+
+
+def test_skipgrams_of_repeated_and_missing_ids(spark):
+    rows = [(1, "a b c"), (1, "x y z"), (None, "p q"), (None, "r s"), (None, None), (2, "  ")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    vocab = text.build_vocabulary(text.clean_tokens(d), 100)
+    ids = {r.word: r.id for r in vocab.collect()}
+    got = text.skipgram_pairs(text.doc_tokens(d), vocab, 1, 2, within_document=True).collect()
+    words = [t.split() for _, t in rows if t]
+    want = [(ids[w[i]], ids[w[i + o]]) for w in words for i in range(len(w)) for o in (-1, 1) if 0 <= i + o < len(w)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    stream = [ids[w] for w in "p q r s a b c x y z".split()]
+    got = text.skipgram_pairs(text.doc_tokens(d), vocab, 1, 2).collect()
+    assert sorted(map(tuple, got)) == sorted((stream[i], stream[(i + o) % 10]) for i in range(10) for o in (-1, 1))
+
+
+def test_drawn_contexts_are_without_replacement(spark):
+    d = docs(spark, [" ".join(f"w{i}" for i in range(40)), "v1 v2 v3"])
+    vocab = text.build_vocabulary(text.clean_tokens(d), 100)
+    got = text.skipgram_pairs(text.doc_tokens(d), vocab, 3, 4).collect()
+    per = {}
+    for r in got:
+        per.setdefault(r.center, []).append(r.context)
+    # words differ, so a context drawn twice would show
+    assert len(per) == 43 and all(len(c) == len(set(c)) == 4 for c in per.values())
+
+
+# ------------------------------------------------------------------ search by blocks
+
+def corpus(rng, n):
+    words = [f"w{int(20 * rng.random() ** 3)}" for _ in range(n)]
+    return [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 8, 30]))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("method,block", [("bm25", 3), ("cosine", 3), ("bm25", 128)])
+def test_block_search_gives_what_scoring_everything_gives(spark, tmp_dir, method, block):
+    import random
+
+    from vigil.plans import search
+    rng = random.Random(block)
+    d = docs(spark, corpus(rng, 120)).repartition(5)
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(corpus(rng, 15))] + [(99, "nothing here"), (None, "w0 w1 w1")],
+                              "query_id bigint, text string")
+    qt = text.query_terms(q)
+    postings, dl = text.build_index(d)
+    search.write_index(text.doc_tokens(d), f"{tmp_dir}/i", method, block_rows=block, bucket_rows=50)
+    index = search.read_index(spark, f"{tmp_dir}/i")
+    for k in (1, 4, 200):
+        want = text.search(postings, dl, qt, method, k)
+        got = search.search(index, qt, k)
+
+        def rows(f):
+            return sorted(((r.query_id is None, r.query_id or 0), r.rank, r.doc_id, round(r.score, 9)) for r in f.collect())
+        assert rows(got) == rows(want)
+
+
+def test_search_reads_a_part_of_the_postings(spark):
+    """Scored (query, document) pairs of the benchmark queries, before and after."""
+    from vigil.operators.materialize import materialize
+    from vigil.plans import search
+
+    from .conftest import SF_MID
+    d = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    q = spark.read.parquet(f"{SF_MID}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    qt = materialize(text.query_terms(q))
+    index = search.index_documents(d, "bm25")
+    postings, _ = text.build_index(d)
+    before = qt.join(postings, "term").select("query_id", "doc_id").distinct().count()
+    weights = search._query_weights(index, qt, "query_id")
+    queries = weights.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("weights"))
+    reads = materialize(search.plan_reads(index, weights, queries, 10))
+    after = search.candidates(index, reads).count()
+    print("pairs scored", before, after)
+    assert after < before / 3
+    assert reads.count() < weights.count()   # some terms are never read
+
+
+def test_index_of_nothing(spark):
+    from vigil.plans import search
+    index = search.index_documents(spark.createDataFrame([], "doc_id bigint, text string"), "bm25")
+    q = spark.createDataFrame([(0, "a b")], "query_id bigint, text string")
+    assert search.search(index, text.query_terms(q)).count() == 0
+
+
+def test_an_id_on_several_rows_is_several_documents(spark):
+    from vigil.plans import search
+    d = spark.createDataFrame([(1, "a b"), (1, "a c"), (None, "a a"), (None, None)], "doc_id bigint, text string")
+    q = spark.createDataFrame([(0, "a")], "query_id bigint, text string")
+    got = search.search(search.index_documents(d, "bm25"), text.query_terms(q)).collect()
+    assert sorted((r["rank"], r["doc_id"] or 0) for r in got) == [(1, 0), (2, 1), (3, 1)]
+
+
+# ------------------------------------------------------------------ sketches
+
+def test_sketches_merge_over_sources(spark):
+    rows = [(i % 3 if i % 5 else None, " ".join(f"w{j}" for j in range(i, i + 40))) for i in range(600)]
+    d = spark.createDataFrame(rows, "source int, text string")
+    stored = text.word_sketches(d, "source")
+    exact = {}
+    for s, t in rows:
+        exact.setdefault(s, set()).update(t.split())
+    got = {r["source"]: r["estimate"] for r in text.distinct_estimate(stored, ["source"]).collect()}
+    assert got.keys() == exact.keys() and all(abs(got[s] - len(w)) <= 0.025 * len(w) for s, w in exact.items())
+    whole = len(set().union(*exact.values()))
+    assert abs(text.distinct_estimate(stored).first()[0] - whole) <= 0.025 * whole

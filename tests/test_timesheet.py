@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigil.plans import timesheet
-from vigil.streaming.timesheet_stream import pair_starts_ends
+from vigil.streaming.timesheet_stream import open_rows, pair_starts_ends, rocksdb_state
 
 T0 = dt.datetime(2024, 1, 1, 9, 0, 0)
 
@@ -56,10 +56,10 @@ def test_stream_pairs_equal_batch(spark, tmp_dir):
     stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").parquet(src))
     out = f"{tmp_dir}/pairs"
-    q = (pair_starts_ends(stream, ttl="7 days").writeStream.format("parquet")
-         .option("checkpointLocation", f"{tmp_dir}/ckpt").trigger(availableNow=True)
-         .start(out))
-    q.awaitTermination(120)
+    with rocksdb_state(spark):
+        q = (pair_starts_ends(stream, ttl="7 days").writeStream.format("parquet")
+             .option("checkpointLocation", f"{tmp_dir}/ckpt").trigger(availableNow=True).start(out))
+        q.awaitTermination(120)
     got = sorted((r.key, r.k, r.Project, r["Time Spent"]) for r in spark.read.parquet(out).collect())
     batch = timesheet.timesheet(s, e).where("Start is not null and `End` is not null")
     exp = sorted((r.key, r.k, r.Project, r["Time Spent"]) for r in batch.collect())
@@ -76,10 +76,11 @@ def test_stream_closes_never_ended_starts(spark, tmp_dir):
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").parquet(src))
     out = f"{tmp_dir}/pairs"
-    q = (pair_starts_ends(stream, ttl="8 hours", watermark="1 hour").writeStream
-         .format("parquet").option("checkpointLocation", f"{tmp_dir}/ckpt")
-         .trigger(availableNow=True).start(out))
-    q.awaitTermination(120)
+    with rocksdb_state(spark):
+        q = (pair_starts_ends(stream, ttl="8 hours", watermark="1 hour").writeStream
+             .format("parquet").option("checkpointLocation", f"{tmp_dir}/ckpt")
+             .trigger(availableNow=True).start(out))
+        q.awaitTermination(120)
     got = {(r.key, r.k): r for r in spark.read.parquet(out).collect()}
     assert got[("j", 1)]["Time Spent"] == 3600.0
     assert got[("k", 1)].End is None and got[("k", 1)].Project == "p1"
@@ -94,8 +95,28 @@ def test_stream_drops_ends_without_a_start(spark, tmp_dir):
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").parquet(src))
     out = f"{tmp_dir}/pairs"
-    q = (pair_starts_ends(stream, ttl="8 hours").writeStream.format("parquet")
-         .option("checkpointLocation", f"{tmp_dir}/ckpt").trigger(availableNow=True).start(out))
-    q.awaitTermination(120)
+    with rocksdb_state(spark):
+        q = (pair_starts_ends(stream, ttl="8 hours").writeStream.format("parquet")
+             .option("checkpointLocation", f"{tmp_dir}/ckpt").trigger(availableNow=True).start(out))
+        q.awaitTermination(120)
     got = {(r.key, r.k): r for r in spark.read.parquet(out).collect()}
     assert got[("k", 1)].Start is None and got[("k", 1)].End == T0
+
+
+def test_stream_keeps_open_rows_and_null_keys(spark, tmp_dir):
+    """Restarted from its checkpoint, a query pairs with what it had left open; a state entry an open row."""
+    schema = "key string, kind string, ts timestamp_ntz, project string, seq long"
+    src, out, ckpt = (f"{tmp_dir}/{x}" for x in ("ev", "pairs", "ckpt"))
+    first = [(None, "start", T0, "p", 0), (None, "start", T0, "q", 1), ("k", "end", T0, None, 2)]
+    later = [(None, "end", T0 + dt.timedelta(minutes=5), None, 3)]
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        with rocksdb_state(spark):
+            (pair_starts_ends(spark.readStream.schema(schema).parquet(src), "7 days").writeStream.format("parquet")
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start(out)).awaitTermination(120)
+        return {(r.key, r.k, r.Project, r.Start, r.End) for r in open_rows(spark, ckpt).collect()}
+    assert run(first) == {(None, 1, "p", T0, None), (None, 2, "q", T0, None), ("k", 1, None, None, T0)}
+    assert run(later) == {(None, 2, "q", T0, None), ("k", 1, None, None, T0)}
+    done = spark.read.parquet(out).collect()
+    assert [(r.key, r.k, r.Project, r["Time Spent"]) for r in done] == [(None, 1, "p", 300.0)]

@@ -103,6 +103,25 @@ def q_channel_health_selected(spark, sf_dir):
     return finalize(channel.channel_health(ad, site, dd, td.EVENTS_AS_OF, 60, clients=PICKED_CLIENTS))
 
 
+@register("channel_health_registry", "SELECT * FROM (" + sqlgen.health_matrix_sql(
+    "events", td.EVENTS_AS_OF, 60, channel.HEALTH_METRICS) + ") AS h WHERE client IN ('client_1', 'client_3')")
+def q_channel_health_registry(spark, sf_dir):
+    """The clients to look at are rows of a registry frame."""
+    ad, site, dd = events_sources(spark, sf_dir)
+    ev = td.table(spark, sf_dir, "events")
+    registry = channel.client_registry(ev.select(td.client_of(ev).alias("client")))
+    wanted = registry.where(F.col("short_name").isin(PICKED_CLIENTS)).select(F.col("short_name").alias("client"))
+    return finalize(channel.channel_health(ad, site, dd, td.EVENTS_AS_OF, 60, clients=wanted))
+
+
+@register("alert_pivot", sqlgen.health_matrix_sql("events", td.EVENTS_AS_OF, 60, channel.HEALTH_METRICS))
+def q_alert_pivot(spark, sf_dir):
+    """The client x metric matrix pivoted from one row per client, metric and check."""
+    ad, site, dd = events_sources(spark, sf_dir)
+    daily = channel.channel_daily(ad, site, dd, td.EVENTS_AS_OF, 60)
+    return finalize(channel.alert_matrix(channel.top_alerts(channel.health_checks(daily))))
+
+
 @register("health_checks",
           sqlgen.health_checks_sql("events", td.EVENTS_AS_OF, 60, channel.HEALTH_METRICS))
 def q_health_checks(spark, sf_dir):
@@ -211,6 +230,16 @@ def q_client_registry(spark, sf_dir):
     return finalize(channel.client_registry(ev.select(td.client_of(ev).alias("client"))))
 
 
+@register("registry_positions", sqlgen.registry_positions_sql())
+def q_registry_positions(spark, sf_dir):
+    """The registry's order as a column."""
+    from ..operators.rownumber import number_rows
+    ev = td.table(spark, sf_dir, "events")
+    clients = channel.client_registry(ev.select(td.client_of(ev).alias("client")))
+    numbered = number_rows(clients, [F.asc("short_name")], out="before")
+    return finalize(numbered.select("short_name", (F.col("before") + 1).cast("int").alias("position")))
+
+
 # ---------------------------------------------------------------- models
 
 from . import bids, models  # noqa: E402
@@ -281,6 +310,49 @@ def q_bid_dates(spark, sf_dir):
     return finalize(bids.list_dates(td.bid_changes(spark, sf_dir)))
 
 
+def _bid_files(spark, sf_dir):
+    """Bids as an object store holds them: a folder per client and month, two parts whose columns stand in different
+    order, and one with a row too wide, which must not be read."""
+    from ..operators.materialize import scratch_path
+    from ..sources import files
+    root = scratch_path(spark, "bid-files")
+    bids_ = td.bid_changes(spark, sf_dir).select("client", F.trunc("date", "month").alias("date"), "product_id", "prediction")
+    odd = F.pmod(F.xxhash64("product_id"), F.lit(2)) == 1
+    files.write_bid_part(bids_.where(~odd), root, "raw_0.csv")
+    files.write_bid_part(bids_.where(odd).withColumn("note", F.lit("a, b")), root, "raw_1.csv", ("note", "prediction", "product_id"))
+    wide = bids_.select("client", "date", F.concat(F.lit("x,y"), "product_id").alias("product_id"), "prediction").where(
+        F.col("product_id").endswith("7"))
+    wide.select("client", "date").distinct().select(
+        F.concat_ws("/", "client", F.date_format("date", "yyyy-MM-dd"), F.lit("raw_2.csv")).alias("name"),
+        F.explode(F.array(F.struct(F.lit(0).alias("at"), F.lit("product_id,prediction").alias("line")),
+                          F.struct(F.lit(1).alias("at"), F.lit("p,1.0").alias("line")),
+                          F.struct(F.lit(2).alias("at"), F.lit("p,1.0,2.0").alias("line")))).alias("x")).select(
+        "name", "x.at", "x.line").transform(lambda lines: _write_lines(lines, root))
+    return root
+
+
+def _write_lines(lines, root):
+    from ..sources.named_files import write_lines
+    write_lines(lines, root)
+    return lines
+
+
+@register("bid_changes_file", sqlgen.monthly_bids_sql())
+def q_bid_changes_file(spark, sf_dir):
+    """Parts read by the names in their first lines, unreadable ones left out."""
+    from ..sources import files
+    parts = files.read_bid_changes(spark, _bid_files(spark, sf_dir))
+    return finalize(parts.select("client", "date", "product_id", "prediction"))
+
+
+@register("bid_partitions_file", sqlgen.monthly_bids_sql("client, date"))
+def q_bid_partitions_file(spark, sf_dir):
+    """Clients and days from the paths of the parts."""
+    from ..sources import files
+    found = files.list_bid_partitions(spark, _bid_files(spark, sf_dir))
+    return finalize(found.select("client", F.col("date").cast("date").alias("date")))
+
+
 @register("daily_top_products", sqlgen.top_products_sql())
 def q_daily_top_products(spark, sf_dir):
     return finalize(bids.daily_top_products(
@@ -290,12 +362,16 @@ def q_daily_top_products(spark, sf_dir):
 
 @register("site_config_file", sqlgen.site_config_sql())
 def q_site_config_file(spark, sf_dir):
-    """The client records written as one JSON array (a row per client) and read back."""
+    """The client records written as the lines of one JSON array (a line per client) and read back."""
     from ..operators.materialize import scratch_path
     from ..sources import files
     path = scratch_path(spark, "site-config")
     cfg = td.site_config(spark, sf_dir)
-    cfg.agg(F.to_json(F.collect_list(F.struct(*cfg.columns))).alias("value")).write.text(path)
+    last = cfg.select(F.max("short_name")).scalar()
+    rows = cfg.select(F.concat(F.lit("1"), "short_name").alias("at"), F.concat(
+        F.to_json(F.struct(*cfg.columns)), F.when(F.col("short_name") < last, ",").otherwise("")).alias("line"))
+    ends = spark.createDataFrame([("0", "["), ("2", "]")], "at string, line string")
+    _write_lines(rows.union(ends).select(F.lit("site_config.json").alias("name"), "at", "line"), path)
     return finalize(files.read_site_config(spark, path))
 
 
@@ -344,7 +420,7 @@ def q_product_pick(spark, sf_dir):
 
 # ---------------------------------------------------------------- text
 
-from . import text  # noqa: E402
+from . import search, text  # noqa: E402
 
 
 def _docs(spark, sf_dir):
@@ -406,6 +482,73 @@ def q_vocab_stats(spark, sf_dir):
     return finalize(text.vocab_stats(toks, text.encode(toks, vocab)))
 
 
+@register("distinct_words", sqlgen.distinct_words_sql())
+def q_distinct_words(spark, sf_dir):
+    """Distinct words of each source, exact and by sketches that are stored and merged: each source's estimate, and that
+    of all sources together, within three standard errors."""
+    from ..operators.materialize import scratch_path
+    from ..sources import files
+    docs = td.table(spark, sf_dir, "documents").select("source", "text")
+    path = scratch_path(spark, "sketches")
+    files.write_table(text.word_sketches(docs, "source"), path)
+    stored = spark.read.parquet(path)
+    words = docs.where("text is not null").select("source", F.explode(text.tokens(F.col("text"))).alias("word"))
+    exact = words.groupBy("source").agg(F.count_distinct("word").alias("words"))
+    bound = 3 * 1.04 / 2 ** (text.SKETCH_BITS / 2)
+    near = lambda estimate, n: F.abs(estimate - n) <= bound * n
+    merged = text.distinct_estimate(stored).select("estimate").scalar()
+    each = text.distinct_estimate(stored, ["source"]).withColumnRenamed("source", "of")
+    rows = exact.join(each, F.col("source").eqNullSafe(F.col("of")))
+    total = words.select(F.count_distinct("word")).scalar()
+    return finalize(rows.select("source", "words", near(F.col("estimate"), F.col("words")).alias("near"),
+                                near(merged, total).alias("merged_near")))
+
+
+@register("documents_files", sqlgen.documents_files_sql())
+def q_documents_files(spark, sf_dir):
+    """Every document as a file of its own, in one of four charsets; read by a glob, numbered by path, decoded, cleaned."""
+    from ..operators.materialize import scratch_path
+    from ..sources import files
+    path = scratch_path(spark, "document-files")
+    docs = _docs(spark, sf_dir).where("text is not null")
+    kind, latin = F.col("doc_id") % 4, F.rlike("text", F.lit(r"\A[\x00-\xFF]*\z"))
+    content = (F.when(kind == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))
+               .when(kind == 2, F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE")))
+               .when((kind == 3) & latin, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8")))
+    files.write_documents(docs.select(F.format_string("%019d.txt", "doc_id").alias("name"), content.alias("content")), path)
+    read = files.read_documents(spark, f"{path}/*.txt")
+    return finalize(text.clean_tokens(read.select("doc_id", "text")))
+
+
+@register("document_vectors", sqlgen.document_vectors_sql(64))
+def q_document_vectors(spark, sf_dir):
+    """Vectors stored by id, looked up for every encoded token, and their mean for each document."""
+    from ..operators.materialize import scratch_path
+    from ..sources import files
+    vectors = td.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    store = spark.table(files.write_vectors(vectors, scratch_path(spark, "vectors")))
+    toks, vocab = _vocab_parts(spark, sf_dir)
+    ids = text.encode(toks, vocab).select("doc_id", F.col("id").cast("long").alias("id"))
+    found = text.lookup_vectors(ids, store)
+    means = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("v")[k]).alias(f"m{k}") for k in range(64)])
+    return finalize(means.select("doc_id", "n", F.posexplode(F.array(*[f"m{k}" for k in range(64)])).alias("i", "value")))
+
+
+VECTOR_DIM, VECTOR_STEPS, VECTOR_NEGATIVES, VECTOR_RATE = 8, 2, 1, 100.0
+
+
+@register("word_vectors", sqlgen.word_vectors_sql(VECTOR_DIM, VECTOR_STEPS, VECTOR_NEGATIVES, VECTOR_RATE))
+def q_word_vectors(spark, sf_dir):
+    """Two steps of noise-contrastive training over all pairs of the token stream."""
+    from . import vectors
+    dt = _doc_tokens(spark, sf_dir)
+    vocab = text.build_vocabulary(_toks(dt))
+    found = vectors.word_vectors(text.skipgram_pairs(dt, vocab, 1, 2), vocab, VECTOR_DIM, VECTOR_STEPS, VECTOR_NEGATIVES,
+                                 VECTOR_RATE)
+    return finalize(found.select("id", F.posexplode("vector").alias("i", "value")))
+
+
 @register("skipgram_pairs", sqlgen.skipgram_sql(1))
 def q_skipgram_pairs(spark, sf_dir):
     dt = _doc_tokens(spark, sf_dir)
@@ -421,39 +564,33 @@ def q_skipgram_within(spark, sf_dir):
     return finalize(text.skipgram_pairs(dt, vocab, 2, 4, within_document=True))
 
 
-def _search(spark, sf_dir, method):
-    from ..operators.materialize import materialize
-    postings, doc_len = text.index_from_tokens(_doc_tokens(spark, sf_dir))
-    # document frequencies, hits and norms read the postings: they are built once
-    postings = materialize(postings)
+def _query_texts(spark, sf_dir):
     q = td.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return finalize(text.search(postings, doc_len, text.query_terms(q), method))
+    return text.query_terms(q)
 
 
 @register("search_bm25", sqlgen.search_sql("bm25"))
 def q_search_bm25(spark, sf_dir):
-    return _search(spark, sf_dir, "bm25")
+    index = search.index_documents(_docs(spark, sf_dir), "bm25")
+    return finalize(search.search(index, _query_texts(spark, sf_dir)))
 
 
 @register("search_cosine", sqlgen.search_sql("cosine"))
 def q_search_cosine(spark, sf_dir):
-    return _search(spark, sf_dir, "cosine")
+    index = search.index_documents(_docs(spark, sf_dir), "cosine")
+    return finalize(search.search(index, _query_texts(spark, sf_dir)))
 
 
 @register("search_bm25_indexed", sqlgen.search_sql("bm25"))
 def q_search_bm25_indexed(spark, sf_dir):
-    """K4: the index is saved under the session's shared checkpoint folder
-    and loaded back; only the hash buckets of the query terms are scanned
-    (BM25 needs no posting of other terms)."""
+    """K4: the index is written under the session's shared checkpoint folder, read back by its path alone, and searched:
+    first for one half of the queries, then for the other, from the same files."""
     from ..operators.materialize import scratch_path
-    from ..sources import files
-    postings, doc_len = text.index_from_tokens(_doc_tokens(spark, sf_dir))
     path = scratch_path(spark, "index")
-    files.save_index(postings, doc_len, path)
-    q = td.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    qt = text.query_terms(q)
-    p, dl = files.load_index(spark, path, qt)
-    return finalize(text.search(p, dl, qt, "bm25"))
+    search.write_index(text.doc_tokens(_docs(spark, sf_dir)), path, "bm25")
+    qt, even = _query_texts(spark, sf_dir), F.col("query_id") % 2 == 0
+    halves = [search.search(search.read_index(spark, path), qt.where(c)) for c in (even, ~even | even.isNull())]
+    return finalize(halves[0].unionByName(halves[1]))
 
 
 # ---------------------------------------------------------------- learn
@@ -472,8 +609,7 @@ def _emb(spark, sf_dir):
 
 def _centroid_scores(spark, sf_dir):
     emb = _emb(spark, sf_dir)
-    w, b = learn.centroid_model(emb, N_CLASSES)
-    return learn.score(emb, w, b)
+    return learn.score(emb, learn.centroid_model(emb))
 
 
 @register("classifier_scores", sqlgen.classifier_scores_sql())
@@ -489,8 +625,39 @@ def q_classifier_eval(spark, sf_dir):
 
 @register("batch_gradient", sqlgen.batch_gradient_sql(EMBED_DIM, HIDDEN, N_CLASSES))
 def q_batch_gradient(spark, sf_dir):
-    wts = learn.rule_weights(EMBED_DIM, HIDDEN, N_CLASSES)
-    return finalize(learn.batch_gradient(_emb(spark, sf_dir), wts, N_CLASSES))
+    wts = learn.rule_weights(spark, EMBED_DIM, HIDDEN, N_CLASSES)
+    return finalize(learn.batch_gradient(_emb(spark, sf_dir), wts))
+
+
+NET_STEPS, NET_RATE, NET_L2 = 2, 0.001, 0.01
+
+
+@register("network_steps", sqlgen.network_steps_sql(EMBED_DIM, HIDDEN, N_CLASSES, NET_STEPS, NET_RATE, NET_L2))
+def q_network_steps(spark, sf_dir):
+    """The weights after two full-batch steps with an L2 term, and the cost before each."""
+    wts, costs = learn.train_network(_emb(spark, sf_dir), learn.rule_weights(spark, EMBED_DIM, HIDDEN, N_CLASSES),
+                                     NET_STEPS, NET_RATE, NET_L2)
+    paid = spark.createDataFrame([("cost", s, 0, c) for s, c in enumerate(costs)], learn.NETWORK)
+    return finalize(wts.unionByName(paid))
+
+
+@register("classifier_outputs", sqlgen.classifier_outputs_sql())
+def q_classifier_outputs(spark, sf_dir):
+    """rectified logit, probability and one-hot target of every class."""
+    from ..functions.expr import one_hot, relu
+    s = _centroid_scores(spark, sf_dir)
+    each = s.select(F.col("id").alias("vec_id"), one_hot("label", N_CLASSES).alias("target"), F.explode(
+        F.arrays_zip("classes", "logits", "probability")).alias("x"))
+    return finalize(each.select("vec_id", F.col("x.classes").alias("class"), relu("x.logits").alias("relu"),
+                                F.col("x.probability").alias("probability"), F.get("target", "x.classes").alias("target")))
+
+
+@register("holdout_orders", sqlgen.holdout_orders_sql(1000))
+def q_holdout_orders(spark, sf_dir):
+    """W13 over a table of more rows than are held out."""
+    orders = td.table(spark, sf_dir, "orders")
+    test = learn.holdout_flag(orders, "o_orderkey", HOLDOUT)
+    return finalize(orders.select("o_orderkey", F.when(test, "test").otherwise("train").alias("split")))
 
 
 # Fixed values of the source's training scripts.
@@ -569,3 +736,36 @@ def q_timesheet_file(spark, sf_dir):
     path, sheet = scratch_path(spark, "timesheet"), _timesheet(spark, sf_dir)
     files.write_timesheet(sheet, path)
     return finalize(files.read_timesheet(spark, path, sheet.schema))
+
+
+def _event_stream(spark, sf_dir):
+    """The events table as a stream of stopwatch events."""
+    path = f"{sf_dir}/events.parque[t]"   # a pattern: the table may be one file or a folder
+    ev = spark.readStream.schema(td.table(spark, sf_dir, "events").schema).parquet(path)
+    is_start = F.col("event_type") == "click"
+    return ev.where(F.col("event_type").isin("click", "purchase")).select(
+        F.col("user_id").cast("string").alias("key"), F.when(is_start, "start").otherwise("end").alias("kind"), "ts",
+        F.when(is_start, F.concat(F.lit("project_"), F.get_json_object("props", "$.k"))).alias("project"),
+        F.col("event_id").alias("seq"))
+
+
+def _by_user(pairs):
+    return pairs.select(F.col("key").cast("long").alias("user_id"), "k", "Project", "Start", "End", "Time Spent")
+
+
+STREAM_TTL = "3 days"
+
+
+@register("timesheet_stream", sqlgen.timesheet_sql())
+def q_timesheet_stream(spark, sf_dir):
+    """All events replayed as a stream; the pairs it emits and the rows that its state still holds."""
+    from ..streaming import timesheet_stream as ts
+    emitted, checkpoint = ts.replay(_event_stream(spark, sf_dir), "36500 days")
+    return finalize(_by_user(emitted.unionByName(ts.open_rows(spark, checkpoint))))
+
+
+@register("timesheet_stream_expired", sqlgen.timesheet_sql(STREAM_TTL, "1 hour"))
+def q_timesheet_stream_expired(spark, sf_dir):
+    """What the stream emits by itself, rows without a partner once the watermark has passed them."""
+    from ..streaming import timesheet_stream as ts
+    return finalize(_by_user(ts.replay(_event_stream(spark, sf_dir), STREAM_TTL)[0]))

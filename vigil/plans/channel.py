@@ -83,8 +83,8 @@ def select_clients(facts: DataFrame, clients) -> DataFrame:
 
     A list of names becomes an ``IN`` filter below the aggregation (pushed
     to the scan where ``client`` is a stored column); a registry frame
-    (``short_name`` or ``client`` column) is a semi join, broadcast once its
-    size is checked. Either way one job covers every selected client.
+    (``short_name`` or ``client`` column) is a semi join, which the planner
+    broadcasts under its measured-size threshold. Either way one job covers every selected client.
     """
     if clients is None:
         return facts

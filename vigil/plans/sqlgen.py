@@ -548,12 +548,18 @@ SELECT (SELECT count(*) FROM toks) AS tokens, (SELECT count(DISTINCT word) FROM
     return final(inner, [("tokens", "i"), ("distinct_words", "i"), ("unk_tokens", "i")])
 
 
+# rows of one key, or of none, are documents of their own
+DOCUMENT_IDS = f"""{VOCAB_CTES},
+numbered AS (SELECT w, row_number() OVER (ORDER BY key NULLS FIRST) AS d FROM tl),
+placed AS (SELECT d, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM numbered),
+enc AS (SELECT t.d, t.pos, coalesce(v.id, 0) AS id FROM placed t
+        LEFT JOIN (SELECT word, id FROM vocab WHERE id > 0) v ON t.word = v.word)"""
+
+
 def skipgram_sql(window: int = 1) -> str:
     offs = ", ".join(str(o) for o in range(-window, window + 1) if o != 0)
-    inner = f"""WITH {tokens_cte()},\n{VOCAB_CTES},
-enc AS (SELECT t.doc_id, t.pos, coalesce(v.id, 0) AS id FROM toks t
-        LEFT JOIN (SELECT word, id FROM vocab WHERE id > 0) v ON t.word = v.word),
-g AS (SELECT id, row_number() OVER (ORDER BY doc_id, pos) - 1 AS g FROM enc),
+    inner = f"""WITH {tokens_cte()},\n{DOCUMENT_IDS},
+g AS (SELECT id, row_number() OVER (ORDER BY d, pos) - 1 AS g FROM enc),
 n AS (SELECT count(*) AS n FROM g),
 c AS (SELECT id AS center, (((g + o) % (SELECT n FROM n)) + (SELECT n FROM n)) % (SELECT n FROM n) AS t
       FROM g, (SELECT unnest([{offs}]) AS o) AS offs)
@@ -562,12 +568,14 @@ SELECT c.center, x.id AS context FROM c JOIN g x ON c.t = x.g"""
 
 
 def skipgram_within_sql(window: int) -> str:
-    inner = f"""WITH {tokens_cte()},\n{VOCAB_CTES},
-enc AS (SELECT t.doc_id, t.pos, coalesce(v.id, 0) AS id FROM toks t
-        LEFT JOIN (SELECT word, id FROM vocab WHERE id > 0) v ON t.word = v.word),
-near AS (SELECT doc_id, id, pos, unnest(range(pos - {window}, pos + {window + 1})) AS at FROM enc)
-SELECT c.id AS center, x.id AS context FROM near c JOIN enc x ON c.doc_id = x.doc_id AND c.at = x.pos
-WHERE c.at <> c.pos"""
+    """A document's ids as one list: a pair is a list and itself shifted, no join of tokens."""
+    pairs = "\nUNION ALL ".join(
+        f"SELECT unnest(ids[{1 + max(0, -o)}:len(ids) - {max(0, o)}]) AS center, "
+        f"unnest(ids[{1 + max(0, o)}:len(ids) - {max(0, -o)}]) AS context FROM lists WHERE len(ids) > {abs(o)}"
+        for o in range(-window, window + 1) if o != 0)
+    inner = f"""WITH {tokens_cte()},\n{DOCUMENT_IDS},
+lists AS (SELECT list(id ORDER BY pos) AS ids FROM enc GROUP BY d)
+{pairs}"""
     return final(inner, [("center", "n"), ("context", "n")])
 
 
@@ -699,7 +707,8 @@ UNION ALL SELECT 'b1', j, 0, sum(dz) FROM dz GROUP BY 2"""
 
 # ----------------------------------------------------------- timesheet
 
-def timesheet_sql() -> str:
+def timesheet_sql(ttl: str | None = None, delay: str = "0 hours") -> str:
+    """With ``ttl``, of the rows without a partner only those that the last event's time less ``delay`` has passed by it."""
     ts = "'%Y-%m-%d %H:%M:%S.%f'"
     inner = f"""WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k,
                   'project_' || json_extract_string(props, '$.k') AS Project, ts AS Start
@@ -710,6 +719,10 @@ SELECT coalesce(s.user_id, e.user_id) AS user_id, coalesce(s.k, e.k) AS k, s.Pro
        strftime(s.Start, {ts}) AS Start, strftime(e."End", {ts}) AS "End",
        CAST(epoch_us(e."End") - epoch_us(s.Start) AS DOUBLE) / 1e6 AS "Time Spent"
 FROM s FULL OUTER JOIN e ON s.user_id = e.user_id AND s.k = e.k"""
+    if ttl:
+        inner += f"""
+WHERE (s.k IS NOT NULL AND e.k IS NOT NULL) OR coalesce(s.Start, e."End") + INTERVAL '{ttl}' <= (
+  SELECT max(ts) FROM events WHERE event_type IN ('click', 'purchase')) - INTERVAL '{delay}'"""
     return final(inner, [("user_id", "i"), ("k", "i"), ("Project", "s"), ("Start", "s"),
                          ("End", "s"), ("Time Spent", "f")])
 
@@ -733,3 +746,143 @@ def unit_embeddings_sql() -> str:
        CAST(unnest(embedding) AS DOUBLE) / sqrt(list_sum([CAST(x AS DOUBLE) * x FOR x IN embedding])) AS value
 FROM embeddings"""
     return final(inner, [("vec_id", "i"), ("i", "n"), ("value", "f")])
+
+
+# ----------------------------------------------------------- rows that exercise one operator each
+
+def classifier_outputs_sql() -> str:
+    inner = f"""WITH {_centroid_ctes()}
+SELECT lg.vec_id, lg.cls AS class, greatest(lg.logit, 0) AS relu, exp(lg.logit - lse.lse) AS probability,
+       CASE WHEN e.label = lg.cls THEN 1.0 ELSE 0.0 END AS target
+FROM lg JOIN lse ON lg.vec_id = lse.vec_id JOIN embeddings e ON e.vec_id = lg.vec_id"""
+    return final(inner, [("vec_id", "i"), ("class", "n"), ("relu", "f"), ("probability", "f"), ("target", "f")])
+
+
+def network_steps_sql(d: int, m: int, k: int, steps: int, rate: float, l2: float) -> str:
+    """Weights after full-batch steps, and the cost before each."""
+    ctes = [EMB_X, f"""w1_0 AS (SELECT t1.i, t2.j, CAST(((t1.i * 7 + t2.j * 3) % 11) - 5 AS DOUBLE) / 50.0 AS w
+       FROM range(0, {d}) t1(i), range(0, {m}) t2(j))""",
+            f"b1_0 AS (SELECT i, 0 AS j, CAST(0 AS DOUBLE) AS w FROM range(0, {m}) t(i))",
+            f"""w2_0 AS (SELECT t1.i, t2.j, CAST(((t1.i * 5 + t2.j * 3) % 7) - 3 AS DOUBLE) / 20.0 AS w
+       FROM range(0, {m}) t1(i), range(0, {k}) t2(j))""",
+            f"b2_0 AS (SELECT i, 0 AS j, CAST(0 AS DOUBLE) AS w FROM range(0, {k}) t(i))"]
+    for s in range(steps):
+        ctes += [
+            f"""z_{s} AS MATERIALIZED (SELECT x.vec_id, w.j, tanh(sum(x.xv * w.w) + b.w) AS z
+       FROM x JOIN w1_{s} w ON x.i = w.i JOIN b1_{s} b ON b.i = w.j GROUP BY x.vec_id, w.j, b.w)""",
+            f"""a_{s} AS MATERIALIZED (SELECT z.vec_id, w.j AS c, sum(z.z * w.w) + b.w AS a
+       FROM z_{s} z JOIN w2_{s} w ON z.j = w.i JOIN b2_{s} b ON b.i = w.j GROUP BY z.vec_id, w.j, b.w)""",
+            f"""t_{s} AS MATERIALIZED (SELECT a.vec_id, any_value(m.m) AS m, sum(exp(a.a - m.m)) AS s FROM a_{s} a
+       JOIN (SELECT vec_id, max(a) AS m FROM a_{s} GROUP BY 1) m ON a.vec_id = m.vec_id GROUP BY 1)""",
+            f"""diff_{s} AS MATERIALIZED (SELECT a.vec_id, a.c, CASE WHEN e.label = a.c THEN 1.0 ELSE 0.0 END
+         - exp(a.a - t.m) / t.s AS d, CASE WHEN e.label = a.c THEN ln(t.s) - (a.a - t.m) ELSE 0 END AS nll
+       FROM a_{s} a JOIN t_{s} t ON a.vec_id = t.vec_id JOIN embeddings e ON a.vec_id = e.vec_id)""",
+            f"""dz_{s} AS MATERIALIZED (SELECT z.vec_id, z.j, sum(f.d * w.w) * (1 - z.z * z.z) AS dz
+       FROM z_{s} z JOIN w2_{s} w ON z.j = w.i JOIN diff_{s} f ON f.vec_id = z.vec_id AND f.c = w.j
+       GROUP BY z.vec_id, z.j, z.z)""",
+            f"""cost_{s} AS (SELECT (SELECT sum(nll) FROM diff_{s}) + CAST({l2} AS DOUBLE) * (
+         (SELECT sum(w * w) FROM w1_{s}) + (SELECT sum(w * w) FROM b1_{s}) + (SELECT sum(w * w) FROM w2_{s})
+         + (SELECT sum(w * w) FROM b2_{s})) AS v)"""]
+        grads = {"w1": f"SELECT x.i, z.j, sum(x.xv * z.dz) AS g FROM x JOIN dz_{s} z ON x.vec_id = z.vec_id GROUP BY 1, 2",
+                 "b1": f"SELECT j AS i, 0 AS j, sum(dz) AS g FROM dz_{s} GROUP BY 1",
+                 "w2": f"SELECT z.j AS i, f.c AS j, sum(z.z * f.d) AS g FROM z_{s} z JOIN diff_{s} f "
+                       "ON z.vec_id = f.vec_id GROUP BY 1, 2",
+                 "b2": f"SELECT c AS i, 0 AS j, sum(d) AS g FROM diff_{s} GROUP BY 1"}
+        for name, g in grads.items():
+            ctes.append(f"""{name}_{s + 1} AS MATERIALIZED (SELECT w.i, w.j,
+       w.w + CAST({rate} AS DOUBLE) * (g.g - 2 * CAST({l2} AS DOUBLE) * w.w) AS w
+       FROM {name}_{s} w JOIN ({g}) g ON w.i = g.i AND w.j = g.j)""")
+    parts = [f"SELECT '{p.upper() if p[0] == 'w' else p}' AS param, i, j, w AS value FROM {p}_{steps}" for p in ("w1", "b1", "w2", "b2")]
+    parts += [f"SELECT 'cost', {s}, 0, v FROM cost_{s}" for s in range(steps)]
+    inner = "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL ".join(parts)
+    return final(inner, [("param", "s"), ("i", "n"), ("j", "n"), ("value", "f")])
+
+
+def word_vectors_sql(dim: int, steps: int, negatives: int, rate: float) -> str:
+    from .vectors import FACTOR, PRIME
+    at = range(dim)
+
+    def rule(k: int, a: int, b: int) -> str:
+        return f"((id * {a} + {(k + 1) * b}) % 10007) / CAST(10007 AS DOUBLE) * 2 - 1"
+
+    def drawn(j: int, step: int) -> str:
+        h = f"((center * 40503 + context * 30011 + {j * 20021 + step * 10007 + 1}) % {PRIME})"
+        for _ in range(3):
+            h = f"(({h} * {FACTOR}) % {PRIME})"
+        picked = f"CAST(floor(exp({h} / CAST({PRIME} AS DOUBLE) * ln((SELECT v FROM size) + 1))) AS BIGINT) - 1"
+        return f"greatest(0, least({picked}, CAST((SELECT v FROM size) AS BIGINT) - 1))"
+
+    ctes = [tokens_cte(), DOCUMENT_IDS, "g AS (SELECT id, row_number() OVER (ORDER BY d, pos) - 1 AS g FROM enc)",
+            "len AS (SELECT count(*) AS n FROM g)",
+            """c AS (SELECT id AS center, (((g + o) % (SELECT n FROM len)) + (SELECT n FROM len)) % (SELECT n FROM len) AS t
+      FROM g, (SELECT unnest([-1, 1]) AS o) AS offs)""",
+            """counts AS MATERIALIZED (SELECT c.center, x.id AS context, CAST(count(*) AS DOUBLE) AS n FROM c JOIN g x ON c.t = x.g
+      GROUP BY 1, 2)""",
+            "size AS MATERIALIZED (SELECT CAST(count(*) AS DOUBLE) AS v, (SELECT sum(n) FROM counts) AS n FROM vocab)",
+            f"emb_0 AS (SELECT id, [{', '.join(rule(k, 7919, 104729) for k in at)}] AS v FROM vocab)",
+            f"out_0 AS (SELECT id, [{', '.join(f'({rule(k, 104729, 7919)}) / CAST({dim ** 0.5!r} AS DOUBLE)' for k in at)}] AS u, "
+            "CAST(0 AS DOUBLE) AS b FROM vocab)"]
+    for s in range(steps):
+        false = " ".join(f"UNION ALL SELECT center, {drawn(j, s)}, 0.0, n FROM counts" for j in range(negatives))
+        dot = " + ".join(f"v[{k + 1}] * u[{k + 1}]" for k in at)
+        elog = f"ln({negatives} * ln((target + 2) / CAST(target + 1 AS DOUBLE)) / ln((SELECT v FROM size) + 1))"
+        ctes += [
+            f"""rows_{s} AS (SELECT center, target, y, sum(n) AS n FROM (
+         SELECT center, context AS target, 1.0 AS y, n FROM counts {false}) AS r GROUP BY 1, 2, 3)""",
+            f"""pulled_{s} AS MATERIALIZED (SELECT center, target, v, u,
+         (CAST(y AS DOUBLE) - 1 / (1 + exp(-({dot} + b - {elog})))) * n / (SELECT n FROM size) AS g
+       FROM rows_{s} r JOIN emb_{s} e ON r.center = e.id JOIN out_{s} o ON r.target = o.id)"""]
+        for table, by, own, side in (("emb", "center", "v", "u"), ("out", "target", "u", "v")):
+            sums = ", ".join(f"sum(g * {side}[{k + 1}]) AS d{k}" for k in at)
+            moved = ", ".join(f"t.{own}[{k + 1}] + CAST({rate} AS DOUBLE) * d.d{k}" for k in at)
+            bias = "" if table == "emb" else f", t.b + CAST({rate} AS DOUBLE) * coalesce(d.db, 0) AS b"
+            ctes.append(f"""{table}_{s + 1} AS MATERIALIZED (SELECT t.id, CASE WHEN d.id IS NULL THEN t.{own} ELSE [{moved}] END AS {own}{bias}
+       FROM {table}_{s} t LEFT JOIN (SELECT {by} AS id, sum(g) AS db, {sums} FROM pulled_{s} GROUP BY 1) d ON t.id = d.id)""")
+    norm = "sqrt(" + " + ".join(f"v[{k + 1}] * v[{k + 1}]" for k in at) + ")"
+    inner = "WITH " + ",\n".join(ctes) + f"""
+SELECT id, unnest(range(0, {dim})) AS i, unnest([{', '.join(f'v[{k + 1}] / {norm}' for k in at)}]) AS value FROM emb_{steps}"""
+    return final(inner, [("id", "i"), ("i", "n"), ("value", "f")])
+
+
+def document_vectors_sql(dim: int) -> str:
+    inner = f"""WITH {tokens_cte()},\n{VOCAB_CTES},
+enc AS (SELECT t.doc_id, coalesce(v.id, 0) AS id FROM toks t
+        LEFT JOIN (SELECT word, id FROM vocab WHERE id > 0) v ON t.word = v.word),
+means AS (SELECT doc_id, count(*) AS n, [{', '.join(f'avg(CAST(embedding[{k + 1}] AS DOUBLE))' for k in range(dim))}] AS m
+          FROM enc JOIN embeddings ON id = vec_id GROUP BY doc_id)
+SELECT doc_id, n, unnest(range(0, {dim})) AS i, unnest(m) AS value FROM means"""
+    return final(inner, [("doc_id", "i"), ("n", "i"), ("i", "n"), ("value", "f")])
+
+
+def distinct_words_sql() -> str:
+    inner = f"""WITH tl AS (SELECT source, w FROM ({token_lists('documents', 'doc_id').replace('SELECT doc_id AS key', 'SELECT source')})),
+toks AS (SELECT source, unnest(w) AS word FROM tl)
+SELECT source, count(DISTINCT word) AS words, TRUE AS near, TRUE AS merged_near FROM toks GROUP BY source"""
+    return final(inner, [("source", "s"), ("words", "i"), ("near", "b"), ("merged_near", "b")])
+
+
+def documents_files_sql() -> str:
+    src = """(SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id,
+          CASE WHEN doc_id % 4 IN (1, 2) THEN chr(65279) || text ELSE text END AS text FROM documents WHERE text IS NOT NULL) AS f"""
+    inner = f"WITH {tokens_cte(src)}\nSELECT doc_id, pos, word FROM toks"
+    return final(inner, [("doc_id", "i"), ("pos", "n"), ("word", "s")])
+
+
+def monthly_bids_sql(columns: str = "client, date, product_id, prediction") -> str:
+    distinct = "DISTINCT " if "prediction" not in columns else ""
+    inner = f"""WITH bids AS ({BIDS})
+SELECT {distinct}{columns} FROM (SELECT client, CAST(date_trunc('month', date) AS DATE) AS date, product_id, prediction FROM bids) AS m"""
+    kinds = {"client": "s", "date": "d", "product_id": "s", "prediction": "f"}
+    return final(inner, [(c, kinds[c]) for c in columns.split(", ")])
+
+
+def registry_positions_sql() -> str:
+    inner = f"""SELECT short_name, row_number() OVER (ORDER BY short_name) AS position
+FROM (SELECT DISTINCT {client_expr()} AS short_name FROM events) AS c"""
+    return final(inner, [("short_name", "s"), ("position", "n")])
+
+
+def holdout_orders_sql(last: int) -> str:
+    inner = f"""SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderkey DESC) <= {last} THEN 'test' ELSE 'train' END
+         AS split FROM orders"""
+    return final(inner, [("o_orderkey", "i"), ("split", "s")])

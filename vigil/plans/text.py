@@ -9,11 +9,12 @@ window over all rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import decode_bytes, tokens
+from ..operators.materialize import materialize
 from ..operators.rownumber import number_rows
 
 UNK = "UNK"
@@ -85,23 +86,35 @@ def vocab_stats(toks: DataFrame, encoded: DataFrame) -> DataFrame:
     return a.select("*", u.select("unk_tokens").scalar().alias("unk_tokens"))
 
 
-# ------------------------------------------------------------------ M18
+SKETCH_BITS = 14   # an HLL sketch of 2^14 counters: standard error 1.04 / 2^7, under one per cent
 
-def place_documents(doc_toks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, words, len, start): each document's place in the one token
-    stream formed by all documents in ``key`` order.
 
-    Documents are range-partitioned by id and written once with their
-    token arrays; lengths are summed over the partitions.
-    """
-    docs = doc_toks.select(key, "words", F.size("words").alias("len"))
-    return number_rows(docs, [F.asc_nulls_first(key), F.xxhash64("words")], size="len", out="start")
+def word_sketches(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
+    """(by, sketch): a mergeable sketch of the distinct words of each group (A20, the approximate form)."""
+    words = docs.where(F.col(text).isNotNull()).select(by, F.explode(tokens(F.col(text))).alias("word"))
+    return words.groupBy(by).agg(F.hll_sketch_agg("word", F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def distinct_estimate(sketches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(*by, estimate): distinct words of stored sketches, merged; no word is read again."""
+    return sketches.groupBy(*(by or [])).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+
 
+# ------------------------------------------------------------------ M18
+
+def encoded_documents(doc_toks: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(start, ids): each document's word ids and its place in the one token stream formed by all documents in ``key``
+    order (rows of one key, or of none, one after the other as they stand in the input).
 
-def positioned_tokens(doc_toks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, start, len, pos, word): every token with its document's place."""
-    return place_documents(doc_toks, key).select(
-        key, "start", "len", F.posexplode("words").alias("pos", "word"))
+    Only lengths are numbered over range partitions; every token is encoded once, and a document's ids are one
+    row again, as its text was. Documents without a word are left out.
+    """
+    docs = materialize(doc_toks.select(F.col(key).alias("key"), "words", F.monotonically_increasing_id().alias("place")))
+    starts = number_rows(docs.select("key", "place", F.size("words").alias("len")),
+                         [F.asc_nulls_first("key"), F.asc("place")], size="len", out="start")
+    toks = docs.select("place", F.posexplode("words").alias("pos", "word"))
+    ids = encode(toks, vocab).groupBy("place").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("rows"))
+    return materialize(ids.join(starts, "place").select("start", F.col("rows.id").alias("ids")))
 
 
 def skipgram_pairs(doc_toks: DataFrame, vocab: DataFrame, window: int = 1,
@@ -113,50 +126,43 @@ def skipgram_pairs(doc_toks: DataFrame, vocab: DataFrame, window: int = 1,
     -window..window (not 0), modulo the stream length, so contexts cross
     document boundaries and the last token pairs with the first. With
     ``num_skips == 2 * window`` all contexts are taken (the trainer's case);
-    with fewer, ``num_skips`` offsets are picked per center by a seeded
-    hash. ``within_document`` drops pairs that cross documents.
+    with fewer, ``num_skips`` offsets are picked per center, without replacement, by a seeded
+    hash. ``within_document`` drops pairs that cross documents; documents are rows, whatever their ids.
 
     ``doc_toks`` holds (key, words), ``vocab`` (word, id) with UNK = 0.
-    Contexts inside the document come from ``lag``/``lead`` over the
-    document's tokens (a document is one input row, so this group is
-    bounded by the input). A context outside it lies within ``window`` of a
-    document edge, so only edge tokens (at most ``2 * window`` per
-    document) are encoded a second time and joined on their stream
+    Contexts inside a document are taken from its row of ids. A context outside it lies within ``window`` of a
+    document edge, so only edge tokens (at most ``2 * window`` per document) are joined on their stream
     position: no self-join of all tokens, no pair enumeration in a group.
     """
     if num_skips > 2 * window:
         raise ValueError("num_skips must not exceed 2 * window")
-    n = doc_toks.select(F.sum(F.size("words"))).scalar()  # a scalar subquery
-    toks = positioned_tokens(doc_toks, key)
-    offs = [o for o in range(-window, window + 1) if o != 0]
-    g = F.col("start") + F.col("pos")
-    arr = F.array(*[F.lit(o) for o in offs])
-    if num_skips < len(offs):
-        keyed = F.transform(arr, lambda o: F.struct(
-            F.xxhash64(F.lit(seed), g, o).alias("h"), o.alias("o")))
-        arr = F.transform(F.slice(F.array_sort(keyed), 1, num_skips), lambda s: s["o"])
-
-    w = Window.partitionBy(key).orderBy("pos")
-    near = F.array(*[F.struct(F.lit(o).alias("o"),
-                              (F.lag("id", -o) if o < 0 else F.lead("id", o)).over(w)
-                              .alias("ctx")) for o in offs])
-    inside_doc = (F.col("pos") + F.col("x.o") >= 0) & (F.col("pos") + F.col("x.o") < F.col("len"))
-    inside = (encode(toks, vocab)
-              .select("pos", "len", F.col("id").alias("center"), arr.alias("offs"),
-                      near.alias("near"))
-              .select("center", "pos", "len", "offs", F.explode("near").alias("x"))
-              .where(inside_doc & F.array_contains("offs", F.col("x.o")))
-              .select("center", F.col("x.ctx").alias("context")))
+    docs = encoded_documents(doc_toks, vocab, key)
+    offs = F.array(*[F.lit(o) for o in range(-window, window + 1) if o != 0])
+    last = F.size("ids") - 1
+
+    def offsets(p: Column) -> Column:
+        if num_skips == 2 * window:
+            return offs
+        drawn = F.transform(offs, lambda o: F.struct(F.xxhash64(F.lit(seed), F.col("start") + p, o).alias("h"), o.alias("o")))
+        return F.transform(F.slice(F.array_sort(drawn), 1, num_skips), lambda s: s["o"])
+
+    def inner(p: Column) -> Column:
+        here = F.filter(offsets(p), lambda o: (p + o >= 0) & (p + o <= last))
+        return F.transform(here, lambda o: F.struct(F.get("ids", p).alias("center"), F.get("ids", p + o).alias("context")))
+
+    places = F.sequence(F.lit(0), last)
+    inside = docs.select(F.explode(F.flatten(F.transform(places, inner))).alias("x")).select("x.*")
     if within_document:
         return inside
 
-    edge_toks = toks.where((F.col("pos") < window) | (F.col("pos") >= F.col("len") - window))
-    edges = encode(edge_toks, vocab).select(
-        "pos", "len", g.alias("g"), F.col("id").alias("center"), arr.alias("offs"))
-    outward = (edges.select("center", "pos", "len", "g", F.explode("offs").alias("o"))
-               .where((F.col("pos") + F.col("o") < 0) | (F.col("pos") + F.col("o") >= F.col("len")))
-               .select("center", F.pmod(F.col("g") + F.col("o"), F.lit(n)).alias("t")))
-    targets = edges.select(F.col("g").alias("t"), F.col("center").alias("context"))
+    n = docs.select(F.sum(F.size("ids"))).scalar()  # a scalar subquery
+    edge = F.filter(places, lambda p: (p < window) | (p > last - window))
+    edges = docs.select(F.explode(F.transform(edge, lambda p: F.struct(
+        (F.col("start") + p).alias("g"), F.get("ids", p).alias("id"),
+        F.filter(offsets(p), lambda o: (p + o < 0) | (p + o > last)).alias("offs")))).alias("x")).select("x.*")
+    outward = edges.select(F.col("id").alias("center"), F.col("g"), F.explode("offs").alias("o")).select(
+        "center", F.pmod(F.col("g") + F.col("o"), F.lit(n)).alias("t"))
+    targets = edges.select(F.col("g").alias("t"), F.col("id").alias("context"))
     return inside.unionByName(outward.join(targets, "t").select("center", "context"))
 
 
@@ -229,6 +235,12 @@ def search(postings: DataFrame, doc_len: DataFrame, qterms: DataFrame,
             .select(qkey, "rank", key, "score"))
 
 
+def lookup_vectors(ids: DataFrame, vectors: DataFrame, key: str = "id") -> DataFrame:
+    """Rows with an id and its vector; ids without one drop out. Over a table written by ``files.write_vectors`` only the
+    ids are shuffled."""
+    return ids.join(vectors, key)
+
+
 def embedding_lookup(encoded: DataFrame, vectors: DataFrame, vocab: DataFrame) -> DataFrame:
     """(doc_id, pos, id, vector) for encoded tokens; UNK has no vector."""
     v = vectors.join(vocab.where(F.col("id") > 0).select("word", "id"), "word")

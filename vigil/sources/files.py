@@ -10,6 +10,7 @@ Layouts of the source application:
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,67 +64,28 @@ def list_bid_partitions(spark: SparkSession, root: str) -> DataFrame:
 
 # ------------------------------------------------------------------ S5
 
-def _fields(line) -> F.Column:
-    """Field count of a CSV line once quoted parts are blanked out."""
-    unquoted = F.regexp_replace(line, '"([^"]|"")*"', "")
-    return F.size(F.split(unquoted, ",", -1))
-
-
-def bid_file_headers(spark: SparkSession, root: str, client: str = "*",
-                     date: str = "*") -> DataFrame:
-    """(file_path, header, width, widest): one row per readable bid part.
+def read_bid_changes(spark: SparkSession, root: str, client: str = "*",
+                     date: str = "*", extra: tuple[str, ...] = ()) -> DataFrame:
+    """(client, date, product_id, prediction, file_path, others, *extra) of all
+    readable parts; a NaN prediction is NULL.
 
-    A part is readable when it has a header line (holding both
-    ``product_id`` and ``prediction``) and no line wider than the header,
-    the files a pandas reader accepted whole. Empty files have no line and
-    drop out; a short row is padded later by the CSV reader.
+    Columns bind by the names in a file's first line, not by position; one that a part lacks is
+    NULL there (a union by name). Columns beyond the two lie in the map ``others``; those named in ``extra`` also come out
+    as columns. A file that is not readable as a whole gives no rows.
     """
-    lines = (spark.read.option("recursiveFileLookup", "true")
-             .text(f"{root}/{client}/{date}/raw*")
-             .select(F.col("_metadata.file_path").alias("file_path"), "value"))
-    is_head = F.col("value").contains("product_id") & F.col("value").contains("prediction")
-    per_file = lines.groupBy("file_path").agg(
-        F.min(F.when(is_head, F.col("value"))).alias("header"),
-        F.max(_fields(F.col("value"))).alias("widest"))
-    per_file = per_file.where(F.col("header").isNotNull())
-    return (per_file.withColumn("width", _fields(F.col("header")))
-            .where(F.col("widest") <= F.col("width")))
+    from .named_files import read_parts
+    parts = read_parts(spark, root, client, date)
+    return parts.select("client", F.col("date").try_cast("date").alias("date"), "product_id", "prediction", "file_path", "others",
+                        *[F.try_element_at("others", F.lit(c)).alias(c) for c in extra])
 
 
-def read_bid_changes(spark: SparkSession, root: str, client: str = "*",
-                     date: str = "*") -> DataFrame:
-    """(client, date, product_id, prediction, file_path, other columns) of all
-    readable parts; a column that a part lacks is NULL there, and a NaN
-    prediction is NULL.
-
-    Parts are grouped by their header so that columns bind by name, not by
-    position (a reordered header stays aligned); one CSV read per distinct
-    header, then ``unionByName``. Only one small row per file (path and
-    header) reaches the driver to plan the reads.
-    """
-    heads = bid_file_headers(spark, root, client, date).select("file_path", "header").collect()
-    groups: dict[str, list[str]] = {}
-    for r in heads:
-        groups.setdefault(r["header"], []).append(r["file_path"])
-    out = None
-    for header, paths in sorted(groups.items()):
-        cols = [c.strip().strip('"') for c in header.split(",")]
-        schema = T.StructType([T.StructField(c, T.DoubleType() if c == "prediction"
-                                             else T.StringType()) for c in cols])
-        df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-              .csv(paths)
-              .select("*", F.col("_metadata.file_path").alias("file_path")))
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    if out is None:
-        return spark.createDataFrame(
-            [], "client string, date date, product_id string, prediction double, "
-                "file_path string")
-    return out.select(
-        F.regexp_extract("file_path", BID_PATH, 1).alias("client"),
-        F.to_date(F.regexp_extract("file_path", BID_PATH, 2)).alias("date"),
-        "product_id", F.nanvl("prediction", F.lit(None).cast("double")).alias("prediction"),
-        "file_path", *sorted(c for c in out.columns if c not in
-                             ("client", "date", "product_id", "prediction", "file_path")))
+def write_bid_part(bids: DataFrame, root: str, part: str, columns: tuple[str, ...] = ("product_id", "prediction")) -> None:
+    """The rows (client, date, *columns) as the CSV file ``part`` of each <client>/<date> folder under ``root``."""
+    from .named_files import write_lines
+    name = F.concat_ws("/", "client", F.date_format("date", "yyyy-MM-dd"), F.lit(part))
+    rows = bids.select(name.alias("name"), F.lit(1).alias("at"), F.to_csv(F.struct(*columns)).alias("line"))
+    heads = rows.select("name").distinct().select("name", F.lit(0).alias("at"), F.lit(",".join(columns)).alias("line"))
+    write_lines(rows.unionByName(heads), root)
 
 
 # ------------------------------------------------------------------ S10
@@ -155,9 +117,22 @@ def read_complaints(spark: SparkSession, path: str) -> DataFrame:
 # ------------------------------------------------------------------ S13
 
 def read_documents(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, text): one row per file of the glob, the whole file as text."""
-    return spark.read.text(pattern, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """(doc_id, path, text): one row per file of the glob, the whole file decoded by the charset cascade.
+
+    ``doc_id`` numbers the files by path from 0, so it is the same on every read of the same files; only
+    paths are numbered, contents are joined once.
+    """
+    from ..functions.text import decode_bytes
+    from ..operators.rownumber import number_rows
+    found = spark.read.format("binaryFile").load(pattern)
+    numbered = number_rows(found.select("path"), [F.asc("path")], out="doc_id")
+    return found.join(numbered, "path").select("doc_id", "path", decode_bytes("content").alias("text"))
+
+
+def write_documents(docs: DataFrame, path: str) -> None:
+    """(name, content): each row a file of its name in folder ``path``."""
+    from .named_files import write_files
+    write_files(docs.select("name", F.col("content").cast("binary").alias("piece")), path)
 
 
 # ------------------------------------------------------------------ sinks
@@ -166,11 +141,19 @@ SHEET_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def write_timesheet(sheet: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K1: CSV with header, one folder per ISO day of the start (or end), times to the microsecond."""
+    """K1: a CSV file with header for each ISO day of the start (or end), called timesheet_<day>.csv, times to the microsecond.
+
+    The job commits all files or none. A day is one file, so one task writes it, line by line.
+    """
     from ..plans.timesheet import day_label
-    day = day_label(F.coalesce(F.col("Start"), F.col("End")))
-    (sheet.withColumn("day", day).write.mode(mode).option("header", True)
-     .option("timestampFormat", SHEET_TIME).option("timestampNTZFormat", SHEET_TIME).partitionBy("day").csv(path))
+    from .named_files import write_lines
+    columns = [c for c, kind in sheet.dtypes]
+    times = {c: F.date_format(F.col(f"`{c}`"), SHEET_TIME) for c, kind in sheet.dtypes if kind.startswith("timestamp")}
+    line = F.to_csv(F.struct(*[times.get(c, F.col(f"`{c}`")).alias(c) for c in columns]))
+    day = F.coalesce(day_label(F.coalesce(F.col("Start"), F.col("End"))), F.lit("none"))
+    lines = sheet.select(F.concat(F.lit("timesheet_"), day, F.lit(".csv")).alias("name"), F.lit(1).alias("at"), line.alias("line"))
+    heads = lines.select("name").distinct().select("name", F.lit(0).alias("at"), F.lit(",".join(columns)).alias("line"))
+    write_lines(lines.unionByName(heads), path, mode)
 
 
 def read_timesheet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -184,57 +167,16 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-INDEX_BUCKETS = 64
+VECTOR_BUCKETS = 16
 
 
-def write_index(postings: DataFrame, path: str, buckets: int = INDEX_BUCKETS,
-                mode: str = "overwrite") -> None:
-    """K4: postings partitioned by a hash bucket of the term, so a query
-    reads only the buckets of its terms."""
-    (postings.withColumn("bucket", index_bucket("term", buckets))
-     .write.mode(mode).partitionBy("bucket").parquet(path))
-
-
-def read_index(spark: SparkSession, path: str, terms: list[str] | None = None,
-               buckets: int = INDEX_BUCKETS) -> DataFrame:
-    """Postings back; with ``terms`` only their buckets are scanned (the
-    bucket filter is a partition filter)."""
-    df = spark.read.parquet(path)
-    if terms:
-        # constant-folded per term, so the bucket test prunes partitions
-        wanted = [index_bucket(F.lit(t), buckets) for t in terms]
-        df = df.where(F.col("bucket").isin(*wanted) & F.col("term").isin(terms))
-    return df.drop("bucket")
-
-
-def index_bucket(term, buckets: int = INDEX_BUCKETS) -> F.Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def save_index(postings: DataFrame, doc_len: DataFrame, path: str,
-               buckets: int = INDEX_BUCKETS, mode: str = "overwrite") -> None:
-    """K4: the whole index, postings by term bucket and document lengths."""
-    write_index(postings, f"{path}/postings", buckets, mode)
-    doc_len.write.mode(mode).parquet(f"{path}/doc_len")
-
-
-def load_index(spark: SparkSession, path: str, qterms: DataFrame | None = None,
-               buckets: int = INDEX_BUCKETS) -> tuple[DataFrame, DataFrame]:
-    """(postings, doc_len) of a saved index.
-
-    With ``qterms`` (a frame with a ``term`` column) only the postings of
-    those terms come back, and only their buckets are scanned: the distinct
-    buckets of the terms (at most ``buckets`` numbers, however many terms)
-    become a partition filter, then a semi join keeps the wanted terms.
-    """
-    postings = spark.read.parquet(f"{path}/postings")
-    doc_len = spark.read.parquet(f"{path}/doc_len")
-    if qterms is not None:
-        wanted = qterms.select("term").distinct().withColumn("bucket", index_bucket("term", buckets))
-        hit = [r[0] for r in wanted.select("bucket").distinct().collect()]
-        postings = (postings.where(F.col("bucket").isin(hit))
-                    .join(wanted, ["bucket", "term"], "left_semi"))
-    return postings.drop("bucket"), doc_len
+def write_vectors(vectors: DataFrame, path: str, key: str = "id", buckets: int = VECTOR_BUCKETS) -> str:
+    """K3: vectors as a table bucketed and sorted by id, its files in ``path``; the table's name. Look-ups by id then shuffle
+    the ids alone. ``buckets`` should grow with the vectors (128 MB each, say)."""
+    name = f"vectors_{uuid.uuid4().hex}"
+    (vectors.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path)
+     .format("parquet").saveAsTable(name))
+    return name
 
 
 # ------------------------------------------------------------------ S1, S8, S9

@@ -1,106 +1,172 @@
-"""Pair task starts with ends as they arrive (Structured Streaming).
+"""Pair task starts with ends as they arrive (Structured Streaming, ``transformWithState``).
 
-Input rows (key, kind, ts, project): kind 'start' or 'end'. Per key, the
+Input rows (key, kind, ts, project, seq): kind 'start' or 'end'. Per key, the
 k-th start pairs with the k-th end, as the batch ``timesheet`` does; a
 pair is emitted in the micro-batch that completes it. Events of a key are
 numbered in arrival order (a stopwatch emits them in time order); within
-a micro-batch they are ordered by (ts, seq). State holds only
-the unmatched side and two counters. A start or an end still open when
-the watermark passes it by ``ttl`` is emitted with the other side NULL and
-dropped, so state stays bounded by what is open within ``ttl``.
+a micro-batch they are ordered by (ts, seq).
+
+State lies in RocksDB: two counters a key, and one map entry for each open row, read and written by its number alone,
+so an event costs the same however many rows of its key are open. A timer for the row's end of patience emits it
+with the other side NULL once the watermark passes ``ts + ttl``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-OUTPUT_SCHEMA = ("key string, k long, Project string, Start timestamp_ntz, "
-                 "`End` timestamp_ntz, `Time Spent` double")
-STATE_SCHEMA = ("n_start long, n_end long, "
-                "starts array<struct<k:long, ts:timestamp_ntz, project:string>>, "
-                "ends array<struct<k:long, ts:timestamp_ntz>>")
-
-
-def _rows(key, pairs: pd.DataFrame) -> pd.DataFrame:
-    """Output rows of (k, Project, Start, End) pairs; either side may be missing."""
-    start, end = pd.to_datetime(pairs["Start"]), pd.to_datetime(pairs["End"])
-    return pd.DataFrame({"key": key, "k": pairs["k"].astype("int64"), "Project": pairs["Project"].astype(object),
-                         "Start": start, "End": end, "Time Spent": (end - start).dt.total_seconds()})
-
-
-def _open(rows, columns: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame([tuple(r) for r in rows or []], columns=columns)
-    frame["ts"] = pd.to_datetime(frame["ts"])
-    return frame
-
-
-def _numbered(old: pd.DataFrame, new: pd.DataFrame, seen: int, columns: list[str]) -> pd.DataFrame:
-    """The open rows and the new ones, numbered on from ``seen``."""
-    new = new.assign(k=range(seen + 1, seen + 1 + len(new)))[columns]
-    return new if old.empty else old if new.empty else pd.concat([old, new], ignore_index=True)
-
-
-def _make_pairer(ttl_ms: int, tz: str):
-    # ``ts`` arrives as wall-clock time; the watermark column is ``ts`` read in
-    # the session time zone, so epoch milliseconds convert through that zone.
-    ttl = pd.Timedelta(milliseconds=ttl_ms)
-
-    def wall(ms: int) -> pd.Timestamp:
-        return pd.Timestamp(ms, unit="ms", tz="UTC").tz_convert(tz).tz_localize(None)
-
-    def epoch_ms(t: pd.Timestamp) -> int:
-        return int(pd.Timestamp(t).tz_localize(tz).tz_convert("UTC").timestamp() * 1000)
-
-    def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        n_s, n_e, starts, ends = state.get if state.exists else (0, 0, [], [])
-        starts, ends = _open(starts, ["k", "ts", "project"]), _open(ends, ["k", "ts"])
-        if state.hasTimedOut:
-            # open sides older than the watermark by the ttl leave without a partner
-            cut = wall(state.getCurrentWatermarkMs()) - ttl
-            late_s, late_e = starts["ts"] <= cut, ends["ts"] <= cut
-            gone = [starts[late_s].rename(columns={"project": "Project", "ts": "Start"}).assign(End=pd.NaT),
-                    ends[late_e].rename(columns={"ts": "End"}).assign(Project=None, Start=pd.NaT)]
-            for g in gone:
-                if len(g):
-                    yield _rows(key[0], g)
-            starts, ends = starts[~late_s], ends[~late_e]
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.materialize import scratch_path
+
+PAIRS = ("key string, k long, Project string, Start timestamp_ntz, "
+         "`End` timestamp_ntz, `Time Spent` double")
+_OUT = "key string, k long, project string, start_us long, end_us long"
+_OPEN = "ts_us long, due_ms long, project string"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """The session's queries started inside keep their state in RocksDB, as ``transformWithState`` needs."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+
+
+class Pairer(StatefulProcessor):
+    """One key's open starts and ends by number, and the numbers due at a time."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "starts long, ends long")
+        self.open = {kind: handle.getMapState(f"open_{kind}", "k long", _OPEN) for kind in ("start", "end")}
+        self.due = handle.getMapState("due", "due_ms long", "rows array<string>")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seen = dict(zip(("start", "end"), self.seen.get())) if self.seen.exists() else {"start": 0, "end": 0}
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", "seq"], kind="stable")
+        found = []
+        for kind, us, ms, project in zip(batch["kind"], batch["ts_us"], batch["ts_ms"], batch["project"]):
+            side, other = ("start", "end") if kind == "start" else ("end", "start")
+            seen[side] += 1
+            k = seen[side]
+            project = None if pd.isna(project) else project
+            if self.open[other].containsKey((k,)):
+                us_2, due, project_2 = self.open[other].getValue((k,))
+                self.open[other].removeKey((k,))
+                self._forget(due, f"{other}:{k}")
+                found.append((k, project, us, us_2) if side == "start" else (k, project_2, us_2, us))
+            else:
+                # a timer may not lie before the watermark
+                due = max(int(ms) + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1)
+                self.open[side].updateValue((k,), (int(us), due, project))
+                self._remember(due, f"{side}:{k}")
+        self.seen.update((seen["start"], seen["end"]))
+        yield self._rows(key, found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        found = []
+        for name in self._names(due):
+            side, k = name.split(":")
+            us, _, project = self.open[side].getValue((int(k),))
+            self.open[side].removeKey((int(k),))
+            found.append((int(k), project, us, None) if side == "start" else (int(k), None, None, us))
+        if self.due.containsKey((due,)):
+            self.due.removeKey((due,))
+        yield self._rows(key, found)
+
+    def _names(self, due: int) -> list[str]:
+        return list(self.due.getValue((due,))[0]) if self.due.containsKey((due,)) else []
+
+    def _remember(self, due: int, name: str) -> None:
+        names = self._names(due)
+        if not names:
+            self.handle.registerTimer(due)
+        self.due.updateValue((due,), ([*names, name],))
+
+    def _forget(self, due: int, name: str) -> None:
+        names = [n for n in self._names(due) if n != name]
+        if names:
+            self.due.updateValue((due,), (names,))
         else:
-            new = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
-            is_start = new["kind"] == "start"
-            starts = _numbered(starts, new[is_start], n_s, ["k", "ts", "project"])
-            ends = _numbered(ends, new[~is_start], n_e, ["k", "ts"])
-            n_s, n_e = n_s + int(is_start.sum()), n_e + int((~is_start).sum())
-            done = starts.merge(ends, on="k", suffixes=("", "_end"))
-            if len(done):
-                yield _rows(key[0], done.rename(columns={"project": "Project", "ts": "Start", "ts_end": "End"}))
-            starts, ends = starts[~starts["k"].isin(done["k"])], ends[~ends["k"].isin(done["k"])]
-        as_rows = lambda f: [[x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in r]
-                             for r in f.astype(object).values.tolist()]
-        state.update((n_s, n_e, as_rows(starts), as_rows(ends)))
-        oldest = min([*starts["ts"], *ends["ts"]], default=None)
-        if oldest is not None:
-            # a timeout may not lie before the watermark
-            state.setTimeoutTimestamp(max(epoch_ms(oldest) + ttl_ms, state.getCurrentWatermarkMs() + 1))
-    return pair
+            self.due.removeKey((due,))
+            self.handle.deleteTimer(due)
+
+    @staticmethod
+    def _rows(key, found: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(found, columns=["k", "project", "start_us", "end_us"], dtype=object)
+        for c in ("k", "start_us", "end_us"):
+            frame[c] = frame[c].astype("Int64")
+        frame.insert(0, "key", key[0])
+        return frame.astype({"key": object})
+
+
+def milliseconds(duration: str) -> int:
+    """Of e.g. '8 hours'."""
+    n, unit = duration.split()
+    return int(float(n) * UNITS[unit.rstrip("s")] * 1000)
+
+
+def _sheet(rows: DataFrame) -> DataFrame:
+    """Output columns from times in microseconds of wall-clock time."""
+    wall = lambda c: F.timestamp_add("MICROSECOND", F.col(c), F.lit("1970-01-01").cast("timestamp_ntz"))
+    return rows.select("key", "k", F.col("project").alias("Project"), wall("start_us").alias("Start"),
+                       wall("end_us").alias("End"), ((F.col("end_us") - F.col("start_us")) / 1e6).alias("Time Spent"))
 
 
 def pair_starts_ends(events: DataFrame, ttl: str, watermark: str = "1 hour") -> DataFrame:
-    """Streaming frame of (key, kind, ts, project, seq) -> pairs.
+    """Streaming frame of (key, kind, ts, project, seq) -> pairs. Start the query within ``rocksdb_state``.
 
     ``seq`` orders events with equal ``ts``. A start or an end without a
     partner is emitted with the other side NULL, and dropped from the state,
-    once the watermark passes it by ``ttl`` (e.g. '8 hours').
+    once the watermark passes it by ``ttl`` (e.g. '8 hours'). A NULL key is a key. Rows later than the
+    watermark are numbered like others. Times are wall-clock times without a zone.
     """
-    n, unit = ttl.split()
-    ttl_ms = int(float(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1000)
-    tz = events.sparkSession.conf.get("spark.sql.session.timeZone")
-    # watermarks need TIMESTAMP (not TIMESTAMP_NTZ) event time
-    src = (events.select("key", "kind", "ts", "project", "seq")
-           .withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", watermark))
-    return src.groupBy("key").applyInPandasWithState(
-        _make_pairer(ttl_ms, tz), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    since = F.lit("1970-01-01").cast("timestamp_ntz")
+    src = (events.select("key", "kind", "project", F.col("seq").cast("long").alias("seq"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+           # watermarks need TIMESTAMP (not TIMESTAMP_NTZ) event time
+           .withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", watermark)
+           .withColumns({"ts_us": F.timestamp_diff("MICROSECOND", since, F.col("ts")), "ts_ms": F.unix_millis("event_time")}))
+    return _sheet(src.groupBy("key").transformWithStateInPandas(
+        Pairer(milliseconds(ttl)), outputStructType=_OUT, outputMode="Append", timeMode="EventTime"))
+
+
+def open_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The rows without a partner in the state that a query has left under its ``checkpoint`` folder."""
+    def of(kind: str) -> DataFrame:
+        held = spark.read.format("statestore").option("stateVarName", f"open_{kind}").load(checkpoint)
+        us = F.col("user_map_value.ts_us")
+        none = F.lit(None).cast("long")
+        return held.select(
+            F.col("key.key").alias("key"), F.col("user_map_key.k").alias("k"),
+            (F.col("user_map_value.project") if kind == "start" else F.lit(None).cast("string")).alias("project"),
+            (us if kind == "start" else none).alias("start_us"), (us if kind == "end" else none).alias("end_us"))
+    return _sheet(of("start").unionByName(of("end")))
+
+
+def replay(events: DataFrame, ttl: str, watermark: str = "1 hour") -> tuple[DataFrame, str]:
+    """Run all that a streaming frame of events holds now; (the rows emitted, the query's checkpoint folder)."""
+    spark = events.sparkSession
+    out, checkpoint = scratch_path(spark, "pairs"), scratch_path(spark, "pairs-state")
+    with rocksdb_state(spark):
+        query = (pair_starts_ends(events, ttl, watermark).writeStream.format("parquet")
+                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out))
+        query.awaitTermination()
+    return spark.read.schema(PAIRS).parquet(out), checkpoint
