@@ -186,7 +186,7 @@ def test_block_search_gives_what_scoring_everything_gives(spark, tmp_dir, method
                               "query_id bigint, text string")
     qt = text.query_terms(q)
     postings, dl = text.build_index(d)
-    search.write_index(text.doc_tokens(d), f"{tmp_dir}/i", method, block_rows=block, bucket_rows=50)
+    search.write_index(text.doc_tokens(d), f"{tmp_dir}/i", method, block_rows=block)
     index = search.read_index(spark, f"{tmp_dir}/i")
     for k in (1, 4, 200):
         # the plain version joins a query's norm by its id, so a query without one has no cosine there
@@ -217,7 +217,7 @@ def test_search_reads_a_part_of_the_postings(spark):
     after = search.candidates(index, reads).count()
     print("pairs scored", before, after)
     assert after < before / 2
-    assert reads.count() < weights.count()   # some terms are never read
+    assert reads.where("not essential").count() > 0
 
 
 def test_index_of_nothing(spark):

@@ -1,23 +1,28 @@
 """Retrieval over a saved index with impact-ordered, block-max postings.
 
-The index holds, written once: ``terms`` (document frequency and greatest impact of each term), ``blocks`` (a term's
-postings by descending impact, cut into blocks, each with its greatest impact) and ``documents`` (each
-document's terms and impacts). An impact is a posting's share of a score without the query's weight, so lengths, norms and
+The index holds, written once: ``blocks`` (a term's postings by descending impact, cut into blocks, each with its greatest
+impact), ``terms`` (document frequency, greatest impact and folders of each term) and ``documents`` (each document's
+terms and impacts). An impact is a posting's share of a score without the query's weight, so lengths, norms and
 frequencies are not looked up when searching.
 
-A search reads, in this order:
-1. the first blocks of each query term; the documents met there are scored whole and the k-th best score is the
+A search
+1. reads the first blocks of each query term, scores the best documents met there whole, and takes the k-th best score as the
    threshold that any answer must reach;
-2. of the terms without which a document can still reach the threshold (the essential ones; the others' greatest
-   impacts together stay below it), the blocks whose greatest impact, with the other terms' greatest, reaches it;
-3. the documents found whose bound reaches it, scored whole.
+2. finds the essential terms of a query: of the others the greatest impacts together stay below the threshold, so a
+   document that holds none but those is no answer;
+3. adds up the blocks that can hold an answer: those whose greatest impact, with the greatest of the query's other terms,
+   reaches the threshold; documents without an essential term are left out.
 Blocks and documents left out cannot hold an answer, so the answers are those of scoring every posting.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +30,7 @@ from ..operators.materialize import materialize, scratch_path
 from .text import BM25_B, BM25_K1, TOP_DOCS, doc_tokens
 
 BLOCK_ROWS = 128
-BUCKET_ROWS = 4_000_000   # postings of a bucket, about: buckets grow with the index
-MAX_BUCKETS = 4096        # folders of an index, at most; beyond, buckets hold more
+FOLDERS = 4096            # folders of an index, at most: ranges of terms beyond share them
 #: scores are ranked at nine decimals: a bound this much below the threshold still counts
 MARGIN = 2e-9
 _DOUBLE_SLACK = 1e-12     # of a score: sums in another order
@@ -36,9 +40,8 @@ _DOUBLE_SLACK = 1e-12     # of a score: sums in another order
 class Index:
     """The tables of one index and the method its impacts are for."""
     method: str
-    buckets: int
-    terms: DataFrame       # term, df, idf, top
-    blocks: DataFrame      # bucket, term, block, head, best, places, impacts
+    terms: DataFrame       # term, df, idf, top, lowest, folders
+    blocks: DataFrame      # folder, term, block, best, places, impacts
     documents: DataFrame   # place, doc_id, terms, impacts
 
 
@@ -48,14 +51,17 @@ def _idf(method: str, n: Column, df: Column) -> Column:
 
 def _documents(doc_toks: DataFrame, method: str, key: str) -> tuple[DataFrame, DataFrame]:
     """((place, doc_id, terms, impacts), (term, df, idf)); ``place`` tells rows of one id apart."""
-    docs = materialize(doc_toks.select(F.monotonically_increasing_id().alias("place"), F.col(key).alias("doc_id"), "words"))
-    n_docs, avgdl = map(F.lit, docs.agg(F.count(F.lit(1)).cast("double"), F.avg(F.size("words"))).first())   # two numbers
-    tf = materialize(docs.select("place", "doc_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-                     .groupBy("place", "doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    # texts are tokenized once; a document without a word keeps a row without a term, as it counts for the averages
+    placed = doc_toks.select(F.monotonically_increasing_id().alias("place"), F.col(key).alias("doc_id"), "words")
+    tf = materialize(placed.select("place", "doc_id", F.size("words").alias("dl"), F.explode_outer("words").alias("term"))
+                     .groupBy("place", "doc_id", "dl", "term").agg(F.count("term").alias("tf")))
+    n_docs, avgdl = map(F.lit, tf.groupBy("place", "dl").agg(F.lit(1)).agg(
+        F.count(F.lit(1)).cast("double"), F.avg("dl")).first())   # two numbers
+    tf = tf.where("term is not null")
     terms = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = materialize(terms.select("term", "df", _idf(method, n_docs, F.col("df")).alias("idf")))
     rows = tf.join(terms.select("term", "idf"), "term").groupBy("place", "doc_id", "dl").agg(
-        F.array_sort(F.collect_list(F.struct("term", "tf", "idf"))).alias("rows"))
+        F.sort_array(F.collect_list(F.struct("term", "tf", "idf"))).alias("rows"))
     if method == "bm25":
         impacts = F.transform("rows", lambda r: r["idf"] * r["tf"] * (BM25_K1 + 1) / (
             r["tf"] + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / avgdl)))
@@ -67,13 +73,36 @@ def _documents(doc_toks: DataFrame, method: str, key: str) -> tuple[DataFrame, D
         F.transform("rows", lambda r: r["tf"] * r["idf"] / F.col("norm")).alias("impacts")), terms
 
 
-def write_index(doc_toks: DataFrame, path: str, method: str, key: str = "doc_id", block_rows: int = BLOCK_ROWS,
-                bucket_rows: int = BUCKET_ROWS) -> None:
+BLOCKS = "folder int, term string, block long, best double, places array<long>, impacts array<double>"
+
+
+def _cut_blocks(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of a partition's rows (term, place, impact), which stand by term and descending impact. A block ends with its
+    term, its rows or the batch."""
+    part, n = TaskContext.get().partitionId(), 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        term = b.column(0).dictionary_encode()
+        code = term.indices.to_numpy()
+        first = np.concatenate([[True], code[1:] != code[:-1]])
+        at = np.arange(len(code))
+        first |= (at - np.maximum.accumulate(np.where(first, at, 0))) % block_rows == 0
+        start = np.flatnonzero(first)
+        offsets = pa.array(np.append(start, len(code)).astype(np.int32))
+        number = (part << 33) + n + np.arange(len(start))
+        n += len(start)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(start), part % FOLDERS, np.int32)), b.column(0).take(pa.array(start)), pa.array(number),
+             b.column(2).take(pa.array(start)), pa.ListArray.from_arrays(offsets, b.column(1)),
+             pa.ListArray.from_arrays(offsets, b.column(2))], ["folder", "term", "block", "best", "places", "impacts"])
+
+
+def write_index(doc_toks: DataFrame, path: str, method: str, key: str = "doc_id", block_rows: int = BLOCK_ROWS) -> None:
     """Write the index of ``doc_toks`` (key, words) for "bm25" or "cosine" to ``path``.
 
-    Postings are ordered by term and impact over range partitions and cut every ``block_rows`` rows of a partition, so a frequent
-    term is many small groups. Blocks lie in hash buckets of the term, whose number grows with the postings, and a bucket of a frequent
-    term is written by several tasks. Rows of a null or repeated id are documents of their own.
+    Postings are ordered by term and impact over range partitions, which cut and write their blocks, each in a folder of its
+    range; a frequent term is spread over partitions. Rows of a null or repeated id are documents of their own.
     """
     if method not in ("bm25", "cosine"):
         raise ValueError(f"unknown method {method}")
@@ -81,59 +110,51 @@ def write_index(doc_toks: DataFrame, path: str, method: str, key: str = "doc_id"
     documents, terms = _documents(doc_toks, method, key)
     documents.write.parquet(f"{path}/documents")
     documents = spark.read.schema(documents.schema).parquet(f"{path}/documents")
-    buckets = min(MAX_BUCKETS, max(1, -(-(terms.agg(F.sum("df")).first()[0] or 0) // bucket_rows)))
     postings = documents.select("place", F.explode(F.arrays_zip("terms", "impacts")).alias("x")).select(
         F.col("x.terms").alias("term"), "place", F.col("x.impacts").alias("impact"))
     order = [F.asc("term"), F.desc("impact"), F.asc("place")]
-    ranged = postings.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    blocks = materialize(ranged.groupBy("term", F.expr(f"at div {block_rows}").alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("at", "place", "impact"))).alias("rows"), F.max("impact").alias("best")))
-    # blocks are numbered in the order of impacts; two make a head, as the first may be short
-    tops = blocks.groupBy("term").agg(F.max("best").alias("top"), F.min("block").alias("lowest"))
-    written = (blocks.join(tops.select("term", "lowest"), "term")
-               .select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "term", "block",
-                       (F.col("block") <= F.col("lowest") + 1).alias("head"), "best",
-                       F.col("rows.place").alias("places"), F.col("rows.impact").alias("impacts")))
-    lie = ["bucket", "term", "block"]
-    written.repartitionByRange(*lie).sortWithinPartitions(*lie).write.partitionBy("bucket").parquet(f"{path}/blocks")
-    terms.join(tops.select("term", "top"), "term").write.parquet(f"{path}/terms")
-    spark.range(1).select(F.lit(method).alias("method"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/about")
+    (postings.repartitionByRange(*order).sortWithinPartitions(*order)
+     .mapInArrow(lambda batches: _cut_blocks(batches, block_rows), BLOCKS).write.partitionBy("folder").parquet(f"{path}/blocks"))
+    tops = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("term").agg(
+        F.max("best").alias("top"), F.min("block").alias("lowest"), F.collect_set("folder").alias("folders"))
+    terms.join(tops, "term").write.parquet(f"{path}/terms")
+    spark.range(1).select(F.lit(method).alias("method")).write.parquet(f"{path}/about")
 
 
 #: Columns of the written tables.
-BLOCKS = "bucket int, term string, block long, head boolean, best double, places array<long>, impacts array<double>"
+TERMS = "term string, df long, idf double, top double, lowest long, folders array<int>"
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    about = spark.read.parquet(f"{path}/about").first()
-    return Index(about["method"], about["buckets"], spark.read.parquet(f"{path}/terms"),
+    return Index(spark.read.parquet(f"{path}/about").first()["method"], spark.read.schema(TERMS).parquet(f"{path}/terms"),
                  spark.read.schema(BLOCKS).parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/documents"))
 
 
-def _blocks_of(index: Index, terms: DataFrame) -> DataFrame:
-    """The blocks in the buckets of ``terms``; a number for each bucket reaches the driver."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(index.buckets)).cast("int")
-    return index.blocks.where(F.col("bucket").isin([r[0] for r in terms.select(bucket).distinct().collect()]))
+def _blocks_of(index: Index, weights: DataFrame) -> DataFrame:
+    """The blocks in the folders of the queries' terms; a number for each folder reaches the driver."""
+    folders = weights.select(F.explode("folders")).distinct().collect()
+    return index.blocks.where(F.col("folder").isin([r[0] for r in folders]))
 
 
 def _query_weights(index: Index, qterms: DataFrame, qkey: str) -> DataFrame:
     """(query, term, weight, top): the terms of each query that the index knows, with what a posting's impact is multiplied by."""
     known = qterms.join(index.terms, "term")
     if index.method == "bm25":
-        return known.select(F.col(qkey).alias("query"), "term", F.col("qtf").cast("double").alias("weight"), "top")
+        return known.select(F.col(qkey).alias("query"), "term", F.col("qtf").cast("double").alias("weight"), "top", "lowest",
+                            "folders")
     w = F.col("qtf") * F.col("idf")
     norms = known.groupBy(qkey).agg(F.sqrt(F.sum(w * w)).alias("norm"))
     return (known.join(norms.withColumnRenamed(qkey, "_q"), F.col(qkey).eqNullSafe(F.col("_q"))).where("norm > 0")
-            .select(F.col(qkey).alias("query"), "term", (w / F.col("norm")).alias("weight"), "top"))
+            .select(F.col(qkey).alias("query"), "term", (w / F.col("norm")).alias("weight"), "top", "lowest", "folders"))
 
 
 def _scored(pairs: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """(query, place, doc_id, score) of (query, place) pairs: the document's impacts at the query's terms."""
+    """(query, score) of a few (query, place) pairs: the document's impacts at the query's terms."""
     q = queries.select(F.col("query").alias("_q"), "weights")
     both = pairs.join(documents, "place").join(q, F.col("query").eqNullSafe(F.col("_q")))
     score = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w["weight"] * F.coalesce(
         F.get("impacts", (F.array_position("terms", w["term"]) - 1).cast("int")), F.lit(0.0)))
-    return both.select("query", "place", "doc_id", score.alias("score"))
+    return both.select("query", score.alias("score"))
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
@@ -143,14 +164,14 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
 
 
 def plan_reads(index: Index, weights: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query, term, weight, top, others, rest, threshold) of each query's essential terms: ``others`` is the most that the
-    query's other terms can add, ``rest`` what its inessential ones can."""
-    heads = _blocks_of(index, weights).where("head").select("term", F.arrays_zip("places", "impacts").alias("rows"))
-    met = weights.select("query", "term", "weight").join(heads, "term").select(
-        "query", F.explode("rows").alias("r"), "weight").groupBy("query", F.col("r.places").alias("place")).agg(
+    """(query, term, weight, folders, others, essential, threshold) of each query's terms; ``others`` is the most that the
+    query's other terms can add."""
+    heads = _blocks_of(index, weights).select("term", "block", F.arrays_zip("places", "impacts").alias("rows"))
+    met = weights.select("query", "term", "weight", "lowest").join(heads, "term").where(F.col("block") <= F.col("lowest") + 1)
+    met = met.select("query", F.explode("rows").alias("r"), "weight").groupBy("query", F.col("r.places").alias("place")).agg(
         F.sum(F.col("weight") * F.col("r.impacts")).alias("score"))
     first = Window.partitionBy("query").orderBy(F.desc("score"), "place")
-    some = met.withColumn("n", F.row_number().over(first)).where(F.col("n") <= 4 * k).select("query", "place")
+    some = met.withColumn("n", F.row_number().over(first)).where(F.col("n") <= 2 * k).select("query", "place")
     kth = Window.partitionBy("query").orderBy(F.desc("score"))
     reached = (_scored(some, queries, index.documents).withColumn("n", F.row_number().over(kth)).where(F.col("n") == k)
                .select(F.col("query").alias("_q"), F.col("score").alias("threshold")))
@@ -159,24 +180,21 @@ def plan_reads(index: Index, weights: DataFrame, queries: DataFrame, k: int) ->
         "threshold", F.coalesce(F.col("threshold") * (1 - _DOUBLE_SLACK) - MARGIN, F.lit(float("-inf")))).drop("_q")
     # from the term that can add least upwards; a query's terms are its text's words
     up = Window.partitionBy("query").orderBy("gain", "term").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("query")
     gains = bounded.withColumn("gain", F.col("weight") * F.col("top")).withColumns({
-        "upto": F.sum("gain").over(up), "all": F.sum("gain").over(whole)}).withColumn(
-        "essential", F.col("upto") * (1 + _DOUBLE_SLACK) >= F.col("threshold"))
-    return gains.withColumn("rest", F.coalesce(F.max(F.when(~F.col("essential"), F.col("upto"))).over(whole), F.lit(0.0))).where(
-        "essential").select("query", "term", "weight", "top", (F.col("all") - F.col("gain")).alias("others"), "rest", "threshold")
+        "upto": F.sum("gain").over(up), "all": F.sum("gain").over(Window.partitionBy("query"))})
+    return gains.select("query", "term", "weight", "folders", (F.col("all") - F.col("gain")).alias("others"),
+                        (F.col("upto") * (1 + _DOUBLE_SLACK) >= F.col("threshold")).alias("essential"), "threshold")
 
 
 def candidates(index: Index, reads: DataFrame) -> DataFrame:
-    """(query, place): documents whose bound reaches the query's threshold."""
+    """(query, place, score) of the documents with an essential term, over the blocks that can hold an answer. The score
+    of a document that can be one is whole."""
     can = (F.col("weight") * F.col("best") + F.col("others")) * (1 + _DOUBLE_SLACK) >= F.col("threshold")
     blocks = _blocks_of(index, reads).select("term", "best", F.arrays_zip("places", "impacts").alias("rows"))
-    rows = reads.join(blocks, "term").where(can).select(
-        "query", "weight", "rest", "threshold", F.explode("rows").alias("r"))
-    bounds = rows.groupBy("query", F.col("r.places").alias("place")).agg(
-        F.sum(F.col("weight") * F.col("r.impacts")).alias("score"), F.first("rest").alias("rest"),
-        F.first("threshold").alias("threshold"))
-    return bounds.where((F.col("score") + F.col("rest")) * (1 + _DOUBLE_SLACK) >= F.col("threshold")).select("query", "place")
+    rows = reads.drop("folders").join(blocks, "term").where(can).select("query", "weight", "essential", F.explode("rows").alias("r"))
+    sums = rows.groupBy("query", F.col("r.places").alias("place")).agg(
+        F.sum(F.col("weight") * F.col("r.impacts")).alias("score"), F.max("essential").alias("essential"))
+    return sums.where("essential").drop("essential")
 
 
 def search(index: Index, qterms: DataFrame, k: int = TOP_DOCS, key: str = "doc_id", qkey: str = "query_id") -> DataFrame:
@@ -187,9 +205,10 @@ def search(index: Index, qterms: DataFrame, k: int = TOP_DOCS, key: str = "doc_i
     """
     weights = materialize(_query_weights(index, qterms, qkey))
     # a query's terms are bounded by its text
-    queries = materialize(weights.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("weights")))
+    queries = materialize(weights.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("weights")))
     reads = materialize(plan_reads(index, weights, queries, k))
-    best = _best(_scored(candidates(index, reads), queries, index.documents), k)
+    named = index.documents.select("place", "doc_id")
+    best = _best(candidates(index, reads).join(named, "place"), k)
     return best.select(F.col("query").alias(qkey), "rank", F.col("doc_id").alias(key), "score")
 
 
