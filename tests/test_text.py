@@ -220,6 +220,16 @@ def test_search_reads_a_part_of_the_postings(spark):
     assert reads.where("not essential").count() > 0
 
 
+def test_cosine_norm_is_no_fold_for_each_impact(spark):
+    """A fold inside the impacts would make a document cost the square of its words."""
+    from vigil.plans import search
+    d = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20000))), (2, "w1 w1 w2")], "doc_id bigint, text string")
+    documents, _ = search._documents(text.doc_tokens(d), "cosine", "doc_id")
+    assert "aggregate(" not in documents._jdf.queryExecution().executedPlan().toString()
+    impacts = {r.doc_id: r.impacts for r in documents.collect()}
+    assert set(impacts) == {1} and sum(x * x for x in impacts[1]) == pytest.approx(1.0)
+
+
 def test_index_of_nothing(spark):
     from vigil.plans import search
     index = search.index_documents(spark.createDataFrame([], "doc_id bigint, text string"), "bm25")

@@ -60,15 +60,16 @@ def _documents(doc_toks: DataFrame, method: str, key: str) -> tuple[DataFrame, D
     tf = tf.where("term is not null")
     terms = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = materialize(terms.select("term", "df", _idf(method, n_docs, F.col("df")).alias("idf")))
+    # the norm is a sum of the group: a fold over the rows would be evaluated again for each impact that it divides
+    weight = F.col("tf") * F.col("idf")
     rows = tf.join(terms.select("term", "idf"), "term").groupBy("place", "doc_id", "dl").agg(
-        F.sort_array(F.collect_list(F.struct("term", "tf", "idf"))).alias("rows"))
+        F.sort_array(F.collect_list(F.struct("term", "tf", "idf"))).alias("rows"), F.sqrt(F.sum(weight * weight)).alias("norm"))
     if method == "bm25":
         impacts = F.transform("rows", lambda r: r["idf"] * r["tf"] * (BM25_K1 + 1) / (
             r["tf"] + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / avgdl)))
         return rows.select("place", "doc_id", F.col("rows.term").alias("terms"), impacts.alias("impacts")), terms
-    norm = F.sqrt(F.aggregate("rows", F.lit(0.0), lambda a, r: a + r["tf"] * r["idf"] * r["tf"] * r["idf"]))
     # a document of terms that all documents hold has no direction: it takes part in no score
-    return rows.withColumn("norm", norm).where("norm > 0").select(
+    return rows.where("norm > 0").select(
         "place", "doc_id", F.col("rows.term").alias("terms"),
         F.transform("rows", lambda r: r["tf"] * r["idf"] / F.col("norm")).alias("impacts")), terms
 
