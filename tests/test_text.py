@@ -16,6 +16,18 @@ def one(spark, expr, value, typ="string"):
 
 
 
+def test_tokens_take_no_step_a_character(spark):
+    """Words as one step a word and mark gives them, the words' last letters of several lower cases included."""
+    odd = ["\u0391\u03a3 \u0392\u03a3\n\u03a3 \u03a3X  \u0130I X", " !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~ a", "", "\n\n \n", " A\u00a0B \u0391\u03a3'"]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    plain = F.translate(F.regexp_replace("t", "[ \\t\\n\\r\\f\\x0B]*X+", ""), "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "")
+    plain = F.transform(F.filter(F.split(F.btrim(plain, F.lit("\n")), " "), lambda x: x != ""), lambda x: F.lower(x))
+    rows = df.select(tokens(F.col("t")).alias("got"), plain.alias("want")).collect()
+    assert all(r.got == r.want for r in rows)
+    plan = df.select(tokens(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "translate(" not in plan and "lambda" not in plan
+
+
 def test_masks(spark):
     assert one(spark, remove_masks, "On XX/XX/2015 XBOX  XXXX ok") == "On//2015BO ok"
 
@@ -226,8 +238,24 @@ def test_cosine_norm_is_no_fold_for_each_impact(spark):
     d = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20000))), (2, "w1 w1 w2")], "doc_id bigint, text string")
     documents, _ = search._documents(text.doc_tokens(d), "cosine", "doc_id")
     assert "aggregate(" not in documents._jdf.queryExecution().executedPlan().toString()
-    impacts = {r.doc_id: r.impacts for r in documents.collect()}
-    assert set(impacts) == {1} and sum(x * x for x in impacts[1]) == pytest.approx(1.0)
+    rows = documents.collect()
+    assert [r.doc_id for r in rows] == [1] and len(rows[0].impacts) == 20000
+    # the norm without the two words that both documents hold
+    assert rows[0].impacts[0] == pytest.approx(1 / (math.log(2) * math.sqrt(19998)))
+
+
+def test_index_counts_words_where_a_document_lies(spark):
+    """One row for a document until its postings are dealt to blocks: no shuffle of its words before."""
+    from vigil.plans import search
+    d = spark.createDataFrame([(1, "b a b"), (2, "X"), (None, "a")], "doc_id bigint, text string")
+    documents, _ = search._documents(text.doc_tokens(d), "bm25", "doc_id")
+    assert "Exchange" not in documents._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: (r.terms, r.impacts) for r in documents.collect()}
+    mean = 4 / 3   # the text of a mask alone is a document of no word
+    want = {1: (["a", "b"], [2.2 / (1 + 1.2 * (0.25 + 0.75 * 3 / mean)), 4.4 / (2 + 1.2 * (0.25 + 0.75 * 3 / mean))]),
+            None: (["a"], [2.2 / (1 + 1.2 * (0.25 + 0.75 / mean))])}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1]) for k in want)
 
 
 def test_index_of_nothing(spark):

@@ -2,8 +2,8 @@
 
 The index holds, written once: ``blocks`` (a term's postings by descending impact, cut into blocks, each with its greatest
 impact), ``terms`` (document frequency, greatest impact and folders of each term) and ``documents`` (each document's
-terms and impacts). An impact is a posting's share of a score without the query's weight, so lengths, norms and
-frequencies are not looked up when searching.
+terms and impacts). An impact is a posting's share of a score without the query's weight and the term's idf, so lengths, norms
+and frequencies are not looked up when searching.
 
 A search
 1. reads the first blocks of each query term, scores the best documents met there whole, and takes the k-th best score as the
@@ -22,11 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.materialize import materialize, scratch_path
+from ..operators.materialize import materialize, scratch_path, written
 from .text import BM25_B, BM25_K1, TOP_DOCS, doc_tokens
 
 BLOCK_ROWS = 128
@@ -49,29 +50,51 @@ def _idf(method: str, n: Column, df: Column) -> Column:
     return F.ln(F.lit(1.0) + (n - df + 0.5) / (df + 0.5)) if method == "bm25" else F.ln(n / df)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, doc_id, dl, terms, tfs) of rows (place, doc_id, words): a document's words are counted where it lies, in the order of
+    the words."""
+    for b in batches:
+        words = b.column(2)
+        sizes = words.value_lengths().fill_null(0).to_numpy()
+        coded = words.flatten().dictionary_encode()
+        rank = np.empty(len(coded.dictionary), np.int64)
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank[order] = np.arange(len(order))
+        wide = max(len(order), 1)
+        key, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * wide + rank[coded.indices.to_numpy()], return_counts=True)
+        offsets = pa.array(np.searchsorted(key // wide, np.arange(len(sizes) + 1)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), pa.array(sizes.astype(np.int64)),
+             pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(order[key % wide]))),
+             pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int64)))], ["place", "doc_id", "dl", "terms", "tfs"])
+
+
+def _postings(documents: DataFrame, value: str) -> DataFrame:
+    return documents.select("place", F.explode(F.arrays_zip("terms", value)).alias("x")).select(
+        F.col("x.terms").alias("term"), "place", F.col(f"x.{value}").alias(value))
+
+
 def _documents(doc_toks: DataFrame, method: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """((place, doc_id, terms, impacts), (term, df, idf)); ``place`` tells rows of one id apart."""
-    # texts are tokenized once; a document without a word keeps a row without a term, as it counts for the averages
+    """((place, doc_id, terms, impacts), (term, df, idf)); ``place`` tells rows of one id apart. An impact lacks its term's idf, which
+    is a query's to weigh with."""
+    # texts are tokenized and counted once; a document without a word keeps a row without a term, as it counts for the averages
     placed = doc_toks.select(F.monotonically_increasing_id().alias("place"), F.col(key).alias("doc_id"), "words")
-    tf = materialize(placed.select("place", "doc_id", F.size("words").alias("dl"), F.explode_outer("words").alias("term"))
-                     .groupBy("place", "doc_id", "dl", "term").agg(F.count("term").alias("tf")))
-    n_docs, avgdl = map(F.lit, tf.groupBy("place", "dl").agg(F.lit(1)).agg(
-        F.count(F.lit(1)).cast("double"), F.avg("dl")).first())   # two numbers
-    tf = tf.where("term is not null")
-    terms = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms = materialize(terms.select("term", "df", _idf(method, n_docs, F.col("df")).alias("idf")))
-    # the norm is a sum of the group: a fold over the rows would be evaluated again for each impact that it divides
-    weight = F.col("tf") * F.col("idf")
-    rows = tf.join(terms.select("term", "idf"), "term").groupBy("place", "doc_id", "dl").agg(
-        F.sort_array(F.collect_list(F.struct("term", "tf", "idf"))).alias("rows"), F.sqrt(F.sum(weight * weight)).alias("norm"))
+    schema = f"place long, doc_id {placed.schema['doc_id'].dataType.simpleString()}, dl long, terms array<string>, tfs array<long>"
+    docs = written(placed.mapInArrow(_counted, schema), "counted")
+    n_docs, avgdl = map(F.lit, docs.agg(F.count(F.lit(1)).cast("double"), F.avg("dl")).first())   # two numbers
+    terms = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = written(terms.select("term", "df", _idf(method, n_docs, F.col("df")).alias("idf")), "terms")
+    docs_with = docs.where(F.size("terms") > 0)
     if method == "bm25":
-        impacts = F.transform("rows", lambda r: r["idf"] * r["tf"] * (BM25_K1 + 1) / (
-            r["tf"] + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / avgdl)))
-        return rows.select("place", "doc_id", F.col("rows.term").alias("terms"), impacts.alias("impacts")), terms
+        impacts = F.transform("tfs", lambda tf: tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / avgdl)))
+        return docs_with.select("place", "doc_id", "terms", impacts.alias("impacts")), terms
+    # the norm is a sum of a group: a fold over the terms would be evaluated again for each impact that it divides
+    part = F.col("tfs") * F.col("idf")
+    norms = _postings(docs_with, "tfs").join(terms.select("term", "idf"), "term").groupBy("place").agg(
+        F.sqrt(F.sum(part * part)).alias("norm"))
     # a document of terms that all documents hold has no direction: it takes part in no score
-    return rows.where("norm > 0").select(
-        "place", "doc_id", F.col("rows.term").alias("terms"),
-        F.transform("rows", lambda r: r["tf"] * r["idf"] / F.col("norm")).alias("impacts")), terms
+    return docs_with.join(norms.where("norm > 0"), "place").select(
+        "place", "doc_id", "terms", F.transform("tfs", lambda tf: tf / F.col("norm")).alias("impacts")), terms
 
 
 BLOCKS = "folder int, term string, block long, best double, places array<long>, impacts array<double>"
@@ -111,8 +134,7 @@ def write_index(doc_toks: DataFrame, path: str, method: str, key: str = "doc_id"
     documents, terms = _documents(doc_toks, method, key)
     documents.write.parquet(f"{path}/documents")
     documents = spark.read.schema(documents.schema).parquet(f"{path}/documents")
-    postings = documents.select("place", F.explode(F.arrays_zip("terms", "impacts")).alias("x")).select(
-        F.col("x.terms").alias("term"), "place", F.col("x.impacts").alias("impact"))
+    postings = _postings(documents, "impacts").withColumnRenamed("impacts", "impact").select("term", "place", "impact")
     order = [F.asc("term"), F.desc("impact"), F.asc("place")]
     (postings.repartitionByRange(*order).sortWithinPartitions(*order)
      .mapInArrow(lambda batches: _cut_blocks(batches, block_rows), BLOCKS).write.partitionBy("folder").parquet(f"{path}/blocks"))
@@ -141,12 +163,12 @@ def _query_weights(index: Index, qterms: DataFrame, qkey: str) -> DataFrame:
     """(query, term, weight, top): the terms of each query that the index knows, with what a posting's impact is multiplied by."""
     known = qterms.join(index.terms, "term")
     if index.method == "bm25":
-        return known.select(F.col(qkey).alias("query"), "term", F.col("qtf").cast("double").alias("weight"), "top", "lowest",
+        return known.select(F.col(qkey).alias("query"), "term", (F.col("qtf") * F.col("idf")).alias("weight"), "top", "lowest",
                             "folders")
     w = F.col("qtf") * F.col("idf")
     norms = known.groupBy(qkey).agg(F.sqrt(F.sum(w * w)).alias("norm"))
     return (known.join(norms.withColumnRenamed(qkey, "_q"), F.col(qkey).eqNullSafe(F.col("_q"))).where("norm > 0")
-            .select(F.col(qkey).alias("query"), "term", (w / F.col("norm")).alias("weight"), "top", "lowest", "folders"))
+            .select(F.col(qkey).alias("query"), "term", (w * F.col("idf") / F.col("norm")).alias("weight"), "top", "lowest", "folders"))
 
 
 def _scored(pairs: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
