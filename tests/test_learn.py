@@ -173,3 +173,18 @@ def test_word_vectors_follow_a_plain_version(spark):
     for i in range(5):
         norm = math.sqrt(sum(x * x for x in v[i]))
         assert got[i] == pytest.approx([x / norm for x in v[i]])
+
+
+def test_word_vectors_do_not_depend_on_the_grid(spark, monkeypatch):
+    """Pairs meet parameters in the cells of a grid, and no table of pairs is joined."""
+    from vigil.plans import vectors
+    pairs = spark.createDataFrame([(i % 7, i * i % 11) for i in range(60)], "center int, context int")
+    vocab = spark.createDataFrame([(i,) for i in range(11)], "id long")
+    one = {r.id: r.vector for r in vectors.word_vectors(pairs, vocab, 3, 2, 2, 5.0).collect()}
+    monkeypatch.setattr(vectors, "CELL_ROWS", 5)
+    assert vectors.cells(120) == 5
+    grid = {r.id: r.vector for r in vectors.word_vectors(pairs, vocab, 3, 2, 2, 5.0).collect()}
+    assert grid.keys() == one.keys() == set(range(11)) and all(grid[i] == pytest.approx(one[i]) for i in one)
+    emb, out = vectors.first_vectors(vocab, 3)
+    rows = pairs.selectExpr("cast(center as long) center", "cast(context as long) target", "1.0D y", "0.0D e", "1.0D w")
+    assert "Join" not in vectors.gradients(rows, emb, out, 3, 5)._jdf.queryExecution().executedPlan().toString()
