@@ -188,3 +188,19 @@ def test_word_vectors_do_not_depend_on_the_grid(spark, monkeypatch):
     emb, out = vectors.first_vectors(vocab, 3)
     rows = pairs.selectExpr("cast(center as long) center", "cast(context as long) target", "1.0D y", "0.0D e", "1.0D w")
     assert "Join" not in vectors.gradients(rows, emb, out, 3, 5)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_document_means_follow_a_plain_version(spark, monkeypatch):
+    """Blocks of documents, an id with two vectors, null components, documents without an id; no wide map of documents."""
+    from vigil.plans import vectors
+    monkeypatch.setattr(vectors, "MEAN_ROWS", 4)
+    ids = spark.createDataFrame([(i % 6 or None, i * i % 9) for i in range(50)] + [(50, 99)], "doc_id long, id long")
+    v = spark.createDataFrame([(i, [float(i), None if i % 3 == 0 else i / 2]) for i in range(9)] + [(4, [1.0, 2.0]), (1, None)],
+                              "id long, v array<double>")
+    means = vectors.document_means(ids, v, 2)
+    want = ids.join(v, "id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.array(
+        *[F.avg(F.get("v", F.lit(k))) for k in range(2)]).alias("m"))
+    got, plain = ({r.doc_id: (r.n, r.m) for r in f.collect()} for f in (means, want))
+    assert got.keys() == plain.keys() and 50 not in got
+    for k, (n, m) in plain.items():
+        assert got[k][0] == n and got[k][1] == pytest.approx(m)
