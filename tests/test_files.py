@@ -163,3 +163,31 @@ def test_vector_lookups_shuffle_ids_only(spark, tmp_dir):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
     assert sorted((r.at, r.v) for r in rows) == sorted((i, [i % 150 * 2.0]) for i in range(300) if i % 150 * 2 < 200)
+
+
+def test_documents_are_listed_and_read_in_tasks(spark, tmp_dir):
+    """No file index on the driver; folders of folders, hidden names and other suffixes."""
+    for i in range(30):
+        write(f"{tmp_dir}/d/{i // 10}/{i:03d}.txt", f"text {i}")
+    for odd in ("d/0/_x.txt", "d/0/.y.txt", "d/_h/z.txt", "d/0/x.csv", "d/top.txt"):
+        write(f"{tmp_dir}/{odd}", "no")
+    found = files.read_documents(spark, f"{tmp_dir}/d/*/*.txt")
+    assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.inputFiles() == []
+    got = sorted((r.doc_id, r.path, r.text) for r in found.collect())
+    assert got == [(i, f"file:{tmp_dir}/d/{i // 10}/{i:03d}.txt", f"text {i}") for i in range(30)]
+    assert files.read_documents(spark, f"{tmp_dir}/d/*/*.none").count() == 0
+
+
+def test_bid_parts_come_as_batches(spark, tmp_dir):
+    import pyarrow as pa
+
+    from vigil.sources import named_files
+    write(f"{tmp_dir}/b/c/2024-01-01/raw_0.csv", "note,product_id,prediction,note\na,p,1.5,b\n,,nan\n")
+    reader = named_files.BidPartsReader({"path": f"{tmp_dir}/b"})
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert all(isinstance(b, pa.RecordBatch) for b in batches)
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [(r["product_id"], r["prediction"], r["others"]) for r in rows] == [("p", 1.5, [("note", "b")]), (None, None, [("note", None)])]
+    names = pa.RecordBatch.from_arrays([pa.array(["x", "x", "y", "x"]), pa.array([b"1", b"2", b"", b"3"])], ["name", "piece"])
+    assert [(n, bytes(c)) for n, c in named_files.runs_of_names(names.slice(1))] == [("x", b"2"), ("y", b""), ("x", b"3")]

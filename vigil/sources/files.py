@@ -116,17 +116,22 @@ def read_complaints(spark: SparkSession, path: str) -> DataFrame:
 
 # ------------------------------------------------------------------ S13
 
+TASK_FILES = 1024    # files that a task reads, about
+
+
 def read_documents(spark: SparkSession, pattern: str) -> DataFrame:
     """(doc_id, path, text): one row per file of the glob, the whole file decoded by the charset cascade.
 
     ``doc_id`` numbers the files by path from 0, so it is the same on every read of the same files; only
-    paths are numbered, contents are joined once.
+    paths are numbered. Folders are listed and files are read in tasks: no path reaches the driver.
     """
     from ..functions.text import decode_bytes
     from ..operators.rownumber import number_rows
-    found = spark.read.format("binaryFile").load(pattern)
-    numbered = number_rows(found.select("path"), [F.asc("path")], out="doc_id")
-    return found.join(numbered, "path").select("doc_id", "path", decode_bytes("content").alias("text"))
+    from .named_files import list_files, read_contents
+    numbered = number_rows(list_files(spark, pattern), [F.asc("path")], out="doc_id")
+    tasks = max(spark.sparkContext.defaultParallelism, numbered.count() // TASK_FILES)
+    found = read_contents(numbered.select("doc_id", "path").repartition(tasks, "path"))
+    return found.select("doc_id", "path", decode_bytes("content").alias("text"))
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
@@ -168,6 +173,7 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 VECTOR_BUCKETS = 16
+BUCKET_ROWS = 1 << 18      # vectors of 64 doubles in 128 MB
 
 
 def write_vectors(vectors: DataFrame, path: str, key: str = "id", buckets: int = VECTOR_BUCKETS) -> str:
