@@ -1,6 +1,7 @@
 """Operators 11 to 13 against plain versions, on whole small tables and on awkward rows."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -81,6 +82,29 @@ def test_long_texts_are_cut_in_pieces(spark, monkeypatch):
     assert got.where("kept is not null").count() == 0
 
 
+def test_a_spread_key_gives_few_rows(spark):
+    """Near copies dealt over several shards: their strings leave in blocks, not a row each, and none is lost."""
+    r, length, shard = random.Random(4), 40, 4000
+    base = [r.choice("abcdefgh") for _ in range(400)]
+    bodies = []
+    for i in range(60):
+        at = r.randrange(400)
+        bodies.append("".join([*base[:at], chr(ord("A") + i % 26), *base[at + 1:]])[r.randrange(30):].encode())
+    parts = -(-sum(map(len, bodies)) // shard)
+    dealt = [(7, i % parts, i.to_bytes(16, "big"), 1, parts, b) for i, b in enumerate(bodies)]
+    rows = spark.createDataFrame(dealt, "key long, part long, digest binary, times long, parts long, bytes binary")
+    found = suffix_dedup.search_shards(rows.repartition("key", "part").sortWithinPartitions("key", "part"), length, shard).cache()
+    starts = sum(len(b) - length + 1 for b in bodies)
+    assert found.count() < 4 * len(bodies) + starts // 20
+    spread = suffix_dedup.merge_shards(found.where("strings is not null").select("key", "bucket", "strings"))
+    known = found.where("strings is null").select("key", "digest", "lows", "highs").union(spread).collect()
+    marked = {(int.from_bytes(x["digest"], "big"), s) for x in known for a, b in zip(x["lows"], x["highs"]) for s in range(a, b)}
+    strings = [(i, s, b[s:s + length]) for i, b in enumerate(bodies) for s in range(len(b) - length + 1)]
+    seen = Counter(x for _, _, x in strings)
+    assert marked == {(i, s) for i, s, x in strings if seen[x] > 1}
+    found.unpersist()
+
+
 def test_op11_on_the_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, SF_SMALL, "documents").collect()]
     same(queries.op11_suffix_dedup(spark, SF_SMALL).collect(), brute.remove_repeated(rows, 400))
