@@ -709,7 +709,7 @@ def test_empty_tables(spark, empty, labels):
     t = P.path("byte_bpe_50k.json")
     for out in (quality_rules.apply_rules(empty, labels), simhash_vp.near_duplicates(empty), simhash_vp.keep_one(empty),
                 license_index.scan_licenses(empty), packing.pack_documents(empty, t), sharding.interleave(empty),
-                pii.find_pii(empty), pii.redact(empty), pfair.mix(empty, pfair.target_parts(empty)),
+                pii.find_pii(empty), pii.redact(empty), pfair.mix(empty, pfair.target_weights(empty)),
                 pfair.mixed_documents(empty), cotrain.classify(empty, labels), cotrain.keep_good(empty, labels),
                 token_orc.token_files(spark, empty, t)):
         assert out.count() == 0
@@ -717,7 +717,7 @@ def test_empty_tables(spark, empty, labels):
 
 def test_queries_are_registered():
     names = list(queries.QUERIES)
-    assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 14)), "pipeline"]
 
 
 def test_rules_equal_their_sql(spark):
