@@ -180,6 +180,35 @@ def test_drawn_contexts_are_without_replacement(spark):
     assert len(per) == 43 and all(len(c) == len(set(c)) == 4 for c in per.values())
 
 
+def test_tokens_are_coded_by_block_and_the_vocabulary_meets_distinct_words(spark):
+    """A word of a block is one row to the vocabulary, however often it stands there; codes come back as ids in place."""
+    from vigil.operators.coded import code_documents, decode, word_ids
+    rows = [(2, "b a " * 500), (None, "a c a"), (1, ""), (2, "c"), (5, None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    coded = code_documents(text.doc_tokens(d))
+    assert sorted((r.word, r.n) for r in coded.words.collect()) == [("a", 502), ("b", 500), ("c", 2)]
+    vocab = text.coded_vocabulary(coded)
+    want = text.build_vocabulary(text.clean_tokens(d))
+    assert sorted(map(tuple, vocab.collect())) == sorted(map(tuple, want.collect()))
+    got = decode(coded.documents, word_ids(coded, vocab.where("id > 0")), "key").collect()
+    ids = {r.word: r.id for r in vocab.collect() if r.id}
+    want = [(k, [ids.get(w, 0) for w in t.split()]) for k, t in rows if t]
+    assert sorted(((r.key or 0), r.ids) for r in got) == sorted(((k or 0), x) for k, x in want)
+    pairs = text.skipgram_pairs(coded, vocab, 2, 4, within_document=True)
+    assert pairs.count() == 4 * 1000 - 6 + 6
+
+
+def test_encoding_shuffles_fewer_bytes_than_a_row_a_token(spark):
+    """No row a token is dealt anew: neither by word nor by document."""
+    d = docs(spark, ["the cat the dog " * 50] * 20)
+    plan = text.encoded_documents(text.doc_tokens(d), text.build_vocabulary(text.clean_tokens(d)))
+    assert plan.count() == 20 and {len(r.ids) for r in plan.collect()} == {200}
+    from vigil.operators.coded import code_documents, decode, word_ids
+    coded = code_documents(text.doc_tokens(d))
+    tree = decode(coded.documents, word_ids(coded, text.coded_vocabulary(coded)), "key")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in tree and "collect_list" not in tree
+
+
 # ------------------------------------------------------------------ search by blocks
 
 def corpus(rng, n):
