@@ -204,3 +204,23 @@ def test_document_means_follow_a_plain_version(spark, monkeypatch):
     assert got.keys() == plain.keys() and 50 not in got
     for k, (n, m) in plain.items():
         assert got[k][0] == n and got[k][1] == pytest.approx(m)
+
+
+def test_vectors_travel_as_stored_to_few_large_blocks(spark, monkeypatch):
+    """Floats stay floats on their way, a block takes an id's vector once, rows of one document (or of none) are one mean."""
+    from vigil.plans import vectors
+    monkeypatch.setattr(vectors, "MEAN_CHUNK", 3)
+    rows = [(i % 4 or None, [i % 5, 0, i % 3, 77]) for i in range(12)] + [(9, [77, 78]), (10, []), (11, None)]
+    d = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    v = spark.createDataFrame([(i, [i / 8, float(-i)]) for i in range(5)], "id long, v array<float>")
+    got = vectors.means_of_documents(d, v, 2)
+    assert "double" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for k, ids in rows:
+        for i in ids or []:
+            if i < 5:
+                want.setdefault(k, []).append(i)
+    found = {r.doc_id: (r.n, r.m) for r in got.collect()}
+    assert found.keys() == want.keys()
+    for k, ids in want.items():
+        assert found[k][0] == len(ids) and found[k][1] == pytest.approx([sum(ids) / 8 / len(ids), -sum(ids) / len(ids)])
