@@ -190,6 +190,25 @@ def test_word_vectors_do_not_depend_on_the_grid(spark, monkeypatch):
     assert "Join" not in vectors.gradients(rows, emb, out, 3, 5)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_step_works_through_its_grid_in_passes(spark, monkeypatch):
+    """Column by column of the grid, in pieces of a few rows: the same vectors, and no copy of a parameter beyond the pass."""
+    from vigil.plans import vectors
+    pairs = spark.createDataFrame([(i % 7, i * i % 11) for i in range(60)], "center int, context int")
+    vocab = spark.createDataFrame([(i,) for i in range(11)], "id long")
+    one = {r.id: r.vector for r in vectors.word_vectors(pairs, vocab, 3, 2, 2, 5.0).collect()}
+    for name, n in (("CELL_ROWS", 20), ("PASS_CELLS", 1), ("PIECE_ROWS", 4), ("COUNT_ROWS", 7)):
+        monkeypatch.setattr(vectors, name, n)
+    assert vectors.cells(180) == 3
+    passes = {r.id: r.vector for r in vectors.word_vectors(pairs, vocab, 3, 2, 2, 5.0).collect()}
+    assert passes.keys() == one.keys() and all(passes[i] == pytest.approx(one[i]) for i in one)
+    emb, out = vectors.first_vectors(vocab, 3)
+    copies = vectors._parameters(emb, out, 3, 3, range(1, 2)).groupBy("side").count().collect()
+    own = vocab.where(vectors._id_block(F.col("id"), 3) == 1).count()
+    assert {r["side"]: r["count"] for r in copies} == {0: 11, 1: 3 * own}
+    rows = vectors._rows(vectors._piece(*[np.array(x) for x in ([1, 1, 2 ** 31 - 1], [0, 2 ** 31 - 1, 5], [3, 2, 7])]))
+    assert [list(x) for x in rows] == [[1, 1, 2 ** 31 - 1], [0, 2 ** 31 - 1, 5], [3, 2, 7]]
+
+
 def test_document_means_follow_a_plain_version(spark, monkeypatch):
     """Blocks of documents, an id with two vectors, null components, documents without an id; no wide map of documents."""
     from vigil.plans import vectors
