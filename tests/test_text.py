@@ -240,6 +240,51 @@ def test_block_search_gives_what_scoring_everything_gives(spark, tmp_dir, method
         assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("method", ["bm25", "cosine"])
+def test_search_over_parts_shards_and_groups(spark, tmp_dir, monkeypatch, method):
+    """Frequent terms over several parts, documents over several shards, queries in groups: what scoring everything gives."""
+    import random
+
+    from vigil.plans import search
+    for name, n in (("PART_ROWS", 40), ("SHARD_DOCS", 16), ("QUERIES", 4)):
+        monkeypatch.setattr(search, name, n)
+    rng = random.Random(7)
+    d = docs(spark, corpus(rng, 150)).repartition(3)
+    qt = text.query_terms(spark.createDataFrame(list(enumerate(corpus(rng, 12))), "query_id bigint, text string"))
+    search.write_index(text.doc_tokens(d), f"{tmp_dir}/i", method, block_rows=4)
+    index = search.read_index(spark, f"{tmp_dir}/i")
+    assert index.terms.where(F.size("folders") > 1).count() > 0
+    postings, dl = text.build_index(d)
+    got, want = (sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in f.collect())
+                 for f in (search.search(index, qt, 5), text.search(postings, dl, qt, method, 5)))
+    assert got == want
+
+
+def test_postings_travel_as_bytes_and_hits_stay_in_their_shard(spark, tmp_dir):
+    """No posting is a row of a shuffle on its way to its block, and no hit of a query on its way to a score."""
+    import numpy as np
+    import pyarrow as pa
+
+    from vigil.plans import search
+    d = docs(spark, ["a b c", "a b", "a c d e"] * 40)
+    places, impacts = np.array([5, 1 << 40, 7], np.int64), np.array([.5, .25, .5])
+    terms, code, place, impact = search._gathered([search._piece(pa.array(["x", "x", "y"]), places, impacts),
+                                                   search._piece(pa.array(["a", "y", "y"]), places, impacts)])
+    assert terms.to_pylist() == ["a", "x", "y"] and code.tolist() == [1, 1, 2, 0, 2, 2]
+    assert place.tolist() == places.tolist() * 2 and impact.tolist() == impacts.tolist() * 2
+    documents, _ = search._documents(text.doc_tokens(d), "cosine", "doc_id")
+    assert "Generate" not in documents._jdf.queryExecution().optimizedPlan().toString()
+    index = search.index_documents(d, "bm25")
+    qt = text.query_terms(spark.createDataFrame([(i, "a b e") for i in range(9)], "query_id bigint, text string"))
+    weights = search._query_weights(index, qt, "query_id")
+    queries = weights.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("weights"))
+    found = search.candidates(index, search.plan_reads(index, weights, queries, 3))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [query" not in plan.split("FlatMapCoGroupsInArrow")[0]
+    # documents below the third best score are no candidates: of 40 with the best score all are
+    assert found.groupBy("query").count().select("count").distinct().collect()[0][0] == 40
+
+
 def test_search_reads_a_part_of_the_postings(spark):
     """Scored (query, document) pairs of the benchmark queries, before and after."""
     from vigil.operators.materialize import materialize
